@@ -59,7 +59,7 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("M_"), F.col("l_returnflag"), kind).alias("raw_model"),
         F.concat(F.lit("run"), F.year("l_shipdate")).alias("run_id"), F.col("l_shipdate").alias("as_of"),
         F.when(F.col("l_tax") < 0.06, "live").otherwise("history").alias("source"),
-        (1.0 / (1.0 + F.exp(-z))).alias("prob"))
+        F.round(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
 
 
 FORECASTS_SQL = """
@@ -67,8 +67,8 @@ fc0 AS (SELECT l_orderkey AS event_id, (l_partkey*1000000 + l_suppkey)*10 + l_li
     'M_' || l_returnflag || CASE WHEN l_discount >= 0.05 THEN '1' ELSE '0' END AS raw_model,
     'run' || year(l_shipdate) AS run_id, l_shipdate AS as_of,
     CASE WHEN l_tax < 0.06 THEN 'live' ELSE 'history' END AS source,
-    1.0::DOUBLE/(1.0+exp(-(0.06::DOUBLE*(l_quantity-25.5)*(CASE WHEN l_linestatus='O' THEN 1.0::DOUBLE ELSE -1.0 END)
-      + 8.0::DOUBLE*(l_discount-0.05::DOUBLE)))) AS prob FROM lineitem),
+    round(1.0::DOUBLE/(1.0+exp(-(0.06::DOUBLE*(l_quantity-25.5)*(CASE WHEN l_linestatus='O' THEN 1.0::DOUBLE ELSE -1.0 END)
+      + 8.0::DOUBLE*(l_discount-0.05::DOUBLE)))), 12) AS prob FROM lineitem),
 fc AS (SELECT *, CASE WHEN lower(raw_model) = 'm_a0' THEN 'm_a1' ELSE lower(raw_model) END AS model FROM fc0)"""
 
 
