@@ -163,7 +163,8 @@ def operating_points(df: DataFrame, by: Sequence[str], label: str, prob: str, th
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
-    ph, z2 = successes / F.nullif(n, F.lit(0).cast("long")), Z95 * Z95
+    n = F.nullif(n, F.lit(0).cast("long"))
+    ph, z2 = successes / n, Z95 * Z95
     den = 1 + z2 / n
     mid = (ph + z2 / (2 * n)) / den
     half = Z95 * F.sqrt((ph * (1 - ph) + z2 / (4 * n)) / n) / den

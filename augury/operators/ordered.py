@@ -51,21 +51,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return out.select(*df.columns, *names)
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: Column,
-                name: str) -> DataFrame:
-    """Running maximum per key, in the same two levels as the totals."""
-    work = df.withColumns({"_b": bucket, "_v": value})
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)
-    tops = work.groupBy(*keys, "_b").agg(F.max("_v").alias("_t"))
-    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), F.max("_t").over(before).alias("_o"))
-    cond = F.col("_b").eqNullSafe(F.col("_bb"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.join(tops, cond).withColumn(name, F.greatest(F.max("_v").over(inside), F.col("_o"))).select(*df.columns, name)
-
-
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
               name: str = "row_index") -> DataFrame:
     """Position of each row in its key, from 0."""

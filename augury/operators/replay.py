@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import monday_of
-from augury.operators.decisions import (REFERENCE_BANKROLL, START_BANKROLL, candidates, cap_daily, decide, round_stake,
+from augury.session import cut_lineage
+from augury.operators.decisions import (REFERENCE_BANKROLL, START_BANKROLL, cap_daily, decide, round_stake,
                                         settle)
-from augury.operators.ordered import latest_by, running_max, running_totals
 from augury.operators.temporal import asof_forecast, asof_snapshot, by_id_or_pair
 from augury.operators.prices import best_prices
 
@@ -20,25 +20,37 @@ def bankroll_path(bets: DataFrame, by: Sequence[str], order: Sequence[str], buck
     A replay has few (model, policy) groups and each may hold every bet, so both running columns are
     split by time.
     """
-    out = running_totals(bets, by, order, bucket, {"cumulative_profit": F.col(profit)})
-    out = out.withColumn("bankroll", start + F.col("cumulative_profit"))
-    out = running_max(out, by, order, bucket, F.col("bankroll"), "_peak")
-    peak = F.greatest(F.col("_peak"), F.lit(start))
-    return out.withColumns({"peak": peak, "drawdown_dollars": peak - F.col("bankroll"),
-                            "drawdown_ratio": (peak - F.col("bankroll")) / peak}).drop("_peak")
+    by = list(by)
+    work = bets.withColumn("_b", bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = work.withColumn("_c", F.sum(profit).over(inside)).withColumn("_m", F.max("_c").over(inside))
+    prior = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = local.groupBy(*by, "_b").agg(F.sum(profit).alias("_t"), F.max("_m").alias("_top"))
+    per = per.withColumn("_o", F.coalesce(F.sum("_t").over(prior), F.lit(0.0)))
+    per = per.withColumn("_pk", F.max(F.col("_o") + F.col("_top")).over(prior)).drop("_t", "_top")
+    out = local.join(per, [*by, "_b"])
+    total = F.col("_o") + F.col("_c")
+    peak = start + F.greatest(F.lit(0.0), F.col("_pk"), F.col("_o") + F.col("_m"))
+    out = out.withColumns({"cumulative_profit": total, "bankroll": start + total, "peak": peak})
+    return out.withColumns({"drawdown_dollars": F.col("peak") - F.col("bankroll"),
+                            "drawdown_ratio": (F.col("peak") - F.col("bankroll")) / F.col("peak")}).drop("_b", "_c", "_m", "_o", "_pk")
 
 
 def play(cands: DataFrame, policies: DataFrame, by: Sequence[str], day: str, event: str, team: str = "cand_team",
          label: str = "home_win") -> DataFrame:
-    """Decide, cap per day and settle."""
-    return settle(cap_daily(decide(cands, policies), [*by, "policy", day], team, event), label)
+    """Decide, cap per day and settle.
+
+    The cap reads the decisions more than once, so they are written once before it.
+    """
+    decisions = cut_lineage(decide(cands, policies))
+    return settle(cap_daily(decisions, [*by, "policy", day], team, event), label)
 
 
 def replay(cands: DataFrame, policies: DataFrame, by: Sequence[str], day: str, event: str, order: Sequence[str],
            bucket: Column, start: float = START_BANKROLL) -> DataFrame:
     """Summary row per group and policy: bankroll, profit, ROI, turnover, drawdown, counts."""
     keys = [*by, "policy"]
-    path = bankroll_path(play(cands, policies, by, day, event), keys, order, bucket, start)
+    path = bankroll_path(cut_lineage(play(cands, policies, by, day, event)), keys, order, bucket, start)
     risked, bets = F.sum("stake"), F.count_if(F.col("stake") > 0)
     wins = F.count_if(F.col("outcome") == "win")
     z = lambda num, den: F.coalesce(num / F.nullif(den, F.lit(0.0)), F.lit(0.0))

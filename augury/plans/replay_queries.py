@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from augury.functions import columns as C
 from augury.operators import curves as K, decisions as D, prices as P, replay as R, temporal as T
 from augury.plans.registry import query, sql
+from augury.session import cut_lineage
 from augury.plans.roles import EVENTS_SQL, FORECASTS_SQL, PRICES_SQL, events, prices, table
 from augury.plans.scoring_queries import BASE, named_forecasts, scored
 
@@ -330,7 +331,7 @@ pa AS (SELECT *, greatest(5000, max(bankroll) OVER (PARTITION BY model, policy O
 
 @query("bankroll_path", sql("SELECT event_id, model, policy, bankroll, peak, peak-bankroll AS drawdown_dollars, (peak-bankroll)/peak AS drawdown_ratio FROM pa", *DEC, PATH_SQL, r="bankroll peak drawdown_dollars drawdown_ratio"))
 def _(spark, d):
-    return R.bankroll_path(bets(spark, d), ["model", "policy"], ["start_ts", "event_id"], F.date_trunc("month", "start_ts")).select(
+    return R.bankroll_path(cut_lineage(bets(spark, d)), ["model", "policy"], ["start_ts", "event_id"], F.date_trunc("month", "start_ts")).select(
         "event_id", "model", "policy", "bankroll", "peak", "drawdown_dollars", "drawdown_ratio")
 
 
@@ -479,11 +480,29 @@ so AS (SELECT allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_d
 
 
 @query("policy_sweep", sql("SELECT * FROM so WHERE settled_bets >= 3 AND active_days >= 2", EVENTS_SQL, FORECASTS_SQL, MKT_SQL, SWEEP_SQL,
-    r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility downside_deviation sharpe max_drawdown_dollars total_profit total_risked roi log_growth", digits=4), digits=4)
+    r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility downside_deviation sharpe max_drawdown_dollars total_profit total_risked roi log_growth"))
 def _(spark, d):
     return R.policy_sweep(cands(spark, d).where("model = 'm_n1'"), "day", "event_id").drop("on_frontier", "pick")
 
 
+PICK_SQL = """
+sq AS (SELECT *, mean_daily_profit > 0 AND log_growth IS NOT NULL AS good FROM so WHERE settled_bets >= 3 AND active_days >= 2),
+sf AS (SELECT *, max(CASE WHEN good THEN mean_daily_profit END) OVER (ORDER BY daily_volatility, mean_daily_profit DESC, sharpe DESC, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM sq),
+sfr AS (SELECT *, (good AND (pm IS NULL OR mean_daily_profit > pm))::INT AS on_frontier FROM sf),
+ra AS (SELECT * FROM sfr WHERE on_frontier = 1 ORDER BY log_growth DESC, sharpe DESC, mean_daily_profit DESC, daily_volatility, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct LIMIT 1),
+ag AS (SELECT s.* FROM sfr s, ra WHERE s.good AND (s.allow_underdogs, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct) <> (ra.allow_underdogs, ra.min_edge, ra.min_ev, ra.stake_scale, ra.max_bet_pct, ra.max_day_pct)
+   ORDER BY (s.on_frontier = 1 AND s.mean_daily_profit >= ra.mean_daily_profit AND s.daily_volatility >= ra.daily_volatility) DESC, s.mean_daily_profit DESC, s.total_profit DESC, s.sharpe DESC, s.allow_underdogs DESC, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct LIMIT 1),
+cpk AS (SELECT * FROM sfr WHERE good AND allow_underdogs = 0 ORDER BY downside_deviation, max_drawdown_dollars, daily_volatility, mean_daily_profit DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct LIMIT 1)"""
+PICK_COLS = "allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, mean_daily_profit, daily_volatility"
+
+
+@query("policy_picks", sql(f"SELECT 'riskAdjusted' AS pick, {PICK_COLS} FROM ra UNION ALL SELECT 'aggressive', {PICK_COLS} FROM ag UNION ALL SELECT 'capitalPreservation', {PICK_COLS} FROM cpk",
+    EVENTS_SQL, FORECASTS_SQL, MKT_SQL, SWEEP_SQL, PICK_SQL, r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility"))
+def _(spark, d):
+    s = R.policy_sweep(cands(spark, d).where("model = 'm_n1'"), "day", "event_id").where("pick <> ''")
+    return s.select(F.explode(F.split("pick", ",")).alias("pick"), *PICK_COLS.split(", "))
+
+
 @query("replay_dataset", sql("""WITH f AS (SELECT event_id, max(CASE WHEN model='m_n1' THEN prob END) AS prob, max(CASE WHEN model='m_n1' THEN as_of END) AS forecast_as_of, max(CASE WHEN model='m_n1' THEN source_priority END) AS source_priority, count(*) AS models FROM af WHERE k = 1 GROUP BY 1),
     b AS (SELECT snapshot_id, event_ref, home, away, max(CASE WHEN side='home' THEN price END) AS hp, max(CASE WHEN side='away' THEN price END) AS aw FROM pr WHERE side IN ('home','away') GROUP BY 1, 2, 3, 4),
     s AS (SELECT e.event_id, e.home, e.away, sj.snapshot_id, sj.eff FROM ev e LEFT JOIN sj ON sj.event_id = e.event_id AND sj.k = 1 WHERE e.home_win IS NOT NULL)
