@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import clip, days_between, haversine_miles
-from augury.operators.ordered import exact_quantiles, running_totals, windowed
+from augury.operators.ordered import exact_quantiles, in_buckets, row_index, running_totals, windowed
 
 
 def expand_two_sided(events: DataFrame, home: str = "home", away: str = "away", home_score: str = "home_score",
@@ -70,78 +70,71 @@ def ewm_reach(alpha: float, tolerance: float = 1e-12) -> int:
     return math.ceil(math.log(tolerance) / math.log(1 - alpha))
 
 
-def _ewm_fold(points: Column, alpha: float) -> Column:
-    """Fold (position, value) points into the recursive mean; the old weight decays over gaps."""
-    keep = 1.0 - alpha
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).cast("long").alias("at"))
-
-    def step(a, e):
-        gap = e["i"] - a["at"]
-        w = F.when(gap == 1, F.lit(keep)).otherwise(F.pow(F.lit(keep), gap.cast("double")))
-        mixed = (w * a["m"] + alpha * e["x"]) / (w + alpha)
-        return F.struct(F.when(a["m"].isNull(), e["x"]).otherwise(mixed).alias("m"), e["i"].alias("at"))
-    return F.aggregate(points, start, step, lambda a: a["m"])
-
-
 def prior_ewm(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, float] | Sequence[str],
               alpha: float = 0.2, nullable: bool = True, bucket: Column | None = None) -> DataFrame:
     """Exponential means of the previous rows (recursive form), one column ``ewm_<c>`` each.
 
-    Only the last n values matter, where (1-alpha)^n < 1e-12. With gaps a frame of n rows could miss
-    values that still count, so nullable columns are framed over the running count of their values.
+    Across missing values the old weight keeps decaying. With ``bucket``, keys over the row limit are
+    split: each bucket carries the last values before it, as many as still weigh more than 1e-12.
     """
     alphas = dict(cols) if isinstance(cols, Mapping) else {c: alpha for c in cols}
-    reach = max(ewm_reach(a) for a in alphas.values())
+    reach = max(ewm_reach(a) for a in alphas.values()) + 1
+    values = {c: ewm_reach(a) + 1 for c, a in alphas.items()} if nullable else None
+    return in_buckets(df, keys, order, bucket, reach, lambda f, parts: _ewm_scan(f, parts, alphas, nullable),
+                      values, index="_i").drop("_i")
 
-    def dense(w):
-        return {f"ewm_{c}": _ewm_fold(F.transform(
-            F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(-ewm_reach(a), -1)),
-            lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x"))), a) for c, a in alphas.items()}
 
-    if not nullable:
-        return windowed(df, keys, order, dense, reach, bucket)
-    if bucket is None:
-        out = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-        return _gap_ewm(out, list(keys), list(order), alphas).drop("_i")
-    from augury.operators.ordered import hot_limit, row_index
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_limit(df)).drop("count")
-    cold = prior_ewm(df.join(hot, list(keys), "left_anti"), keys, order, alphas)
-    big = row_index(df.join(hot, list(keys), "left_semi"), keys, order, bucket, "_i")
-    for c, a in alphas.items():
-        big = _gap_ewm_split(big, list(keys), list(order), c, a, bucket)
-    return cold.unionByName(big.select(*cold.columns))
-
-
-def _gap_ewm(df: DataFrame, parts: list[str], order: list[str], alphas: Mapping[str, float]) -> DataFrame:
-    w = Window.partitionBy(*parts).orderBy(*order)
-    out = df.withColumns({f"_n_{c}": F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in alphas})
-    made = {}
-    for c, a in alphas.items():
-        by_count = Window.partitionBy(*parts).orderBy(f"_n_{c}").rangeBetween(-(ewm_reach(a) - 1), 0)
-        point = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).cast("double").alias("x")))
-        made[f"_e_{c}"] = _ewm_fold(F.sort_array(F.collect_list(point).over(by_count)), a)
-    out = out.withColumns(made)
-    return out.withColumns({f"ewm_{c}": F.lag(f"_e_{c}").over(w) for c in alphas}).drop(
-        *[f"_n_{c}" for c in alphas], *made)
-
-
-def _gap_ewm_split(df: DataFrame, keys: list[str], order: list[str], c: str, alpha: float, bucket: Column) -> DataFrame:
-    """One nullable column of hot keys: each bucket carries the last values, and one row, before it."""
-    from augury.operators.ordered import reach_back
-    x = df.withColumn("_has", F.col(c).isNotNull())
-    wide = reach_back(x, keys, order, bucket, ewm_reach(alpha) + 1, keep=F.col("_has"))
-    # The lag needs the value as of the previous row; carried values give it, gaps leave it unchanged.
-    parts = [*keys, "_bucket"]
-    done = _gap_ewm(wide, parts, order, {c: alpha})
-    return done.where("_own").drop("_bucket", "_own", "_has")
+_SPAN = 40.0
+
+
+def _ewm_scan(df: DataFrame, parts: list[str], alphas: Mapping[str, float], nullable: bool) -> DataFrame:
+    """Solve m_i = l_i m_(i-1) + (1 - l_i) x_i by running sums over chunks of decay.
+
+    With D the running sum of -log(l), the mean is a sum of x_j exp(D_j - D_i). Chunks span 40 units of D, so
+    the exponentials stay in range and anything two chunks back weighs under 5e-18. Each row then costs
+    a few additions, however far the mean reaches.
+    """
+    w = Window.partitionBy(*parts).orderBy("_i")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    cols = list(alphas)
+    x = {c: F.col(c).cast("double") for c in cols}
+    # Columns without gaps and with one alpha share their decay.
+    tag = {c: (f"a{int(round(a * 1e6))}" if not nullable else c) for c, a in alphas.items()}
+    rate = {tag[c]: a for c, a in alphas.items()}
+    value = {tag[c]: c for c in cols}
+    has = {t: (x[value[t]].isNotNull() if nullable else F.lit(True)) for t in rate}
+    out = df.withColumns({f"_pi_{t}": F.last(F.when(has[t], F.col("_i")), True).over(before) for t in rate})
+    step = {}
+    for t, a in rate.items():
+        gap = (F.col("_i") - F.col(f"_pi_{t}")).cast("double")
+        grow = F.exp(F.least(gap * -math.log(1 - a), F.lit(700.0)))  # (1-a)^-gap
+        first = F.col(f"_pi_{t}").isNull()
+        step[f"_l_{t}"] = F.when(has[t] & ~first, F.least(F.log(1 + a * grow), F.lit(_SPAN + 1))).otherwise(0.0)
+        step[f"_g_{t}"] = F.when(first, 1.0).otherwise(a * grow / (1 + a * grow))
+    out = out.withColumns(step)
+    out = out.withColumns({f"_d_{t}": F.sum(f"_l_{t}").over(upto) for t in rate})
+    out = out.withColumns({f"_k_{t}": F.floor(F.col(f"_d_{t}") / _SPAN) for t in rate})
+    rel = {t: F.col(f"_d_{t}") - _SPAN * F.col(f"_k_{t}") for t in rate}
+    chunk = {t: Window.partitionBy(*parts, f"_k_{t}").orderBy("_i") for t in rate}
+    part = {c: F.coalesce(x[c] * F.col(f"_g_{tag[c]}") * F.exp(rel[tag[c]]), F.lit(0.0)) for c in cols}
+    out = out.withColumns({f"_p_{c}": part[c] for c in cols})
+    out = out.withColumns({f"_s_{c}": F.sum(f"_p_{c}").over(chunk[tag[c]].rowsBetween(Window.unboundedPreceding, 0)) for c in cols})
+    out = out.withColumns({f"_s_{c}": F.col(f"_s_{c}") * F.exp(-rel[tag[c]]) for c in cols})
+    out = out.withColumns({f"_q_{c}": F.lag(F.struct(F.col(f"_s_{c}").alias("s"), F.col(f"_d_{tag[c]}").alias("d"))).over(w) for c in cols})
+    out = out.withColumns({f"_f_{c}": F.first(f"_q_{c}").over(chunk[tag[c]].rowsBetween(Window.unboundedPreceding, 0)) for c in cols})
+    mean = {c: F.col(f"_s_{c}") + F.coalesce(F.col(f"_f_{c}.s") * F.exp(F.col(f"_f_{c}.d") - F.col(f"_d_{tag[c]}")), F.lit(0.0)) for c in cols}
+    seen = {c: F.col(f"_pi_{tag[c]}").isNotNull() for c in cols}
+    out = out.withColumns({f"_m_{c}": mean[c] for c in cols})
+    out = out.withColumns({f"ewm_{c}": F.when(seen[c], F.lag(f"_m_{c}").over(w)) for c in cols})
+    return out.drop(*[f"_{k}_{t}" for k in ("pi", "l", "g", "d", "k") for t in rate], *[f"_{k}_{c}" for k in "psqfm" for c in cols])
 
 
 def rest_gap(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], default: float = 7.0,
              short: float = 1.1, bucket: Column | None = None) -> DataFrame:
     """Days since the previous event (default for the first) and a back-to-back flag."""
-    out = windowed(df, keys, order, lambda w: {"_prev": F.lag(ts).over(w)}, 1, bucket)
-    rest = F.greatest(F.coalesce(days_between(ts, "_prev"), F.lit(default)), F.lit(0.0))
-    return out.withColumns({"rest_days": rest, "b2b": (rest <= short).cast("int")}).drop("_prev")
+    def gap(w):
+        return F.greatest(F.coalesce(days_between(ts, F.lag(ts).over(w)), F.lit(default)), F.lit(0.0))
+    return windowed(df, keys, order, lambda w: {"rest_days": gap(w), "b2b": (gap(w) <= short).cast("int")}, 1, bucket)
 
 
 def prior_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None,
@@ -176,21 +169,25 @@ def starter_load(df: DataFrame, keys: Sequence[str], order: Sequence[str], known
                  default_quality: float = 0.905, bucket: Column | None = None) -> DataFrame:
     """Starter workload over 7 and 14 rows, lagged uncertainty, and lagged start on a back-to-back."""
     base = df.withColumns({"_k": F.col(known).cast("int"), "_q": F.coalesce(F.col(quality), F.lit(default_quality))})
-    out = windowed(base, keys, order, lambda w: {
-        "starts_last7": F.coalesce(F.sum("_k").over(w.rowsBetween(-7, -1)), F.lit(0)),
-        "starts_last14": F.coalesce(F.sum("_k").over(w.rowsBetween(-14, -1)), F.lit(0)),
-        "b2b_starter": F.coalesce(F.lag("_k").over(w), F.lit(0)) * F.coalesce(F.col(b2b), F.lit(0)),
-        "starter_uncertain": F.coalesce(1 - F.lag("_k").over(w), F.lit(1))}, 14, bucket)
-    out = prior_ewm(out, keys, order, {"_q": 0.25}, nullable=False, bucket=bucket)
-    return out.withColumn("starter_quality", F.coalesce("ewm__q", F.lit(default_quality))).drop("_k", "_q", "ewm__q")
+
+    def chain(f: DataFrame, parts: list[str]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
+        f = f.withColumns({
+            "starts_last7": F.coalesce(F.sum("_k").over(w.rowsBetween(-7, -1)), F.lit(0)),
+            "starts_last14": F.coalesce(F.sum("_k").over(w.rowsBetween(-14, -1)), F.lit(0)),
+            "b2b_starter": F.coalesce(F.lag("_k").over(w), F.lit(0)) * F.coalesce(F.col(b2b), F.lit(0)),
+            "starter_uncertain": F.coalesce(1 - F.lag("_k").over(w), F.lit(1))})
+        return _ewm_scan(f, parts, {"_q": 0.25}, nullable=False)
+    out = in_buckets(base, keys, order, bucket, ewm_reach(0.25) + 1, chain, index="_i")
+    return out.withColumn("starter_quality", F.coalesce("ewm__q", F.lit(default_quality))).drop("_k", "_q", "ewm__q", "_i")
 
 
 def special_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], taken: str, drawn: str, made: str,
                   bucket: Column | None = None, fill: str = "prior") -> DataFrame:
     """Special-situation rates and their lagged exponential means.
 
-    ``fill='prior'`` gives first rows the overall rate of earlier rows only through a default of 0;
-    ``fill='group'`` uses the whole group's mean, which sees the future and is kept for parity.
+    ``fill='prior'`` gives first rows 0; ``fill='group'`` uses the whole group's mean, which sees the
+    future and is kept for parity.
     """
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     base = df.withColumns({
@@ -199,7 +196,7 @@ def special_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], take
     out = prior_ewm(base, keys, order, {"eff": 0.25, "discipline": 0.25, "_taken": 0.25}, nullable=False, bucket=bucket)
     first = F.lit(0.0)
     if fill == "group":
-        out = out.join(out.groupBy(*keys).agg(F.avg("eff").alias("_mean")), list(keys))
+        out = out.join(base.groupBy(*keys).agg(F.avg("eff").alias("_mean")), list(keys))
         first = F.col("_mean")
     return out.withColumns({
         "eff_ewm": F.coalesce("ewm_eff", first), "discipline_ewm": F.coalesce("ewm_discipline", F.lit(0.0)),
@@ -230,10 +227,13 @@ def player_projection(players: DataFrame, player: str, order: Sequence[str], buc
     stems = ["offence", "defence", "overall"]
     means = base.agg(*[F.avg(s).alias(f"_mean_{s}") for s in stems],
                      F.coalesce(F.avg(F.when(F.col("_min") > 0, F.col("_min"))), F.lit(18.0)).alias("_mean_min"))
-    out = prior_count(base, [player], order, bucket)
-    out = prior_ewm(out, [player], order, {"offence": 0.25, "defence": 0.25, "overall": 0.25, "_min": 0.35,
-                                           "_start": 0.3, "_played": 0.3}, nullable=False, bucket=bucket)
-    out = prior_mean(out, [player], order, [*stems, "_min"], (5,), bucket)
+
+    def chain(f: DataFrame, parts: list[str]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(-5, -1)
+        f = f.withColumns({f"r5_{c}": F.avg(c).over(w) for c in (*stems, "_min")}).withColumn("prior_count", F.col("_i"))
+        return _ewm_scan(f, parts, {"offence": 0.25, "defence": 0.25, "overall": 0.25, "_min": 0.35, "_start": 0.3,
+                                    "_played": 0.3}, nullable=False)
+    out = in_buckets(base, [player], order, bucket, ewm_reach(0.25) + 1, chain, index="_i").drop("_i")
     out = out.crossJoin(F.broadcast(means))  # one row
     n = F.col("prior_count").cast("double")
 
@@ -270,7 +270,7 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
            * clip(F.coalesce("played_rate", F.lit(0.6)), 0.1, 1.0)
            * F.when(gap <= 7, 1.0).otherwise(F.exp(-(gap - 7.0) / 14.0)) * factor)
     rows = states.withColumns({"_m": raw, "_gap": gap}).where(F.col("_m") > 0.5)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_m").desc(), tie))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("_m", 9).desc(), tie))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= ROTATION)
     m, known = F.col("_m"), F.sum("_m")
     scale = F.least(F.lit(1.0), TEAM_MINUTES / known)
@@ -334,7 +334,6 @@ def time_folds(df: DataFrame, order: Sequence[str], bucket: Column, folds: int,
 
     With too few rows for that there is one fold with a 70 % cut.
     """
-    from augury.operators.ordered import row_index
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     few = F.col("_n") <= min_train + folds
     size = F.greatest(F.floor((F.col("_n") - min_train) / folds), F.lit(1))
@@ -372,7 +371,6 @@ def date_folds(df: DataFrame, ts: str, folds: int, valid_days: int, embargo_days
 
 def share_split(df: DataFrame, order: Sequence[str], bucket: Column, shares: Mapping[str, float]) -> DataFrame:
     """Label rows in time order by cumulative shares, such as train .4, valid .3, test .3."""
-    from augury.operators.ordered import row_index
     n = df.agg(F.count(F.lit(1)).alias("_total"))
     rows = row_index(df, [], list(order), bucket, "_i").crossJoin(F.broadcast(n))  # one row
     names, edge, role = list(shares), 0.0, None
@@ -391,7 +389,7 @@ def random_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, na
 
 def thin(df: DataFrame, order: Sequence[str], bucket: Column, points: int = 250, keys: Sequence[str] = ()) -> DataFrame:
     """At most ``points`` evenly spaced rows of an ordered curve, ends included. A display operator."""
-    from augury.operators.ordered import _join_by, row_index
+    from augury.operators.ordered import _join_by
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     rows = _join_by(row_index(df, keys, list(order), bucket, "_i"), n, keys)

@@ -9,8 +9,9 @@ keys by a *bucket*, a coarse monotone function of the order (a month, a slice of
 * ``reach_back``: each ``(key, bucket)`` gets copies of the few rows that precede it, so any frame of
   at most ``reach`` rows back is complete inside the bucket.
 
-``windowed`` counts rows per key (a map-side combined aggregate) and sends only keys over a limit the
-second way; the others keep the plain window.
+``in_buckets`` counts rows per key first, one aggregate of the key columns combined in the map tasks. With
+no key over the limit the plan is the plain one; otherwise only the large keys are split. A chain of
+operators goes through it once, as one function of (frame, partition columns).
 """
 from __future__ import annotations
 
@@ -18,6 +19,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from augury.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "spark.augury.hotKeyRows"
 
@@ -58,52 +61,70 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
 
 def reach_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, reach: int,
-               keep: Column | None = None) -> DataFrame:
-    """Add ``_bucket`` and ``_own``: every bucket also holds the ``reach`` rows before it (``_own`` false).
+               values: dict[str, int] | None = None) -> DataFrame:
+    """Add ``_bucket`` and ``_own``: every bucket also holds the ``reach`` rows before it (``_own`` false),
+    and for each column in ``values`` the last so many rows where it is not NULL.
 
-    With ``keep`` the carried rows are the last ``reach`` rows that satisfy it. Earlier non-empty
-    buckets hold at least one row each, so ``reach`` of them are always enough.
+    ``df`` is read several times, so give it something written or cheap. Rows of a key need distinct order values.
     """
     work = df.withColumn("_bucket", bucket)
-    tail_rows = work if keep is None else work.where(keep)
-    last = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(o).desc() for o in order])
-    row = F.struct(*[F.col(o).alias(f"_s{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("_row"))
-    tails = (tail_rows.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= reach)
-             .groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(row)).alias("_tail")))
     spots = work.select(*keys, "_bucket").distinct()
-    on_spot = spots.join(tails, [*keys, "_bucket"], "left")
-    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(-_gap(reach), -1)
-    carried = on_spot.select(
-        *keys, "_bucket",
-        F.flatten(F.collect_list("_tail").over(prior)).alias("_prior"))
-    carried = carried.select("_bucket", F.explode(F.slice(
-        F.col("_prior"), F.greatest(F.size("_prior") - reach + 1, F.lit(1)), reach)).alias("_x"))
-    halo = carried.select("_x._row.*", "_bucket", F.lit(False).alias("_own"))
-    return work.withColumn("_own", F.lit(True)).unionByName(halo)
+    row = F.struct(*[F.col(o).alias(f"_s{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("_row"))
+    last = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(o).desc() for o in order])
+    line = Window.partitionBy(*keys).orderBy("_bucket")
+    halo = None
+    for name, n in [(None, reach), *(values or {}).items()]:
+        some = work if name is None else work.where(F.col(name).isNotNull())
+        tails = (some.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n)
+                 .groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(row)).alias("_tail")))
+        # the n previous buckets that have a tail hold at least n rows; buckets without one are stepped over
+        at = spots.join(tails, [*keys, "_bucket"], "left").withColumn(
+            "_seen", F.count("_tail").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+        prior = Window.partitionBy(*keys).orderBy("_seen").rangeBetween(-n, -1)
+        got = at.select("_bucket", F.flatten(F.sort_array(F.collect_list("_tail").over(prior))).alias("_prior"))
+        got = got.select("_bucket", F.explode(F.slice("_prior", F.greatest(F.size("_prior") - n + 1, F.lit(1)), n)).alias("_x"))
+        got = got.select("_x._row.*", "_bucket")
+        halo = got if halo is None else halo.unionByName(got)
+    if values:
+        halo = halo.dropDuplicates([*keys, "_bucket", *order])
+    return work.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+
+
+def in_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, reach: int,
+               fn: Callable[[DataFrame, list[str]], DataFrame], values: dict[str, int] | None = None,
+               index: str | None = None) -> DataFrame:
+    """Apply ``fn(frame, partition columns)``, splitting keys over the row limit into buckets.
+
+    ``index`` names a column that holds each row's position in its key.
+    """
+    keys, order = list(keys), list(order)
 
+    def whole(frame: DataFrame) -> DataFrame:
+        if index:
+            frame = frame.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        return fn(frame, keys)
 
-def _gap(reach: int) -> int:
-    return max(int(reach), 1)
+    if bucket is None:
+        return whole(df)
+    hot = df.groupBy(*keys).count().where(F.col("count") > hot_limit(df)).drop("count")
+    if hot.isEmpty():
+        return whole(df)
+    hot = cut_lineage(hot)  # a few keys, at most rows / limit of them
+    cold = whole(df.join(hot, keys, "left_anti"))
+    big = cut_lineage(df.join(hot, keys, "left_semi"))
+    if index:
+        big = row_index(big, keys, order, bucket, index)
+    wide = reach_back(big, keys, order, bucket, reach, values)
+    split = fn(wide, [*keys, "_bucket"]).where("_own").drop("_bucket", "_own")
+    return cold.unionByName(split.select(*cold.columns))
 
 
 def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              build: Callable[[Window], dict[str, Column]], reach: int,
              bucket: Column | None = None) -> DataFrame:
-    """Add window columns whose frames reach at most ``reach`` rows back.
-
-    ``build`` gets an ordered window spec and returns the new columns. Without ``bucket`` every key
-    takes the plain window. With it, keys over the limit are split into buckets.
-    """
-    def add(frame: DataFrame, parts: Sequence[str]) -> DataFrame:
-        return frame.withColumns(build(Window.partitionBy(*parts).orderBy(*order)))
-
-    if bucket is None:
-        return add(df, keys)
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_limit(df)).drop("count")
-    cold = add(df.join(hot, list(keys), "left_anti"), keys)
-    wide = reach_back(df.join(hot, list(keys), "left_semi"), keys, order, bucket, reach)
-    split = add(wide, [*keys, "_bucket"]).where("_own").drop("_bucket", "_own")
-    return cold.unionByName(split.select(*cold.columns))
+    """Add window columns whose frames reach at most ``reach`` rows back."""
+    return in_buckets(df, keys, order, bucket, reach,
+                      lambda f, parts: f.withColumns(build(Window.partitionBy(*parts).orderBy(*order))))
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -83,9 +83,10 @@ def _(spark, d):
 SELECT event_id, entity, (coalesce(sum(tight) OVER {W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) >= 2)::INT AS load_3,
     (coalesce(sum(tight) OVER {W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) >= 3)::INT AS load_5 FROM b""", *SER))
 def _(spark, d):
-    base = X.rest_gap(series(spark, d), KEY, "start_ts", ORDER, short=30.0, bucket=month())
-    return X.prior_load(base, KEY, ORDER, "b2b", {"load_3": (3, 2), "load_5": (5, 3)}, month()).select(
-        "event_id", "entity", "load_3", "load_5")
+    def chain(f, parts):
+        f = X.rest_gap(f, parts, "start_ts", ORDER, short=30.0)
+        return X.prior_load(f, parts, ORDER, "b2b", {"load_3": (3, 2), "load_5": (5, 3)})
+    return O.in_buckets(series(spark, d), KEY, ORDER, month(), 7, chain).select("event_id", "entity", "load_3", "load_5")
 
 
 @query("causal_effect", sql("""WITH t AS (SELECT event_id, venue, start_ts, is_final, coalesce(home_score - away_score, 0) AS margin FROM ev),
@@ -274,7 +275,7 @@ def _(spark, d):
 
 @query("player_projection", recursive(sql("""WITH mm AS (SELECT avg(off36) AS mo, avg(def36) AS md, avg(all36) AS ma, avg(CASE WHEN mi > 0 THEN mi END) AS mi0 FROM ew),
     r AS (SELECT ew.*, (i-1)::DOUBLE AS n, avg(off36) OVER w AS ro, avg(def36) OVER w AS rd, avg(all36) OVER w AS ra, avg(mi) OVER w AS rm FROM ew
-      WINDOW w AS (PARTITION BY player ORDER BY ts, event_id, line_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+      WINDOW w AS (PARTITION BY player ORDER BY ts, appearance, line_id, minutes ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
     b AS (SELECT r.*, mm.*, 0.7*coalesce(ewm_off36, mo)+0.3*coalesce(ro, mo) AS bo, 0.7*coalesce(ewm_def36, md)+0.3*coalesce(rd, md) AS bd,
       0.7*coalesce(ewm_all36, ma)+0.3*coalesce(ra, ma) AS ba, 0.65*coalesce(ewm_mi, mi0)+0.35*coalesce(rm, mi0)+4.0*coalesce(ewm_starter, 0) AS bm FROM r, mm)
 SELECT event_id, line_id, player, n::BIGINT AS prior_count, greatest(-18, least(18, (bo*n+mo*8)/(n+8))) AS offence_projection,
@@ -282,11 +283,11 @@ SELECT event_id, line_id, player, n::BIGINT AS prior_count, greatest(-18, least(
     greatest(0, least(42, (bm*n+mi0*6)/(n+6))) AS minutes_projection, n/(n+6) AS projection_confidence, ewm_played AS played_rate FROM b""", PLAYERS_SQL,
     ewm_sql("""SELECT *, offr*36/greatest(minutes, 6) AS off36, defr*36/greatest(minutes, 6) AS def36, (offr+defr+0.08::DOUBLE*plus_minus)*36/greatest(minutes, 6) AS all36, minutes AS mi
       FROM (SELECT *, points+0.4::DOUBLE*fg_made-0.7::DOUBLE*fg_attempted-0.4::DOUBLE*(ft_attempted-ft_made)+0.7::DOUBLE*rebounds_offensive+0.7::DOUBLE*assists+0.3::DOUBLE*three_made-turnovers AS offr,
-      0.3::DOUBLE*rebounds_defensive+steals+0.7::DOUBLE*blocks-0.4::DOUBLE*fouls AS defr FROM pl)""", "player", "ts, event_id, line_id",
+      0.3::DOUBLE*rebounds_defensive+steals+0.7::DOUBLE*blocks-0.4::DOUBLE*fouls AS defr FROM pl)""", "player", "ts, appearance, line_id, minutes",
       {"off36": .25, "def36": .25, "all36": .25, "mi": .35, "starter": .3, "played": .3}),
     r="offence_projection defence_projection overall_projection minutes_projection projection_confidence played_rate")))
 def _(spark, d):
-    return X.player_projection(players(spark, d), "player", ["ts", "event_id", "line_id"], F.date_trunc("month", F.col("ts"))).select(
+    return X.player_projection(players(spark, d), "player", ["ts", "appearance", "line_id", "minutes"], F.date_trunc("month", F.col("ts"))).select(
         "event_id", "line_id", "player", "prior_count", "offence_projection", "defence_projection", "overall_projection",
         "minutes_projection", "projection_confidence", "played_rate")
 
@@ -297,25 +298,25 @@ HORIZON = 70  # days after which a state can no longer reach half a minute, so t
 def roster_states(spark, d):
     """States with simple projections, so that the roster query tests the join and not the projection."""
     p = players(spark, d)
-    current = p.groupBy("player").agg(F.max_by("team", F.struct("ts", "line_id")).alias("current_team"))
+    current = p.groupBy("player").agg(F.max_by("team", F.struct("ts", "appearance", "team")).alias("current_team"))
     return p.join(current, "player").select(
-        "event_id", "ts", "player", "team", "current_team", "line_id", F.least(F.col("minutes"), F.lit(42.0)).alias("minutes_projection"),
+        "event_id", "ts", "player", "team", "current_team", "line_id", "appearance", F.least(F.col("minutes"), F.lit(42.0)).alias("minutes_projection"),
         F.col("played").alias("played_rate"), (F.col("starter") * 0.5 + 0.25).alias("projection_confidence"),
         F.col("points").alias("overall_projection"), F.col("assists").alias("offence_projection"), F.col("fouls").alias("defence_projection"))
 
 
 ROSTER_SQL = """
-cur AS (SELECT player, arg_max(team, ts::VARCHAR || lpad(line_id::VARCHAR, 24, '0')) AS current_team FROM pl GROUP BY 1),
+cur AS (SELECT player, arg_max(team, ts::VARCHAR || lpad(appearance::VARCHAR, 24, '0') || team) AS current_team FROM pl GROUP BY 1),
 st AS (SELECT p.*, current_team FROM pl p JOIN cur USING (player)),
 teamev AS (SELECT event_id, start_ts, entity, won IS NULL AS up FROM se WHERE is_home = 0),
-jo AS (SELECT e.event_id, e.entity, e.start_ts, s.*EXCLUDE (event_id), row_number() OVER (PARTITION BY e.event_id, e.entity, s.player ORDER BY s.ts DESC, s.line_id DESC) AS rn
+jo AS (SELECT e.event_id, e.entity, e.start_ts, s.*EXCLUDE (event_id), row_number() OVER (PARTITION BY e.event_id, e.entity, s.player ORDER BY s.ts DESC, s.appearance DESC) AS rn
   FROM teamev e JOIN st s ON s.ts < e.start_ts AND s.ts >= e.start_ts - INTERVAL 70 DAY AND CASE WHEN e.up THEN s.current_team ELSE s.team END = e.entity),
 ros AS (SELECT *, (epoch(start_ts)-epoch(ts))/86400.0::DOUBLE AS gap_days FROM jo WHERE rn = 1)"""
 
 
 def roster(spark, d):
     ser = series(spark, d).where("is_home = 0")
-    return T.asof_roster(ser, roster_states(spark, d), "team", "player", "ts", "event_id", "line_id", HORIZON,
+    return T.asof_roster(ser, roster_states(spark, d), "team", "player", "ts", "event_id", "appearance", HORIZON,
                          F.col("won").isNull(), "current_team")
 
 
@@ -325,7 +326,7 @@ def _(spark, d):
 
 
 @query("roster_strength", sql("""WITH m AS (SELECT *, least(minutes, 42)*greatest(least(played, 1), 0.1::DOUBLE)*CASE WHEN gap_days <= 7 THEN 1 ELSE exp(-(gap_days-7)/14) END AS xm FROM ros),
-    k AS (SELECT *, row_number() OVER (PARTITION BY event_id, entity ORDER BY xm DESC, line_id) AS r FROM m WHERE xm > 0.5),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_id, entity ORDER BY round(xm, 9) DESC, line_id) AS r FROM m WHERE xm > 0.5),
     t AS (SELECT event_id, entity, sum(xm) AS known FROM k WHERE r <= 12 GROUP BY 1, 2),
     z AS (SELECT k.*, t.known, xm*least(1, 240/t.known) AS ym FROM k JOIN t USING (event_id, entity) WHERE r <= 12),
     g AS (SELECT event_id, entity, sum(ym) AS tot, sum((ym >= 8)::INT) AS deep, sum((starter*0.5+0.25)*ym) AS cf, sum(points*ym) AS pa, sum(assists*ym) AS po, sum(fouls*ym) AS pd,
