@@ -121,7 +121,7 @@ def players(spark: SparkSession, d: str) -> DataFrame:
     q, disc, tax = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
     return lines.join(orders, "event_id").select(
         "event_id", "ts", F.col("l_partkey").alias("player"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("team"),
-        line_id().alias("line_id"), (F.col("event_id") * 10 + F.col("l_linenumber")).alias("appearance"), q.alias("minutes"), (q * 0.5 + disc).alias("points"), disc.alias("assists"),
+        line_id().alias("line_id"), (F.col("event_id") * 10000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("appearance"), q.alias("minutes"), (q * 0.5 + disc).alias("points"), disc.alias("assists"),
         tax.alias("rebounds_offensive"), (tax * 0.5).alias("rebounds_defensive"), (disc * 0.25).alias("steals"),
         (tax * 0.25).alias("blocks"), (disc * 0.5).alias("turnovers"), (tax * 0.5).alias("fouls"),
         (q * 0.25).alias("fg_made"), (q * 0.5).alias("fg_attempted"), (disc * 0.5).alias("ft_made"),
@@ -132,7 +132,7 @@ def players(spark: SparkSession, d: str) -> DataFrame:
 
 PLAYERS_SQL = """
 pl AS (SELECT l_orderkey AS event_id, o_orderdate AS ts, l_partkey AS player, 'S' || l_suppkey AS team,
-    (l_partkey*1000000 + l_suppkey)*10 + l_linenumber AS line_id, l_orderkey*10 + l_linenumber AS appearance, l_quantity AS minutes,
+    (l_partkey*1000000 + l_suppkey)*10 + l_linenumber AS line_id, l_orderkey*10000000 + l_suppkey*10 + l_linenumber AS appearance, l_quantity AS minutes,
     l_quantity*0.5::DOUBLE + l_discount*100 AS points, l_discount*100 AS assists, l_tax*100 AS rebounds_offensive,
     l_tax*100*0.5::DOUBLE AS rebounds_defensive, l_discount*100*0.25::DOUBLE AS steals, l_tax*100*0.25::DOUBLE AS blocks,
     l_discount*100*0.5::DOUBLE AS turnovers, l_tax*100*0.5::DOUBLE AS fouls, l_quantity*0.25::DOUBLE AS fg_made,
