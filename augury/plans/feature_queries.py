@@ -413,3 +413,23 @@ def _(spark, d):
 def _(spark, d):
     ev = events(spark, d).select("event_id", F.when(F.col("is_final") == 1, F.col("start_ts")).alias("known_start"))
     return O.order_nulls_last(ev, ["known_start", "event_id"]).limit(50)
+
+
+@query("random_split")
+def _(spark, d):
+    return X.random_split(events(spark, d).select("event_id"), "event_id").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("keep_preferred", sql("""SELECT event_id, forecast_id, version FROM (SELECT l_orderkey AS event_id, (l_partkey*1000000 + l_suppkey)*10 + l_linenumber AS forecast_id, l_tax AS version,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax DESC, (l_partkey*1000000 + l_suppkey)*10 + l_linenumber DESC) AS k FROM lineitem) WHERE k = 1""", r="version"))
+def _(spark, d):
+    from augury.plans.roles import line_id
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), line_id().alias("forecast_id"), F.col("l_tax").alias("version"))
+    return O.keep_preferred(li, ["event_id"], [F.col("version"), F.col("forecast_id")])
+
+
+@query("with_grid", sql("""SELECT threshold, count(*) AS n FROM ev, (VALUES (50), (100), (150)) g(threshold) WHERE home_score + away_score >= threshold GROUP BY 1""", EVENTS_SQL))
+def _(spark, d):
+    grid = spark.createDataFrame([(50,), (100,), (150,)], "threshold int")
+    ev = events(spark, d).where(F.col("home_score").isNotNull())
+    return T.with_grid(ev, grid).where(F.col("home_score") + F.col("away_score") >= F.col("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
