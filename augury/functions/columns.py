@@ -34,6 +34,13 @@ def logit(p: Column | str) -> Column:
     return F.log(q / (1 - q))
 
 
+def snap(x: Column | str, digits: int) -> Column:
+    """Round a double without going through decimals. Makes values that differ only in the last bits
+    equal before they are compared or ranked."""
+    scale = float(10 ** digits)
+    return F.rint(col(x) * scale) / scale
+
+
 def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from augury.functions.columns import clip, decimal_odds, implied_probability
+from augury.functions.columns import clip, decimal_odds, implied_probability, snap
 from augury.operators.ordered import running_totals, value_buckets
 
 # Bankrolls, rounding, and the weights of the probability adjustment.
@@ -83,17 +83,17 @@ def candidates(df: DataFrame, prob: str, home_price: str, away_price: str, peer:
     x = x.withColumns({"_fh": fair, "_fa": fair_away})
     x = x.withColumns({"_ah": adjusted(F.col("_raw"), F.col("_fh"), F.col(peer)),
                        "_aa": adjusted(1 - F.col("_raw"), F.col("_fa"), 1 - F.col(peer))})
-    x = x.withColumns({"_eh": F.round(F.col("_ah") * F.col("_dh") - 1, 12), "_ea": F.round(F.col("_aa") * F.col("_da") - 1, 12)})
+    x = x.withColumns({"_eh": snap(F.col("_ah") * F.col("_dh") - 1, 12), "_ea": snap(F.col("_aa") * F.col("_da") - 1, 12)})
     home = (F.col("_eh") > F.col("_ea")) | ((F.col("_eh") == F.col("_ea")) & (F.col("_ah") >= F.col("_aa")))
     pick = lambda h, a: F.when(home, F.col(h)).otherwise(F.col(a))
     priced = F.col("_ih").isNotNull() & F.col("_ia").isNotNull()
     out = x.withColumns({
         "priced": priced, "positive": (F.col("_eh") > 0) | (F.col("_ea") > 0),
         "cand_side": F.when(priced, F.when(home, "home").otherwise("away")), "cand_price": pick(home_price, away_price),
-        "cand_prob": F.round(pick("_ah", "_aa"), 12), "cand_fair": F.round(pick("_fh", "_fa"), 12),
+        "cand_prob": snap(pick("_ah", "_aa"), 12), "cand_fair": snap(pick("_fh", "_fa"), 12),
         "cand_ev": pick("_eh", "_ea"), "_dec": pick("_dh", "_da")})
     share = (F.col("cand_prob") * F.col("_dec") - 1) / (F.col("_dec") - 1)
-    return out.withColumns({"cand_edge": F.round(F.col("cand_prob") - F.col("cand_fair"), 12),
+    return out.withColumns({"cand_edge": snap(F.col("cand_prob") - F.col("cand_fair"), 12),
                             "base_share": F.when((F.col("cand_prob") > 0) & (F.col("cand_prob") < 1) & (F.col("_dec") > 1), share)}).drop(
         "_ih", "_ia", "_dh", "_da", "_raw", "_fh", "_fa", "_ah", "_aa", "_eh", "_ea", "_dec")
 
@@ -104,7 +104,7 @@ def decide(cands: DataFrame, policies: DataFrame, half_even: bool = False) -> Da
     x = with_grid(cands, policies)
     dog = F.col("cand_price") > 0
     amount = REFERENCE_BANKROLL * F.least(F.col("max_bet_pct") / 100, F.greatest(F.col("stake_scale") * F.col("base_share"), F.lit(0.0)))
-    stake = round_stake(F.round(amount, 9), half_even)
+    stake = round_stake(snap(amount, 9), half_even)
     gate = (F.col("cand_edge") >= F.col("min_edge")) & (F.col("cand_ev") >= F.col("min_ev"))
     cap = dog & (F.col("cand_price") > F.col("max_underdog_price"))
     fair = F.lit("Adjusted price fair")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from augury.functions.columns import clip, days_between, haversine_miles
+from augury.functions.columns import clip, days_between, haversine_miles, snap
 from augury.operators.ordered import exact_quantiles, in_buckets, row_index, running_totals, windowed
 
 
@@ -270,7 +270,7 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
            * clip(F.coalesce("played_rate", F.lit(0.6)), 0.1, 1.0)
            * F.when(gap <= 7, 1.0).otherwise(F.exp(-(gap - 7.0) / 14.0)) * factor)
     rows = states.withColumns({"_m": raw, "_gap": gap}).where(F.col("_m") > 0.5)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("_m", 9).desc(), tie))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(snap("_m", 9).desc(), tie))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= ROTATION)
     m, known = F.col("_m"), F.sum("_m")
     scale = F.least(F.lit(1.0), TEAM_MINUTES / known)

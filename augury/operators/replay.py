@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from augury.functions.columns import monday_of
+from augury.functions.columns import monday_of, snap
 from augury.session import cut_lineage
 from augury.operators.decisions import (REFERENCE_BANKROLL, START_BANKROLL, cap_daily, decide, round_stake,
                                         settle)
@@ -197,13 +197,13 @@ def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team"
         base = base.withColumn(name, F.explode(lits(grid[name])))
     base = base.withColumn("allow_underdogs", F.explode(F.array(F.lit(1), F.lit(0))))
     base = base.where((F.col("cand_edge") >= F.col("min_edge")) & (F.col("cand_ev") >= F.col("min_ev")) & ~(F.col("_dog") & (F.col("allow_underdogs") == 0)))
-    amount = F.round(REFERENCE_BANKROLL * F.col("stake_scale") * F.col("base_share"), 9)
+    amount = snap(REFERENCE_BANKROLL * F.col("stake_scale") * F.col("base_share"), 9)
     base = base.where(round_stake(amount) > 0)
     gates = ["allow_underdogs", "min_edge", "min_ev", "stake_scale"]
     rank = F.rank().over(Window.partitionBy("day", *gates).orderBy(F.col("cand_ev").desc(), F.col("cand_edge").desc()))
     base = base.withColumn("_r", rank).where(F.col("_r") <= most)
     base = base.withColumn("max_bet_pct", F.explode(lits(grid["max_bet_pct"])))
-    stake = round_stake(F.round(REFERENCE_BANKROLL * F.least(F.col("max_bet_pct") / 100, F.col("stake_scale") * F.col("base_share")), 9))
+    stake = round_stake(snap(REFERENCE_BANKROLL * F.least(F.col("max_bet_pct") / 100, F.col("stake_scale") * F.col("base_share")), 9))
     base = base.withColumn("_s", stake)
     keys = [*gates, "max_bet_pct"]
     order = [F.col("cand_ev").desc(), F.col("cand_edge").desc(), F.col("_s").desc(), F.col("_t"), F.col("_e")]

@@ -15,7 +15,9 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            x, scale = c.cast("double"), float(10 ** digits)
+            small = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+            c = F.when(F.abs(x) * scale < 9e15, small).otherwise(F.round(x, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.DateType):

@@ -289,7 +289,7 @@ def market(spark, d):
 
 def cands(spark, d, run: bool = False):
     keys = ["event_id", "model"] + (["run_id"] if run else [])
-    long = named_forecasts(spark, d).groupBy(*keys).agg(F.round(F.avg("prob"), 12).alias("prob"))
+    long = named_forecasts(spark, d).groupBy(*keys).agg(C.snap(F.avg("prob"), 12).alias("prob"))
     ev = events(spark, d).select("event_id", "home", "away", "start_ts", "league", "home_win")
     x = D.peer_means(long, "event_id", "model", "prob").join(ev, "event_id").join(market(spark, d), "event_id")
     c = D.candidates(x, "prob", "home_price", "away_price")

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from augury.functions.columns import snap
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -59,7 +61,7 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("M_"), F.col("l_returnflag"), kind).alias("raw_model"),
         F.concat(F.lit("run"), F.year("l_shipdate")).alias("run_id"), F.col("l_shipdate").alias("as_of"),
         F.when(F.col("l_tax") < 0.06, "live").otherwise("history").alias("source"),
-        F.round(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
+        snap(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
 
 
 FORECASTS_SQL = """

@@ -216,7 +216,7 @@ def _(spark, d):
     z = 0.06 * (F.col("l_quantity") - 25.5) * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0) + 8.0 * (F.col("l_discount") - 0.05)
     from augury.plans.roles import line_id
     pred = stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), line_id().alias("forecast_id"), F.col("l_shipdate").cast("timestamp").alias("as_of"),
-                                               F.round(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
+                                               C.snap(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
     res = stream(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("final_ts"),
                                             (F.col("o_totalprice") > 250000).cast("int").alias("home_win"))
     s = J.score_stream(pred, res, "1 day", "400 days")
