@@ -54,6 +54,23 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return out.select(*df.columns, *names)
 
 
+def running_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: Column,
+                   name: str) -> DataFrame:
+    """Greatest value so far per key, in two levels like the totals. NULLs are passed over.
+
+    With a struct that starts with the row's time, the greatest is the latest.
+    """
+    work = df.withColumns({"_b": bucket, name: value})
+    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = work.groupBy(*keys, "_b").agg(F.max(name).alias("_t"))
+    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), F.max("_t").over(prior).alias("_o"))
+    cond = F.col("_b") == F.col("_bb")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return work.join(tops, cond).withColumn(name, F.greatest(F.max(name).over(inside), F.col("_o"))).select(*df.columns, name)
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
               name: str = "row_index") -> DataFrame:
     """Position of each row in its key, from 0."""

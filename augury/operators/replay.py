@@ -9,7 +9,7 @@ from augury.functions.columns import monday_of, snap
 from augury.session import cut_lineage
 from augury.operators.decisions import (REFERENCE_BANKROLL, START_BANKROLL, cap_daily, decide, round_stake,
                                         settle)
-from augury.operators.temporal import asof_forecast, asof_snapshot, by_id_or_pair
+from augury.operators.temporal import asof_forecast, asof_snapshot
 from augury.operators.prices import best_prices
 
 

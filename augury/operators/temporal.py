@@ -6,35 +6,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import micros
-from augury.operators.ordered import latest_by, windowed
+from augury.operators.ordered import latest_by, running_latest, windowed
 
 
-def by_id_or_pair(events: DataFrame, rows: DataFrame, event: str, ref: str, pair: Sequence[str]) -> DataFrame:
-    """Event rows joined to rows that name the event, or name its two sides.
+def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, cutoff: str, value: Column,
+                right_ts: str, bucket_unit: str = "month") -> DataFrame:
+    """Per left row the greatest right ``value`` with the same keys and ``right_ts <= cutoff``.
 
-    An OR condition would be a nested-loop join, so this is two equi-joins. Rows that match both ways
-    are taken from the first join only. Output keeps the event's columns and ``_r_``-prefixed row columns.
+    Both sides go on one time line per key and the value is carried forward, so the work is a sort and
+    not every left row against every right row; a key's line is split by time.
     """
-    r = rows.select(*[F.col(c).alias(f"_r_{c}") for c in rows.columns])
-    by_id = events.join(r, F.col(event) == F.col(f"_r_{ref}"))
-    cond = None
-    for c in pair:
-        eq = F.col(c) == F.col(f"_r_{c}")
-        cond = eq if cond is None else cond & eq
-    other = F.col(f"_r_{ref}").isNull() | (F.col(f"_r_{ref}") != F.col(event))
-    return by_id.unionByName(events.join(r, cond).where(other))
+    v = right.select(*keys, F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id),
+                     value.alias("_v"))
+    row_type = v.schema["_v"].dataType
+    e = left.select(*keys, F.col(cutoff).cast("timestamp").alias("_t"), F.lit(1).alias("_side"), left_id, F.lit(None).cast(row_type).alias("_v"))
+    line = running_latest(v.unionByName(e).where(F.col("_t").isNotNull()), keys, ["_t", "_side"], F.date_trunc(bucket_unit, "_t"), F.col("_v"), "_found")
+    return line.where((F.col("_side") == 1) & F.col("_found").isNotNull()).select(left_id, F.col("_found"))
 
 
 def asof_snapshot(events: DataFrame, prices: DataFrame, event: str, ref: str, pair: Sequence[str], cutoff: str,
                   effective: str, snapshot: str, snapshot_as_of: str, line: str) -> DataFrame:
-    """Per event the snapshot of the newest price known by the cutoff; ties by snapshot time, then line."""
-    need = list(dict.fromkeys([ref, *pair, effective, snapshot, snapshot_as_of, line]))
-    rows = by_id_or_pair(events.select(*dict.fromkeys([event, *pair, cutoff])), prices.select(*need), event, ref, pair)
-    rows = rows.where(F.col(f"_r_{effective}") <= F.col(cutoff))
-    best = F.max_by(F.struct(F.col(f"_r_{snapshot}").alias("snapshot_id"), F.col(f"_r_{effective}").alias("price_as_of")),
-                    F.struct(f"_r_{effective}", f"_r_{snapshot_as_of}", f"_r_{line}"))
-    found = rows.groupBy(event).agg(best.alias("_b")).select(event, "_b.*")
-    return events.join(found, event, "left")
+    """Per event the snapshot of the newest price known by the cutoff; ties by snapshot time, then line.
+
+    A price counts if it names the event or its two sides. That OR is two searches: an equi-join by
+    event id, and a time line per pair. The later find wins.
+    """
+    value = F.struct(F.col(effective).cast("timestamp").alias("e"), F.col(snapshot_as_of).alias("s"), F.col(line).alias("l"), F.col(snapshot).alias("id"))
+    need = prices.select(*dict.fromkeys([ref, *pair, effective, snapshot_as_of, line, snapshot]))
+    mine = need.where(F.col(ref).isNotNull()).select(F.col(ref).alias(event), value.alias("_v"))
+    by_id = events.select(event, cutoff).join(mine, event).where(F.col("_v.e") <= F.col(cutoff)).groupBy(event).agg(F.max("_v").alias("_a"))
+    by_pair = asof_latest(events, need, list(pair), event, cutoff, value, effective).withColumnRenamed("_found", "_p")
+    out = events.join(by_id, event, "left").join(by_pair, event, "left").withColumn("_f", F.greatest("_a", "_p"))
+    return out.withColumns({"snapshot_id": F.col("_f.id"), "price_as_of": F.col("_f.e")}).drop("_a", "_p", "_f")
 
 
 def asof_best_prices(events: DataFrame, prices: DataFrame, event: str, ref: str, start: str, effective: str, side: str,
@@ -84,21 +87,24 @@ def match_events(external: DataFrame, events: DataFrame, ext_id: str, event: str
                  ext_ts: str, day: str, start: str, within_hours: float = 18.0) -> DataFrame:
     """Event of each external id, by pair of sides: a unique same-day event, else the nearest start
     within the limit, else the only candidate."""
+    pair = list(pair)
     ids = external.where(F.col(ext_id).isNotNull()).groupBy(ext_id).agg(
-        F.min_by(F.struct(*[F.col(c).alias(c) for c in pair], F.col(ext_day).alias("_d"), F.col(ext_ts).alias("_t")),
-                 F.struct(F.col(ext_ts), *pair)).alias("_x")).select(ext_id, "_x.*")
-    cand = ids.join(events.select(event, *pair, F.col(day).alias("_ed"), F.col(start).alias("_es")), list(pair), "left")
-    same = (F.col("_d") == F.col("_ed")) & F.col(event).isNotNull()
+        F.min(F.struct(F.col(ext_ts).alias("_t"), F.col(ext_day).alias("_d"), *pair)).alias("_x")).select(ext_id, "_x.*")
+    ev = events.select(event, *pair, F.col(day).alias("_d"), F.col(start).alias("_es"))
+    # Counts per pair and per pair and day are merged first; starts meet only within a day of each other.
+    per_pair = ev.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), F.min(event).alias("_only"))
+    per_day = ev.groupBy(*pair, "_d").agg(F.count(F.lit(1)).alias("_same"), F.min(event).alias("_day_event"))
+    span = max(86400e6, within_hours * 3600e6)
+    cell = lambda t: F.floor(micros(t) / span)
+    near = ids.where(F.col("_t").isNotNull()).withColumn("_cell", F.explode(F.array(*[cell("_t") + i for i in (-1, 0, 1)])))
+    near = near.join(ev.withColumn("_cell", cell("_es")).withColumnRenamed("_d", "_ed"), [*pair, "_cell"])
     gap = F.abs(micros("_es") - micros("_t"))
-    agg = cand.groupBy(ext_id).agg(
-        F.count(event).alias("_n"), F.count_if(same).alias("_same"),
-        F.min(F.when(same, F.col(event))).alias("_day_event"), F.min(event).alias("_only"),
-        F.min(F.when(same & gap.isNotNull(), F.struct(gap.alias("g"), F.col(event).alias("e")))).alias("_near_day"),
-        F.min(F.when(gap.isNotNull() & F.col(event).isNotNull(), F.struct(gap.alias("g"), F.col(event).alias("e")))).alias("_near"))
-    near = F.when(F.col("_same") > 1, F.col("_near_day")).otherwise(F.col("_near"))
-    return agg.select(ext_id, F.when(F.col("_same") == 1, F.col("_day_event"))
-                      .when(near["g"] <= within_hours * 3600e6, near["e"])
-                      .when((F.col("_n") == 1), F.col("_only")).alias(event))
+    near = near.withColumn("_g", gap).where(F.col("_g") <= within_hours * 3600e6)
+    pick = F.struct(F.col("_g").alias("g"), F.col(event).alias("e"))
+    near = near.groupBy(ext_id).agg(F.min(pick).alias("_near"), F.min(F.when(F.col("_d") == F.col("_ed"), pick)).alias("_near_day"))
+    out = ids.join(per_pair, pair, "left").join(per_day, [*pair, "_d"], "left").join(near, ext_id, "left")
+    found = F.when(F.col("_same") > 1, F.col("_near_day.e")).otherwise(F.coalesce("_near.e", F.when(F.col("_n") == 1, F.col("_only"))))
+    return out.select(ext_id, F.when(F.col("_same") == 1, F.col("_day_event")).otherwise(found).alias(event))
 
 
 def asof_roster(series: DataFrame, states: DataFrame, team: str, player: str, ts: str, event: str, tie: str,

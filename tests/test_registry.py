@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tests.compare import duck, run
 
 D = "/root/testdata/sf0.001"
-NAMES = ["scored_latest", "performance_windows", "calibration_fit", "slice_metrics", "prior_ewm", "roster_strength", "quantile_report", "lorenz", "asof_snapshot", "match_events",
+NAMES = ["scored_latest", "performance_windows", "calibration_fit", "slice_metrics", "prior_ewm", "asof_roster", "quantile_report", "lorenz", "asof_snapshot", "match_events",
          "consensus_line", "decide", "replay", "continuity", "promotion_gates", "q_next_n_events", "flatten_prices", "stream_scores", "correlation_pairs"]
 
 
