@@ -11,6 +11,7 @@ from augury.functions import columns as C
 from augury.operators import ratings as Q
 from augury.plans.registry import query, sql
 from augury.plans.roles import EVENTS_SQL, FORECASTS_SQL, PLAYERS_SQL, american, events, forecasts, table
+from augury.plans.feature_queries import recursive
 from augury.plans.scoring_queries import BASE, named_forecasts, scored
 from augury.sources import imports as I, nested as N, tables as B
 from augury.streaming import jobs as J
@@ -156,14 +157,31 @@ def pooled(spark, d):
                      (F.col("home_score") - F.col("away_score")).alias("margin"))
 
 
-@query("elo")
+POOL_SQL = """
+pe AS MATERIALIZED (SELECT event_id, league || '|' || (((year(start_ts)+(month(start_ts)>=7)::INT-1)*10000 + year(start_ts)+(month(start_ts)>=7)::INT)::INT) AS pool, venue AS home, 'N' || s_nationkey AS away, home_win, home_score-away_score AS margin,
+  row_number() OVER (PARTITION BY league, year(start_ts)+(month(start_ts)>=7)::INT ORDER BY start_ts, event_id) AS i FROM ev JOIN supplier ON 'S' || s_suppkey = away)"""
+# One step per event of each pool, the ratings carried in a map.
+ELO_SQL = """
+el AS (SELECT pool, 0::BIGINT AS i, MAP([]::VARCHAR[], []::DOUBLE[]) AS st, NULL::BIGINT AS event_id, NULL::DOUBLE AS rh, NULL::DOUBLE AS ra FROM pe GROUP BY 1
+  UNION ALL SELECT pool, i, CASE WHEN home_win IS NULL THEN st ELSE map_concat(st, MAP([home, away], [rh+dl, ra-dl])) END, event_id, rh, ra FROM (SELECT *, 20*(1+0.1::DOUBLE*least(abs(margin), 4))*(home_win-1/(1+exp(-(rh+35-ra)/400))) AS dl
+    FROM (SELECT e.pool, e.i, e.event_id, e.home, e.away, e.home_win, e.margin, el.st, coalesce(el.st[e.home], 1500::DOUBLE) AS rh, coalesce(el.st[e.away], 1500::DOUBLE) AS ra FROM el JOIN pe e ON e.pool = el.pool AND e.i = el.i + 1)))"""
+DYN_SQL = """
+dn AS (SELECT pool, 0::BIGINT AS i, MAP([]::VARCHAR[], []::DOUBLE[]) AS sm, MAP([]::VARCHAR[], []::DOUBLE[]) AS sv, NULL::BIGINT AS event_id, NULL::DOUBLE AS mh, NULL::DOUBLE AS ma, NULL::DOUBLE AS p, NULL::DOUBLE AS z FROM pe GROUP BY 1
+  UNION ALL SELECT pool, i, CASE WHEN home_win IS NULL THEN map_concat(sm, MAP([home, away], [mh, ma])) ELSE map_concat(sm, MAP([home, away], [mh+vh/(1+f*z)*(home_win-p), ma-va/(1+f*z)*(home_win-p)])) END,
+      CASE WHEN home_win IS NULL THEN map_concat(sv, MAP([home, away], [vh, va])) ELSE map_concat(sv, MAP([home, away], [greatest(vh*(1-vh/(1+f*z)*f), 1e-4), greatest(va*(1-va/(1+f*z)*f), 1e-4)])) END, event_id, mh, ma, p, z
+    FROM (SELECT *, greatest(p*(1-p), 1e-4) AS f FROM (SELECT *, 1/(1+exp(-(mh-ma+0.12::DOUBLE))) AS p, vh+va AS z FROM (SELECT e.*, dn.sm, dn.sv, coalesce(dn.sm[e.home], 0::DOUBLE) AS mh, coalesce(dn.sm[e.away], 0::DOUBLE) AS ma,
+      coalesce(dn.sv[e.home], 1::DOUBLE)+0.07::DOUBLE AS vh, coalesce(dn.sv[e.away], 1::DOUBLE)+0.07::DOUBLE AS va FROM dn JOIN pe e ON e.pool = dn.pool AND e.i = dn.i + 1))))"""
+WIN_PROB = "1/(1+exp(-(rh+35-ra)/400))"
+
+
+@query("elo", recursive(sql(f"SELECT event_id, pool, rh AS elo_home_pre, ra AS elo_away_pre, {WIN_PROB} AS elo_home_prob FROM el WHERE i > 0", EVENTS_SQL, POOL_SQL, ELO_SQL, r="elo_home_pre elo_away_pre elo_home_prob")))
 def _(spark, d):
-    return Q.elo(pooled(spark, d), ["pool"], ["start_ts", "event_id"])
+    return Q.elo(pooled(spark, d), ["pool"], ["start_ts", "event_id"]).select("event_id", "pool", "elo_home_pre", "elo_away_pre", "elo_home_prob")
 
 
-@query("dynamic_rating")
+@query("dynamic_rating", recursive(sql("SELECT event_id, pool, mh AS dyn_home_mean, ma AS dyn_away_mean, p AS dyn_home_prob, z AS dyn_var FROM dn WHERE i > 0", EVENTS_SQL, POOL_SQL, DYN_SQL, r="dyn_home_mean dyn_away_mean dyn_home_prob dyn_var")))
 def _(spark, d):
-    return Q.dynamic_rating(pooled(spark, d), ["pool"], ["start_ts", "event_id"])
+    return Q.dynamic_rating(pooled(spark, d), ["pool"], ["start_ts", "event_id"]).select("event_id", "pool", "dyn_home_mean", "dyn_away_mean", "dyn_home_prob", "dyn_var")
 
 
 @query("paired_state")
