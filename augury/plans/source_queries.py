@@ -171,6 +171,12 @@ dn AS (SELECT pool, 0::BIGINT AS i, MAP([]::VARCHAR[], []::DOUBLE[]) AS sm, MAP(
       CASE WHEN home_win IS NULL THEN map_concat(sv, MAP([home, away], [vh, va])) ELSE map_concat(sv, MAP([home, away], [greatest(vh*(1-vh/(1+f*z)*f), 1e-4), greatest(va*(1-va/(1+f*z)*f), 1e-4)])) END, event_id, mh, ma, p, z
     FROM (SELECT *, greatest(p*(1-p), 1e-4) AS f FROM (SELECT *, 1/(1+exp(-(mh-ma+0.12::DOUBLE))) AS p, vh+va AS z FROM (SELECT e.*, dn.sm, dn.sv, coalesce(dn.sm[e.home], 0::DOUBLE) AS mh, coalesce(dn.sm[e.away], 0::DOUBLE) AS ma,
       coalesce(dn.sv[e.home], 1::DOUBLE)+0.07::DOUBLE AS vh, coalesce(dn.sv[e.away], 1::DOUBLE)+0.07::DOUBLE AS va FROM dn JOIN pe e ON e.pool = dn.pool AND e.i = dn.i + 1))))"""
+BT_SQL = """
+bt_ AS (SELECT pool, 0::BIGINT AS i, MAP([]::VARCHAR[], []::DOUBLE[]) AS sm, MAP([]::VARCHAR[], []::DOUBLE[]) AS sv, NULL::BIGINT AS event_id, NULL::DOUBLE AS mh, NULL::DOUBLE AS ma, NULL::DOUBLE AS z, NULL::DOUBLE AS sd FROM pe GROUP BY 1
+  UNION ALL SELECT pool, i, CASE WHEN home_win IS NULL THEN map_concat(sm, MAP([home, away], [mh, ma])) ELSE map_concat(sm, MAP([home, away], [mh+vh/t*(home_win-p)/f, ma-va/t*(home_win-p)/f])) END,
+      CASE WHEN home_win IS NULL THEN map_concat(sv, MAP([home, away], [vh, va])) ELSE map_concat(sv, MAP([home, away], [greatest(vh*(1-vh/t), 1e-4), greatest(va*(1-va/t), 1e-4)])) END, event_id, mh, ma, z, sqrt(vh+va)
+    FROM (SELECT *, vh+va+1/f AS t FROM (SELECT *, greatest(p*(1-p), 1e-3) AS f FROM (SELECT *, 1/(1+exp(-z)) AS p FROM (SELECT *, mh-ma+0.12::DOUBLE AS z FROM (SELECT e.*, bt_.sm, bt_.sv, coalesce(bt_.sm[e.home], 0::DOUBLE) AS mh, coalesce(bt_.sm[e.away], 0::DOUBLE) AS ma,
+      coalesce(bt_.sv[e.home], 1.5::DOUBLE)+0.08::DOUBLE AS vh, coalesce(bt_.sv[e.away], 1.5::DOUBLE)+0.08::DOUBLE AS va FROM bt_ JOIN pe e ON e.pool = bt_.pool AND e.i = bt_.i + 1))))))"""
 WIN_PROB = "1/(1+exp(-(rh+35-ra)/400))"
 
 
@@ -184,9 +190,9 @@ def _(spark, d):
     return Q.dynamic_rating(pooled(spark, d), ["pool"], ["start_ts", "event_id"]).select("event_id", "pool", "dyn_home_mean", "dyn_away_mean", "dyn_home_prob", "dyn_var")
 
 
-@query("paired_state")
+@query("paired_state", recursive(sql("SELECT event_id, pool, mh AS bt_home, ma AS bt_away, 1/(1+exp(-(z-1.6448536269514722::DOUBLE*sd))) AS bt_low, 1/(1+exp(-(z+1.6448536269514722::DOUBLE*sd))) AS bt_high FROM bt_ WHERE i > 0", EVENTS_SQL, POOL_SQL, BT_SQL, r="bt_home bt_away bt_low bt_high")))
 def _(spark, d):
-    return Q.paired_state(pooled(spark, d), ["pool"], ["start_ts", "event_id"])
+    return Q.paired_state(pooled(spark, d), ["pool"], ["start_ts", "event_id"]).select("event_id", "pool", "bt_home", "bt_away", "bt_low", "bt_high")
 
 
 @query("paired_state_fit")
@@ -195,7 +201,19 @@ def _(spark, d):
     return Q.paired_state_fit(ev, ["pool"], ["start_ts", "event_id"], ["month_no"]).drop("month_no")
 
 
-@query("change_points")
+CP_SQL = """
+cs0 AS (SELECT model, start_ts::DATE AS day, avg(log_loss) AS x FROM sc GROUP BY 1, 2),
+cs1 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY model) AS n, avg(x) OVER (PARTITION BY model) AS mu, greatest(stddev_pop(x) OVER (PARTITION BY model), 0.05::DOUBLE) AS sc_ FROM cs0),
+cs AS MATERIALIZED (SELECT *, greatest(20, least(60, n//5)) AS burn, greatest(10, least(30, n//12)) AS cool, greatest(0.01::DOUBLE, 0.05::DOUBLE*sc_) AS dl, greatest(0.35::DOUBLE, 2.5::DOUBLE*sc_) AS th, greatest(0.02::DOUBLE, 0.2::DOUBLE*sc_) AS k, greatest(0.45::DOUBLE, 3.0::DOUBLE*sc_) AS h FROM cs1 WHERE n >= 30),
+cp AS (SELECT model, -1::BIGINT AS i, NULL::DATE AS day, NULL::DOUBLE AS x, 0::DOUBLE AS mean, 0::DOUBLE AS cum, 0::DOUBLE AS low, 0::DOUBLE AS up, 0::DOUBLE AS dn, -1000000::BIGINT AS lp, -1000000::BIGINT AS lc, NULL::DOUBLE AS ph, NULL::DOUBLE AS cu, th, h FROM cs WHERE i = 0
+  UNION ALL SELECT model, i, day, x, mean, CASE WHEN a1 THEN 0 ELSE cum END, CASE WHEN a1 THEN 0 ELSE low END, CASE WHEN a2 THEN 0 ELSE up END, CASE WHEN a2 THEN 0 ELSE dn END, CASE WHEN a1 THEN i ELSE lp END, CASE WHEN a2 THEN i ELSE lc END,
+      CASE WHEN a1 THEN cum-low END, CASE WHEN a2 THEN greatest(up, -dn) END, th, h FROM (SELECT *, i+1 >= burn AND cum-low > th AND i-lp >= cool AS a1, i+1 >= burn AND greatest(up, -dn) > h AND i-lc >= cool AS a2
+    FROM (SELECT *, least(low0, cum) AS low FROM (SELECT *, cum0 + x - mean - dl AS cum FROM (SELECT s.model, s.i, s.day, s.x, s.burn, s.cool, s.dl, s.th, s.h, c.mean + (s.x-c.mean)/(s.i+1) AS mean, c.cum AS cum0, c.low AS low0,
+      greatest(0, c.up+s.x-s.mu-s.k) AS up, least(0, c.dn+s.x-s.mu+s.k) AS dn, c.lp, c.lc FROM cp c JOIN cs s ON s.model = c.model AND s.i = c.i + 1)))))"""
+
+
+@query("change_points", recursive(sql("""SELECT model, day, i AS row, x AS value, 'page_hinkley' AS method, ph AS statistic, th AS threshold FROM cp WHERE ph IS NOT NULL
+    UNION ALL SELECT model, day, i, x, 'cusum', cu, h FROM cp WHERE cu IS NOT NULL""", *BASE, CP_SQL, r="value statistic threshold", day="day")))
 def _(spark, d):
     daily = scored(spark, d).groupBy("model", F.to_date("start_ts").alias("day")).agg(F.avg("log_loss").alias("log_loss"))
     return Q.change_points(daily, ["model"], ["day"], "log_loss")
