@@ -22,15 +22,19 @@ def local_session(cores: str | int | None = None, app: str = "augury") -> SparkS
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) is a fresh local folder used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or a fresh local one in local mode only."""
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="augury-checkpoint-"))
+        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="augury-checkpoint-"))
+    return jsc.getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder; files go when the frame is collected as garbage, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
