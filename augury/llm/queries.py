@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import exact_dedup, mixing, simhash
+from augury.llm import ann, exact_dedup, html_text, line_dedup, mixing, packing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@_query
+def op1_ann(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @_query
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, d, "documents"))
@@ -35,6 +40,23 @@ FROM h
 """
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    m = line_dedup.drop_common_lines(_table(spark, d, "documents"))
+    return m.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM r),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+c AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.k = c.k GROUP BY rid
+"""
+
+
 @_query
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     m = mixing.mix(_table(spark, d, "documents"))
@@ -68,3 +90,74 @@ FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source JOIN c ON t.source IS NO
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     m = simhash.near_copies(_table(spark, d, "documents"))
     return m.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"))
+
+
+@_query
+def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Review labels stand in for findings labelled by hand: a quoted run of 32 or more hexadecimal digits that the text
+    assigns to a name is a secret. They are read for four documents of five; the forest sees none of these words."""
+    docs = _table(spark, d, "documents")
+    label = F.col("finding").rlike("^[0-9a-fA-F]{32,}$") & F.col("word").rlike("[\"']") & F.col("b1").rlike("[=:]")
+    return secrets.scan(docs, label, ~toxicity.held_out(F.col("id")))
+
+
+def _day(*parts: str):
+    return F.conv(F.substring(F.md5(F.concat(*[F.lit(x) if x.endswith(":") else F.col(x) for x in parts])), 1, 7), 16, 10).cast("int")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated block list over the hosts of ``pages``: hosts are listed, delisted and listed again, their parent domains
+    are listed, and some paths are allowed. Dates follow from hashes of the hosts."""
+    host = pages.select(url_filter.url_parts(F.col("url"))[0].alias("host")).where("host <> ''").distinct()
+    h = host.select("host", (_day("a:", "host") % 400).alias("a"), (_day("b:", "host") % 200 + 30).alias("b"), (_day("c:", "host") % 100 + 20).alias("c"), (_day("e:", "host") % 600).alias("e"))
+    at = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    row = lambda pattern, listed, action, n: F.struct(pattern.alias("pattern"), F.lit(listed).alias("list"), F.lit(action).alias("action"), at(n).alias("day"))
+    a, ab, abc = F.col("a"), F.col("a") + F.col("b"), F.col("a") + F.col("b") + F.col("c")
+    rows = [row(F.col("host"), "hosts", "block", a), row(F.col("host"), "hosts", "remove", ab), row(F.col("host"), "hosts", "block", abc),
+            row(F.concat("host", F.lit("/en/")), "paths", "allow", F.col("e")), row(F.regexp_replace("host", r"^[^.]+\.", ""), "domains", "block", F.col("e") + F.col("c"))]
+    return h.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+@_query
+def op7_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), _day("f:", "page_id") % 730))
+    out = url_filter.filter_urls(captures, list_entries(pages))
+    return out.select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), F.col("__verdict").alias("verdict"), F.col("__pattern").alias("pattern"), F.col("__list").alias("list"))
+
+
+ORACLES["op7_url_filter"] = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + (('0x' || substr(md5('f:' || page_id::VARCHAR), 1, 7))::INT % 730) AS day,
+                  rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host, ('0x' || substr(md5('a:' || host), 1, 7))::INT % 400 AS a, ('0x' || substr(md5('b:' || host), 1, 7))::INT % 200 + 30 AS b,
+             ('0x' || substr(md5('c:' || host), 1, 7))::INT % 100 + 20 AS c, ('0x' || substr(md5('e:' || host), 1, 7))::INT % 600 AS e FROM p WHERE host <> ''),
+r AS (SELECT host AS pattern, 'hosts' AS list, 'block' AS action, a AS n FROM h UNION ALL SELECT host, 'hosts', 'remove', a + b FROM h
+      UNION ALL SELECT host, 'hosts', 'block', a + b + c FROM h UNION ALL SELECT host || '/en/', 'paths', 'allow', e FROM h
+      UNION ALL SELECT regexp_replace(host, '^[^.]+\.', ''), 'domains', 'block', e + c FROM h),
+v AS (SELECT pattern, list, n, max(action) AS verdict FROM r GROUP BY ALL),
+w AS (SELECT pattern, list, verdict, DATE '2024-01-01' + n::INT AS s, DATE '2024-01-01' + (lead(n) OVER (PARTITION BY pattern, list ORDER BY n))::INT AS e FROM v),
+x AS (SELECT *, string_split(host, '.') AS hs, string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/') AS ps FROM p),
+q AS (SELECT DISTINCT page_id, day, array_to_string(hs[i:], '.') || CASE WHEN j = 1 THEN '' ELSE array_to_string(ps[:j], '/') || '/' END AS pattern
+      FROM x, unnest(range(1, len(hs) + 1)) AS a(i), unnest(range(1, greatest(2, len(ps)))) AS b(j) WHERE host <> ''),
+m AS (SELECT q.page_id, w.verdict, w.pattern, w.list, row_number() OVER (PARTITION BY q.page_id ORDER BY length(w.pattern) DESC, w.pattern, w.verdict, w.list) AS n
+      FROM q JOIN w ON q.pattern = w.pattern AND w.s <= q.day AND (w.e IS NULL OR q.day < w.e) WHERE w.verdict <> 'remove')
+SELECT p.page_id, p.url, strftime(p.day, '%Y-%m-%d') AS fetched, m.verdict, m.pattern, m.list FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
+"""
+
+
+@_query
+def op9_html(spark: SparkSession, d: str) -> DataFrame:
+    m = html_text.extract(_table(spark, d, "pages"))
+    return m.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    m = toxicity.toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+    return m.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
