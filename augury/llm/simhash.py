@@ -44,7 +44,8 @@ def fingerprint(text: Column, width: int = 3) -> Column:
 
 def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the links among ``fps`` connect: each member to the smallest it reaches."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
+    u = fps.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= bits
     label = np.arange(len(fps))
     while True:
         low = np.where(near, label[None, :], len(fps)).min(axis=1)
