@@ -143,8 +143,8 @@ r AS (SELECT host AS pattern, 'hosts' AS list, 'block' AS action, a AS n FROM h
 v AS (SELECT pattern, list, n, max(action) AS verdict FROM r GROUP BY ALL),
 w AS (SELECT pattern, list, verdict, DATE '2024-01-01' + n::INT AS s, DATE '2024-01-01' + (lead(n) OVER (PARTITION BY pattern, list ORDER BY n))::INT AS e FROM v),
 x AS (SELECT *, string_split(host, '.') AS hs, string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/') AS ps FROM p),
-q AS (SELECT DISTINCT page_id, day, array_to_string(hs[i:], '.') || CASE WHEN j = 1 THEN '' ELSE array_to_string(ps[:j], '/') || '/' END AS pattern
-      FROM x, unnest(range(1, len(hs) + 1)) AS a(i), unnest(range(1, greatest(2, len(ps)))) AS b(j) WHERE host <> ''),
+q AS (SELECT DISTINCT page_id, day, array_to_string(hs[i:], '.') || CASE WHEN j = 0 THEN '' ELSE array_to_string(ps[:j], '/') || '/' END AS pattern
+      FROM x, unnest(range(1, len(hs) + 1)) AS a(i), unnest(range(0, len(ps))) AS b(j) WHERE host <> ''),
 m AS (SELECT q.page_id, w.verdict, w.pattern, w.list, row_number() OVER (PARTITION BY q.page_id ORDER BY length(w.pattern) DESC, w.pattern, w.verdict, w.list) AS n
       FROM q JOIN w ON q.pattern = w.pattern AND w.s <= q.day AND (w.e IS NULL OR q.day < w.e) WHERE w.verdict <> 'remove')
 SELECT p.page_id, p.url, strftime(p.day, '%Y-%m-%d') AS fetched, m.verdict, m.pattern, m.list FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1

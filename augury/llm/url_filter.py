@@ -19,7 +19,7 @@ def url_keys(url: Column) -> Column:
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split(path, "/")
-    fronts = F.concat(F.array(F.lit("")), F.when(F.size(steps) > 2, F.transform(F.sequence(F.lit(2), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>")))
+    fronts = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
     keys = F.flatten(F.transform(domains, lambda d: F.transform(fronts, lambda f: F.concat(d, f))))
     return F.when(host != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
