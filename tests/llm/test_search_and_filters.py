@@ -1,0 +1,214 @@
+"""Search, pages, addresses, secrets, toxicity and the pipeline."""
+import datetime as dt
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from augury.llm import ann, html_text, secrets, toxicity, url_filter
+from augury.llm.html_text import _main_text
+from augury.llm.queries import QUERIES
+
+D = "/root/testdata/sf0.01"
+
+
+def by_hand(rows, queries, k):
+    out = {}
+    for q, v in queries:
+        d = sorted((math.sqrt(sum((float(a) - float(b)) ** 2 for a, b in zip(v, x))), i) for i, x in rows if i != q)
+        out[q] = d[:k]
+    return out
+
+
+def test_recall_of_the_registered_search(spark):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    rows = [(i, v) for i, v in rows if v is not None and any(v) and all(x is not None and math.isfinite(x) for x in v)]
+    want = by_hand(rows, [(i, v) for i, v in rows if i % 100 == 0], 10)
+    got = {}
+    for r in QUERIES["op1_ann"](spark, D).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert got.keys() == want.keys()
+    hits = 0
+    for q, found in got.items():
+        assert [x[0] for x in sorted(found)] == list(range(1, len(found) + 1)) and len(found) == min(10, len(rows) - 1)
+        assert [x[1:] for x in sorted(found)] == sorted(x[1:] for x in found)
+        hits += len({x[2] for x in found} & {i for _, i in want[q]})
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_search_over_many_shards_and_blocks(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(900, 12))
+    v[100:300] = v[100]  # one vector held by many rows
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build_index(df, 6, shard_rows=150)
+    got = {}
+    for x in ann.search(index, df.where("vec_id % 9 = 0"), 5, block_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
+    want = by_hand(rows, [x for x in rows if x[0] % 9 == 0], 5)
+    assert sum(len(set(i for _, i in got[q]) & set(i for _, i in w)) for q, w in want.items()) >= 0.95 * 5 * len(want)
+    assert [i for _, i in got[108]] == [100, 101, 102, 103, 104]
+    assert all(abs(s - math.dist(v[q], v[i])) < 1e-12 for q, w in got.items() for s, i in w)
+
+
+def test_search_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]),
+            (8, [3.0, 0.0]), (9, [1.0, 0.0, 2.0]), (100, [1.0, -0.0]), (None, [5.0, 5.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, id string, shard int")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 7, 0.0), (0, 2, 100, 0.0), (0, 3, 8, 2.0), (100, 1, 0, 0.0), (100, 2, 7, 0.0), (100, 3, 8, 2.0)]
+    assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
+    assert ann.nearest(df.where("vec_id = 0"), F.lit(True)).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a>b}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/a">Menu</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><article class="post"><header><h1>Big &amp; small</h1></header><p>One <b>bold
+  text<br>more<p>Two &#8364;&lt;3 <script>var t = "</p>";</script>end</p><ul><li>item<li>next</ul><div id="comments-2"><p>I agree!</p></div>
+<aside>See also</aside><form><p>Mail</p></form></article><div class=sidebar>Links</div><footer>&copy; us</footer></body></html>"""
+
+
+def test_extract_marked_page():
+    assert _main_text(PAGE, set()) == "Big & small\nOne bold text more\nTwo €<3 end\nitem\nnext"
+    for end in range(len(PAGE)):  # cut off anywhere
+        assert "Menu" not in _main_text(PAGE[:end], set())
+    assert _main_text("no markup at &all a < b", set()) == "no markup at &all a < b"
+    assert _main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", set()) == "deep\ner"
+
+
+def test_style_tree_removes_what_a_site_repeats(spark):
+    page = lambda i, host: (i, f"https://{host}/p/{i}", f"<body><div class='x1'><p>Top line of all</p><span>pages</span></div><div class='body'><h2>Title {i}</h2><p>Text number {i}.</p></div><div class='y'>Bye</div></body>")
+    rows = [page(i, "a.example") for i in range(8)] + [page(20, "b.example")] + [(30 + i, "https://c.example/", page(1, "c")[2]) for i in range(9)]
+    rows += [(50, None, None), (51, "", ""), (52, "not a url", "<p>kept"), (53, "https://a.example/", "   ")]
+    df = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, host string, path int")
+    got = html_text.extract(df)
+    assert got.columns == [*df.columns, "__text"]
+    text = {r["page_id"]: r["__text"] for r in got.collect()}
+    assert len(text) == len(rows)
+    assert all(text[i] == f"Title {i}\nText number {i}." for i in range(8))
+    assert text[20].startswith("Top line of all") and text[30].startswith("Top line of all")  # one page, or copies of one, say nothing of a site
+    assert (text[50], text[51], text[52], text[53]) == ("", "", "kept", "")
+    assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_registered_pages_against_their_article(spark):
+    import re
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{D}/pages.parquet").collect()}
+    for r in QUERIES["op9_html"](spark, D).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S)[1]
+        import html
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*(>|$)", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_url_filter(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    r = random.Random(3)
+    pats = ["a.com", "x.a.com", "a.com/p/", "x.a.com/p/q/", "com", "b.org", "b.org/"]
+    entries = [(r.choice(pats), r.choice(["l1", "l2", None]), r.choice(["block", "allow", "remove"]), day(r.randint(0, 300))) for _ in range(90)] + [(None, "l1", "block", day(0)), ("a.com", "l1", None, day(0)), ("a.com", "l1", "block", None)]
+    urls = ["http://x.a.com/p/q/r?z", "https://A.com:80/p", "https://u@x.a.com./p/q", "http://b.org", "http://b.org/", "nothing", None, "", "ftp://y.x.a.com/p/"]
+    caps = [(i, r.choice(urls), day(r.randint(-10, 320)), "p", "v") for i in range(150)] + [(900, urls[0], None, "p", "v")]
+    caps += caps[:3]
+    of = lambda domains, fronts: [d + f for d in domains for f in fronts]
+    keys = {urls[0]: of(["x.a.com", "a.com", "com"], ["", "/", "/p/", "/p/q/"]), urls[1]: of(["a.com", "com"], ["", "/"]), urls[2]: of(["x.a.com", "a.com", "com"], ["", "/", "/p/"]),
+            urls[3]: of(["b.org", "org"], ["", "/"]), urls[4]: of(["b.org", "org"], ["", "/"]), urls[8]: of(["y.x.a.com", "x.a.com", "a.com", "com"], ["", "/", "/p/"])}
+    spans = {}
+    for p, l, a, d in entries:
+        if p and a and d:
+            spans.setdefault((p, l), {})
+            spans[p, l][d] = max(a, spans[p, l].get(d, ""))
+    want = []
+    for i, u, d, *_ in caps:
+        active = []
+        for (p, l), days in spans.items():
+            past = [x for x in days if d and x <= d]
+            if past and p in keys.get(u, ()) and days[max(past)] != "remove":
+                active.append((-len(p), p, days[max(past)], l is None, l))
+        best = min(active, key=lambda x: (x[:4], x[4] or "")) if active else (None,) * 5
+        want.append((i, best[2], best[1], best[4]))
+    df = spark.createDataFrame(caps, "page_id long, url string, fetched date, pattern string, verdict string")
+    es = spark.createDataFrame(entries, "pattern string, list string, action string, day date")
+    got = url_filter.filter_urls(df, es, cell_days=20)
+    assert sorted(str((r["page_id"], r["__verdict"], r["__pattern"], r["__list"])) for r in got.collect()) == sorted(map(str, want))
+    assert url_filter.filter_urls(df.limit(0), es).collect() == []
+    assert {r["__verdict"] for r in url_filter.filter_urls(df, es.limit(0)).collect()} == {None}
+
+
+def test_secret_candidates_and_scan(spark):
+    r = random.Random(9)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"some words token = \"{hexes(40)}\" and {'internationalisation' * (i % 2)} commit {hexes(40)} done" for i in range(60)] + [None, "", " ", "x" * 100_000, "9" * 16]
+    df = spark.createDataFrame([(i, t, "a/b.py", "w", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, word string, place int")
+    label = F.col("b2") == "token"
+    got = secrets.scan(df, label, F.col("id") % 3 != 0).collect()
+    want = sum(2 + i % 2 for i in range(60)) + 2
+    assert len(got) == want
+    held = [x for x in got if x["doc_id"] % 3 == 0 and x["doc_id"] < 60 and len(x["finding"]) == 40]
+    assert all(x["secret"] == (texts[x["doc_id"]].split()[x["place"] - 2] == "token") for x in held)
+    assert secrets.scan(df.limit(0), label, F.lit(True)).collect() == []
+    assert {x["probability"] for x in secrets.scan(df, F.lit(None).cast("boolean"), F.lit(True)).collect()} == {0.5}
+
+
+def test_nnpu_separates():
+    r = np.random.default_rng(0)
+    truth = r.random(3000) < 0.2
+    x = [np.flatnonzero(r.random(6) < (np.array([.9, .8, .1, .1, .5, .5]) if t else np.array([.05, .1, .5, .6, .5, .5]))) for t in truth]
+    labelled = truth & (r.random(3000) < 0.5)
+    sample = [x[i] for i in np.flatnonzero(labelled)] + x
+    w, b = toxicity.nnpu(sample, np.r_[np.ones(labelled.sum()), np.zeros(3000)], 6, 0.2, 400)
+    z = np.array([w[i].sum() + b for i in x])
+    assert ((z > 0) == truth).mean() > 0.93
+
+
+def test_toxicity_held_out(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.1").collect()
+    held = [(labels[r["doc_id"]], r["predicted"], r["score"]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    hit = sum(y == 1 and p == 1 for y, p, _ in held)
+    assert hit >= 0.85 * sum(y == 1 for y, _, _ in held) and hit >= 0.85 * sum(p for _, p, _ in held)
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, p, s in held)
+
+
+def test_toxicity_reads_no_held_out_label_and_odd_rows(spark):
+    docs = spark.createDataFrame([(i, f"{'vile nasty' if i % 4 == 0 else 'kind'} word{i % 7} more text", "en", "s", 0.5, 1) for i in range(200)]
+                                 + [(900, None, None, None, None, None), (901, "", None, None, None, None), (None, "vile nasty " * 20_000, None, None, None, None), (5, "kind", "x", "y", 0.0, 0)],
+                                 "doc_id long, text string, lang string, source string, score double, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)] + [(3, None), (None, 1), (4, 1)], "doc_id long, toxic int")
+    held = toxicity.held_out(F.col("doc_id"))
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.toxicity(docs, x).orderBy("doc_id", "text").collect() for x in (labels, flipped))
+    assert a == b and len(a) == 204
+    assert all(0 <= r["__score"] <= 1 for r in a)
+    ok = [r["__predicted"] == int("vile" in r["text"]) for r in a if r["text"]]
+    assert sum(ok) >= 0.95 * len(ok)
+    assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+    assert {r["__predicted"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a plain version on its own input."""
+    import corpus_pipeline as pipe
+    from tests.llm.test_texts import lines_by_hand, reach, simhash_by_hand, words
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns, inputs = docs.columns, {}
+    for name, stage in pipe.STAGES:
+        inputs[name] = {r["doc_id"]: r for r in docs.collect()} if name != "packing" else docs.collect()
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.columns == columns
+    assert set(inputs["line_dedup"]) <= set(inputs["toxicity"])
+    assert all(inputs["toxicity"][i] == r for i, r in inputs["line_dedup"].items())
+    before, after = inputs["line_dedup"], inputs["simhash"]
+    for i, (_, _, kept) in zip(before, lines_by_hand([r["text"] for r in before.values()], 10)):
+        assert after[i]["text"] == kept and after[i]["n_chars"] == len(kept)
+    fps = {i: simhash_by_hand(r["text"], 5) for i, r in after.items()}
+    roots = reach(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert set(inputs["mixing"]) == {i for i, r in roots.items() if i == r}
+    mixed = sum(len(words(r["text"])) for r in inputs["packing"])
+    whole = sum(len(words(r["text"])) for r in inputs["mixing"].values())
+    sources = {r["source"] for r in inputs["mixing"].values()}
+    assert 1.5 * whole - len(sources) <= mixed <= 1.5 * whole
+    assert sum(r["n_tokens"] for r in docs.collect()) == mixed
