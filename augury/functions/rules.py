@@ -1,7 +1,6 @@
-"""Which columns may be features, and an audit of a feature table."""
+"""Which columns may be features, decided from declared roles and lineage, and an audit of a feature table."""
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,47 +8,44 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 
 @dataclass(frozen=True)
-class LeakRules:
-    """Names that reveal the outcome. Names holding a ``lagged`` marker are built from earlier rows."""
-    banned: tuple[str, ...] = ("home_score", "away_score", "point_margin", "home_win")
-    patterns: tuple[str, ...] = (r"(^|_)home_score($|_)", r"(^|_)away_score($|_)", r"(^|_)is_final($|_)",
-                                 r"(^|_)home_point_margin($|_)", r"(^|_)away_point_margin($|_)")
-    direct: tuple[str, ...] = ("value_for", "value_against", "taken", "drawn", "volume_share", "pace")
-    lagged: tuple[str, ...] = ("ewm_", "r5_", "r14_", "_ewm")
-    outcome: str = "home_win"
-    outcome_ok: str = "win_rate"
-    reserved: tuple[str, ...] = field(default=("event_id", "start_ts", "home", "away", "venue", "is_final", "season", "as_of"))
-    target_prefix: str = "target_"
-
-    def leaks(self, name: str) -> bool:
-        if name in self.banned or any(re.search(p, name) for p in self.patterns):
-            return True
-        if any(t in name for t in self.direct) and not any(m in name for m in self.lagged):
-            return True
-        return self.outcome in name and self.outcome_ok not in name
-
-
-def select_features(df: DataFrame, rules: LeakRules = LeakRules()) -> list[str]:
-    """Numeric columns that are neither reserved, targets, nor leaks."""
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.NumericType) and f.name not in rules.reserved
-            and not f.name.startswith(rules.target_prefix) and not rules.leaks(f.name)]
-
-
-def leakage_audit(df: DataFrame, features: Sequence[str], rules: LeakRules = LeakRules(), final: str = "is_final",
-                  label: str = "home_win", counts: Sequence[str] = ()) -> DataFrame:
-    """One row per issue found: ``issue, detail, n``. Names come from the schema, values from one aggregate."""
-    spark = df.sparkSession
-    named = sorted(c for c in features if rules.leaks(c))
-    checks: Mapping = {"empty": (F.count(F.lit(1)) == 0).cast("long")}
-    if final in df.columns and label in df.columns:
-        checks["unlabeled_final_has_outcome"] = F.count_if((F.col(final) == 0) & F.col(label).isNotNull())
-    for c in counts:
-        checks[f"negative_{c}"] = F.count_if(F.col(c) < 0)
-    one = df.agg(*[v.alias(k) for k, v in checks.items()])
-    issues = one.unpivot([], list(checks), "issue", "n").where("n > 0").withColumn("detail", F.lit(""))
-    if named:
-        names = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in named])).alias("detail")).select(
-            F.lit("forbidden_column").alias("issue"), F.lit(1).cast("long").alias("n"), "detail")
-        issues = issues.unionByName(names)
-    return issues.select("issue", "detail", "n")
+class Roles:
+    """What a table's columns are. No column is judged by how its name reads.
+
+    ``outcome``: known only once the event is over: labels, scores, the event's own statistics.
+    ``keys``: identity, time and status; known before, but no features. ``targets``: what other models learn.
+    ``lineage``: for built columns, what they are built from and whether the operator that built them reads earlier
+    rows only.
+    """
+    outcome: frozenset[str] = frozenset()
+    keys: frozenset[str] = frozenset()
+    targets: frozenset[str] = frozenset()
+    lineage: Mapping[str, tuple[Sequence[str], bool]] = field(default_factory=dict)
+
+    def leaks(self, column: str) -> bool:
+        """An outcome, or built from one through operators that read the event's own row."""
+        seen, todo = set(), [column]
+        while todo:
+            c = todo.pop()
+            if c in self.outcome or c in self.targets:
+                return True
+            inputs, lagged = self.lineage.get(c, ((), True))
+            if not lagged and c not in seen:
+                todo += inputs
+            seen.add(c)
+        return False
+
+
+def select_features(df: DataFrame, roles: Roles) -> list[str]:
+    """Numeric columns that are no keys and no leaks."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in roles.keys and not roles.leaks(f.name)]
+
+
+def leakage_audit(df: DataFrame, features: Sequence[str], roles: Roles, final: str = "is_final", label: str = "home_win", counts: Sequence[str] = ()) -> DataFrame:
+    """One row per issue found: ``issue, detail, n``. Columns are judged by their roles, values by one aggregate."""
+    found = {"empty": (F.count(F.lit(1)) == 0).cast("long")}
+    if {final, label} <= set(df.columns):
+        found["unlabeled_final_has_outcome"] = F.count_if((F.col(final) == 0) & F.col(label).isNotNull())
+    found |= {f"negative_{c}": F.count_if(F.col(c) < 0) for c in counts}
+    values = [F.struct(F.lit(k).alias("issue"), F.lit("").alias("detail"), v.alias("n")) for k, v in found.items()]
+    columns = [F.struct(F.lit("forbidden_column").alias("issue"), F.lit(c).alias("detail"), F.lit(1).cast("long").alias("n")) for c in sorted(set(features)) if roles.leaks(c)]
+    return df.agg(F.array(*values, *columns).alias("rows")).select(F.inline("rows")).where("n > 0")

@@ -1,113 +1,109 @@
-"""Sequential ratings and change points: recurrences over many independent pools or series.
+"""Ratings of entities that meet in pairs, and change points of series.
 
-A pool's games read each other's results, so a pool is folded in order. Pools are spread over the
-cluster, sorted by Spark, and streamed through the fold batch by batch: a task holds one Arrow batch and
-the current ratings, never a whole pool.
+A rating depends on both sides' earlier events only. Inside a pool, events fall into *rounds*: an event is in the first
+round after those of both sides' previous events. All events of a round are independent and are rated by one step on
+arrays; a pool takes as many steps as its busiest entity has events. Pools are independent and spread over the cluster;
+a pool (one league's season, say) is held by one task, so it must be a bounded unit: give a finer pool column otherwise.
 """
 from __future__ import annotations
 
-import math
-import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Fixed values of the two rating systems and the paired filter.
 ELO_BASE, ELO_K, ELO_HOME, ELO_SCALE = 1500.0, 20.0, 35.0, 400.0
 DYN_VAR, DYN_HOME = 0.07, 0.12
 BT_VAR, BT_PRIOR, BT_INTERCEPT = 0.08, 1.5, 0.12
-
-
-def _fold(df: DataFrame, pool: Sequence[str], order: Sequence[str], extra: list[tuple[str, T.DataType]],
-          make: Callable[[], Callable[[dict], tuple]], cols: Sequence[str]) -> DataFrame:
-    """Stream each pool's rows, in order, through a stateful step that returns the extra columns."""
-    pool, cols = list(pool), list(cols)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in extra]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, step = object(), None
-        for pdf in batches:
-            keys = list(zip(*[pdf[p] for p in pool]))
-            data = list(zip(*[pdf[c] for c in cols]))
-            made = []
-            for key, row in zip(keys, data):
-                if key != current:
-                    current, step = key, make()
-                made.append(step(dict(zip(cols, row))))
-            for i, (n, _) in enumerate(extra):
-                pdf[n] = [m[i] for m in made]
-            yield pdf
-    return df.repartition(*pool).sortWithinPartitions(*pool, *order).mapInPandas(run, schema)
-
-
-def _check_pools(df: DataFrame, pool: Sequence[str]) -> None:
+# Nodes and weights of a fixed normal quadrature for the mean of a logistic.
+_NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(21)
+_WEIGHTS = _WEIGHTS / _WEIGHTS.sum()
+_Z95 = 1.6448536269514722
+
+
+def rounds(sides: np.ndarray) -> list[np.ndarray]:
+    """Event numbers by round, for ``sides`` (events x 2) of entity codes in time order."""
+    n = len(sides)
+    event = np.repeat(np.arange(n), 2)
+    later = pd.Series(event).groupby(sides.ravel()).shift(-1, fill_value=-1).to_numpy()
+    later = np.where(later == event, -1, later)  # an entity that meets itself waits for nobody
+    waits = np.bincount(later[later >= 0], minlength=n)
+    follow = later.reshape(n, 2)
+    out, now = [], np.flatnonzero(waits == 0)
+    while len(now):
+        out.append(now)
+        nxt = follow[now].ravel()
+        nxt = nxt[nxt >= 0]
+        np.subtract.at(waits, nxt, 1)
+        now = np.unique(nxt[waits[nxt] == 0])
+    return out
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def _rate(df: DataFrame, pool: Sequence[str], order: Sequence[str], home: str, away: str, label: str, start: Sequence[float], outputs: Sequence[str],
+          step: Callable[[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame], tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> DataFrame:
+    """Run ``step`` over the rounds of every pool. A state is a row of numbers that starts as ``start``; ``step`` gets both
+    sides' states, the labels and the rows of a round, and returns the outputs and both sides' next states."""
     if not pool:
         raise ValueError("a pool column is required: one pool is one sequence")
-    if len(df.select(*pool).distinct().take(2)) < 2:
-        warnings.warn("only one pool: the fold runs in one task")
 
-
-def _sig(z: float) -> float:
-    return 1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
+        codes, names = pd.factorize(pd.concat([rows[home], rows[away]]), use_na_sentinel=False)
+        sides = codes.reshape(2, -1).T
+        y = pd.to_numeric(rows[label]).to_numpy(float, na_value=np.nan)
+        state = np.tile(np.asarray(start, float), (len(names), 1))
+        made = np.zeros((len(rows), len(outputs)))
+        for now in rounds(sides):
+            h, a = sides[now].T
+            out, new_h, new_a = step(state[h], state[a], y[now], rows.iloc[now])
+            made[now] = np.column_stack(out)
+            state[h], state[a] = new_h, new_a
+        return rows.assign(**{n: made[:, i] for i, n in enumerate(outputs)})
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in outputs]])
+    return df.groupBy(*pool).applyInPandas(run, schema)
 
 
 def elo(events: DataFrame, pool: Sequence[str], order: Sequence[str], home: str = "home", away: str = "away",
         label: str = "home_win", margin: str = "margin", k: float = ELO_K, advantage: float = ELO_HOME) -> DataFrame:
-    """Ratings of both sides before each event, and the home probability."""
-    _check_pools(events, pool)
-
-    def make():
-        rating: dict = {}
-
-        def step(r):
-            h, a = rating.get(r[home], ELO_BASE), rating.get(r[away], ELO_BASE)
-            p = _sig((h + advantage - a) / ELO_SCALE)
-            y = r[label]
-            if y is not None and y == y:
-                m = r[margin]
-                m = 0.0 if m is None or m != m else abs(m)
-                delta = k * (1.0 + 0.1 * min(m, 4.0)) * (float(y) - p)
-                rating[r[home]], rating[r[away]] = h + delta, a - delta
-            return h, a, p
-        return step
-    d = T.DoubleType()
-    return _fold(events, pool, order, [("elo_home_pre", d), ("elo_away_pre", d), ("elo_home_prob", d)], make, [home, away, label, margin])
+    """Ratings of both sides before each event, and the home probability. Events without a label change nothing."""
+    def step(h, a, y, rows):
+        p = _logistic((h[:, 0] + advantage - a[:, 0]) / ELO_SCALE)
+        size = np.minimum(np.abs(np.nan_to_num(pd.to_numeric(rows[margin]).to_numpy(float, na_value=np.nan))), 4.0)
+        won = np.nan_to_num(k * (1.0 + size / 10.0) * (y - p))[:, None]
+        return [h[:, 0], a[:, 0], p], h + won, a - won
+    return _rate(events, pool, order, home, away, label, [ELO_BASE], ["elo_home_pre", "elo_away_pre", "elo_home_prob"], step)
+
+
+def _gain(var_h: np.ndarray, var_a: np.ndarray, p: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One Gauss-Newton step of a logistic likelihood with curvature p (1 - p) on the difference of two independent
+    states: both sides' shares of the innovation, the innovation, and the curvature; all zero without a label."""
+    seen = ~np.isnan(y)
+    curve = np.maximum(p * (1.0 - p), least)
+    share = curve / (1.0 + curve * (var_h + var_a))
+    return np.where(seen, share, 0.0), np.where(seen, np.nan_to_num(y) - p, 0.0) / curve, curve
+
+
+def _moved(mean: np.ndarray, var: np.ndarray, share: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """The state after an innovation ``pull``; a variance never falls under 1e-4 by an update."""
+    gain = var * share
+    return np.column_stack([mean + gain * pull, np.where(share > 0, np.maximum(var * (1.0 - gain), 1e-4), var)])
 
 
 def dynamic_rating(events: DataFrame, pool: Sequence[str], order: Sequence[str], home: str = "home", away: str = "away",
                    label: str = "home_win", drift: float = DYN_VAR) -> DataFrame:
     """Mean and variance filter per entity; emits the state before each event."""
-    _check_pools(events, pool)
-
-    def make():
-        state: dict = {}
-
-        def step(r):
-            mh, vh = state.get(r[home], (0.0, 1.0))
-            ma, va = state.get(r[away], (0.0, 1.0))
-            vh, va = vh + drift, va + drift
-            total = vh + va
-            p = _sig(mh - ma + DYN_HOME)
-            y = r[label]
-            out = (mh, ma, p, total)
-            if y is not None and y == y:
-                info = max(p * (1 - p), 1e-4)
-                gh, ga = vh / (1 + info * total), va / (1 + info * total)
-                err = float(y) - p
-                mh, ma = mh + gh * err, ma - ga * err
-                vh, va = max(vh * (1 - gh * info), 1e-4), max(va * (1 - ga * info), 1e-4)
-            state[r[home]], state[r[away]] = (mh, vh), (ma, va)
-            return out
-        return step
-    d = T.DoubleType()
-    return _fold(events, pool, order, [("dyn_home_mean", d), ("dyn_away_mean", d), ("dyn_home_prob", d), ("dyn_var", d)], make, [home, away, label])
-
-
-# Nodes and weights of a fixed normal quadrature for the mean of a logistic.
-_NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(21)
-_WEIGHTS = _WEIGHTS / _WEIGHTS.sum()
+    def step(h, a, y, rows):
+        vh, va = h[:, 1] + drift, a[:, 1] + drift
+        p = _logistic(h[:, 0] - a[:, 0] + DYN_HOME)
+        share, pull, _ = _gain(vh, va, p, y, 1e-4)
+        return [h[:, 0], a[:, 0], p, vh + va], _moved(h[:, 0], vh, share, pull), _moved(a[:, 0], va, share, -pull)
+    return _rate(events, pool, order, home, away, label, [0.0, 1.0], ["dyn_home_mean", "dyn_away_mean", "dyn_home_prob", "dyn_var"], step)
 
 
 def paired_state(events: DataFrame, pool: Sequence[str], order: Sequence[str], home: str = "home", away: str = "away",
@@ -119,35 +115,16 @@ def paired_state(events: DataFrame, pool: Sequence[str], order: Sequence[str], h
     because the logistic is monotone; the mean is a fixed quadrature. Centring all means after each
     event shifts every entity alike and so cancels in every difference; it is left out.
     """
-    _check_pools(events, pool)
-
-    def make():
-        state: dict = {}
-
-        def step(r):
-            mh, vh = state.get(r[home], (0.0, prior_var))
-            ma, va = state.get(r[away], (0.0, prior_var))
-            vh, va = vh + process_var, va + process_var
-            x = r[offset] if offset else 0.0
-            z = intercept + strength * (mh - ma) + (0.0 if x is None or x != x else float(x))
-            sd = math.sqrt(max(strength * strength * (vh + va), 1e-6))
-            p = _sig(z)
-            mean = float(np.dot(_WEIGHTS, 1.0 / (1.0 + np.exp(-(z + sd * _NODES)))))
-            out = (mh, ma, mean, _sig(z - 1.6448536269514722 * sd), _sig(z + 1.6448536269514722 * sd))
-            y = r[label]
-            if y is not None and y == y:
-                info = max(p * (1 - p), 1e-3)
-                total = vh + va + 1 / info
-                err = (float(y) - p) / info
-                gh, ga = vh / total, va / total
-                mh, ma = mh + gh * err, ma - ga * err
-                vh, va = max(vh * (1 - gh), 1e-4), max(va * (1 - ga), 1e-4)
-            state[r[home]], state[r[away]] = (mh, vh), (ma, va)
-            return out
-        return step
-    d = T.DoubleType()
-    cols = [home, away, label] + ([offset] if offset else [])
-    return _fold(events, pool, order, [("bt_home", d), ("bt_away", d), ("bt_mean", d), ("bt_low", d), ("bt_high", d)], make, cols)
+    def step(h, a, y, rows):
+        vh, va = h[:, 1] + process_var, a[:, 1] + process_var
+        base = np.nan_to_num(pd.to_numeric(rows[offset]).to_numpy(float, na_value=np.nan)) if offset else 0.0
+        z = intercept + strength * (h[:, 0] - a[:, 0]) + base
+        sd = np.sqrt(np.maximum(strength**2 * (vh + va), 1e-6))
+        p = _logistic(z)
+        share, pull, _ = _gain(vh, va, p, y, 1e-3)
+        mean = _logistic(z[:, None] + sd[:, None] * _NODES) @ _WEIGHTS
+        return [h[:, 0], a[:, 0], mean, _logistic(z - _Z95 * sd), _logistic(z + _Z95 * sd)], _moved(h[:, 0], vh, share, pull), _moved(a[:, 0], va, share, -pull)
+    return _rate(events, pool, order, home, away, label, [0.0, prior_var], ["bt_home", "bt_away", "bt_mean", "bt_low", "bt_high"], step)
 
 
 def paired_state_fit(events: DataFrame, pool: Sequence[str], order: Sequence[str], features: Sequence[str], passes: int = 2,
@@ -172,47 +149,51 @@ def paired_state_fit(events: DataFrame, pool: Sequence[str], order: Sequence[str
     return out.drop("_offset")
 
 
+def alarms(walks: Sequence[np.ndarray], limit: float, burn: int, cool: int) -> list[tuple[int, float]]:
+    """(place, statistic) of each alarm. A walk's statistic is its height over its lowest point since the last restart
+    (the restart included); the largest of ``walks`` counts. It alarms above ``limit`` from the ``burn``-th value on and
+    ``cool`` values or more after the last alarm, and then restarts. Each stretch between alarms is one pass on arrays."""
+    found, start, n = [], 0, len(walks[0])
+    while start < n:
+        heights = [np.cumsum(w[start:]) for w in walks]
+        stat = np.max([c - np.minimum(np.minimum.accumulate(c), 0.0) for c in heights], axis=0)
+        first = max(burn - 1, found[-1][0] + cool if found else 0, start)
+        hit = np.flatnonzero(stat[first - start:] > limit)
+        if not len(hit):
+            break
+        at = first + int(hit[0])
+        found.append((at, float(stat[at - start])))
+        start = at + 1
+    return found
+
+
+def detectors(x: np.ndarray, target: float, spread: float) -> dict[str, tuple[list[np.ndarray], float]]:
+    """The walks and limits of both tests for a series with a target and a scale of at least 0.05: Page-Hinkley sums
+    what exceeds the running mean and a slack, CUSUM what lies beyond the target and a slack, upwards and downwards."""
+    mean = np.cumsum(x) / np.arange(1, len(x) + 1)
+    slack = max(0.02, 0.20 * spread)
+    return {"page_hinkley": ([x - mean - max(0.01, 0.05 * spread)], max(0.35, 2.5 * spread)), "cusum": ([x - target - slack, target - x - slack], max(0.45, 3.0 * spread))}
+
+
 def change_points(scores: DataFrame, series: Sequence[str], order: Sequence[str], value: str, at_least: int = 30) -> DataFrame:
-    """Page-Hinkley and CUSUM alerts per series with burn-in, cool-down and reset.
+    """Page-Hinkley and CUSUM alerts of every series with ``at_least`` values, with burn-in, cool-down and restart.
 
-    Scale, mean and length are aggregates joined on; the recurrences stream each series in order.
+    A series is one value per step of time (average first), so its length is bounded by the calendar; it is one group.
     """
-    series = list(series)
-    stat = scores.where(F.col(value).isNotNull()).groupBy(*series).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    rows = scores.where(F.col(value).isNotNull()).join(stat, series).where(F.col("_n") >= at_least)
-
-    def make():
-        s = {"i": 0, "mean": 0.0, "cum": 0.0, "low": 0.0, "ph": None, "up": 0.0, "dn": 0.0, "cs": None}
-
-        def step(r):
-            x, n, mu = float(r[value]), int(r["_n"]), float(r["_mu"])
-            sd = float(r["_sd"])
-            scale = max(sd, 0.05) if sd > 0 else 0.05
-            burn, cool = max(20, min(60, n // 5)), max(10, min(30, n // 12))
-            i = s["i"]
-            last = lambda v: -cool if v is None else v
-            ph = cs = None
-            s["mean"] += (x - s["mean"]) / (i + 1)
-            s["cum"] += x - s["mean"] - max(0.01, 0.05 * scale)
-            s["low"] = min(s["low"], s["cum"])
-            k = max(0.02, 0.20 * scale)
-            s["up"] = max(0.0, s["up"] + x - mu - k)
-            s["dn"] = min(0.0, s["dn"] + x - mu + k)
-            if i + 1 >= burn:
-                e, t = s["cum"] - s["low"], max(0.35, 2.5 * scale)
-                if e > t and i - last(s["ph"]) >= cool:
-                    ph, s["ph"], s["cum"], s["low"] = e, i, 0.0, 0.0
-                e, h = max(s["up"], -s["dn"]), max(0.45, 3.0 * scale)
-                if e > h and i - last(s["cs"]) >= cool:
-                    cs, s["cs"], s["up"], s["dn"] = e, i, 0.0, 0.0
-            s["i"] = i + 1
-            return i, ph, cs
-        return step
-    d = T.DoubleType()
-    out = _fold(rows, series, order, [("row", T.LongType()), ("page_hinkley", d), ("cusum", d)], make, [value, "_n", "_mu", "_sd"])
-    scale = F.greatest(F.col("_sd"), F.lit(0.05))
-    limits = {"page_hinkley": F.greatest(F.lit(0.35), 2.5 * scale), "cusum": F.greatest(F.lit(0.45), 3.0 * scale)}
-    hits = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("statistic"), t.alias("threshold")) for m, t in limits.items()])
-    out = out.select(*series, *order, "row", F.col(value).alias("value"), F.explode(hits).alias("_h"))
-    return out.select(*series, *order, "row", "value", "_h.*").where(F.col("statistic").isNotNull() & ~F.isnan("statistic"))
+    series, order = list(series), list(order)
+    rows = scores.where(F.col(value).isNotNull()).select(*series, *order, F.col(value).cast("double").alias("value"))
+    kinds = [f for f in rows.schema.fields if f.name in (*series, *order)]
+    schema = T.StructType([*kinds, T.StructField("row", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("method", T.StringType()),
+                           T.StructField("statistic", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order, kind="stable").reset_index(drop=True)
+        x, n = own["value"].to_numpy(), len(own)
+        parts = []
+        if n >= at_least:
+            for method, (walks, limit) in detectors(x, x.mean(), max(x.std(), 0.05)).items():
+                got = alarms(walks, limit, max(20, min(60, n // 5)), max(10, min(30, n // 12)))
+                at = [i for i, _ in got]
+                parts.append(own.iloc[at].assign(row=at, method=method, statistic=[s for _, s in got], threshold=limit))
+        return pd.concat(parts)[schema.names] if parts else pd.DataFrame(columns=schema.names)
+    return rows.groupBy(*series).applyInPandas(run, schema)

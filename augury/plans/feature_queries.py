@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augury.functions import columns as C
-from augury.functions.rules import LeakRules, leakage_audit, select_features
+from augury.functions.rules import Roles, leakage_audit, select_features
 from augury.operators import features as X, ordered as O, temporal as T
 from augury.plans.registry import query, sql
 from augury.plans.roles import EVENTS_SQL, PLAYERS_SQL, PRICES_SQL, events, players, prices, table
@@ -249,8 +249,10 @@ def _(spark, d):
     JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'"""))
 def _(spark, d):
     ev = events(spark, d).withColumn("home_win", F.coalesce(F.col("home_win"), F.lit(0)))
-    feats = [*select_features(ev), "home_score", "value_for_raw", "ewm_value_for"]
-    return leakage_audit(ev, feats, LeakRules(), counts=["event_id"])
+    roles = Roles(outcome=frozenset({"home_win", "home_score", "away_score", "value_for"}), keys=frozenset({"event_id", "is_final"}),
+                  lineage={"ewm_value_for": (["value_for"], True), "value_for_raw": (["value_for"], False)})
+    feats = [*select_features(ev, roles), "home_score", "value_for_raw", "ewm_value_for"]
+    return leakage_audit(ev, feats, roles, counts=["event_id"])
 
 
 @query("price_terms", sql("""WITH p AS (SELECT event_id, max(CASE WHEN side='home' THEN price END) AS h, max(CASE WHEN side='away' THEN price END) AS a

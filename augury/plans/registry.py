@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SNAP = 4  # digits kept before rounding, so that sums in another order don't fall on the other side of a half
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -15,9 +16,9 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            x, scale = c.cast("double"), float(10 ** digits)
-            small = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
-            c = F.when(F.abs(x) * scale < 9e15, small).otherwise(F.round(x, digits)) + F.lit(0.0)
+            x, scale, fine = c.cast("double"), float(10 ** digits), float(10 ** (digits + SNAP))
+            near = lambda v, s: F.signum(v) * F.floor(F.abs(v) * s + 0.5) / s
+            c = F.when(F.abs(x) * fine < 9e15, near(near(x, fine), scale)).when(F.abs(x) * scale < 9e15, near(x, scale)).otherwise(F.round(x, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.DateType):
@@ -30,7 +31,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def sql(body: str, *parts: str, r: str = "", ts: str = "", day: str = "", digits: int = 6) -> str:
     """A SELECT behind shared WITH parts, with ``r`` columns rounded and ``ts``/``day`` columns printed."""
-    repl = [f"round({c}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in r.split()]
+    fine = 10.0 ** (digits + SNAP)
+    repl = [f"round(CASE WHEN abs({c}::DOUBLE) * {fine!r} < 9e15 THEN round({c}::DOUBLE, {digits + SNAP}) ELSE {c}::DOUBLE END, {digits}) + 0.0::DOUBLE AS {c}" for c in r.split()]
     repl += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in ts.split()]
     repl += [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in day.split()]
     head = f"SELECT * REPLACE ({', '.join(repl)})" if repl else "SELECT *"

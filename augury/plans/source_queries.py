@@ -263,4 +263,4 @@ def _(spark, d):
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ev = stream(spark, d, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100).alias("value"))
-    return finish(spark, J.alert_stream(ev))
+    return finish(spark, J.alert_stream(J.daily(ev)))

@@ -26,7 +26,7 @@ def norm(v):
     if v is None:
         return "NULL"
     if isinstance(v, float):
-        return "NULL" if math.isnan(v) else repr(round(v, 5) + 0.0)
+        return "NULL" if math.isnan(v) else repr(v + 0.0)  # results carry their own rounding
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(norm(x) for x in v) + "]"
     return str(v)

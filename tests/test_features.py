@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from augury.functions.rules import LeakRules, leakage_audit, select_features
+from augury.functions.rules import Roles, leakage_audit, select_features
 from augury.operators import features as X, ordered as O
 from augury.operators.ordered import HOT_ROWS_CONF
 
@@ -67,13 +67,14 @@ def test_running_totals_match_window(spark, gaps):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_causal_effect_exact(spark):
-    ev = spark.createDataFrame([(1, "A", day(1), 1, 10.0), (2, "B", day(2), 1, -4.0), (3, "A", day(3), 1, 2.0), (4, "A", day(4), 0, 0.0)],
-                               "event_id int, venue string, ts timestamp, is_final int, margin double")
-    out = X.causal_effect(ev, "venue", ["ts", "event_id"], {"effect": "margin"}, 20.0, "is_final", F.date_trunc("day", "ts"))
-    got = {r["event_id"]: r["effect"] for r in out.collect()}
-    assert got[1] == 0 and got[2] == 0
-    assert got[3] == pytest.approx(10 / 21) and got[4] == pytest.approx(12 / 22)
+def test_causal_effect_matches_loop(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, str(rng.choice(list("uvw"))), day(i), int(rng.random() < 0.8), float(rng.normal(3, 9))) for i in range(80)]
+    ev = spark.createDataFrame(rows, "event_id int, venue string, ts timestamp, is_final int, margin double")
+    got = {r["event_id"]: r["effect"] for r in X.causal_effect(ev, "venue", ["ts", "event_id"], {"effect": "margin"}, 7.5, "is_final", F.date_trunc("month", "ts")).collect()}
+    for i, v, _, _, _ in rows:
+        past = [m for j, u, _, done, m in rows if j < i and u == v and done]
+        assert got[i] == pytest.approx(np.mean(past) * len(past) / (len(past) + 7.5) if past else 0.0)
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -104,10 +105,12 @@ def test_row_folds_train_before_valid(spark):
 
 
 def test_leakage_rules(spark):
-    df = spark.createDataFrame([(1, 2.0, 1.0, 1, 0, 1)], "event_id int, home_score double, ewm_value_for double, home_win int, is_final int, win_rate_ewm int")
-    assert select_features(df) == ["ewm_value_for", "win_rate_ewm"]
-    issues = {(r["issue"], r["detail"]) for r in leakage_audit(df, df.columns, LeakRules()).collect()}
-    assert ("forbidden_column", "home_score") in issues and ("unlabeled_final_has_outcome", "") in issues
+    df = spark.createDataFrame([(1, 2.0, 1.0, 1, 0, 1, 0.3)], "event_id int, goals double, past_goals double, home_win int, is_final int, form int, twice double")
+    roles = Roles(outcome=frozenset({"goals", "home_win"}), keys=frozenset({"event_id", "is_final"}),
+                  lineage={"past_goals": (["goals"], True), "half": (["goals"], False), "twice": (["half"], False), "form": (["form"], False)})
+    assert select_features(df, roles) == ["past_goals", "form"]
+    issues = {(r["issue"], r["detail"]) for r in leakage_audit(df, df.columns, roles).collect()}
+    assert issues == {("forbidden_column", c) for c in ("goals", "home_win", "twice")} | {("unlabeled_final_has_outcome", "")}
 
 
 def test_features_never_read_their_own_row(spark):
