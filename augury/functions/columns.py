@@ -100,9 +100,8 @@ def effective_as_of(imported: Column, commence: Column | str, updated: Column |
 
 
 def frozen_only(df: DataFrame, meta: str, sources: list[str]) -> DataFrame:
-    """Rows whose JSON metadata names one of the frozen sources; no source counts as frozen."""
-    src = F.get_json_object(F.col(meta), "$.source")
-    return df.where(src.isNull() | src.isin(sources))
+    """Rows whose JSON metadata names one of the frozen sources; a row without source is not frozen."""
+    return df.where(F.get_json_object(F.col(meta), "$.source").isin(sources))
 
 
 def local_day(ts: Column | str, tz: str = "America/Chicago") -> Column:

@@ -11,9 +11,10 @@ from augury.operators.ordered import latest_by, windowed
 BUCKETS = 4096
 
 
-def scorable(pred: DataFrame, results: DataFrame, event: str, as_of: str, final: str, date: str) -> DataFrame:
-    """Predictions joined to known results, made no later than the event's end."""
+def scorable(pred: DataFrame, results: DataFrame, event: str, as_of: str, final: str, date: str, frozen: Column | None = None) -> DataFrame:
+    """Predictions joined to known results, made no later than the event's end; only rows where ``frozen`` holds."""
     limit = F.coalesce(F.col(final), end_of_day(date))
+    pred = pred if frozen is None else pred.where(frozen)
     return pred.join(results, event).where(F.col(as_of) <= limit)
 
 
@@ -23,9 +24,9 @@ def score_rows(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 
 def latest_scored(pred: DataFrame, results: DataFrame, event: str, model: str, as_of: str, final: str,
-                  date: str, label: str, prob: str, tie: str) -> DataFrame:
-    """One scored row per event and model: the newest valid prediction."""
-    rows = scorable(pred, results, event, as_of, final, date)
+                  date: str, label: str, prob: str, tie: str, frozen: Column | None = None) -> DataFrame:
+    """One scored row per event and model: the newest valid prediction among those where ``frozen`` holds."""
+    rows = scorable(pred, results, event, as_of, final, date, frozen)
     rows = rows.where(F.col(label).isNotNull() & F.col(prob).isNotNull() & F.col(model).isNotNull())
     return score_rows(latest_by(rows, [event, model], [F.col(as_of), F.col(tie)]), label, prob)
 
@@ -247,7 +248,7 @@ def missing_results(pred: DataFrame, results: DataFrame, event: str) -> DataFram
 
 def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, prob: str,
           windows: Sequence[int] = (30, 60), at_least: int = 8, bins: int = 10, bucket: Column | None = None) -> DataFrame:
-    """Score bundle over the last ``w`` rows, at every row, for each window length.
+    """Score bundle and calibration fit over the last ``w`` rows, at every row, for each window length.
 
     The bounded frame is gathered as an array in the row's own partition, so the rows are not
     multiplied by a self-join. AUC is a fold over the sorted array.
@@ -291,6 +292,22 @@ def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, pr
 
     start = F.struct(F.lit(-1.0).alias("p"), *[v.alias(k) for k, v in zero.items()])
     long = long.withColumn("_f", F.aggregate(F.array_sort("_pts"), start, step))
+    # Newton steps of the calibration fit, each a fold over the window's points.
+    long = long.withColumns({"_a": F.lit(0.0), "_c": F.lit(0.0)})
+    names = ("g0", "g1", "h0", "h1", "h2")
+    nothing = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    for _ in range(7):
+        def add(s, e):
+            x = F.log(e["_p"] / (1 - e["_p"]))
+            mu = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_c") * x)))
+            w, r = mu * (1 - mu), e["_y"].cast("double") - mu
+            return F.struct(*[(s[k] + v).alias(k) for k, v in zip(names, (r, r * x, w, w * x, w * x * x))])
+        long = long.withColumn("_s", F.aggregate("_pts", nothing, add))
+        s = F.col("_s")
+        g1, h2 = s["g1"] - F.col("_c"), s["h2"] + 1.0
+        det = s["h0"] * h2 - s["h1"] * s["h1"]
+        long = long.withColumns({"_a": F.col("_a") + (h2 * s["g0"] - s["h1"] * g1) / det, "_c": F.col("_c") + (s["h0"] * g1 - s["h1"] * s["g0"]) / det})
+    two = (F.col("_f")["pos"] > 0) & (F.col("_f")["pos"] < F.col("n"))
     f = F.col("_f")
     wins = f["wins"] + f["tp"] * (f["under"] + f["tn"] / 2)
     neg = F.col("n") - f["pos"]
@@ -298,7 +315,8 @@ def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, pr
         *by, *order, "window_rows", "n", "log_loss", "brier", "accuracy",
         (wins / F.nullif(f["pos"] * neg, F.lit(0.0))).alias("auc"),
         ((f["gaps"] + F.abs(f["g"])) / F.col("n")).alias("ece"),
-        F.greatest(f["worst"], F.abs(f["g"]) / f["c"]).alias("mce"))
+        F.greatest(f["worst"], F.abs(f["g"]) / f["c"]).alias("mce"),
+        F.when(two, F.col("_a")).alias("calibration_alpha"), F.when(two, F.col("_c")).alias("calibration_beta"))
 
 
 def pit_histogram(df: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:

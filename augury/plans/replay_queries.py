@@ -205,7 +205,7 @@ af AS (SELECT *, row_number() OVER (PARTITION BY event_id, model ORDER BY source
 
 def split_fc(spark, d):
     f = named_forecasts(spark, d).select("event_id", "model", "forecast_id", "run_id", "as_of", "prob", "source")
-    return f.where("source = 'live'").drop("source"), f.where("source <> 'live'").drop("source")
+    return f.where("source = 'live'").drop("source"), f.where("NOT source <=> 'live'").drop("source")
 
 
 @query("asof_forecast", sql("SELECT event_id, model, forecast_id, run_id, as_of, prob, source_priority FROM af WHERE k = 1", EVENTS_SQL, FORECASTS_SQL, RUNS_SQL, AF_SQL, r="prob", ts="as_of"))

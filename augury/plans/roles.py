@@ -60,7 +60,7 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").alias("event_id"), line_id().alias("forecast_id"),
         F.concat(F.lit("M_"), F.col("l_returnflag"), kind).alias("raw_model"),
         F.concat(F.lit("run"), F.year("l_shipdate")).alias("run_id"), F.col("l_shipdate").alias("as_of"),
-        F.when(F.col("l_tax") < 0.06, "live").otherwise("history").alias("source"),
+        F.when(F.col("l_tax") < 0.06, "live").when(F.col("l_tax") < 0.075, "history").alias("source"),  # some have none
         snap(1.0 / (1.0 + F.exp(-z)), 12).alias("prob"))
 
 
@@ -68,7 +68,7 @@ FORECASTS_SQL = """
 fc0 AS (SELECT l_orderkey AS event_id, (l_partkey*1000000 + l_suppkey)*10 + l_linenumber AS forecast_id,
     'M_' || l_returnflag || CASE WHEN l_discount >= 0.05 THEN '1' ELSE '0' END AS raw_model,
     'run' || year(l_shipdate) AS run_id, l_shipdate AS as_of,
-    CASE WHEN l_tax < 0.06 THEN 'live' ELSE 'history' END AS source,
+    CASE WHEN l_tax < 0.06 THEN 'live' WHEN l_tax < 0.075 THEN 'history' END AS source,
     round(1.0::DOUBLE/(1.0+exp(-(0.06::DOUBLE*(l_quantity-25.5)*(CASE WHEN l_linestatus='O' THEN 1.0::DOUBLE ELSE -1.0 END)
       + 8.0::DOUBLE*(l_discount-0.05::DOUBLE)))), 12) AS prob FROM lineitem),
 fc AS (SELECT *, CASE WHEN lower(raw_model) = 'm_a0' THEN 'm_a1' ELSE lower(raw_model) END AS model FROM fc0)"""
@@ -144,13 +144,14 @@ pl AS (SELECT l_orderkey AS event_id, o_orderdate AS ts, l_partkey AS player, 'S
     CASE WHEN l_linestatus='O' THEN 1.0 ELSE 0.0 END::DOUBLE AS starter
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
-# Latest valid forecast per event and model, with its result and row scores.
+# Latest valid frozen forecast per event and model, with its result and row scores. A forecast that was made up later
+# from history, or has no source, is not scored, however new it is.
 SCORED_SQL = """
 sc0 AS (SELECT f.*, e.start_ts, e.final_ts, e.league, e.home, e.away, e.venue, e.home_win,
     row_number() OVER (PARTITION BY f.event_id, f.model ORDER BY f.as_of DESC, f.forecast_id DESC) AS rn
   FROM fc f JOIN ev e USING (event_id)
   WHERE f.as_of <= coalesce(e.final_ts, date_trunc('day', e.start_ts) + INTERVAL '23:59:59' HOUR TO SECOND)
-    AND e.home_win IS NOT NULL),
+    AND e.home_win IS NOT NULL AND f.source = 'live'),
 sc1 AS (SELECT *, greatest(least(prob, 1 - 1e-6), 1e-6) AS p FROM sc0 WHERE rn = 1),
 sc AS (SELECT *, -(home_win*ln(p) + (1-home_win)*ln(1-p)) AS log_loss, (p-home_win)*(p-home_win) AS brier,
     ((p >= 0.5)::INT = home_win)::INT AS accuracy FROM sc1)""".replace(

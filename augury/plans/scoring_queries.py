@@ -19,7 +19,7 @@ def named_forecasts(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     ev = events(spark, d).select("event_id", "league", "start_ts", "final_ts", "home", "away", "venue", "home_win")
     return S.latest_scored(named_forecasts(spark, d), ev, "event_id", "model", "as_of", "final_ts", "start_ts",
-                           "home_win", "prob", "forecast_id")
+                           "home_win", "prob", "forecast_id", frozen=F.col("source") == "live")
 
 
 def bundle_sql(src: str, keys: str, extra: str = "") -> str:
@@ -70,11 +70,11 @@ WINDOWS_SRC = """SELECT s.*, w.lab AS win FROM (SELECT *, date_diff('day', start
 
 
 @query("performance_windows", sql(
-    "SELECT b.model, b.win AS \"window\", n, log_loss, brier, accuracy, auc, ece, mce, start_date, end_date FROM bundle b",
-    *BASE, bundle_sql(WINDOWS_SRC, "model,win", ", min(start_ts) AS start_date, max(start_ts) AS end_date"),
-    r=METRICS, ts="start_date end_date"))
+    "SELECT b.model, b.win AS \"window\", n, log_loss, brier, accuracy, auc, ece, mce, start_date, end_date, calibration_alpha, calibration_beta FROM bundle b LEFT JOIN fit ON b.model = fit.model AND b.win = fit.win",
+    *BASE, bundle_sql(WINDOWS_SRC, "model,win", ", min(start_ts) AS start_date, max(start_ts) AS end_date"), newton_sql(WINDOWS_SRC, "model,win"),
+    r=METRICS + " calibration_alpha calibration_beta", ts="start_date end_date"))
 def _(spark, d):
-    return S.performance(scored(spark, d), ["model"], "start_ts", "home_win", "prob", fit=False)
+    return S.performance(scored(spark, d), ["model"], "start_ts", "home_win", "prob")
 
 
 @query("calibration_fit", sql("SELECT model, calibration_alpha, calibration_beta FROM fit", *BASE,
@@ -206,7 +206,9 @@ def _(spark, d):
          / nullif(sum(home_win)*(count(*)-sum(home_win)), 0) AS auc FROM rk GROUP BY ALL),
     bb AS (SELECT model, event_id, window_rows, sum(g*c)/sum(c) AS ece, max(g) AS mce FROM (SELECT model, event_id, window_rows, ceil(p*10) AS bin,
        count(*) AS c, abs(avg(p)-avg(home_win)) AS g FROM wd GROUP BY ALL) GROUP BY ALL)
-SELECT mm.*, ece, mce FROM mm JOIN bb USING (model, event_id, window_rows) WHERE n >= 8""", *BASE, r=METRICS, ts="start_ts"))
+SELECT mm.*, ece, mce, calibration_alpha, calibration_beta FROM mm JOIN bb USING (model, event_id, window_rows) LEFT JOIN fit USING (model, event_id, window_rows) WHERE n >= 8""",
+    *BASE, "dix AS (SELECT *, row_number() OVER (PARTITION BY model, league ORDER BY start_ts, event_id) AS i FROM sc)", newton_sql("SELECT a.model, a.event_id, w.len AS window_rows, b.p, b.home_win FROM dix a, (VALUES (30), (60)) w(len), dix b WHERE a.model = b.model AND a.league = b.league AND b.i BETWEEN a.i - w.len + 1 AND a.i",
+                      "model,event_id,window_rows"), r=METRICS + " calibration_alpha calibration_beta", ts="start_ts"))
 def _(spark, d):
     return S.drift(scored(spark, d), ["model", "league"], ["start_ts", "event_id"], "home_win", "prob",
                    bucket=F.date_trunc("month", F.col("start_ts")))
