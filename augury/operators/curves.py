@@ -34,7 +34,7 @@ def quantile_report(df: DataFrame, by: Sequence[str], label: str, prob: str, bin
     # fewer distinct values than bins means fewer bins, so the edges depend on the group
     edges = _edges(counts, distinct, by, bins)
     rows = _join_by(counts, _join_by(edges, distinct, by) if by else edges.crossJoin(distinct), by)
-    at = F.size(F.filter(F.slice("_edges", 2, 1_000_000), lambda e: e < F.col("p"))) + 1
+    at = F.size(F.filter(F.slice("_edges", F.lit(2), F.size("_edges") - 1), lambda e: e < F.col("p"))) + 1
     nb = F.size("_edges") - 1
     rows = rows.withColumn("quantile_raw", F.least(at, nb))
     out = rows.groupBy(*by, "quantile_raw", "_total").agg(

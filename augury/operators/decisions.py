@@ -107,14 +107,11 @@ def decide(cands: DataFrame, policies: DataFrame, half_even: bool = False) -> Da
     stake = round_stake(snap(amount, 9), half_even)
     gate = (F.col("cand_edge") >= F.col("min_edge")) & (F.col("cand_ev") >= F.col("min_ev"))
     cap = dog & (F.col("cand_price") > F.col("max_underdog_price"))
-    fair = F.lit("Adjusted price fair")
-    reason = (F.when(~F.col("priced"), "Missing odds").when(~F.col("positive"), fair).when(~gate, fair)
-              .when(dog & ~F.col("allow_underdogs"), F.concat("policy", F.lit(" skips underdogs")))
-              .when(F.coalesce(cap, F.lit(False)), F.concat("policy", F.lit(" caps long-shot underdogs above +"), F.col("max_underdog_price").cast("int")))
-              .when(F.coalesce(stake, F.lit(0.0)) <= 0, fair)
-              .when(dog, "Underdog underpriced after uncertainty adjustment").otherwise("Favorite underpriced after uncertainty adjustment"))
-    x = x.withColumn("reason", reason)
-    bet = F.col("reason").contains("underpriced")
+    # Codes: no_price, fair (no edge, or a stake under one unit), no_underdogs, long_shot, and the two kinds of bet.
+    code = (F.when(~F.col("priced"), "no_price").when(~F.col("positive") | ~gate, "fair").when(dog & ~F.col("allow_underdogs"), "no_underdogs")
+            .when(F.coalesce(cap, F.lit(False)), "long_shot").when(F.coalesce(stake, F.lit(0.0)) <= 0, "fair").when(dog, "value_underdog").otherwise("value_favorite"))
+    x = x.withColumn("reason", code)
+    bet = F.col("reason").isin("value_underdog", "value_favorite")
     return x.withColumns({"stake": F.when(bet, stake).otherwise(0.0), "side": F.when(bet, F.col("cand_side")).otherwise("none"),
                           "price": F.when(bet, F.col("cand_price"))})
 
@@ -135,8 +132,7 @@ def cap_daily(decisions: DataFrame, keys: Sequence[str], tie: str, event: str, h
     capped = F.when(budget.isNull() | (budget <= 0), F.col("stake")).otherwise(
         F.when(left <= 0, 0.0).otherwise(round_stake(F.least("stake", left), half_even)))
     run = run.withColumn("_c", capped)
-    reason = F.when(F.col("_c") <= 0, "Daily risk budget exhausted").when(
-        F.col("_c") < F.col("stake"), F.concat("reason", F.lit("; daily risk cap"))).otherwise(F.col("reason"))
+    reason = F.when(F.col("_c") <= 0, "day_spent").when(F.col("_c") < F.col("stake"), F.concat("reason", F.lit("+day_cap"))).otherwise(F.col("reason"))
     run = run.withColumns({"reason": reason, "side": F.when(F.col("_c") > 0, F.col("side")).otherwise("none"),
                            "price": F.when(F.col("_c") > 0, F.col("price")), "stake": F.col("_c")}).drop("_before", "_c")
     return run.unionByName(decisions.where(F.col("stake") <= 0))

@@ -145,19 +145,18 @@ def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the greatest by ``order``. A combined aggregate, so hot keys do not matter.
+    """One row per key: the greatest by ``order``. The rank filter cuts every map task to one row per key before the
+    shuffle, so hot keys do not matter.
 
     NULLs sort first. Negate a numeric column in ``order`` to take its smallest value.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order])
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(*df.columns)
 
 
 def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[o.asc_nulls_first() for o in order])
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(*df.columns)
 
 
 def top_k_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

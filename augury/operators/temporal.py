@@ -160,11 +160,9 @@ def entity_names(*named: tuple[DataFrame, str]) -> DataFrame:
 
 
 def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every row under every parameter row. The grid is a parameter table; its size is checked."""
-    n = grid.count()
-    if n > 10_000:
-        raise ValueError(f"parameter grid too large to broadcast: {n} rows")
-    return df.crossJoin(F.broadcast(grid))
+    """Every row under every parameter row. The grid is the caller's parameter table: its rows are what is asked for.
+    It is not forced into a broadcast; Spark chooses by its size."""
+    return df.crossJoin(grid)
 
 
 def active_versions(days: DataFrame, versions: DataFrame, day: str, cutoff: str, finalized: str, version: str,

@@ -214,10 +214,10 @@ def _(spark, d):
     return T.asof_forecast(events(spark, d), led, diag, runs(spark, d), "event_id", "model", "start_ts", "as_of", "run_id", "created_at", "forecast_id")
 
 
-@query("scorable", sql("SELECT f.event_id, f.forecast_id FROM fc f JOIN ev e USING (event_id) WHERE f.as_of <= e.final_ts", EVENTS_SQL, FORECASTS_SQL))
+@query("scorable", sql("SELECT f.event_id, f.forecast_id FROM fc f JOIN ev e USING (event_id) WHERE f.as_of <= e.final_ts AND f.source = 'live'", EVENTS_SQL, FORECASTS_SQL))
 def _(spark, d):
     from augury.operators.scoring import scorable
-    return scorable(named_forecasts(spark, d), events(spark, d).select("event_id", "final_ts", "start_ts"), "event_id", "as_of", "final_ts", "start_ts").select("event_id", "forecast_id")
+    return scorable(named_forecasts(spark, d), events(spark, d).select("event_id", "final_ts", "start_ts"), "event_id", "as_of", "final_ts", "start_ts", F.col("source") == "live").select("event_id", "forecast_id")
 
 
 @query("latest_snapshot", sql("""SELECT market, event_id, line_id, snapshot_as_of FROM pr WHERE (market, snapshot_as_of) IN (SELECT market, max(snapshot_as_of) FROM pr GROUP BY 1)""", *PRB, ts="snapshot_as_of"))
@@ -268,10 +268,10 @@ pol(policy, dogs, maxdog, me, mv, ss, mb, mdp) AS (VALUES ('riskAdjusted', true,
 
 DEC_SQL = """
 dc0 AS (SELECT cn.*, pol.*, floor(round(10000*least(mb/100, greatest(ss*sh, 0)), 9)/5+0.5)*5 AS s0 FROM cn, pol),
-dc AS (SELECT *, CASE WHEN NOT priced THEN 'Missing odds' WHEN NOT positive THEN 'Adjusted price fair' WHEN NOT (ced >= me AND cev >= mv) THEN 'Adjusted price fair'
-   WHEN cp > 0 AND NOT dogs THEN policy || ' skips underdogs' WHEN maxdog IS NOT NULL AND cp > maxdog THEN policy || ' caps long-shot underdogs above +' || maxdog::INT
-   WHEN s0 < 5 THEN 'Adjusted price fair' WHEN cp > 0 THEN 'Underdog underpriced after uncertainty adjustment' ELSE 'Favorite underpriced after uncertainty adjustment' END AS reason FROM dc0),
-de AS (SELECT *, CASE WHEN contains(reason, 'underpriced') THEN s0 ELSE 0 END AS stake FROM dc),
+dc AS (SELECT *, CASE WHEN NOT priced THEN 'no_price' WHEN NOT positive THEN 'fair' WHEN NOT (ced >= me AND cev >= mv) THEN 'fair'
+   WHEN cp > 0 AND NOT dogs THEN 'no_underdogs' WHEN maxdog IS NOT NULL AND cp > maxdog THEN 'long_shot'
+   WHEN s0 < 5 THEN 'fair' WHEN cp > 0 THEN 'value_underdog' ELSE 'value_favorite' END AS reason FROM dc0),
+de AS (SELECT *, CASE WHEN reason LIKE 'value_%' THEN s0 ELSE 0 END AS stake FROM dc),
 cd0 AS (SELECT *, coalesce(sum(stake) OVER (PARTITION BY model, policy, start_ts ORDER BY (stake > 0) DESC, cev DESC, ced DESC, stake DESC, team, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM de),
 cd AS (SELECT *, CASE WHEN stake <= 0 OR mdp*100 - bef <= 0 THEN 0 ELSE least(stake, mdp*100 - bef) END AS cap FROM cd0),
 sb AS (SELECT *, CASE WHEN cap <= 0 THEN 'no_bet' WHEN home_win IS NULL THEN 'unsettled' WHEN (cs='home') = (home_win=1) THEN 'win' ELSE 'loss' END AS outcome FROM cd),
@@ -305,12 +305,17 @@ def _(spark, d):
     return D.decide(cands(spark, d), D.policy_table(spark)).select("event_id", "model", "policy", "side", "stake", "price", "reason")
 
 
-@query("policy_table", sql("""SELECT * FROM (VALUES ('riskAdjusted', 0, 0.06, 0.05, 0.2, 0.5, 1.5, (SELECT count(*) FROM orders)), ('aggressive', 0, 0.06, 0.05, 0.2, 0.5, 1.5, (SELECT count(*) FROM orders)),
-    ('capitalPreservation', 0, 0.05, 0.035, 0.2, 0.5, 1.5, (SELECT count(*) FROM orders))) v(policy, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, orders_seen)""",
-    r="min_edge min_ev stake_scale max_bet_pct max_day_pct"))
+@query("policy_table", sql("""WITH lg AS (SELECT league, count(*) AS events, count(*) > avg(count(*)) OVER () AS tight FROM ev GROUP BY 1),
+    v(tight, policy, dogs, maxdog, me, mv, scale, bet, day) AS (VALUES (false, 'riskAdjusted', true, NULL, 0.03, 0.02, 0.5, 1.25, 4.0), (false, 'aggressive', true, NULL, 0.03, 0.02, 0.75, 1.75, 6.0), (false, 'capitalPreservation', false, NULL, 0.03, 0.02, 0.25, 0.75, 2.5),
+      (true, 'riskAdjusted', true, 300.0, 0.05, 0.05, 0.25, 0.75, 2.5), (true, 'aggressive', true, 300.0, 0.05, 0.05, 0.4, 1.0, 3.0), (true, 'capitalPreservation', false, NULL, 0.04, 0.03, 0.25, 0.75, 2.5))
+SELECT league, events, policy, dogs::INT AS allow_underdogs, maxdog::DOUBLE AS max_underdog_price, me AS min_edge, mv AS min_ev, scale AS stake_scale, bet AS max_bet_pct, day AS max_day_pct FROM lg JOIN v USING (tight)""", EVENTS_SQL,
+    r="max_underdog_price min_edge min_ev stake_scale max_bet_pct max_day_pct"))
 def _(spark, d):
-    n = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("orders_seen"))
-    return D.policy_table(spark, tight=True, guarded=True).drop("max_underdog_price").crossJoin(n)
+    """The policies that hold in each league: the tight ones where a league has more events than the average."""
+    lg = events(spark, d).groupBy("league").agg(F.count(F.lit(1)).alias("events"))
+    lg = lg.join(F.broadcast(lg.agg(F.avg("events").alias("_mean")))).withColumn("tight", F.col("events") > F.col("_mean")).drop("_mean")
+    both = D.policy_table(spark).withColumn("tight", F.lit(False)).unionByName(D.policy_table(spark, tight=True).withColumn("tight", F.lit(True)))
+    return lg.join(F.broadcast(both), "tight").drop("tight")  # six rows
 
 
 @query("cap_daily", sql("SELECT event_id, model, policy, cap AS stake FROM cd WHERE stake > 0", *DEC, r="stake"))

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession, functions as F
@@ -13,6 +12,7 @@ from augury.plans.registry import query, sql
 from augury.plans.roles import EVENTS_SQL, FORECASTS_SQL, PLAYERS_SQL, american, events, forecasts, table
 from augury.plans.feature_queries import recursive
 from augury.plans.scoring_queries import BASE, named_forecasts, scored
+from augury.session import checkpoint_folder
 from augury.sources import imports as I, nested as N, tables as B
 from augury.streaming import jobs as J
 
@@ -79,12 +79,12 @@ def _(spark, d):
     return B.chunk_manifest(B.chunks(table(spark, d, "lineitem"), "l_shipdate", 90), "l_shipdate")
 
 
-@query("split_ledger", sql("""SELECT CASE WHEN source = 'live' THEN 'ledger' ELSE 'diagnostics' END AS target, count(*) AS n, sum(event_id)::BIGINT AS key_sum FROM (SELECT DISTINCT event_id, forecast_id, source FROM fc WHERE run_id <> 'run1996') GROUP BY 1""", FORECASTS_SQL))
+@query("split_ledger", sql("SELECT CASE WHEN source = 'history' THEN 'diagnostics' ELSE 'ledger' END AS target, event_id, forecast_id, source FROM (SELECT *, row_number() OVER (PARTITION BY event_id, forecast_id ORDER BY as_of DESC, model) AS n FROM fc) WHERE n = 1 AND (event_id, forecast_id) NOT IN (SELECT (event_id, forecast_id) FROM fc WHERE run_id = 'run1996')", FORECASTS_SQL))
 def _(spark, d):
     f = named_forecasts(spark, d)
-    led, diag = B.split_ledger(f.unionByName(f), f.where("run_id = 'run1996'"), ["event_id", "forecast_id"], "source", ["live"])
+    led, diag = B.split_ledger(f.unionByName(f), f.where("run_id = 'run1996'"), ["event_id", "forecast_id"], "source", ["history"], [F.col("as_of").desc(), F.col("model")])
     both = led.withColumn("target", F.lit("ledger")).unionByName(diag.withColumn("target", F.lit("diagnostics")))
-    return both.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+    return both.select("target", "event_id", "forecast_id", "source")
 
 
 @query("canonical_names", sql("SELECT model, count(*) AS n FROM fc GROUP BY 1", FORECASTS_SQL))
@@ -221,9 +221,8 @@ def _(spark, d):
 
 # ---- streaming ----------------------------------------------------------------------------------
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="augury-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark, d, name):

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from augury.operators.ordered import latest_by
@@ -70,8 +70,10 @@ def chunk_manifest(chunked: DataFrame, ts: str) -> DataFrame:
     return chunked.groupBy("chunk_start").agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def split_ledger(rows: DataFrame, existing: DataFrame, key: Sequence[str], source: str, live: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """New live rows for the ledger, and new other rows for the diagnostics; repeats are ignored."""
-    fresh = rows.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
-    is_live = F.coalesce(F.col(source), F.lit("")).isin(list(live))
-    return fresh.where(is_live), fresh.where(~is_live)
+def split_ledger(rows: DataFrame, existing: DataFrame, key: Sequence[str], source: str, diagnostic: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """New rows for the ledger, and new rows of the ``diagnostic`` sources for the diagnostics; a row without source
+    stays in the ledger. Of rows with one key the first by ``order`` counts."""
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    fresh = rows.withColumn("_n", first).where("_n = 1").drop("_n").join(existing.select(*key), list(key), "left_anti")
+    aside = F.coalesce(F.col(source).isin(list(diagnostic)), F.lit(False))
+    return fresh.where(~aside), fresh.where(aside)

@@ -22,7 +22,7 @@ def test_stated_cases(spark, p, h, a, tight, side, stake):
 def test_missing_price(spark):
     df = spark.createDataFrame([(1, 0.5, None, 120.0, None)], "event_id int, prob double, hp double, ap double, peer double")
     r = D.decide(D.candidates(df, "prob", "hp", "ap"), D.policy_table(spark)).first()
-    assert r["reason"] == "Missing odds" and r["stake"] == 0
+    assert r["reason"] == "no_price" and r["stake"] == 0
 
 
 def test_budget_equals_the_loop(spark):
