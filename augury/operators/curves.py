@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from augury.functions.columns import Z95, brier, clip_prob, hit, log_loss
-from augury.operators.ordered import _join_by, exact_quantiles, running_totals
+from augury.operators.ordered import _join_by, exact_quantiles, located, running_totals, value_cell
 
-BUCKETS = 4096
 
 
 def score_counts(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
@@ -23,7 +22,7 @@ def score_counts(df: DataFrame, by: Sequence[str], label: str, prob: str) -> Dat
 
 
 def _b(p: str = "p") -> Column:
-    return F.floor(F.col(p) * BUCKETS).cast("int")
+    return value_cell(F.col(p))
 
 
 def quantile_report(df: DataFrame, by: Sequence[str], label: str, prob: str, bins: int = 10) -> DataFrame:
@@ -47,17 +46,11 @@ def quantile_report(df: DataFrame, by: Sequence[str], label: str, prob: str, bin
 
 def _edges(counts: DataFrame, distinct: DataFrame, by: list[str], bins: int) -> DataFrame:
     want = F.least(F.lit(bins), F.col("_u"))
-    placed = counts.withColumn("_bk", _b())
-    upto = running_totals(placed, by, ["p"], F.col("_bk"), {"_upto": F.col("n")})
     grid = distinct.select(*by, F.col("_total"), want.alias("_q"), F.explode(F.sequence(F.lit(0), want)).alias("_k"))
     grid = grid.withColumn("_pos", F.col("_k") / F.col("_q") * (F.col("_total") - 1))
     grid = grid.withColumns({"_r0": F.floor("_pos").cast("long"), "_r1": F.ceil("_pos").cast("long")})
-    hit_ = _join_by(upto.select(*by, "p", "n", "_upto"), grid, by)
-    inside = lambda r: (F.col(r) < F.col("_upto")) & (F.col(r) >= F.col("_upto") - F.col("n"))
-    e = hit_.where(inside("_r0") | inside("_r1")).groupBy(*by, "_k").agg(
-        F.max(F.when(inside("_r0"), F.col("p"))).alias("_x0"), F.max(F.when(inside("_r1"), F.col("p"))).alias("_x1"),
-        F.max(F.col("_pos") - F.col("_r0")).alias("_f"))
-    edge = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_f")
+    e = located(counts, grid, by, "p", "n", ["_r0", "_r1"])
+    edge = F.col("_r0_value") + (F.col("_r1_value") - F.col("_r0_value")) * (F.col("_pos") - F.col("_r0"))
     return e.groupBy(*by).agg(F.sort_array(F.collect_set(edge)).alias("_edges"))
 
 
@@ -102,7 +95,10 @@ def lorenz(df: DataFrame, by: Sequence[str], label: str, prob: str, tie: str) ->
     by = list(by)
     ok = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
         *by, clip_prob(prob).alias("p"), F.col(label).cast("long").alias("y"), F.col(tie).alias("_tie"))
-    ranked = running_totals(ok, by, [F.col("p").desc(), F.col("_tie").asc()], _b(), {"_rank": F.lit(1)}, descending=True)
+    # Ties are cut by the tie column, so that one score with a third of the rows is several ranges.
+    numeric = isinstance(ok.schema["_tie"].dataType, T.NumericType)
+    cell = F.struct((-_b()).alias("p"), (F.floor(F.col("_tie") / 4096) if numeric else F.lit(0)).alias("t"))
+    ranked = running_totals(ok, by, [F.col("p").desc(), F.col("_tie").asc()], cell, {"_rank": F.lit(1)})
     n = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
     pos = _join_by(ranked.where("y = 1"), n, by)
     within = lambda share: F.count_if(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * share)))

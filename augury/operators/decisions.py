@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from augury.functions.columns import clip, decimal_odds, implied_probability, snap
-from augury.operators.ordered import running_totals, value_buckets
+from augury.operators.ordered import running_totals, value_cell
 
 # Bankrolls, rounding, and the weights of the probability adjustment.
 REFERENCE_BANKROLL, START_BANKROLL, ROUND_TO = 10_000.0, 5_000.0, 5.0
@@ -125,8 +125,7 @@ def cap_daily(decisions: DataFrame, keys: Sequence[str], tie: str, event: str, h
     """
     live = decisions.where(F.col("stake") > 0)
     order = [F.col("cand_ev").desc(), F.col("cand_edge").desc(), F.col("stake").desc(), F.col(tie).asc(), F.col(event).asc()]
-    bucket = value_buckets(F.least(F.col("cand_ev"), F.lit(4.0)), F.lit(0.0), F.lit(4.0), 256)
-    run = running_totals(live, list(keys), order, bucket, {"_before": F.col("stake")}, inclusive=False, descending=True)
+    run = running_totals(live, list(keys), order, value_cell(F.col("cand_ev")), {"_before": F.col("stake")}, inclusive=False, descending=True)
     budget = REFERENCE_BANKROLL * F.col("max_day_pct") / 100
     left = budget - F.col("_before")
     capped = F.when(budget.isNull() | (budget <= 0), F.col("stake")).otherwise(

@@ -138,11 +138,11 @@ def screen_features(df: DataFrame, cols: Sequence[str], label: str, row_id: str)
 
 def average_ranks(df: DataFrame, cols: Sequence[str], row_id: str, buckets: int = 4096) -> DataFrame:
     """Long (row_id, feature, value, rank) with average ranks of ties, without sorting a column in one task."""
-    from augury.operators.ordered import running_totals, value_buckets
+    from augury.operators.ordered import running_totals, value_cell
     long = stack_long(df, [row_id], list(cols)).where(F.col("value").isNotNull())
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
     lim = counts.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    placed = counts.join(lim, "feature").withColumn("_bk", value_buckets(F.col("value"), F.col("_lo"), F.col("_hi"), buckets))
+    placed = counts.join(lim, "feature").withColumn("_bk", value_cell(F.col("value")))
     upto = running_totals(placed, ["feature"], ["value"], F.col("_bk"), {"_u": F.col("_c")})
     ranks = upto.select("feature", "value", (F.col("_u") - (F.col("_c") - 1) / 2).alias("rank"))
     return long.join(ranks, ["feature", "value"])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import clip, days_between, haversine_miles, snap
-from augury.operators.ordered import exact_quantiles, in_buckets, row_index, running_totals, windowed
+from augury.operators.ordered import cell_of, exact_quantiles, in_buckets, row_index, running_totals, windowed
 
 
 def expand_two_sided(events: DataFrame, home: str = "home", away: str = "away", home_score: str = "home_score",
@@ -59,28 +59,28 @@ def pair_features(series: DataFrame, event: str, values: Sequence[str], diffs: M
 
 
 def prior_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-               sizes: Sequence[int] = (5, 14), bucket: Column | None = None) -> DataFrame:
+               sizes: Sequence[int] = (5, 14), cell: Column | None = None) -> DataFrame:
     """Means over the previous ``n`` rows, current row excluded."""
     return windowed(df, keys, order, lambda w: {
-        f"r{n}_{c}": F.avg(c).over(w.rowsBetween(-n, -1)) for c in cols for n in sizes}, max(sizes), bucket)
+        f"r{n}_{c}": F.avg(c).over(w.rowsBetween(-n, -1)) for c in cols for n in sizes}, max(sizes), cell)
 
 
-def ewm_reach(alpha: float, tolerance: float = 1e-12) -> int:
-    """Rows after which a weight of (1 - alpha)^n has fallen under the tolerance."""
+def ewm_reach(alpha: float, tolerance: float = 2.0**-56) -> int:
+    """Rows after which a weight of (1 - alpha)^n lies below the last bit of a double, so that it cannot change a sum."""
     return math.ceil(math.log(tolerance) / math.log(1 - alpha))
 
 
 def prior_ewm(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, float] | Sequence[str],
-              alpha: float = 0.2, nullable: bool = True, bucket: Column | None = None) -> DataFrame:
+              alpha: float = 0.2, nullable: bool = True, cell: Column | None = None) -> DataFrame:
     """Exponential means of the previous rows (recursive form), one column ``ewm_<c>`` each.
 
-    Across missing values the old weight keeps decaying. With ``bucket``, keys over the row limit are
-    split: each bucket carries the last values before it, as many as still weigh more than 1e-12.
+    Across missing values the old weight keeps decaying. Each range of a key carries the last values before it, as
+    many as can still change a double.
     """
     alphas = dict(cols) if isinstance(cols, Mapping) else {c: alpha for c in cols}
     reach = max(ewm_reach(a) for a in alphas.values()) + 1
     values = {c: ewm_reach(a) + 1 for c, a in alphas.items()} if nullable else None
-    return in_buckets(df, keys, order, bucket, reach, lambda f, parts: _ewm_scan(f, parts, alphas, nullable),
+    return in_buckets(df, keys, order, cell, reach, lambda f, parts: _ewm_scan(f, parts, alphas, nullable),
                       values, index="_i").drop("_i")
 
 
@@ -130,43 +130,40 @@ def _ewm_scan(df: DataFrame, parts: list[str], alphas: Mapping[str, float], null
 
 
 def rest_gap(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], default: float = 7.0,
-             short: float = 1.1, bucket: Column | None = None) -> DataFrame:
+             short: float = 1.1, cell: Column | None = None) -> DataFrame:
     """Days since the previous event (default for the first) and a back-to-back flag."""
     def gap(w):
         return F.greatest(F.coalesce(days_between(ts, F.lag(ts).over(w)), F.lit(default)), F.lit(0.0))
-    return windowed(df, keys, order, lambda w: {"rest_days": gap(w), "b2b": (gap(w) <= short).cast("int")}, 1, bucket)
+    return windowed(df, keys, order, lambda w: {"rest_days": gap(w), "b2b": (gap(w) <= short).cast("int")}, 1, cell)
 
 
-def prior_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None,
+def prior_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column | None = None,
                 name: str = "prior_count") -> DataFrame:
-    """Rows of the key before this one. Counting has no bounded reach, so a bucket means running totals."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    return running_totals(df, keys, order, bucket, {name: F.lit(1)}, inclusive=False)
+    """Rows of the key before this one."""
+    return row_index(df, keys, order, cell_of(df, order[0]) if cell is None else cell, name)
 
 
 def prior_load(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str,
-               rules: Mapping[str, tuple[int, int]], bucket: Column | None = None) -> DataFrame:
+               rules: Mapping[str, tuple[int, int]], cell: Column | None = None) -> DataFrame:
     """1 where at least ``m`` of the previous ``k`` rows carry the flag, per named (k, m)."""
     return windowed(df, keys, order, lambda w: {
         name: (F.coalesce(F.sum(flag).over(w.rowsBetween(-k, -1)), F.lit(0)) >= m).cast("int")
-        for name, (k, m) in rules.items()}, max(k for k, _ in rules.values()), bucket)
+        for name, (k, m) in rules.items()}, max(k for k, _ in rules.values()), cell)
 
 
 def causal_effect(df: DataFrame, group: str, order: Sequence[str], metrics: Mapping[str, str], shrink: float,
-                  final: str, bucket: Column) -> DataFrame:
+                  final: str, cell: Column) -> DataFrame:
     """Mean of earlier final rows of the group, shrunk by n / (n + shrink)."""
     done = clip(F.coalesce(F.col(final).cast("double"), F.lit(0.0)), 0, 1)
     sums = {"_n": done} | {f"_m_{o}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * done for o, c in metrics.items()}
-    out = running_totals(df, [group], list(order), bucket, sums, inclusive=False)
+    out = running_totals(df, [group], list(order), cell, sums, inclusive=False)
     n = F.col("_n")
     return out.withColumns({o: F.when(n > 0, F.col(f"_m_{o}") / n * (n / (n + shrink))).otherwise(0.0)
                             for o in metrics}).drop("_n", *[f"_m_{o}" for o in metrics])
 
 
 def starter_load(df: DataFrame, keys: Sequence[str], order: Sequence[str], known: str, b2b: str, quality: str,
-                 default_quality: float = 0.905, bucket: Column | None = None) -> DataFrame:
+                 default_quality: float = 0.905, cell: Column | None = None) -> DataFrame:
     """Starter workload over 7 and 14 rows, lagged uncertainty, and lagged start on a back-to-back."""
     base = df.withColumns({"_k": F.col(known).cast("int"), "_q": F.coalesce(F.col(quality), F.lit(default_quality))})
 
@@ -178,12 +175,12 @@ def starter_load(df: DataFrame, keys: Sequence[str], order: Sequence[str], known
             "b2b_starter": F.coalesce(F.lag("_k").over(w), F.lit(0)) * F.coalesce(F.col(b2b), F.lit(0)),
             "starter_uncertain": F.coalesce(1 - F.lag("_k").over(w), F.lit(1))})
         return _ewm_scan(f, parts, {"_q": 0.25}, nullable=False)
-    out = in_buckets(base, keys, order, bucket, ewm_reach(0.25) + 1, chain, index="_i")
+    out = in_buckets(base, keys, order, cell, ewm_reach(0.25) + 1, chain, index="_i")
     return out.withColumn("starter_quality", F.coalesce("ewm__q", F.lit(default_quality))).drop("_k", "_q", "ewm__q", "_i")
 
 
 def special_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], taken: str, drawn: str, made: str,
-                  bucket: Column | None = None, fill: str = "prior") -> DataFrame:
+                  cell: Column | None = None, fill: str = "prior") -> DataFrame:
     """Special-situation rates and their lagged exponential means.
 
     ``fill='prior'`` gives first rows 0; ``fill='group'`` uses the whole group's mean, which sees the
@@ -193,7 +190,7 @@ def special_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], take
     base = df.withColumns({
         "eff": z(made) / F.when(z(drawn) == 0, 1.0).otherwise(z(drawn)),
         "discipline": z(drawn) - z(taken), "_taken": z(taken)})
-    out = prior_ewm(base, keys, order, {"eff": 0.25, "discipline": 0.25, "_taken": 0.25}, nullable=False, bucket=bucket)
+    out = prior_ewm(base, keys, order, {"eff": 0.25, "discipline": 0.25, "_taken": 0.25}, nullable=False, cell=cell)
     first = F.lit(0.0)
     if fill == "group":
         out = out.join(base.groupBy(*keys).agg(F.avg("eff").alias("_mean")), list(keys))
@@ -211,7 +208,7 @@ DEFENCE = {"rebounds_defensive": 0.3, "steals": 1.0, "blocks": 0.7, "fouls": -0.
 BOUNDS = {"offence": 18.0, "defence": 12.0, "overall": 24.0}
 
 
-def player_projection(players: DataFrame, player: str, order: Sequence[str], bucket: Column | None = None) -> DataFrame:
+def player_projection(players: DataFrame, player: str, order: Sequence[str], cell: Column | None = None) -> DataFrame:
     """Per-36 ratings and minutes projected from earlier appearances and shrunk to the overall means."""
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     total = lambda weights: sum((z(c) * w for c, w in weights.items()), F.lit(0.0))
@@ -233,7 +230,7 @@ def player_projection(players: DataFrame, player: str, order: Sequence[str], buc
         f = f.withColumns({f"r5_{c}": F.avg(c).over(w) for c in (*stems, "_min")}).withColumn("prior_count", F.col("_i"))
         return _ewm_scan(f, parts, {"offence": 0.25, "defence": 0.25, "overall": 0.25, "_min": 0.35, "_start": 0.3,
                                     "_played": 0.3}, nullable=False)
-    out = in_buckets(base, [player], order, bucket, ewm_reach(0.25) + 1, chain, index="_i").drop("_i")
+    out = in_buckets(base, [player], order, cell, ewm_reach(0.25) + 1, chain, index="_i").drop("_i")
     out = out.crossJoin(F.broadcast(means))  # one row
     n = F.col("prior_count").cast("double")
 
@@ -299,7 +296,7 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
 
 
 def travel(series: DataFrame, places: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], place: str,
-           bucket: Column | None = None) -> DataFrame:
+           cell: Column | None = None) -> DataFrame:
     """Miles and time-zone change from the previous event's place, and a local start outside 15 to 22 h.
 
     ``places`` is ``place, lat, lon, utc_offset``: a lookup of places. The event's own place is used,
@@ -307,7 +304,7 @@ def travel(series: DataFrame, places: DataFrame, keys: Sequence[str], ts: str, o
     """
     rows = series.join(places, place, "left")
     rows = windowed(rows, keys, order, lambda w: {
-        "_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_off": F.lag("utc_offset").over(w)}, 1, bucket)
+        "_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_off": F.lag("utc_offset").over(w)}, 1, cell)
     hour = F.hour(F.col(ts)) + F.col("utc_offset")
     return rows.withColumns({
         "travel_miles": F.coalesce(haversine_miles(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0)),
@@ -328,7 +325,7 @@ def impute(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None)
                             for c in cols}).drop(*[f"_md_{c}" for c in cols])
 
 
-def time_folds(df: DataFrame, order: Sequence[str], bucket: Column, folds: int, min_train: int,
+def time_folds(df: DataFrame, order: Sequence[str], cell: Column, folds: int, min_train: int,
                at_least: int = 15) -> DataFrame:
     """Expanding folds by rows: fold f trains on the rows before its block and validates on the block.
 
@@ -343,7 +340,7 @@ def time_folds(df: DataFrame, order: Sequence[str], bucket: Column, folds: int,
     spans = spans.select("fold", lo.alias("_lo"), F.when(few, F.col("_n")).otherwise(F.least(lo + size, F.col("_n"))).alias("_hi"),
                          few.alias("_few"))
     spans = spans.where(F.col("_few") & (F.col("_hi") > F.col("_lo")) | (F.col("_hi") - F.col("_lo") >= at_least))
-    x = row_index(df, [], list(order), bucket, "_i").crossJoin(F.broadcast(spans))  # one row per fold
+    x = row_index(df, [], list(order), cell, "_i").crossJoin(F.broadcast(spans))  # one row per fold
     role = F.when(F.col("_i") < F.col("_lo"), "train").when(F.col("_i") < F.col("_hi"), "valid")
     return x.withColumn("role", role).where(F.col("role").isNotNull()).drop("_i", "_lo", "_hi", "_few")
 
@@ -369,10 +366,10 @@ def date_folds(df: DataFrame, ts: str, folds: int, valid_days: int, embargo_days
     return out.withColumn("role", role).where(F.col("role").isNotNull())
 
 
-def share_split(df: DataFrame, order: Sequence[str], bucket: Column, shares: Mapping[str, float]) -> DataFrame:
+def share_split(df: DataFrame, order: Sequence[str], cell: Column, shares: Mapping[str, float]) -> DataFrame:
     """Label rows in time order by cumulative shares, such as train .4, valid .3, test .3."""
     n = df.agg(F.count(F.lit(1)).alias("_total"))
-    rows = row_index(df, [], list(order), bucket, "_i").crossJoin(F.broadcast(n))  # one row
+    rows = row_index(df, [], list(order), cell, "_i").crossJoin(F.broadcast(n))  # one row
     names, edge, role = list(shares), 0.0, None
     for name in names[:-1]:
         edge = round(edge + shares[name], 12)
@@ -387,12 +384,12 @@ def random_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, na
     return df.withColumn("role", F.when(u < share, name).otherwise(rest))
 
 
-def thin(df: DataFrame, order: Sequence[str], bucket: Column, points: int = 250, keys: Sequence[str] = ()) -> DataFrame:
+def thin(df: DataFrame, order: Sequence[str], cell: Column, points: int = 250, keys: Sequence[str] = ()) -> DataFrame:
     """At most ``points`` evenly spaced rows of an ordered curve, ends included. A display operator."""
     from augury.operators.ordered import _join_by
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    rows = _join_by(row_index(df, keys, list(order), bucket, "_i"), n, keys)
+    rows = _join_by(row_index(df, keys, list(order), cell, "_i"), n, keys)
     last, i = F.col("_total") - 1, F.col("_i")
     # row i is kept where floor(k * last / (points - 1)) = i for some k
     k = F.ceil(i * (points - 1) / F.greatest(last, F.lit(1)))

@@ -249,7 +249,7 @@ def tune(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Sequence[int],
                                     F.count(F.lit(1)).alias("folds")).orderBy("log_loss", "model")
 
 
-def nested_backtest(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Sequence[int], order: Sequence[str], bucket: Column, label: str,
+def nested_backtest(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Sequence[int], order: Sequence[str], cell: Column, label: str,
                     inner: int = 2, min_train: int = 100) -> DataFrame:
     """Per outer fold: choose by inner folds of its training rows, refit, predict its valid rows."""
     from augury.operators.features import time_folds
@@ -257,7 +257,7 @@ def nested_backtest(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Seq
     for f in fold_ids:
         rows = folds.where(F.col("fold") == f)
         train, valid = rows.where("role = 'train'").drop("fold", "role"), rows.where("role = 'valid'")
-        inside = time_folds(train, order, bucket, inner, min_train)
+        inside = time_folds(train, order, cell, inner, min_train)
         best = tune(inside, grid, range(1, inner + 1), label).first()["model"]
         p = grid[best](train)(valid).withColumn("model", F.lit(best))
         out = p if out is None else out.unionByName(p)

@@ -1,92 +1,110 @@
 """Ordered computations that do not need a whole key in one task.
 
-A plain ``Window.partitionBy(key)`` sorts every row of a key in one task. That is the cheapest plan
-while keys are small, and the wrong one when a key holds a third of the table. Two tools split such
-keys by a *bucket*, a coarse monotone function of the order (a month, a slice of a probability):
-
-* ``running_totals``: sums inside ``(key, bucket)`` plus the totals of the earlier buckets. Only the
-  one-row-per-bucket totals are windowed per key.
-* ``reach_back``: each ``(key, bucket)`` gets copies of the few rows that precede it, so any frame of
-  at most ``reach`` rows back is complete inside the bucket.
-
-``in_buckets`` counts rows per key first, one aggregate of the key columns combined in the map tasks. With
-no key over the limit the plan is the plain one; otherwise only the large keys are split. A chain of
-operators goes through it once, as one function of (frame, partition columns).
+A plain ``Window.partitionBy(key)`` sorts every row of a key in one task, which is wrong when a key holds a third of
+the table. Here every key is cut into *ranges* of its order by one plan, whatever its size: rows are counted per key and
+fine *cell* (an hour of the first order column, say; rows of equal order share a cell), counts add up along the cells,
+and a new range starts every ``spark.augury.rangeRows`` rows. A small key is one range. Two tools use the ranges:
+
+* ``running_totals``: sums inside a range plus the totals of the earlier ranges.
+* ``in_buckets``: windows inside a range, which also holds copies of the few rows that precede it, so any frame of at
+  most ``reach`` rows back is complete. Only keys with several ranges have such copies.
+
+Nothing runs while a plan is built. Totals and ranges come from one-row-per-cell aggregates combined in the map tasks;
+a key has at most as many cells as its calendar has hours.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+RANGE_ROWS = 1_000_000
+RANGE_ROWS_CONF = "spark.augury.rangeRows"
+
 
-from augury.session import cut_lineage
+def range_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(RANGE_ROWS_CONF, str(RANGE_ROWS)))
 
-HOT_ROWS = 1_000_000
-HOT_ROWS_CONF = "spark.augury.hotKeyRows"
 
+def cell_of(df: DataFrame, name: str) -> Column:
+    """A fine monotone cell of an order column: hours of times, days of dates, numbers themselves."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_micros(F.col(name).cast("timestamp")) / 3_600_000_000)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("long")
+    return F.col(name) if isinstance(kind, T.NumericType) else F.lit(0)
 
-def hot_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
+
+def with_ranges(df: DataFrame, keys: Sequence[str], cell: Column, descending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_bucket`` (number of the row's range in its key), ``_range_start`` (rows of the key before the range) and
+    ``_range_many`` (the key has several ranges); and the table of all ranges."""
+    keys = list(keys)
+    work = df.withColumn("_cell", cell)
+    line = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.col("_cell").desc() if descending else F.col("_cell").asc())
+    n = work.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = n.withColumn("_bucket", F.floor(F.col("_before") / range_rows(df)).cast("long"))
+    part = Window.partitionBy(*keys, "_bucket")
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    n = n.withColumns({"_range_start": F.min("_before").over(part), "_range_many": F.max("_bucket").over(whole) > 0})
+    side = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_cell_at"), "_bucket", "_range_start", "_range_many")
+    cond = F.col("_cell").eqNullSafe(F.col("_cell_at"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return work.join(side, cond).select(*df.columns, "_bucket", "_range_start", "_range_many"), n
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column,
                    sums: dict[str, Column], inclusive: bool = True, descending: bool = False) -> DataFrame:
-    """Running sums per key in ``order``. ``bucket`` must be non-decreasing along the order
+    """Running sums per key in ``order``. ``cell`` must be non-decreasing along the order
     (non-increasing when ``descending``)."""
-    names = list(sums)
-    work = df.withColumns({"_b": bucket} | {f"_v_{n}": e for n, e in sums.items()})
-    per_bucket = work.groupBy(*keys, "_b").agg(
-        *[F.sum(F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(f"_t_{n}") for n in names])
-    b_order = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(b_order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
-    cond = F.col("_b").eqNullSafe(F.col("_bb"))
+    names, keys = list(sums), list(keys)
+    work, _ = with_ranges(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), keys, cell, descending)
+    totals = work.groupBy(*keys, "_bucket").agg(*[F.sum(F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(f"_t_{n}") for n in names])
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_bb"),
+                            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+    cond = F.col("_bucket") == F.col("_bb")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = work.join(offsets, cond)
-    out = joined.withColumns({
-        n: F.coalesce(F.sum(F.col(f"_v_{n}")).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in names})
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = work.join(offsets, cond).withColumns({n: F.coalesce(F.sum(F.col(f"_v_{n}")).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in names})
     return out.select(*df.columns, *names)
 
 
-def running_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: Column,
+def running_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column, value: Column,
                    name: str) -> DataFrame:
     """Greatest value so far per key, in two levels like the totals. NULLs are passed over.
 
     With a struct that starts with the row's time, the greatest is the latest.
     """
-    work = df.withColumns({"_b": bucket, name: value})
-    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = work.groupBy(*keys, "_b").agg(F.max(name).alias("_t"))
-    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), F.max("_t").over(prior).alias("_o"))
-    cond = F.col("_b") == F.col("_bb")
+    keys = list(keys)
+    work, _ = with_ranges(df.withColumn(name, value), keys, cell)
+    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = work.groupBy(*keys, "_bucket").agg(F.max(name).alias("_t"))
+    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_bb"), F.max("_t").over(prior).alias("_o"))
+    cond = F.col("_bucket") == F.col("_bb")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return work.join(tops, cond).withColumn(name, F.greatest(F.max(name).over(inside), F.col("_o"))).select(*df.columns, name)
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column,
               name: str = "row_index") -> DataFrame:
     """Position of each row in its key, from 0."""
-    return running_totals(df, keys, order, bucket, {name: F.lit(1)}, inclusive=False)
+    keys = list(keys)
+    work, _ = with_ranges(df, keys, cell)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return work.withColumn(name, F.col("_range_start") + F.row_number().over(inside) - 1).select(*df.columns, name)
 
 
-def reach_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, reach: int,
-               values: dict[str, int] | None = None) -> DataFrame:
-    """Add ``_bucket`` and ``_own``: every bucket also holds the ``reach`` rows before it (``_own`` false),
-    and for each column in ``values`` the last so many rows where it is not NULL.
-
-    ``df`` is read several times, so give it something written or cheap. Rows of a key need distinct order values.
-    """
-    work = df.withColumn("_bucket", bucket)
-    spots = work.select(*keys, "_bucket").distinct()
-    row = F.struct(*[F.col(o).alias(f"_s{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("_row"))
+def _halo(work: DataFrame, spots: DataFrame, keys: list[str], order: Sequence[str], reach: int, values: dict[str, int] | None) -> DataFrame:
+    """For every range of ``spots`` the ``reach`` rows before it, and for each column in ``values`` the last so many rows
+    where it is not NULL. Rows of a key need distinct order values."""
+    cols = [c for c in work.columns if c != "_bucket"]
+    row = F.struct(*[F.col(o).alias(f"_s{i}") for i, o in enumerate(order)], F.struct(*cols).alias("_row"))
     last = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(o).desc() for o in order])
     line = Window.partitionBy(*keys).orderBy("_bucket")
     halo = None
@@ -94,7 +112,7 @@ def reach_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
         some = work if name is None else work.where(F.col(name).isNotNull())
         tails = (some.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n)
                  .groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(row)).alias("_tail")))
-        # the n previous buckets that have a tail hold at least n rows; buckets without one are stepped over
+        # the n previous ranges that have a tail hold at least n rows; ranges without one are stepped over
         at = spots.join(tails, [*keys, "_bucket"], "left").withColumn(
             "_seen", F.count("_tail").over(line.rowsBetween(Window.unboundedPreceding, -1)))
         prior = Window.partitionBy(*keys).orderBy("_seen").rangeBetween(-n, -1)
@@ -102,45 +120,39 @@ def reach_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
         got = got.select("_bucket", F.explode(F.slice("_prior", F.greatest(F.size("_prior") - n + 1, F.lit(1)), n)).alias("_x"))
         got = got.select("_x._row.*", "_bucket")
         halo = got if halo is None else halo.unionByName(got)
-    if values:
-        halo = halo.dropDuplicates([*keys, "_bucket", *order])
-    return work.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+    return halo.dropDuplicates([*keys, "_bucket", *order]) if values else halo
 
 
-def in_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, reach: int,
+def in_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column | None, reach: int,
                fn: Callable[[DataFrame, list[str]], DataFrame], values: dict[str, int] | None = None,
                index: str | None = None) -> DataFrame:
-    """Apply ``fn(frame, partition columns)``, splitting keys over the row limit into buckets.
+    """Apply ``fn(frame, partition columns)`` to the ranges of all keys, each with the rows its frames reach back to.
 
-    ``index`` names a column that holds each row's position in its key.
+    ``cell`` is a fine monotone function of the order (by default one of the first order column). ``index`` names a
+    column that holds each row's position in its key.
     """
     keys, order = list(keys), list(order)
-
-    def whole(frame: DataFrame) -> DataFrame:
-        if index:
-            frame = frame.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-        return fn(frame, keys)
-
-    if bucket is None:
-        return whole(df)
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_limit(df)).drop("count")
-    if hot.isEmpty():
-        return whole(df)
-    hot = cut_lineage(hot)  # a few keys, at most rows / limit of them
-    cold = whole(df.join(hot, keys, "left_anti"))
-    big = cut_lineage(df.join(hot, keys, "left_semi"))
+    if "_bucket" in keys:  # inside a range already, whose copies the outer call has brought
+        return fn(df, keys)
+    ranged, n = with_ranges(df, keys, cell_of(df, order[0]) if cell is None else cell)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    several = ranged.where("_range_many")
     if index:
-        big = row_index(big, keys, order, bucket, index)
-    wide = reach_back(big, keys, order, bucket, reach, values)
-    split = fn(wide, [*keys, "_bucket"]).where("_own").drop("_bucket", "_own")
-    return cold.unionByName(split.select(*cold.columns))
+        several = several.withColumn(index, (F.col("_range_start") + F.row_number().over(inside) - 1).cast("long"))
+    before = _halo(several.drop("_range_start", "_range_many"), n.where("_range_many").select(*keys, "_bucket").distinct(), keys, order, reach, values)
+    own = ranged.drop("_range_many").withColumn("_own", F.lit(True))
+    wide = own.unionByName(before.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    if index:
+        place = F.col("_range_start") + F.sum(F.col("_own").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1
+        wide = wide.withColumn(index, F.when(F.col("_own"), place).otherwise(F.col(index)).cast("long"))
+    return fn(wide.drop("_range_start"), [*keys, "_bucket"]).where("_own").drop("_bucket", "_own")
 
 
 def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              build: Callable[[Window], dict[str, Column]], reach: int,
-             bucket: Column | None = None) -> DataFrame:
+             cell: Column | None = None) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows back."""
-    return in_buckets(df, keys, order, bucket, reach,
+    return in_buckets(df, keys, order, cell, reach,
                       lambda f, parts: f.withColumns(build(Window.partitionBy(*parts).orderBy(*order))))
 
 
@@ -179,38 +191,54 @@ def order_nulls_last(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
 
 
-def value_buckets(value: Column, lo: Column, hi: Column, n: int = 4096) -> Column:
-    """Monotone bucket of a numeric value between known bounds."""
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.least(F.floor((value - lo) / width * n), F.lit(n - 1)).cast("long")
+def value_cell(value: Column, per_e: int = 65536) -> Column:
+    """Monotone cell of a number, of the same relative width everywhere: outliers and narrow spreads leave it fine."""
+    size = lambda v: F.floor(F.log(v) * per_e).cast("long") + 1_000_000_000
+    return F.when(value > 0, size(value)).when(value < 0, -size(-value)).otherwise(F.lit(0).cast("long"))
+
 
+def located(counts: DataFrame, ranks: DataFrame, by: Sequence[str], value: str, n: str, rank: Sequence[str]) -> DataFrame:
+    """Rows of ``ranks`` with ``<rank>_value`` for each 0-based rank column: the value that holds that rank of its group,
+    where ``counts`` has the distinct values of each group with their numbers ``n``.
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int = 4096) -> DataFrame:
+    First the few cells that hold a wanted rank are found from the cells' totals; only the values of those cells are
+    read again and added up, so no value meets a rank that it cannot hold.
+    """
+    by = list(by)
+    placed = counts.withColumn("_cell", value_cell(F.col(value)))
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    cells = placed.groupBy(*by, "_cell").agg(F.sum(n).alias("_t"))
+    cells = cells.withColumn("_from", F.sum("_t").over(part.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t"))
+    # All ranks and all cells of a group on one line: a rank lies in the last cell that starts at or before it.
+    asked = ranks.select(*by, F.explode(F.array(*rank)).alias("_at")).distinct()
+    line = cells.select(*by, F.col("_from").alias("_at"), "_cell", "_from").unionByName(asked.withColumns({"_cell": F.lit(None).cast("long"), "_from": F.lit(None).cast("long")}))
+    known = part.orderBy("_at", F.col("_cell").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.withColumns({"_in": F.last("_cell", True).over(known), "_base": F.last("_from", True).over(known)}).where("_cell IS NULL")
+    found = line.select(*by, "_at", F.col("_in").alias("_cell"), "_base")
+    need = found.select(*by, "_cell", "_base").distinct()
+    inside = placed.join(need, [*by, "_cell"])
+    upto = F.col("_base") + F.sum(n).over(Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.withColumn("_upto", upto).join(found.drop("_base"), [*by, "_cell"]).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col(n)))
+    got = inside.select(*by, "_at", F.col(value).alias("_value"))
+    out = ranks
+    for r in rank:
+        out = out.join(got.select(*by, F.col("_at").alias(r), F.col("_value").alias(f"{r}_value")), [*by, r])
+    return out
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles per group without collecting a group.
 
-    Equal values are merged first, so ties cost nothing. Each group's values fall into buckets between
-    its own bounds; only the buckets that hold a wanted rank are looked at again.
-    Returns ``by..., prob, quantile``.
+    Equal values are merged first, so ties cost nothing. Returns ``by..., prob, quantile``.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).alias("_n"))
-    bounds = counts.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_m"))
-    placed = _join_by(counts, bounds, by).withColumn(
-        "_b", value_buckets(F.col("_x"), F.col("_lo"), F.col("_hi"), buckets))
-    last = running_totals(placed, list(by), ["_x"], F.col("_b"), {"_upto": F.col("_n")})
     want = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    ranks = bounds.select(*by, "_m", want.alias("prob")).withColumns({
-        "_pos": F.col("prob") * (F.col("_m") - 1)})
+    ranks = counts.groupBy(*by).agg(F.sum("_n").alias("_m")).where("_m IS NOT NULL").select(*by, "_m", want.alias("prob"))
+    ranks = ranks.withColumn("_pos", F.col("prob") * (F.col("_m") - 1))
     ranks = ranks.withColumns({"_r0": F.floor("_pos").cast("long"), "_r1": F.ceil("_pos").cast("long")})
-    hit = _join_by(last.select(*by, "_x", "_n", "_upto"), ranks, by)
-    inside = lambda r: (F.col(r) < F.col("_upto")) & (F.col(r) >= F.col("_upto") - F.col("_n"))
-    hit = hit.where(inside("_r0") | inside("_r1"))
-    at = hit.groupBy(*by, "prob").agg(
-        F.max(F.when(inside("_r0"), F.col("_x"))).alias("_x0"),
-        F.max(F.when(inside("_r1"), F.col("_x"))).alias("_x1"),
-        F.max(F.col("_pos") - F.col("_r0")).alias("_f"))
-    return at.select(*by, "prob", (F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_f")).alias("quantile"))
+    at = located(counts, ranks, by, "_x", "_n", ["_r0", "_r1"])
+    return at.select(*by, "prob", (F.col("_r0_value") + (F.col("_r1_value") - F.col("_r0_value")) * (F.col("_pos") - F.col("_r0"))).alias("quantile"))
 
 
 def _join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

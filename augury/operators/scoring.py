@@ -6,9 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import brier, clip, clip_prob, end_of_day, hit, log_loss, micros
-from augury.operators.ordered import latest_by, windowed
+from augury.operators.ordered import latest_by, value_cell, windowed
 
-BUCKETS = 4096
 
 
 def scorable(pred: DataFrame, results: DataFrame, event: str, as_of: str, final: str, date: str, frozen: Column | None = None) -> DataFrame:
@@ -83,7 +82,7 @@ def score_groups(df: DataFrame, by: Sequence[str], label: str, prob: str, bins:
     p = F.col("_p")
     merged = (
         rows.select(*by, clip_prob(prob).alias("_p"), F.col(label).cast("long").alias("_y"))
-        .withColumns({"_bin": F.ceil(p * bins).cast("int"), "_b": F.floor(p * BUCKETS).cast("int")})
+        .withColumns({"_bin": F.ceil(p * bins).cast("int"), "_b": value_cell(p)})
         .groupBy(*by, "_bin", "_b", "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
         .withColumn("_neg", F.col("_n") - F.col("_pos"))
     )
@@ -247,7 +246,7 @@ def missing_results(pred: DataFrame, results: DataFrame, event: str) -> DataFram
 
 
 def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, prob: str,
-          windows: Sequence[int] = (30, 60), at_least: int = 8, bins: int = 10, bucket: Column | None = None) -> DataFrame:
+          windows: Sequence[int] = (30, 60), at_least: int = 8, bins: int = 10, cell: Column | None = None) -> DataFrame:
     """Score bundle and calibration fit over the last ``w`` rows, at every row, for each window length.
 
     The bounded frame is gathered as an array in the row's own partition, so the rows are not
@@ -267,7 +266,7 @@ def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, pr
                 F.collect_list(F.struct("_p", "_y")).over(frame).alias("_pts"))
         return cols
 
-    wide = windowed(base, list(by), list(order), build, max(windows), bucket)
+    wide = windowed(base, list(by), list(order), build, max(windows), cell)
     long = wide.select(*by, *order, F.explode(F.array(*[F.col(f"_w{k}") for k in windows])).alias("_w")).select(
         *by, *order, "_w.*").where(F.col("n") >= at_least)
     # Sorted by probability, a bin is a run of the fold; its gap is closed when the next bin starts.

@@ -121,8 +121,7 @@ def asof_roster(series: DataFrame, states: DataFrame, team: str, player: str, ts
         st = states.where(F.col(team_col).isNotNull()).withColumn("_t", micros(ts))
         # looking ahead in time is looking back along falling time
         st = st.withColumns({"_nt": -F.col("_t"), "_ntie": -F.col(tie)})
-        st = windowed(st, [team_col, player], ["_nt", "_ntie"], lambda w: {"_next": F.lag("_t").over(w)}, 1,
-                      F.floor(F.col("_nt") / span))
+        st = windowed(st, [team_col, player], ["_nt", "_ntie"], lambda w: {"_next": F.lag("_t").over(w)}, 1, F.floor(F.col("_nt") / 3_600_000_000))
         st = st.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_t") + span), F.col("_t") + span))
         cells = F.sequence(F.floor(F.col("_t") / span), F.floor(F.col("_end") / span))
         st = st.where(F.col("_end") > F.col("_t")).withColumn("_cell", F.explode(cells))

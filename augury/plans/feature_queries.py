@@ -19,8 +19,9 @@ SER = (EVENTS_SQL, SERIES_SQL)
 W = "(PARTITION BY entity ORDER BY start_ts, event_id"
 
 
-def month():
-    return F.date_trunc("month", F.col("start_ts"))
+def hour():
+    """The cell of an order by start: ranges of rows are made of whole hours."""
+    return F.date_trunc("hour", F.col("start_ts"))
 
 
 def series(spark, d):
@@ -38,7 +39,7 @@ def _(spark, d):
     avg(value_against) OVER {W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS r14_value_against FROM se""", *SER,
     r="r5_value_for r14_value_for r5_value_against r14_value_against"))
 def _(spark, d):
-    out = X.prior_mean(series(spark, d), KEY, ORDER, ["value_for", "value_against"], bucket=month())
+    out = X.prior_mean(series(spark, d), KEY, ORDER, ["value_for", "value_against"], cell=hour())
     return out.select("event_id", "entity", "r5_value_for", "r14_value_for", "r5_value_against", "r14_value_against")
 
 
@@ -63,7 +64,7 @@ def recursive(text: str) -> str:
     ewm_sql("SELECT * FROM se", "entity", "start_ts, event_id", {"value_for": .2, "value_against": .2, "won": .2}),
     r="ewm_value_for ewm_value_against ewm_won")))
 def _(spark, d):
-    out = X.prior_ewm(series(spark, d), KEY, ORDER, ["value_for", "value_against", "won"], bucket=month())
+    out = X.prior_ewm(series(spark, d), KEY, ORDER, ["value_for", "value_against", "won"], cell=hour())
     return out.select("event_id", "entity", "ewm_value_for", "ewm_value_against", "ewm_won")
 
 
@@ -71,12 +72,12 @@ def _(spark, d):
     greatest(coalesce((epoch(start_ts) - epoch(lag(start_ts) OVER {W})))/86400.0::DOUBLE, 7.0), 0.0) AS rest_days FROM se)""",
     *SER, r="rest_days"))
 def _(spark, d):
-    return X.rest_gap(series(spark, d), KEY, "start_ts", ORDER, bucket=month()).select("event_id", "entity", "rest_days", "b2b")
+    return X.rest_gap(series(spark, d), KEY, "start_ts", ORDER, cell=hour()).select("event_id", "entity", "rest_days", "b2b")
 
 
 @query("prior_count", sql(f"SELECT event_id, entity, row_number() OVER {W}) - 1 AS prior_count FROM se", *SER))
 def _(spark, d):
-    return X.prior_count(series(spark, d), KEY, ORDER, month()).select("event_id", "entity", "prior_count")
+    return X.prior_count(series(spark, d), KEY, ORDER, hour()).select("event_id", "entity", "prior_count")
 
 
 @query("prior_load", sql(f"""WITH b AS (SELECT *, (coalesce(epoch(start_ts) - epoch(lag(start_ts) OVER {W})), 7*86400) <= 30*86400)::INT AS tight FROM se)
@@ -86,7 +87,7 @@ def _(spark, d):
     def chain(f, parts):
         f = X.rest_gap(f, parts, "start_ts", ORDER, short=30.0)
         return X.prior_load(f, parts, ORDER, "b2b", {"load_3": (3, 2), "load_5": (5, 3)})
-    return O.in_buckets(series(spark, d), KEY, ORDER, month(), 7, chain).select("event_id", "entity", "load_3", "load_5")
+    return O.in_buckets(series(spark, d), KEY, ORDER, hour(), 7, chain).select("event_id", "entity", "load_3", "load_5")
 
 
 @query("causal_effect", sql("""WITH t AS (SELECT event_id, venue, start_ts, is_final, coalesce(home_score - away_score, 0) AS margin FROM ev),
@@ -95,7 +96,7 @@ def _(spark, d):
 SELECT event_id, CASE WHEN n > 0 THEN s/n*(n/(n+25)) ELSE 0 END AS margin_effect FROM c""", EVENTS_SQL, r="margin_effect"))
 def _(spark, d):
     ev = events(spark, d).withColumn("margin", F.col("home_score") - F.col("away_score"))
-    return X.causal_effect(ev, "venue", ORDER, {"margin_effect": "margin"}, 25.0, "is_final", month()).select(
+    return X.causal_effect(ev, "venue", ORDER, {"margin_effect": "margin"}, 25.0, "is_final", hour()).select(
         "event_id", "margin_effect")
 
 
@@ -108,9 +109,9 @@ SELECT event_id, entity, coalesce(sum(k) OVER {W} ROWS BETWEEN 7 PRECEDING AND 1
     ewm_sql("SELECT *, coalesce(value_for/50, 0.905::DOUBLE) AS q FROM se", "entity", "start_ts, event_id", {"q": .25}),
     r="starter_quality")))
 def _(spark, d):
-    base = X.rest_gap(series(spark, d), KEY, "start_ts", ORDER, short=30.0, bucket=month()).withColumns({
+    base = X.rest_gap(series(spark, d), KEY, "start_ts", ORDER, short=30.0, cell=hour()).withColumns({
         "known": F.when(F.col("is_home") == 1, F.col("is_final")).otherwise(0), "quality": F.col("value_for") / 50})
-    return X.starter_load(base, KEY, ORDER, "known", "b2b", "quality", bucket=month()).select(
+    return X.starter_load(base, KEY, ORDER, "known", "b2b", "quality", cell=hour()).select(
         "event_id", "entity", "starts_last7", "starts_last14", "b2b_starter", "starter_uncertain", "starter_quality")
 
 
@@ -120,7 +121,7 @@ def _(spark, d):
       coalesce(value_for, 0) - coalesce(value_against, 0) AS disc, coalesce(value_against, 0) AS tk FROM se""", "entity",
       "start_ts, event_id", {"eff": .25, "disc": .25, "tk": .25}), r="eff_ewm discipline_ewm taken_ewm")))
 def _(spark, d):
-    return X.special_rates(series(spark, d), KEY, ORDER, "value_against", "value_for", "is_home", month(), fill="group").select(
+    return X.special_rates(series(spark, d), KEY, ORDER, "value_against", "value_for", "is_home", hour(), fill="group").select(
         "event_id", "entity", "eff_ewm", "discipline_ewm", "taken_ewm")
 
 
@@ -163,7 +164,7 @@ SELECT h.event_id, h.r5_value_for AS home_r5_value_for, a.r5_value_for AS away_r
 FROM f h JOIN f a ON h.event_id = a.event_id AND h.is_home = 1 AND a.is_home = 0""", *SER,
     r="home_r5_value_for away_r5_value_for diff_form"))
 def _(spark, d):
-    f = X.prior_mean(series(spark, d), KEY, ORDER, ["value_for"], (5,), month())
+    f = X.prior_mean(series(spark, d), KEY, ORDER, ["value_for"], (5,), hour())
     return X.pair_features(f, "event_id", ["r5_value_for"], {"r5_value_for": "form"})
 
 
@@ -216,7 +217,7 @@ def _(spark, d):
     (SELECT event_id, entity, start_ts, coalesce(value_for, 25.0) AS value_for, (value_for IS NULL)::INT AS proxy_used FROM se)""", *SER, r="value_for"))
 def _(spark, d):
     out = C.proxy_fill(series(spark, d), {"value_for": F.lit(25.0)})
-    out = O.windowed(out, KEY, ORDER, lambda w: {"proxy_used_lag": F.coalesce(F.lag("proxy_used").over(w), F.lit(0))}, 1, month())
+    out = O.windowed(out, KEY, ORDER, lambda w: {"proxy_used_lag": F.coalesce(F.lag("proxy_used").over(w), F.lit(0))}, 1, hour())
     return out.select("event_id", "entity", "value_for", "proxy_used", "proxy_used_lag")
 
 
@@ -289,7 +290,7 @@ SELECT event_id, line_id, player, n::BIGINT AS prior_count, greatest(-18, least(
       {"off36": .25, "def36": .25, "all36": .25, "mi": .35, "starter": .3, "played": .3}),
     r="offence_projection defence_projection overall_projection minutes_projection projection_confidence played_rate")))
 def _(spark, d):
-    return X.player_projection(players(spark, d), "player", ["ts", "appearance", "line_id", "minutes"], F.date_trunc("month", F.col("ts"))).select(
+    return X.player_projection(players(spark, d), "player", ["ts", "appearance", "line_id", "minutes"], F.date_trunc("hour", F.col("ts"))).select(
         "event_id", "line_id", "player", "prior_count", "offence_projection", "defence_projection", "overall_projection",
         "minutes_projection", "projection_confidence", "played_rate")
 
@@ -351,7 +352,7 @@ def _(spark, d):
     k = F.col("n_nationkey")
     places = table(spark, d, "nation").select(F.concat(F.lit("V"), k).alias("venue"), (3 * k - 40).cast("double").alias("lat"),
                                               (14 * k - 170).cast("double").alias("lon"), (k - 12).alias("utc_offset"))
-    return X.travel(series(spark, d), places, KEY, "start_ts", ORDER, "venue", month()).select(
+    return X.travel(series(spark, d), places, KEY, "start_ts", ORDER, "venue", hour()).select(
         "event_id", "entity", "travel_miles", "tz_change", "start_mismatch")
 
 
@@ -360,7 +361,7 @@ def _(spark, d):
 SELECT fold, role, count(*) AS n, sum(event_id)::BIGINT AS key_sum FROM (SELECT *, CASE WHEN i < lo THEN 'train' WHEN i < lo+sz THEN 'valid' END AS role FROM f) WHERE role IS NOT NULL GROUP BY 1, 2""", EVENTS_SQL))
 def _(spark, d):
     ev = events(spark, d).where("home_win is not null").select("event_id", "start_ts")
-    return X.time_folds(ev, ORDER, month(), 4, 200).groupBy("fold", "role").agg(
+    return X.time_folds(ev, ORDER, hour(), 4, 200).groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
 
 
@@ -379,13 +380,13 @@ def _(spark, d):
 SELECT event_id, CASE WHEN i < round_even(n*0.4::DOUBLE, 0) THEN 'train' WHEN i < round_even(n*0.7::DOUBLE, 0) THEN 'valid' ELSE 'test' END AS role FROM o""", EVENTS_SQL))
 def _(spark, d):
     ev = events(spark, d).where("home_win is not null").select("event_id", "start_ts")
-    return X.share_split(ev, ORDER, month(), {"train": .4, "valid": .3, "test": .3}).select("event_id", "role")
+    return X.share_split(ev, ORDER, hour(), {"train": .4, "valid": .3, "test": .3}).select("event_id", "role")
 
 
 @query("thin_curve", sql("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY start_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM ev)
 SELECT event_id FROM o WHERE i IN (SELECT (k*(n-1))//249 FROM range(250) r(k), (SELECT count(*) AS n FROM ev))""", EVENTS_SQL))
 def _(spark, d):
-    return X.thin(events(spark, d).select("event_id", "start_ts"), ORDER, month()).select("event_id")
+    return X.thin(events(spark, d).select("event_id", "start_ts"), ORDER, hour()).select("event_id")
 
 
 @query("top_players", sql("""SELECT team, player, rate, rank FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY rate DESC, player)::INT AS rank FROM

@@ -31,7 +31,7 @@ def frame(spark, d):
 def split(spark, d):
     """Written once: every fit reads it many times."""
     f = cut_lineage(frame(spark, d).where(F.col(LABEL).isNotNull()))
-    s = X.share_split(f, ORDER, F.date_trunc("month", F.col("start_ts")), {"train": .7, "test": .3})
+    s = X.share_split(f, ORDER, F.date_trunc("hour", F.col("start_ts")), {"train": .7, "test": .3})
     return s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
 
 
@@ -70,13 +70,14 @@ def _(spark, d):
     return spark.createDataFrame([("kept" if net else "dropped", float(loss["net"]), float(loss["rival"]))], "decision string, net double, rival double")
 
 
-def month():
-    return F.date_trunc("month", F.col("start_ts"))
+def hour():
+    """The cell of an order by start: ranges of rows are made of whole hours."""
+    return F.date_trunc("hour", F.col("start_ts"))
 
 
 def oof(spark, d):
     f = cut_lineage(frame(spark, d).where(F.col(LABEL).isNotNull()))
-    folds = cut_lineage(X.time_folds(f, ORDER, month(), 2, 300))
+    folds = cut_lineage(X.time_folds(f, ORDER, hour(), 2, 300))
     grid = {"ridge": M.logit_builder(COLS, LABEL, 0.05), "narrow": M.logit_builder(["lines", "price"], LABEL, 1.0)}
     return folds, grid
 
@@ -105,7 +106,7 @@ def _(spark, d):
 @query("nested_backtest")
 def _(spark, d):
     folds, grid = oof(spark, d)
-    return score_groups(M.nested_backtest(folds, grid, [1, 2], ORDER, month(), LABEL), ["model", "fold"], LABEL, "pred")
+    return score_groups(M.nested_backtest(folds, grid, [1, 2], ORDER, hour(), LABEL), ["model", "fold"], LABEL, "pred")
 
 
 @query("width_eval")
@@ -117,7 +118,7 @@ def _(spark, d):
 @query("recalibrate")
 def _(spark, d):
     s = cut_lineage(scored(spark, d).select("event_id", "start_ts", "prob", LABEL))
-    s = X.share_split(s, ORDER, month(), {"train": .7, "test": .3})
+    s = X.share_split(s, ORDER, hour(), {"train": .7, "test": .3})
     a, b = s.where("role = 'train'"), s.where("role = 'test'")
     out = None
     for m in ("platt", "isotonic"):

@@ -143,7 +143,7 @@ CARD_R = "mean_ending_bankroll mean_net_profit median_roi mean_roi mean_turnover
 
 def card(spark, d):
     c = cands(spark, d).withColumn("fold", F.year("start_ts"))
-    money = R.replay(c, policy_table(spark), ["model", "fold"], "day", "event_id", ["start_ts", "event_id"], F.date_trunc("month", "start_ts"))
+    money = R.replay(c, policy_table(spark), ["model", "fold"], "day", "event_id", ["start_ts", "event_id"], F.date_trunc("hour", "start_ts"))
     s = S.score_groups(scored(spark, d).withColumn("fold", F.year("start_ts")), ["model", "fold"], "home_win", "prob")
     return Z.scorecard(money.join(s.select("model", "fold", "log_loss", "brier", "ece", "auc"), ["model", "fold"]), ["model", "policy"])
 

@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("cumulative_events", sql("""SELECT event_id, model, sum(home_win) OVER (PARTITION BY model ORDER BY start_ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS wins_so_far FROM sc""", *BASE))
 def _(spark, d):
-    return K.prefix_sum(scored(spark, d), ["model"], ["start_ts", "event_id"], F.date_trunc("month", F.col("start_ts")),
+    return K.prefix_sum(scored(spark, d), ["model"], ["start_ts", "event_id"], F.date_trunc("hour", F.col("start_ts")),
                         {"wins_so_far": F.col("home_win")}).select("event_id", "model", "wins_so_far")
 
 
@@ -336,7 +336,7 @@ pa AS (SELECT *, greatest(5000, max(bankroll) OVER (PARTITION BY model, policy O
 
 @query("bankroll_path", sql("SELECT event_id, model, policy, bankroll, peak, peak-bankroll AS drawdown_dollars, (peak-bankroll)/peak AS drawdown_ratio FROM pa", *DEC, PATH_SQL, r="bankroll peak drawdown_dollars drawdown_ratio"))
 def _(spark, d):
-    return R.bankroll_path(cut_lineage(bets(spark, d)), ["model", "policy"], ["start_ts", "event_id"], F.date_trunc("month", "start_ts")).select(
+    return R.bankroll_path(cut_lineage(bets(spark, d)), ["model", "policy"], ["start_ts", "event_id"], F.date_trunc("hour", "start_ts")).select(
         "event_id", "model", "policy", "bankroll", "peak", "drawdown_dollars", "drawdown_ratio")
 
 
@@ -345,7 +345,7 @@ def _(spark, d):
     coalesce(sum((outcome='win')::INT)/nullif(sum((cap>0)::INT), 0), 0) AS win_rate FROM pa GROUP BY 1, 2""", *DEC, PATH_SQL,
     r="ending_bankroll net_profit total_risked roi turnover max_drawdown_ratio max_drawdown_dollars win_rate"))
 def _(spark, d):
-    return R.replay(cands(spark, d), D.policy_table(spark), ["model"], "day", "event_id", ["start_ts", "event_id"], F.date_trunc("month", "start_ts"))
+    return R.replay(cands(spark, d), D.policy_table(spark), ["model"], "day", "event_id", ["start_ts", "event_id"], F.date_trunc("hour", "start_ts"))
 
 
 LEDGER = """count(*) AS tracked, sum((outcome IN ('win','loss'))::INT)::BIGINT AS settled, sum((outcome='win')::INT)::BIGINT AS wins, sum((outcome='loss')::INT)::BIGINT AS losses,

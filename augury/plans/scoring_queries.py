@@ -211,7 +211,7 @@ SELECT mm.*, ece, mce, calibration_alpha, calibration_beta FROM mm JOIN bb USING
                       "model,event_id,window_rows"), r=METRICS + " calibration_alpha calibration_beta", ts="start_ts"))
 def _(spark, d):
     return S.drift(scored(spark, d), ["model", "league"], ["start_ts", "event_id"], "home_win", "prob",
-                   bucket=F.date_trunc("month", F.col("start_ts")))
+                   cell=F.date_trunc("hour", F.col("start_ts")))
 
 
 @query("pit_histogram", sql("""SELECT model, least(floor(prob*10), 9)::INT AS bin, count(*) AS n, avg(prob) AS mean_pit,

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from augury.functions.rules import Roles, leakage_audit, select_features
 from augury.operators import features as X, ordered as O
-from augury.operators.ordered import HOT_ROWS_CONF
+from augury.operators.ordered import RANGE_ROWS_CONF
 
 
 def day(n):
@@ -30,9 +30,9 @@ def gaps(spark):
 
 @pytest.fixture(params=[1_000_000, 50], ids=["plain", "split"])
 def limit(request, spark):
-    spark.conf.set(HOT_ROWS_CONF, str(request.param))
+    spark.conf.set(RANGE_ROWS_CONF, str(request.param))
     yield request.param
-    spark.conf.unset(HOT_ROWS_CONF)
+    spark.conf.unset(RANGE_ROWS_CONF)
 
 
 def frame(df, cols):
@@ -40,7 +40,7 @@ def frame(df, cols):
 
 
 def test_ewm_matches_pandas_with_gaps(gaps, limit):
-    got = frame(X.prior_ewm(gaps, ["k"], ["ts", "id"], ["x", "z"], bucket=F.date_trunc("month", "ts")), ["ewm_x", "ewm_z"])
+    got = frame(X.prior_ewm(gaps, ["k"], ["ts", "id"], ["x", "z"], cell=F.date_trunc("hour", "ts")), ["ewm_x", "ewm_z"])
     src = frame(gaps, ["x", "z"])
     for c in ("x", "z"):
         want = src.groupby("k")[c].transform(lambda s: s.astype(float).shift(1).ewm(alpha=0.2, adjust=False).mean())
@@ -48,13 +48,13 @@ def test_ewm_matches_pandas_with_gaps(gaps, limit):
 
 
 def test_dense_ewm_matches_pandas(gaps, limit):
-    got = frame(X.prior_ewm(gaps, ["k"], ["ts", "id"], {"z": 0.35}, nullable=False, bucket=F.date_trunc("month", "ts")), ["ewm_z"])
+    got = frame(X.prior_ewm(gaps, ["k"], ["ts", "id"], {"z": 0.35}, nullable=False, cell=F.date_trunc("hour", "ts")), ["ewm_z"])
     want = frame(gaps, ["z"]).groupby("k")["z"].transform(lambda s: s.shift(1).ewm(alpha=0.35, adjust=False).mean())
     assert np.allclose(got["ewm_z"].astype(float), want, atol=1e-9, equal_nan=True)
 
 
 def test_rolling_matches_pandas(gaps, limit):
-    got = frame(X.prior_mean(gaps, ["k"], ["ts", "id"], ["x"], (5, 14), F.date_trunc("month", "ts")), ["r5_x", "r14_x"])
+    got = frame(X.prior_mean(gaps, ["k"], ["ts", "id"], ["x"], (5, 14), F.date_trunc("hour", "ts")), ["r5_x", "r14_x"])
     src = frame(gaps, ["x"])
     for n in (5, 14):
         want = src.groupby("k")["x"].transform(lambda s: s.astype(float).shift(1).rolling(n, min_periods=1).mean())
@@ -62,7 +62,7 @@ def test_rolling_matches_pandas(gaps, limit):
 
 
 def test_running_totals_match_window(spark, gaps):
-    got = O.running_totals(gaps, ["k"], ["ts", "id"], F.date_trunc("month", "ts"), {"s": F.col("z")})
+    got = O.running_totals(gaps, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"), {"s": F.col("z")})
     want = gaps.withColumn("s", F.sum("z").over(Window.partitionBy("k").orderBy("ts", "id")))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
@@ -71,7 +71,7 @@ def test_causal_effect_matches_loop(spark):
     rng = np.random.default_rng(12)
     rows = [(i, str(rng.choice(list("uvw"))), day(i), int(rng.random() < 0.8), float(rng.normal(3, 9))) for i in range(80)]
     ev = spark.createDataFrame(rows, "event_id int, venue string, ts timestamp, is_final int, margin double")
-    got = {r["event_id"]: r["effect"] for r in X.causal_effect(ev, "venue", ["ts", "event_id"], {"effect": "margin"}, 7.5, "is_final", F.date_trunc("month", "ts")).collect()}
+    got = {r["event_id"]: r["effect"] for r in X.causal_effect(ev, "venue", ["ts", "event_id"], {"effect": "margin"}, 7.5, "is_final", F.date_trunc("hour", "ts")).collect()}
     for i, v, _, _, _ in rows:
         past = [m for j, u, _, done, m in rows if j < i and u == v and done]
         assert got[i] == pytest.approx(np.mean(past) * len(past) / (len(past) + 7.5) if past else 0.0)
