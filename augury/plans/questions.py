@@ -58,9 +58,13 @@ def _(spark, d):
     return Z.standings(nation_events(spark, d))
 
 
-@query("title_odds")
+@query("title_odds", sql("""WITH z AS (SELECT sd6.*, (SELECT min(strength) FROM sd4 WHERE pos <= 16) AS last, sum(raw) OVER () - raw AS rest, ln(mean_rate/(1-mean_rate)) AS lo, 1.6448536269514722::DOUBLE*sqrt(1/(wins+1.0::DOUBLE) + 1/(losses+1.0::DOUBLE)) AS w, ln(0.85::DOUBLE/0.15::DOUBLE) AS g FROM sd6),
+    m AS (SELECT *, greatest(-g, least(g, lo - w)) AS s0, greatest(-g, least(g, lo + w)) AS s1 FROM z),
+    q AS (SELECT *, 1/(1+exp(-(s0-last)/0.30::DOUBLE))*exp(1.75::DOUBLE*s0) AS r0, 1/(1+exp(-(s1-last)/0.30::DOUBLE))*exp(1.75::DOUBLE*s1) AS r1 FROM m)
+SELECT entity, wins, losses, played, mean_rate, strength, title_share, row_number() OVER (ORDER BY round(title_share, 12) DESC, entity)::INT AS rank, r0/(rest+r0) AS low_90, r1/(rest+r1) AS high_90 FROM q""",
+    EVENTS_SQL, STAND_SQL, r="mean_rate strength title_share low_90 high_90"))
 def _(spark, d):
-    return Z.title_odds(nation_events(spark, d), draws=2000)
+    return Z.title_odds(nation_events(spark, d))
 
 
 RATE_SQL = """
