@@ -1,13 +1,14 @@
 """Replays of staking policies: bankroll paths, ledgers, sweeps, snapshots."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import monday_of, snap
 from augury.session import cut_lineage
-from augury.operators.decisions import (REFERENCE_BANKROLL, START_BANKROLL, cap_daily, decide, round_stake,
+from augury.operators.decisions import (REFERENCE_BANKROLL, ROUND_TO, START_BANKROLL, cap_daily, decide, round_stake,
                                         settle)
 from augury.operators.temporal import asof_forecast, asof_snapshot
 from augury.operators.prices import best_prices
@@ -135,11 +136,11 @@ def risk_regime(changes: DataFrame, model: str, day: str, watched: Sequence[str]
 
 
 def replay_snapshots(cands: DataFrame, policies: DataFrame, active: DataFrame, run: str, day: str, activation: str, event: str,
-                     label: str = "home_win") -> DataFrame:
-    """Each activated run replayed from its activation day on: daily and cumulative money per policy."""
+                     label: str = "home_win", by: Sequence[str] = ()) -> DataFrame:
+    """Each activated run replayed from its activation day on: daily and cumulative money per policy, and per ``by``."""
     sel = active.select(F.col(run), F.col(activation).alias("activation_day"))
     rows = cands.join(sel, run).where(F.col(day) >= F.col("activation_day"))
-    keys = [run, "activation_day"]
+    keys = [*by, run, "activation_day"]
     bets = play(rows, policies, keys, day, event, label=label)
     b = is_bet()
     d = bets.groupBy(*keys, "policy", day).agg(
@@ -176,22 +177,25 @@ GRID = {"min_edge": (0.025, 0.03, 0.035), "min_ev": (0.015, 0.02, 0.025), "stake
 MIN_BETS, MIN_DAYS, COVERAGE_EVENTS, COVERAGE_DAYS = 3, 2, 60, 20
 
 
-def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team", label: str = "home_win", grid: dict = GRID) -> DataFrame:
-    """Daily-profit statistics of every policy in the grid, the efficient frontier, and three picks.
+def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team", label: str = "home_win", grid: dict = GRID, by: Sequence[str] = ()) -> DataFrame:
+    """Daily-profit statistics of every policy in the grid, the efficient frontier, and three picks, per group of ``by``.
 
     The side, edge and value of a bet do not depend on the policy, so only gates and stakes vary. A day's
-    budget holds at most ``budget / 5`` bets, so per (day, gates, scale) only that many top-ranked bets
+    budget holds at most budget / unit bets, as every stake is a unit or more, so per (day, gates, scale) only that many top-ranked bets
     (with ties) can count: the rank filter prunes inside the map tasks and leaves a bounded number of rows
     per day. The day budgets stay side by side as an array.
     """
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    most = int(max(grid["max_day_pct"]) / 100 * REFERENCE_BANKROLL / 5)
+    if min(grid["max_day_pct"]) <= 0 or min(grid["max_bet_pct"]) <= 0:
+        raise ValueError("a sweep needs day and bet limits above zero: without them no rank bounds the bets of a day")
+    by = list(by)
+    most = math.ceil(max(grid["max_day_pct"]) / 100 * REFERENCE_BANKROLL / ROUND_TO)
     settled = cands.where(F.col(label).isNotNull())
-    days = settled.agg(F.countDistinct(day).alias("total_days"), F.count(F.lit(1)).alias("settled_events"))
+    days = settled.groupBy(*by).agg(F.countDistinct(day).alias("total_days"), F.count(F.lit(1)).alias("settled_events"))
     won = ((F.col("cand_side") == "home") & (F.col(label) == 1)) | ((F.col("cand_side") == "away") & (F.col(label) == 0))
     unit = F.when(~won, -1.0).when(F.col("cand_price") > 0, F.col("cand_price") / 100).otherwise(100 / F.abs("cand_price"))
     base = settled.where(F.col("priced") & F.col("positive") & (F.col("cand_edge") >= min(grid["min_edge"])) & (F.col("cand_ev") >= min(grid["min_ev"])))
-    base = base.select(F.col(day).alias("day"), F.col(event).alias("_e"), F.col(team).alias("_t"), "cand_ev", "cand_edge", "base_share",
+    base = base.select(*by, F.col(day).alias("day"), F.col(event).alias("_e"), F.col(team).alias("_t"), "cand_ev", "cand_edge", "base_share",
                        (F.col("cand_price") > 0).alias("_dog"), unit.alias("_u"))
     for name in ("min_edge", "min_ev", "stake_scale"):
         base = base.withColumn(name, F.explode(lits(grid[name])))
@@ -200,12 +204,12 @@ def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team"
     amount = snap(REFERENCE_BANKROLL * F.col("stake_scale") * F.col("base_share"), 9)
     base = base.where(round_stake(amount) > 0)
     gates = ["allow_underdogs", "min_edge", "min_ev", "stake_scale"]
-    rank = F.rank().over(Window.partitionBy("day", *gates).orderBy(F.col("cand_ev").desc(), F.col("cand_edge").desc()))
+    rank = F.rank().over(Window.partitionBy(*by, "day", *gates).orderBy(F.col("cand_ev").desc(), F.col("cand_edge").desc()))
     base = base.withColumn("_r", rank).where(F.col("_r") <= most)
     base = base.withColumn("max_bet_pct", F.explode(lits(grid["max_bet_pct"])))
     stake = round_stake(snap(REFERENCE_BANKROLL * F.least(F.col("max_bet_pct") / 100, F.col("stake_scale") * F.col("base_share")), 9))
     base = base.withColumn("_s", stake)
-    keys = [*gates, "max_bet_pct"]
+    keys = [*by, *gates, "max_bet_pct"]
     order = [F.col("cand_ev").desc(), F.col("cand_edge").desc(), F.col("_s").desc(), F.col("_t"), F.col("_e")]
     before = F.coalesce(F.sum("_s").over(Window.partitionBy("day", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     base = base.withColumn("_before", before)
@@ -228,7 +232,8 @@ def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team"
         c = a["c"] + e["x"]
         pk = F.greatest(a["pk"], c)
         return F.struct(c.alias("c"), pk.alias("pk"), F.greatest(a["dd"], pk - c).alias("dd"), F.least(a["lo"], c).alias("lo"))
-    conf = conf.withColumn("_f", F.aggregate("_path", start, step)).crossJoin(F.broadcast(days))  # one row
+    conf = conf.withColumn("_f", F.aggregate("_path", start, step))
+    conf = conf.join(days, by) if by else conf.crossJoin(F.broadcast(days))  # one row per group
     n = F.col("total_days")
     mean = F.col("total_profit") / n
     var = F.greatest((F.col("_sq") - n * mean * mean) / (n - 1), F.lit(0.0))
@@ -242,12 +247,12 @@ def policy_sweep(cands: DataFrame, day: str, event: str, team: str = "cand_team"
         "settled_bets", "active_days", "total_days", "settled_events")
     conf = conf.where((F.col("settled_bets") >= MIN_BETS) & (F.col("active_days") >= MIN_DAYS) & (F.col("total_risked") > 0) & (F.col("total_days") >= 2)
                       & (F.col("settled_events") >= COVERAGE_EVENTS) & (F.col("total_days") >= COVERAGE_DAYS))
-    return _frontier(conf, [*keys, "max_day_pct"])
+    return _frontier(conf, [*gates, "max_bet_pct", "max_day_pct"], by)
 
 
-def _frontier(conf: DataFrame, ids: list[str]) -> DataFrame:
-    """Mark the frontier and the picks. The table has one row per grid point, so one window is enough."""
-    one = Window.partitionBy(F.lit(1))
+def _frontier(conf: DataFrame, ids: list[str], by: list[str]) -> DataFrame:
+    """Mark the frontier and the picks. A group has one row per grid point, so one window is enough."""
+    one = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     tie = [F.col("allow_underdogs").desc(), *[F.col(c) for c in ids if c != "allow_underdogs"]]
     good = (F.col("mean_daily_profit") > 0) & F.col("log_growth").isNotNull()
     m, v, s, g = (F.col(c) for c in ("mean_daily_profit", "daily_volatility", "sharpe", "log_growth"))

@@ -168,13 +168,13 @@ def _(spark, d):
 
 
 # ---- questions ----------------------------------------------------------------------------------
-@query("q_bet_summary", sql(f"SELECT policy, {LEDGER}, min(start_ts) AS first_day, max(start_ts) AS last_day FROM bt WHERE model = 'm_n1' AND home_win IS NOT NULL AND start_ts::DATE = (SELECT max(start_ts)::DATE - 1 FROM bt) GROUP BY 1", *DEC,
+@query("q_bet_summary", sql(f"SELECT model, policy, {LEDGER}, min(start_ts) AS first_day, max(start_ts) AS last_day FROM bt WHERE home_win IS NOT NULL AND start_ts::DATE = (SELECT max(start_ts)::DATE - 1 FROM bt) GROUP BY 1, 2", *DEC,
     r="risked profit roi bankroll", day="first_day last_day"))
 def _(spark, d):
-    b = bets(spark, d).where("model = 'm_n1'")
+    b = bets(spark, d)
     last = events(spark, d).join(named_forecasts(spark, d).select("event_id").distinct(), "event_id", "left_semi").agg(F.date_sub(F.to_date(F.max("start_ts")), 1).alias("_y"))
     y = b.where("home_win is not null").crossJoin(F.broadcast(last)).where(F.col("day") == F.col("_y"))  # one row
-    return R.ledger_summary(y, ["policy"], "day")
+    return R.ledger_summary(y, ["model", "policy"], "day")
 
 
 @query("q_next_event", sql("""SELECT event_id, home, away, start_ts, CASE WHEN home = 'S7' THEN prob ELSE 1-prob END AS entity_prob, (home='S7')::INT AS is_home, lo, hi FROM up WHERE home = 'S7' OR away = 'S7'

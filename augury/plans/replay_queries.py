@@ -403,29 +403,28 @@ def _(spark, d):
 
 SNAPR_SQL = """
 sd AS (SELECT b.run_id, b.model, a.day AS activation_day, b.policy, b.start_ts::DATE AS day, count(*) AS slate, sum((outcome IN ('win','loss'))::INT)::BIGINT AS bets, sum((outcome='win')::INT)::BIGINT AS wins,
-  sum(CASE WHEN outcome IN ('win','loss') THEN cap ELSE 0 END) AS risked, sum(profit) AS profit FROM bt b JOIN ac a ON a.run_id = b.run_id AND b.start_ts::DATE >= a.day WHERE b.model = 'm_n1' GROUP BY ALL),
-sr AS (SELECT *, sum(profit) OVER w AS cumulative_profit, sum(risked) OVER w AS cumulative_risked FROM sd WINDOW w AS (PARTITION BY run_id, policy ORDER BY day ROWS UNBOUNDED PRECEDING))"""
+  sum(CASE WHEN outcome IN ('win','loss') THEN cap ELSE 0 END) AS risked, sum(profit) AS profit FROM bt b JOIN ac a ON a.run_id = b.run_id AND b.start_ts::DATE >= a.day GROUP BY ALL),
+sr AS (SELECT *, sum(profit) OVER w AS cumulative_profit, sum(risked) OVER w AS cumulative_risked FROM sd WINDOW w AS (PARTITION BY model, run_id, policy ORDER BY day ROWS UNBOUNDED PRECEDING))"""
 
 
 def snapshots(spark, d):
-    c = cands(spark, d, run=True).where("model = 'm_n1'")
-    return R.replay_snapshots(c, D.policy_table(spark), active(spark, d), "run_id", "day", "day", "event_id")
+    return R.replay_snapshots(cands(spark, d, run=True), D.policy_table(spark), active(spark, d), "run_id", "day", "day", "event_id", by=["model"])
 
 
-@query("replay_snapshots", sql("SELECT run_id, activation_day, policy, day, slate, bets, wins, risked, profit, cumulative_profit, cumulative_risked, coalesce(cumulative_profit/nullif(cumulative_risked, 0), 0) AS cumulative_roi FROM sr",
+@query("replay_snapshots", sql("SELECT model, run_id, activation_day, policy, day, slate, bets, wins, risked, profit, cumulative_profit, cumulative_risked, coalesce(cumulative_profit/nullif(cumulative_risked, 0), 0) AS cumulative_roi FROM sr",
     *run_sql(ACT_SQL, SNAPR_SQL), r="risked profit cumulative_profit cumulative_risked cumulative_roi", day="activation_day day"))
 def _(spark, d):
     return snapshots(spark, d)
 
 
-@query("continuity", sql("""WITH pt AS (SELECT run_id, activation_day, policy, day, 5000 + cumulative_profit AS bankroll FROM sr),
-    ch AS (SELECT DISTINCT policy, run_id, activation_day FROM pt), cx AS (SELECT *, lead(activation_day) OVER (PARTITION BY policy ORDER BY activation_day) AS nx FROM ch),
-    g AS (SELECT c.policy, c.run_id, c.activation_day, coalesce(arg_max(bankroll, day) FILTER (day < nx), arg_max(bankroll, day)) - 5000 AS gain FROM cx c JOIN pt USING (policy, run_id) GROUP BY 1, 2, 3),
-    o AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY policy ORDER BY activation_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM g)
-SELECT p.policy, p.run_id, p.day, 5000+off AS start_bankroll, bankroll+off AS bankroll FROM pt p JOIN o USING (policy, run_id)""", *run_sql(ACT_SQL, SNAPR_SQL), r="start_bankroll bankroll", day="day"))
+@query("continuity", sql("""WITH pt AS (SELECT model, run_id, activation_day, policy, day, 5000 + cumulative_profit AS bankroll FROM sr),
+    ch AS (SELECT DISTINCT model, policy, run_id, activation_day FROM pt), cx AS (SELECT *, lead(activation_day) OVER (PARTITION BY model, policy ORDER BY activation_day) AS nx FROM ch),
+    g AS (SELECT c.model, c.policy, c.run_id, c.activation_day, coalesce(arg_max(bankroll, day) FILTER (day < nx), arg_max(bankroll, day)) - 5000 AS gain FROM cx c JOIN pt USING (model, policy, run_id) GROUP BY 1, 2, 3, 4),
+    o AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY model, policy ORDER BY activation_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM g)
+SELECT p.model, p.policy, p.run_id, p.day, 5000+off AS start_bankroll, bankroll+off AS bankroll FROM pt p JOIN o USING (model, policy, run_id)""", *run_sql(ACT_SQL, SNAPR_SQL), r="start_bankroll bankroll", day="day"))
 def _(spark, d):
-    pts = snapshots(spark, d).select("run_id", "activation_day", "policy", "day", (5000 + F.col("cumulative_profit")).alias("bankroll"))
-    return R.continuity(pts, ["policy"], "run_id", "activation_day", "day", "bankroll").select("policy", "run_id", "day", "start_bankroll", "bankroll")
+    pts = snapshots(spark, d).select("model", "run_id", "activation_day", "policy", "day", (5000 + F.col("cumulative_profit")).alias("bankroll"))
+    return R.continuity(pts, ["model", "policy"], "run_id", "activation_day", "day", "bankroll").select("model", "policy", "run_id", "day", "start_bankroll", "bankroll")
 
 
 @query("replay_variant", sql(f"""WITH v AS (SELECT * REPLACE (CASE WHEN vd THEN 0 ELSE cap END AS cap, CASE WHEN vd THEN 'no_bet' ELSE outcome END AS outcome, CASE WHEN vd THEN 0 ELSE profit END AS profit)
@@ -467,44 +466,44 @@ def _(spark, d):
 
 
 SWEEP_SQL = """
-sx AS (SELECT * FROM cn WHERE model = 'm_n1' AND home_win IS NOT NULL),
-sn AS (SELECT count(DISTINCT start_ts) AS total_days, count(*) AS settled_events FROM sx),
+sx AS (SELECT * FROM cn WHERE home_win IS NOT NULL),
+sn AS (SELECT model, count(DISTINCT start_ts) AS total_days, count(*) AS settled_events FROM sx GROUP BY 1),
 sg AS (SELECT a.v AS allow_underdogs, b.v AS min_edge, c.v AS min_ev, e.v AS stake_scale, f.v AS max_bet_pct, g.v AS max_day_pct FROM (VALUES (1),(0)) a(v), (VALUES (0.025::DOUBLE),(0.03),(0.035)) b(v), (VALUES (0.015::DOUBLE),(0.02),(0.025)) c(v),
   (VALUES (0.2::DOUBLE),(0.25),(0.33),(0.5),(0.6),(0.75),(1.0)) e(v), (VALUES (0.5::DOUBLE),(0.75),(1),(1.25),(1.5),(1.75),(2)) f(v), (VALUES (1.5::DOUBLE),(2),(2.5),(3),(4),(5),(6)) g(v)),
-sk AS (SELECT sg.*, start_ts, event_id, team, cev, ced, floor(round(10000*least(max_bet_pct/100, stake_scale*sh), 9)/5+0.5)*5 AS s,
+sk AS (SELECT model, sg.*, start_ts, event_id, team, cev, ced, floor(round(10000*least(max_bet_pct/100, stake_scale*sh), 9)/5+0.5)*5 AS s,
   CASE WHEN (cs='home') <> (home_win=1) THEN -1 WHEN cp > 0 THEN cp/100 ELSE 100/abs(cp) END AS u FROM sx, sg WHERE priced AND positive AND ced >= min_edge AND cev >= min_ev AND NOT (cp > 0 AND allow_underdogs = 0)),
-sc2 AS (SELECT *, max_day_pct*100 - coalesce(sum(s) OVER (PARTITION BY allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, start_ts ORDER BY cev DESC, ced DESC, s DESC, team, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lf FROM sk WHERE s >= 5),
-sdy AS (SELECT allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, start_ts, sum(least(s, greatest(lf, 0))*u) AS x, sum(least(s, greatest(lf, 0))) AS rk, sum((lf > 0)::INT) AS nb FROM sc2 GROUP BY ALL),
-spt AS (SELECT *, sum(x) OVER (PARTITION BY allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ORDER BY start_ts ROWS UNBOUNDED PRECEDING) AS cum FROM sdy),
-spk AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ORDER BY start_ts ROWS UNBOUNDED PRECEDING)) - cum AS dd FROM spt),
-sm AS (SELECT allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, sum(x) AS tp, sum(rk) AS tr, sum(nb)::BIGINT AS settled_bets, sum((abs(x) > 1e-9)::INT)::BIGINT AS active_days, sum(x*x) AS sq, sum(CASE WHEN x < 0 THEN x*x ELSE 0 END) AS dn,
-  max(dd) AS mdd, least(0, min(cum)) AS lo FROM spk GROUP BY 1, 2, 3, 4, 5, 6),
-so AS (SELECT allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, round(tp/total_days, 6) AS mean_daily_profit, round(sqrt(greatest((sq-total_days*(tp/total_days)*(tp/total_days))/(total_days-1), 0)), 6) AS daily_volatility,
+sc2 AS (SELECT *, max_day_pct*100 - coalesce(sum(s) OVER (PARTITION BY model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, start_ts ORDER BY cev DESC, ced DESC, s DESC, team, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lf FROM sk WHERE s >= 5),
+sdy AS (SELECT model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, start_ts, sum(least(s, greatest(lf, 0))*u) AS x, sum(least(s, greatest(lf, 0))) AS rk, sum((lf > 0)::INT) AS nb FROM sc2 GROUP BY ALL),
+spt AS (SELECT *, sum(x) OVER (PARTITION BY model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ORDER BY start_ts ROWS UNBOUNDED PRECEDING) AS cum FROM sdy),
+spk AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ORDER BY start_ts ROWS UNBOUNDED PRECEDING)) - cum AS dd FROM spt),
+sm AS (SELECT model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, sum(x) AS tp, sum(rk) AS tr, sum(nb)::BIGINT AS settled_bets, sum((abs(x) > 1e-9)::INT)::BIGINT AS active_days, sum(x*x) AS sq, sum(CASE WHEN x < 0 THEN x*x ELSE 0 END) AS dn,
+  max(dd) AS mdd, least(0, min(cum)) AS lo FROM spk GROUP BY 1, 2, 3, 4, 5, 6, 7),
+so AS (SELECT model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, round(tp/total_days, 6) AS mean_daily_profit, round(sqrt(greatest((sq-total_days*(tp/total_days)*(tp/total_days))/(total_days-1), 0)), 6) AS daily_volatility,
   round(sqrt(dn/total_days), 6) AS downside_deviation, round(coalesce(tp/total_days/nullif(sqrt(greatest((sq-total_days*(tp/total_days)*(tp/total_days))/(total_days-1), 0)), 0), 0), 6) AS sharpe,
-  CASE WHEN 5000+lo > 0 THEN round(ln((5000+tp)/5000)/settled_bets, 6) END AS log_growth, round(mdd, 6) AS max_drawdown_dollars, round(tp, 6) AS total_profit, round(tr, 6) AS total_risked, round(tp/tr, 6) AS roi, settled_bets, active_days, total_days, settled_events FROM sm, sn)"""
+  CASE WHEN 5000+lo > 0 THEN round(ln((5000+tp)/5000)/settled_bets, 6) END AS log_growth, round(mdd, 6) AS max_drawdown_dollars, round(tp, 6) AS total_profit, round(tr, 6) AS total_risked, round(tp/tr, 6) AS roi, settled_bets, active_days, total_days, settled_events FROM sm JOIN sn USING (model) WHERE total_days >= 20 AND settled_events >= 60)"""
 
 
 @query("policy_sweep", sql("SELECT * FROM so WHERE settled_bets >= 3 AND active_days >= 2", EVENTS_SQL, FORECASTS_SQL, MKT_SQL, SWEEP_SQL,
-    r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility downside_deviation sharpe max_drawdown_dollars total_profit total_risked roi log_growth"))
+    r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility downside_deviation sharpe max_drawdown_dollars total_profit total_risked roi log_growth", digits=5), digits=5)  # the operator rounds to 6 digits itself
 def _(spark, d):
-    return R.policy_sweep(cands(spark, d).where("model = 'm_n1'"), "day", "event_id").drop("on_frontier", "pick")
+    return R.policy_sweep(cands(spark, d), "day", "event_id", by=["model"]).drop("on_frontier", "pick")
 
 
 PICK_SQL = """
 sq AS (SELECT *, mean_daily_profit > 0 AND log_growth IS NOT NULL AS good FROM so WHERE settled_bets >= 3 AND active_days >= 2),
-sf AS (SELECT *, max(CASE WHEN good THEN mean_daily_profit END) OVER (ORDER BY daily_volatility, mean_daily_profit DESC, sharpe DESC, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM sq),
+sf AS (SELECT *, max(CASE WHEN good THEN mean_daily_profit END) OVER (PARTITION BY model ORDER BY daily_volatility, mean_daily_profit DESC, sharpe DESC, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM sq),
 sfr AS (SELECT *, (good AND (pm IS NULL OR mean_daily_profit > pm))::INT AS on_frontier FROM sf),
-ra AS (SELECT * FROM sfr WHERE on_frontier = 1 ORDER BY log_growth DESC, sharpe DESC, mean_daily_profit DESC, daily_volatility, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct LIMIT 1),
-ag AS (SELECT s.* FROM sfr s, ra WHERE s.good AND (s.allow_underdogs, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct) <> (ra.allow_underdogs, ra.min_edge, ra.min_ev, ra.stake_scale, ra.max_bet_pct, ra.max_day_pct)
-   ORDER BY (s.on_frontier = 1 AND s.mean_daily_profit >= ra.mean_daily_profit AND s.daily_volatility >= ra.daily_volatility) DESC, s.mean_daily_profit DESC, s.total_profit DESC, s.sharpe DESC, s.allow_underdogs DESC, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct LIMIT 1),
-cpk AS (SELECT * FROM sfr WHERE good AND allow_underdogs = 0 ORDER BY downside_deviation, max_drawdown_dollars, daily_volatility, mean_daily_profit DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct LIMIT 1)"""
-PICK_COLS = "allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, mean_daily_profit, daily_volatility"
+ra AS (SELECT * FROM sfr WHERE on_frontier = 1 QUALIFY row_number() OVER (PARTITION BY model ORDER BY log_growth DESC, sharpe DESC, mean_daily_profit DESC, daily_volatility, allow_underdogs DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct) = 1),
+ag AS (SELECT s.* FROM sfr s JOIN ra ON ra.model = s.model WHERE s.good AND (s.allow_underdogs, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct) <> (ra.allow_underdogs, ra.min_edge, ra.min_ev, ra.stake_scale, ra.max_bet_pct, ra.max_day_pct)
+   QUALIFY row_number() OVER (PARTITION BY s.model ORDER BY (s.on_frontier = 1 AND s.mean_daily_profit >= ra.mean_daily_profit AND s.daily_volatility >= ra.daily_volatility) DESC, s.mean_daily_profit DESC, s.total_profit DESC, s.sharpe DESC, s.allow_underdogs DESC, s.min_edge, s.min_ev, s.stake_scale, s.max_bet_pct, s.max_day_pct) = 1),
+cpk AS (SELECT * FROM sfr WHERE good AND allow_underdogs = 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY downside_deviation, max_drawdown_dollars, daily_volatility, mean_daily_profit DESC, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct) = 1)"""
+PICK_COLS = "model, allow_underdogs, min_edge, min_ev, stake_scale, max_bet_pct, max_day_pct, mean_daily_profit, daily_volatility"
 
 
 @query("policy_picks", sql(f"SELECT 'riskAdjusted' AS pick, {PICK_COLS} FROM ra UNION ALL SELECT 'aggressive', {PICK_COLS} FROM ag UNION ALL SELECT 'capitalPreservation', {PICK_COLS} FROM cpk",
     EVENTS_SQL, FORECASTS_SQL, MKT_SQL, SWEEP_SQL, PICK_SQL, r="min_edge min_ev stake_scale max_bet_pct max_day_pct mean_daily_profit daily_volatility"))
 def _(spark, d):
-    s = R.policy_sweep(cands(spark, d).where("model = 'm_n1'"), "day", "event_id").where("pick <> ''")
+    s = R.policy_sweep(cands(spark, d), "day", "event_id", by=["model"]).where("pick <> ''")
     return s.select(F.explode(F.split("pick", ",")).alias("pick"), *PICK_COLS.split(", "))
 
 

@@ -158,14 +158,11 @@ def _(spark, d):
 
 @query("backtest_metrics", sql("SELECT b.*, calibration_alpha, calibration_beta FROM bundle b JOIN fit USING (model)",
     EVENTS_SQL, FORECASTS_SQL,
-    """wide AS (SELECT u.model, e.home_win, u.prob AS p FROM (SELECT event_id, avg(CASE WHEN model='m_a1' THEN prob END) AS m1,
-         avg(CASE WHEN model='m_n1' THEN prob END) AS m2, avg(CASE WHEN model='m_r1' THEN prob END) AS m3 FROM fc GROUP BY 1) w
-       JOIN ev e USING (event_id), LATERAL (VALUES ('m_a1', m1), ('m_n1', m2), ('m_r1', m3)) u(model, prob)
-       WHERE e.home_win IS NOT NULL AND u.prob IS NOT NULL)""",
+    """wide AS (SELECT f.model, e.home_win, f.p FROM (SELECT event_id, model, avg(prob) AS p FROM fc GROUP BY 1, 2) f JOIN ev e USING (event_id) WHERE e.home_win IS NOT NULL)""",
     bundle_sql("SELECT * FROM wide", "model"), newton_sql("SELECT * FROM wide", "model"),
     r=METRICS + " calibration_alpha calibration_beta"))
 def _(spark, d):
-    models = ["m_a1", "m_n1", "m_r1"]
+    models = ["m_a1", "m_n0", "m_n1", "m_r0", "m_r1"]
     wide = named_forecasts(spark, d).groupBy("event_id").agg(
         *[F.avg(F.when(F.col("model") == m, F.col("prob"))).alias(m) for m in models])
     wide = wide.join(events(spark, d).select("event_id", "home_win"), "event_id")
