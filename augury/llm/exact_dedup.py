@@ -29,9 +29,11 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
 
     bucket = F.pmod(F.shiftright("row", 33), F.lit(BUCKETS))
-    seen = base.groupBy(bucket.alias("bucket")).agg(F.expr(f"approx_top_k(hex(digest), {tracked // 4}, {tracked})").alias("top"))
-    # At most BUCKETS * tracked / 4 digests by construction; a sketch only lists what it knows to be frequent.
-    named = seen.select(F.explode("top").alias("t")).select(F.unhex("t.item").alias("digest")).distinct()
+    seen = base.groupBy(bucket.alias("bucket")).agg(F.expr(f"approx_top_k(hex(digest), {tracked // 4}, {tracked})").alias("top"), F.count(F.lit(1)).alias("rows"))
+    # Estimates never lie below the count, so a digest with the share of a bucket is listed there: about BUCKETS / share
+    # digests at most.
+    named = seen.select("rows", F.explode("top").alias("t")).where(F.col("t.count") >= F.greatest(F.lit(2), F.lit(share) * F.col("rows")))
+    named = named.select(F.unhex("t.item").alias("digest")).distinct()
     need = F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("rows")))
     total = base.agg(F.count(F.lit(1)).alias("rows"))
     heavy = (base.join(F.broadcast(named), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(best).alias("best"))
