@@ -148,6 +148,30 @@ def _(spark, d):
     return N.team_totals(box(spark, d), ["event_id"]).select("event_id", "team", "players", "minutes", "points")
 
 
+@query("flatten_goalies", sql("""WITH l AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'HOM' ELSE 'AWY' END AS team FROM lineitem),
+    t AS (SELECT l_orderkey AS event_id, sum((team = 'HOM')::INT) AS hs, sum((team = 'AWY')::INT) AS s_a, sum((team = 'HOM' AND l_tax >= 0.04)::INT) AS hp, sum((team = 'AWY' AND l_tax >= 0.04)::INT) AS ap,
+      sum((team = 'HOM' AND l_discount >= 0.05 AND l_returnflag = 'R')::INT) AS hg, sum((team = 'AWY' AND l_discount >= 0.05 AND l_returnflag = 'R')::INT) AS ag FROM l GROUP BY 1),
+    s AS (SELECT event_id, 'HOM' AS team, 1 AS is_home, hs AS sf, s_a AS sa, hp AS tk, ap AS dr, hg AS pp FROM t UNION ALL SELECT event_id, 'AWY', 0, s_a, hs, ap, hp, ag FROM t)
+SELECT s.event_id, s.team, is_home, l_partkey AS goalie_id, CASE WHEN l_returnflag = 'A' THEN 'confirmed' ELSE 'probable' END AS starter_status, (l_quantity + 3)::BIGINT AS shots_against, l_quantity::BIGINT AS saves,
+      l_quantity + 0.5 AS toi_minutes, NULL::BIGINT AS shots_for, CASE WHEN tk + dr > 0 THEN tk::BIGINT END AS penalties_taken, CASE WHEN tk + dr > 0 THEN dr::BIGINT END AS penalties_drawn, pp::BIGINT AS pp_goals FROM s JOIN l ON l_orderkey = event_id AND l.team = s.team
+    UNION ALL SELECT event_id, team, is_home, NULL, 'unknown', sa::BIGINT, NULL, NULL, sf::BIGINT, CASE WHEN tk + dr > 0 THEN tk::BIGINT END, CASE WHEN tk + dr > 0 THEN dr::BIGINT END, pp::BIGINT FROM s""", r="toi_minutes"))
+def _(spark, d):
+    """Order lines written as the feed's two documents, and read back."""
+    home = F.col("l_linestatus") == "O"
+    abbrev = F.struct(F.when(home, "HOM").otherwise("AWY").alias("default")).alias("teamAbbrev")
+    goalie = F.struct(F.col("l_partkey").alias("playerId"), (F.col("l_returnflag") == "A").alias("starter"), (F.col("l_quantity") + 3).cast("long").alias("shotsAgainst"),
+                      F.col("l_quantity").cast("long").alias("saves"), F.concat(F.col("l_quantity").cast("int"), F.lit(":30")).alias("toi"))
+    goal = F.struct(F.when(F.col("l_returnflag") == "R", "PP").otherwise("ev").alias("strength"), abbrev)
+    of = lambda cond, x: F.collect_list(F.when(cond, x))
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(
+        of(home, goalie).alias("h"), of(~home, goalie).alias("a"), of(F.col("l_tax") >= 0.04, F.struct(abbrev)).alias("f"), of(F.col("l_discount") >= 0.05, goal).alias("g"))
+    team = lambda short, who: F.struct(F.lit(short).alias("abbrev"), F.size(who).alias("sog"))
+    raw = o.select("event_id", F.to_json(F.struct(team("AWY", "a").alias("awayTeam"), team("HOM", "h").alias("homeTeam"), F.struct(F.struct(F.col("a").alias("goalies")).alias("awayTeam"), F.struct(F.col("h").alias("goalies")).alias("homeTeam")).alias("playerByGameStats"))).alias("players"),
+                   F.to_json(F.struct(F.struct(F.array(F.struct(F.col("f").alias("penalties"))).alias("penalties"), F.array(F.struct(F.col("g").alias("goals"))).alias("scoring")).alias("summary"))).alias("periods"))
+    return N.flatten_goalies(raw, "players", "periods", ["event_id"]).select(
+        "event_id", "team", "is_home", "goalie_id", "starter_status", "shots_against", "saves", "toi_minutes", "shots_for", "penalties_taken", "penalties_drawn", "pp_goals")
+
+
 # ---- recurrences --------------------------------------------------------------------------------
 def pooled(spark, d):
     """Events in many independent pools: one per league and season, between nations."""
