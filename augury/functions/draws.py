@@ -1,6 +1,7 @@
 """Repeatable random numbers as columns.
 
-Values come from hashes of a row's own keys, so a lost executor redraws the same numbers.
+Values come from MD5 of a seed and a row's own keys, so a lost executor redraws the same numbers, and so does any
+other engine.
 """
 from __future__ import annotations
 
@@ -12,9 +13,24 @@ _M = 1 << 52
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """In (0, 1), never an end point."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
-    return (F.pmod(h, F.lit(_M)) + F.lit(0.5)) / F.lit(float(_M))
+    """In (0, 1), never an end point: the first 52 bits of MD5 of ``seed:key:...``."""
+    text = F.concat_ws(":", F.lit(seed), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(_M))
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """``uniform`` as SQL text."""
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join([str(seed), *keys])})), 1, 13))::BIGINT + 0.5::DOUBLE) / {_M}::DOUBLE)"
+
+
+def poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1) at 0 to 7."""
+    mass, cum, out = math.exp(-1), 0.0, []
+    for k in range(8):
+        cum += mass
+        out.append(cum)
+        mass /= k + 1
+    return out
 
 
 def normal(seed: int, *keys: Column | str) -> Column:
@@ -24,12 +40,7 @@ def normal(seed: int, *keys: Column | str) -> Column:
 def poisson_one(seed: int, *keys: Column | str) -> Column:
     """Poisson(1) by inversion: the weight of a row in one bootstrap replicate."""
     u = uniform(seed, *keys)
-    out, mass, cum = None, math.exp(-1), 0.0
-    for k in range(8):
-        cum += mass
-        out = F.when(u < cum, k) if out is None else out.when(u < cum, k)
-        mass /= k + 1
-    return out.otherwise(8)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_steps()]), lambda c: c <= u))
 
 
 def gamma(shape: Column, seed: int, *keys: Column | str, tries: int = 12) -> Column:
@@ -78,3 +89,16 @@ def normal_quantile(p: Column) -> Column:
     t = r * r
     mid = _poly(t, _A) * r / _poly(t, (*_B, 1.0))
     return F.when(p < tail, low).when(p > 1 - tail, -low).otherwise(mid)
+
+
+def normal_quantile_sql(p: str) -> str:
+    """``normal_quantile`` as SQL text, for a column or a short expression."""
+    def poly(x: str, coefs) -> str:
+        out = f"{coefs[0]!r}::DOUBLE"
+        for k in coefs[1:]:
+            out = f"({out}*{x} + {k!r}::DOUBLE)"
+        return out
+    q, r = f"sqrt(-2*ln(least({p}, 1-{p})))", f"({p}-0.5)"
+    low = f"{poly(q, _C)}/{poly(q, (*_D, 1.0))}"
+    mid = f"{poly(f'({r}*{r})', _A)}*{r}/{poly(f'({r}*{r})', (*_B, 1.0))}"
+    return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 0.97575 THEN -({low}) ELSE {mid} END"

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from augury.functions.draws import uniform
 from augury.functions.columns import clip, days_between, haversine_miles, snap
 from augury.operators.ordered import cell_of, exact_quantiles, in_buckets, row_index, running_totals, windowed
 
@@ -380,8 +381,7 @@ def share_split(df: DataFrame, order: Sequence[str], cell: Column, shares: Mappi
 
 def random_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, name: str = "train", rest: str = "test") -> DataFrame:
     """Seeded split by a hash of the key, so that it does not change with the partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("role", F.when(u < share, name).otherwise(rest))
+    return df.withColumn("role", F.when(uniform(seed, key) < share, name).otherwise(rest))
 
 
 def thin(df: DataFrame, order: Sequence[str], cell: Column, points: int = 250, keys: Sequence[str] = ()) -> DataFrame:

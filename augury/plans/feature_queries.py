@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augury.functions import columns as C
+from augury.functions.draws import uniform_sql
 from augury.functions.rules import Roles, leakage_audit, select_features
 from augury.operators import features as X, ordered as O, temporal as T
 from augury.plans.registry import query, sql
@@ -418,9 +419,9 @@ def _(spark, d):
     return O.order_nulls_last(ev, ["known_start", "event_id"]).limit(50)
 
 
-@query("random_split")
+@query("random_split", sql(f"SELECT event_id, CASE WHEN {uniform_sql(42, 'event_id')} < 0.7 THEN 'train' ELSE 'test' END AS role FROM ev", EVENTS_SQL))
 def _(spark, d):
-    return X.random_split(events(spark, d).select("event_id"), "event_id").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return X.random_split(events(spark, d).select("event_id"), "event_id")
 
 
 @query("keep_preferred", sql("""SELECT event_id, forecast_id, version FROM (SELECT l_orderkey AS event_id, (l_partkey*1000000 + l_suppkey)*10 + l_linenumber AS forecast_id, l_tax AS version,

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from augury.functions import draws as R
 from augury.operators import diagnostics as G, features as X, models as M
 from augury.operators.scoring import score_groups
 from augury.plans.registry import query, sql
@@ -176,7 +177,15 @@ def _(spark, d):
     return G.rank_features(cut_lineage(frame(spark, d)), COLS, LABEL, "event_id", stages=["pace"])
 
 
-@query("bootstrap_deltas")
+WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in R.poisson_steps())
+
+
+@query("bootstrap_deltas", sql(f"""WITH g AS (SELECT event_id, model, log_loss, r.i AS rep, {R.uniform_sql(42, "event_id", "r.i")} AS u FROM sc, range(1, 101) r(i)),
+    m AS (SELECT model, rep, sum(({WEIGHT})*log_loss)/nullif(sum({WEIGHT}), 0) AS m FROM g GROUP BY 1, 2),
+    b AS (SELECT model AS reference FROM sc GROUP BY 1 ORDER BY avg(log_loss) LIMIT 1),
+    dl AS (SELECT m.model, b.reference, m.m - z.m AS dd FROM m, b JOIN m z ON z.model = b.reference WHERE m.rep = z.rep AND m.model <> b.reference)
+SELECT reference, model, avg(dd) AS delta_mean, quantile_cont(dd, 0.025) AS delta_p025, quantile_cont(dd, 0.5) AS delta_p500, quantile_cont(dd, 0.975) AS delta_p975, avg((dd > 0)::INT) AS reference_better FROM dl GROUP BY 1, 2""",
+    *BASE, r="delta_mean delta_p025 delta_p500 delta_p975 reference_better"))
 def _(spark, d):
     return G.bootstrap_deltas(cut_lineage(scored(spark, d).select("event_id", "model", "log_loss")), "event_id", "model", "log_loss", 100)
 
@@ -221,10 +230,10 @@ def _(spark, d):
     return G.residuals(scored(spark, d), LABEL, "prob", "event_id").select("event_id", "model", "deviance_resid", "working_resid", "working_weight")
 
 
-@query("quantile_residuals")
+@query("quantile_residuals", sql(f"""WITH u AS (SELECT event_id, model, CASE WHEN home_win = 1 THEN (1-p) + p*{R.uniform_sql(42, "event_id")} ELSE (1-p)*{R.uniform_sql(42, "event_id")} END AS u FROM sc)
+SELECT event_id, model, {R.normal_quantile_sql("u")} AS quantile_resid FROM u""", *BASE, r="quantile_resid"))
 def _(spark, d):
-    r = G.residuals(scored(spark, d), LABEL, "prob", "event_id")
-    return r.groupBy("model").agg(F.avg("quantile_resid").alias("mean"), F.stddev("quantile_resid").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return G.residuals(scored(spark, d), LABEL, "prob", "event_id").select("event_id", "model", "quantile_resid")
 
 
 @query("influence")
