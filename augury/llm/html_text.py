@@ -167,7 +167,7 @@ def _main_text(page: str, low: set[int]) -> str:
     return "\n".join(keep)
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.3, least_pages: int = 5, gamma: float = 0.9) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.3, least_pages: int = 5, gamma: float = 0.9, slices: int = 1000) -> DataFrame:
     """``pages`` with ``__text``, the main text of each page.
 
     A branch goes if its marks set it aside, or if its node in the site's tree has an importance under ``least`` on
@@ -175,12 +175,21 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     joined by one line break. Null and empty pages give an empty text; null addresses form one site; repeated pages
     count once in the tree and are extracted each; an empty table gives no rows; other columns keep names and values.
 
-    Page statistics combine in the map tasks; a site's low nodes meet its pages in a join that Spark may split, so a
-    site with a third of all pages is no single task.
+    Page statistics combine in the map tasks. A site's low nodes meet its pages in a join on the site, for which a site
+    with more than 1 / ``slices`` of all pages is dealt into copies of at most that many; there are fewer such sites
+    than ``slices``, so their table is broadcast.
     """
     low = style_tree(pages, url_col, html_col, gamma).where((F.col("importance") < least) & (F.col("m") >= least_pages))
     low = low.groupBy("host").agg(F.collect_list("path").alias("__low")).withColumnRenamed("host", "__site")
-    joined = pages.withColumn("__host", _host(F.col(url_col))).join(low, F.col("__host") == F.col("__site"), "left")
+    sites = pages.groupBy(_host(F.col(url_col)).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    total = sites.agg(F.sum("__n").alias("__all"))
+    hot = sites.crossJoin(F.broadcast(total)).select("__hot", F.ceil(F.col("__n") * slices / F.col("__all")).cast("int").alias("__copies")).where("__copies > 1")
+    hot = F.broadcast(cut_lineage(hot))
+    copies = F.coalesce("__copies", F.lit(1))
+    low = low.join(hot, F.col("__site") == F.col("__hot"), "left").select("__site", "__low", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__copy"))
+    placed = pages.withColumn("__host", _host(F.col(url_col))).join(hot, F.col("__host") == F.col("__hot"), "left")
+    placed = placed.withColumn("__at", F.pmod(F.xxhash64(*[pages[c] for c, kind in pages.dtypes if "map<" not in kind]), copies).cast("int"))
+    joined = placed.join(low, (F.col("__host") == F.col("__site")) & (F.col("__at") == F.col("__copy")), "left")
 
     @F.arrow_udf("string")
     def text(html_: pa.Array, paths: pa.Array) -> pa.Array:
