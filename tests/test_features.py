@@ -129,3 +129,31 @@ def test_travel_miles(spark):
     p = spark.createDataFrame([("a", 40.0, -75.0, -5), ("b", 34.0, -118.0, -8)], "place string, lat double, lon double, utc_offset int")
     r = {x["event_id"]: x for x in X.travel(s, p, ["entity"], "start_ts", ["start_ts", "event_id"], "place").collect()}
     assert r[1]["travel_miles"] == 0 and 2300 < r[2]["travel_miles"] < 2500 and r[2]["tz_change"] == -3
+
+
+def test_ranges_are_even_with_one_hot_key(spark):
+    """Nine rows of ten in one key: no range holds more than the limit and one cell, and no job runs while the plan is built."""
+    df = spark.range(4000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), "id",
+                                  (F.lit(dt.datetime(2024, 1, 5)) + F.make_dt_interval(mins=(F.col("id") * 3).cast("int"))).alias("ts"), (F.col("id") % 5).cast("double").alias("x"))
+    spark.conf.set(RANGE_ROWS_CONF, "100")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        before = len(tracker.getJobIdsForGroup())
+        ranged, _ = O.with_ranges(df, ["k"], O.cell_of(df, "ts"))
+        mean = X.prior_mean(df, ["k"], ["ts", "id"], ["x"])
+        assert len(tracker.getJobIdsForGroup()) == before
+        sizes = [r["count"] for r in ranged.groupBy("k", "_bucket").count().collect()]
+        assert max(sizes) <= 100 + 20 and len(sizes) >= 36
+        spark.conf.set(RANGE_ROWS_CONF, "1000000")
+        whole = X.prior_mean(df, ["k"], ["ts", "id"], ["x"])
+        assert mean.exceptAll(whole).isEmpty() and whole.exceptAll(mean).isEmpty()
+    finally:
+        spark.conf.unset(RANGE_ROWS_CONF)
+
+
+def test_quantiles_of_one_narrow_score(spark):
+    """All values within a hair and one far outlier: ranks are still found exactly."""
+    v = np.concatenate([0.5 + np.arange(300) * 1e-9, [0.5] * 200, [1e12], [-3.0], [0.0]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for r in O.exact_quantiles(df, [], "v", [0.0, 0.3, 0.5, 0.99, 1.0]).collect():
+        assert r["quantile"] == pytest.approx(np.quantile(v, r["prob"]), rel=1e-12)
