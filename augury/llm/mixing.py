@@ -68,7 +68,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1),
-        share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+        share: float = 1.5, most: float = 2.0, seed: str = "mix", most_broadcast: int = 50_000) -> DataFrame:
     """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__taken``, the words the mix takes of each row.
 
     Every source is taken ``epochs`` times whole, then in hash order until its exact budget, the whole part of its
@@ -76,13 +76,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of its own, last in order; rows that repeat an id share what their key may still give in proportion to their sizes;
     an empty table gives no rows. Columns of ``docs`` keep their names and values, whatever those are.
 
-    The texts are not shuffled: the plan has one row per source, and a row needs only its own key to know its share.
+    A row needs only its own key and its source's row of the plan to know its share. The plan is broadcast while it has
+    ``most_broadcast`` sources or fewer, so that texts are not shuffled; beyond that it is joined by shuffle.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, weights, share, most, seed)
+    small = plan.count() <= most_broadcast
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
     key, size = order_key(F.col(id_col), seed), word_count(F.col(text_col))
     d = docs.withColumns({"__key": key, "__size": size})
-    d = d.join(plan, d[source_col].eqNullSafe(plan["__source"]), "left")
+    d = d.join(F.broadcast(plan) if small else plan, d[source_col].eqNullSafe(plan["__source"]), "left")
     part = F.when(F.col("__key") < F.col("__cut_key"), F.col("__size")).when(
         F.col("__key") == F.col("__cut_key"), F.expr("__cut_words * __size div greatest(__cut_size, 1)")).otherwise(0)
     taken = F.col("__epochs") * F.col("__size") + part
