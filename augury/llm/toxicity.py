@@ -30,7 +30,7 @@ class _Known(dict):
         self.used = used
 
     def __missing__(self, word: str) -> list[str]:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         got = self[word] = [m for m in _marks_of(word) if self.used is None or m in self.used]
         return got
@@ -52,9 +52,10 @@ def _levels(of: tuple[int, int]) -> list[int]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a mark at a level, among positives and unlabelled ones, added up per batch."""
+    """Rows with a mark at a level, among positives and unlabelled ones, added up per 256 texts: most marks are rare, so
+    larger steps would hold far more and save few rows."""
     known = _Known()
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
         seen = {0: Counter(), 1: Counter()}
         for t, y in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist()):
             seen[y].update(marks(t or "", known).items())
@@ -66,7 +67,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _places(place: dict[tuple[str, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known({m for m, _ in place})
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             x = [[place[m, k] for m, of in marks(t or "", known).items() for k in _levels(of) if (m, k) in place] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("positive"), pa.array(x, pa.list_(pa.int32()))], ["row", "positive", "x"])
     return run
