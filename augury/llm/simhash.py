@@ -15,18 +15,26 @@ from augury.session import cut_lineage
 _STEP = 1 << 16
 
 
-def simhash(text: bytes, width: int = 3) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if more than half of the shingles' XXH64 (seed 42) have it."""
+def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of ``width`` words in lower case; a shorter text is one shingle, one without words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words)))
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
     h = xxhash.xxh64_intdigest
     starts = [0, *(e + i + 1 for i, e in enumerate(ends[:n - 1]))]
-    hashes = np.fromiter((h(joined[a:b + i], 42) for i, (a, b) in enumerate(zip(starts, ends[last:]), last)), np.uint64, n)
+    return np.fromiter((h(joined[a:b + i], 42) for i, (a, b) in enumerate(zip(starts, ends[last:]), last)), np.uint64, n)
+
+
+def simhash(text: bytes, width: int = 3) -> int:
+    """Signed 64-bit fingerprint: a bit is 1 if more than half of the shingles' XXH64 (seed 42) have it."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _STEP):  # bounded memory for texts of any length
         bits = np.unpackbits(hashes[at:at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

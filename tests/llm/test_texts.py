@@ -267,3 +267,36 @@ def test_row_numbers_over_many_ranges(spark):
     for g in ("a", "b", None):
         own = sorted((r["key"], r["at"]) for r in got if r["g"] == g)
         assert [at for _, at in own] == list(range(len(own)))
+
+
+def test_near_copies_at_four_fifths(spark):
+    """Every link at a Jaccard similarity of 0.8 or more counts, and no other, against all pairs."""
+    from augury.llm import jaccard
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        base = [r.choice(vocabulary) for _ in range(r.randint(30, 400))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03, 0.05, 0.2):
+            texts.append(" ".join(r.choice(vocabulary) if r.random() < share else w for w in base))
+        texts.append(" ".join(base[len(base) // 8:]))
+    texts += ["  ".join(t.split()).upper() for t in texts[:5]] + ODD
+    shingles = [frozenset(" ".join(x) for x in zip(*[w[i:] for i in range(5)])) or frozenset({" ".join(w)} if w else ()) for w in ((t or "").lower().split() for t in texts)]
+    alike = lambda a, b: shingles[a] == shingles[b] or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    linked = [len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b])) for a, b in itertools.combinations(range(175), 2)]
+    assert sum(0.8 <= x < 0.95 for x in linked) > 30 and sum(0.5 <= x < 0.8 for x in linked) > 10
+    roots = reach(range(len(texts)), alike)
+    df = table(spark, texts)
+    got = jaccard.first_of_groups(df)
+    assert got.columns == df.columns
+    assert {x["doc_id"] for x in got.collect()} == {i for i, root in roots.items() if i == root}
+    assert jaccard.first_of_groups(df.limit(0)).collect() == []
+
+
+def test_near_copies_null_and_repeated_ids(spark):
+    from augury.llm import jaccard
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (3, a), (3, a), (7, b), (3, b), (None, c), (None, c)]
+    got = jaccard.first_of_groups(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((x["text"], x["doc_id"] or 0) for x in got) == [(a, 3), (b, 3), (c, 0)]
