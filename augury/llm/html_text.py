@@ -36,11 +36,12 @@ def _hash(*parts) -> int:
 
 
 class Node:
-    """An open element: where it hangs in the site's tree, and what its own marks say of it (-1 aside, 1 main, 0 open)."""
-    __slots__ = ("tag", "path", "prior", "style", "above")
+    """An open element: where it hangs in the site's tree, what its own marks say of it (-1 aside, 1 main, 0 open), and the
+    paths that lead to it: all (above), and those that the tree judges (judged): inside a marked article only what lies under it."""
+    __slots__ = ("tag", "path", "prior", "style", "above", "judged")
 
-    def __init__(self, tag: str, path: int, prior: int, above: tuple):
-        self.tag, self.path, self.prior, self.style, self.above = tag, path, prior, [], above
+    def __init__(self, tag: str, path: int, prior: int, above: tuple, judged: tuple):
+        self.tag, self.path, self.prior, self.style, self.above, self.judged = tag, path, prior, [], above, judged
 
 
 def _place(parent: Node, tag: str, attrs: str) -> Node:
@@ -57,13 +58,14 @@ def _place(parent: Node, tag: str, attrs: str) -> Node:
         prior = -1 if parent.prior == -1 or off else 1 if inside or tag in MAIN_TAGS or marks.get("role", "").lower() == "main" else 0
         _KEYS[key] = (_hash(parent.path, tag, *names), prior)
     path, prior = _KEYS[key]
-    return Node(tag, path, prior, (*parent.above, path))
+    judged = () if prior == 1 and parent.prior != 1 else (*parent.judged, path)
+    return Node(tag, path, prior, (*parent.above, path), judged)
 
 
 def walk(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """The page's text blocks in order with their elements, and all block elements. Character references are decoded,
     white space becomes one space, empty blocks vanish; markup cut off at the end of the page is no text."""
-    root = Node("", 0, 0, ())
+    root = Node("", 0, 0, (), ())
     stack, nodes, blocks, text, at, end = [root], [root], [], [], 0, len(page)
 
     def flush():
@@ -122,7 +124,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, nodes = walk(page or "")
             style, content = {}, {}
             for n in nodes[1:]:
-                if n.prior == 0:
+                if n.prior >= 0:
                     style.setdefault(n.path, []).append(n.style)
             for n, words in blocks:
                 for path in n.above:
@@ -146,8 +148,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     """The merged trees: ``host`` (hash), ``path`` (hash), ``m`` distinct pages and ``importance`` of every open node.
 
     Presentation importance is the entropy of how the node's children are laid out, content importance that of the text
-    in its branch; the composite weighs content by ``gamma``. Copies of a page count once. Nodes whose own marks already
-    place them (navigation, adverts, article, ...) need no statistics and are not listed.
+    in its branch; the composite weighs content by ``gamma``. Copies of a page count once. Nodes that their own marks set
+    aside (navigation, adverts, ...) need no statistics and are not listed; those of a marked article are.
     """
     src = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = src.mapInArrow(_tree_rows, "host long, path long, page long, style long, content long")
@@ -163,7 +165,7 @@ def _host(url: Column) -> Column:
 def _main_text(page: str, low: set[int]) -> str:
     blocks, nodes = walk(page)
     main = any(n.prior == 1 for n in nodes)
-    keep = (words for n, words in blocks if n.prior == 1 or not main and n.prior == 0 and low.isdisjoint(n.above))
+    keep = (words for n, words in blocks if n.prior == main and low.isdisjoint(n.judged))
     return "\n".join(keep)
 
 
@@ -171,8 +173,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     """``pages`` with ``__text``, the main text of each page.
 
     A branch goes if its marks set it aside, or if its node in the site's tree has an importance under ``least`` on
-    ``least_pages`` distinct pages or more; a page with a marked article keeps that only. The blocks that stay are
-    joined by one line break. Null and empty pages give an empty text; null addresses form one site; repeated pages
+    ``least_pages`` distinct pages or more; a page with a marked article keeps that only, without the low branches inside
+    it. The blocks that stay are joined by one line break. Null and empty pages give an empty text; null addresses form one site; repeated pages
     count once in the tree and are extracted each; an empty table gives no rows; other columns keep names and values.
 
     Page statistics combine in the map tasks. A site's low nodes meet its pages in a join on the site, for which a site

@@ -93,6 +93,17 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_style_tree_judges_inside_a_marked_article(spark):
+    pages = [(i, f"https://{tag}.example/{i}", f"<body><{tag}><div class='x1'>Same line of all</div><h1>Title {i}</h1><p>Text {i}.</p></{tag}></body>") for tag in ("main", "article") for i in range(8)]
+    pages += [(i, f"https://few.example/{i}", f"<main><div class='x1'>Same line of all</div><p>Text {i}.</p></main>") for i in range(4)]
+    pages += [(i, f"https://same.example/{i}", f"<nav>{i}</nav><main>One text</main>") for i in range(8)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    text = {r["url"]: r["__text"] for r in got}
+    assert all(text[f"https://{tag}.example/{i}"] == f"Title {i}\nText {i}." for tag in ("main", "article") for i in range(8))
+    assert all(text[f"https://few.example/{i}"] == f"Same line of all\nText {i}." for i in range(4))
+    assert all(text[f"https://same.example/{i}"] == "One text" for i in range(8))  # the marked branch itself stays
+
+
 def test_registered_pages_against_their_article(spark):
     import re
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{D}/pages.parquet").collect()}
