@@ -99,11 +99,10 @@ def op5_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
-    """Review labels stand in for findings labelled by hand: a quoted run of 32 or more hexadecimal digits that the text
-    assigns to a name is a secret. They are read for four documents of five; the forest sees none of these words."""
+    """Independent evidence stands in for findings labelled by hand (``secrets.evidence``): findings without any are scored
+    and not taught. Labels are read for four documents of five."""
     docs = _table(spark, d, "documents")
-    label = F.col("finding").rlike("^[0-9a-fA-F]{32,}$") & F.col("word").rlike("[\"']") & F.col("b1").rlike("[=:]")
-    return secrets.scan(docs, label, ~toxicity.held_out(F.col("id")))
+    return secrets.scan(docs, secrets.evidence(), ~toxicity.held_out(F.col("id")))
 
 
 def _day(*parts: str):

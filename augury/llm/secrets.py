@@ -11,6 +11,11 @@ from augury.session import cut_lineage
 # Characters of keys and tokens, and words that name one.
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 NAMING = r"(?i)(token|secret|passw|pwd|api_?key|apikey|access|auth|credential|bearer|private|signature)"
+# Forms that issuers give their keys, words that end in an assigned name, and words that announce a digest.
+ISSUED = (r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[opsur]_[A-Za-z0-9]{36,}$|^github_pat_[A-Za-z0-9_]{22,}$|^glpat-[A-Za-z0-9_\-]{20,}$|^(sk|pk|rk)_(live|test)_[A-Za-z0-9]{16,}$"
+          r"|^sk-[A-Za-z0-9_\-]{20,}$|^xox[abeoprs]-[A-Za-z0-9\-]{10,}$|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{13,}$|^npm_[A-Za-z0-9]{36}$")
+NAME_ENDS = r"(?i)(token|secret|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|private_?key|auth|credentials?|bearer|signature)[a-z0-9_]*[\"'`]?\s*(?::=|=>|[=:])\s*[\"'`]?(?:bearer )?$"
+DIGEST = r"(?i)\b(commit|sha-?(1|256|512)?|md5|checksum|digest|revision|etag|integrity|uuid)[\"'`]?\s*[=:]?\s*[\"'`]?$"
 KINDS = ("lower", "upper", "digit", "other")
 
 
@@ -63,6 +68,26 @@ def features(found: DataFrame, known: DataFrame) -> tuple[DataFrame, list[str]]:
     return d, [c for c in d.columns if c.startswith("f_")]
 
 
+def evidence() -> Column:
+    """A label over the columns of ``candidates``: true, false or, without evidence of either, null.
+
+    True: the form of a known issuer, or any alphabet with letters and digits (or both cases) assigned to a naming word,
+    with or without spaces and quotes. False: plain numbers, runs of letters in one case or of capitalised words, one repeated character, pieces of
+    paths or addresses, and digests that a word such as commit or checksum announces. What an issuer's form says comes first, then
+    the assignment to a naming word.
+    """
+    text = F.col("finding")
+    # The pattern for candidates may take the name and the sign with the value: name=value is one finding.
+    value = F.when(text.rlike(r"^[A-Za-z_\-]+=[^=]"), F.regexp_replace(text, r"^[A-Za-z_\-]+=", "")).otherwise(text)
+    own = F.split_part(F.col("word"), value, F.lit(1))  # what stands before the value in its word
+    before = F.concat_ws(" ", "b3", "b2", "b1", own)
+    mixed = (value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | (value.rlike("[a-z]") & value.rlike("[A-Z]") & ~value.rlike("^([A-Z]?[a-z]+[_-]?)+$"))
+    plain = value.rlike(r"^[0-9_\-]+$") | value.rlike(r"^([A-Z]?[a-z]+[_/=-]*)+$|^[A-Z_/=-]+$") | value.rlike(r"^(.)\1*$")
+    path = F.col("word").rlike(r"://|^[\"'`(]?(\.{0,2}|~)/[\w.-]+/") | value.rlike(r"^([A-Za-z_-]{2,}/){2,}")
+    return (F.when(value.rlike(ISSUED), True).when(mixed & before.rlike(NAME_ENDS), True)
+            .when(plain | path | before.rlike(DIGEST), False))
+
+
 def scan(docs: DataFrame, label: Column, learn: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", most_labelled: int = 50_000, trees: int = 30, depth: int = 6, least: float = 0.5) -> DataFrame:
     """Every candidate with its ``probability`` of being a secret and the verdict ``secret`` (``least`` or more).
 
