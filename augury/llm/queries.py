@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, exact_dedup, html_text, line_dedup, mixing, packing, secrets, simhash, toxicity, url_filter
+from augury.llm import ann, exact_dedup, html_text, line_dedup, merkle, mixing, packing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +161,53 @@ def op9_html(spark: SparkSession, d: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     m = toxicity.toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
     return m.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
+def altered_rows(id_: Column, one_in: int = 3) -> Column:
+    """The rows of the tampering test: unsigned crc32 of the decimal id divisible by ``one_in``; null ids are left alone."""
+    return F.crc32(id_.cast("string").cast("binary")) % one_in == 0
+
+
+@_query
+def op12_merkle(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's proof, checked against a copy of the table in which a third of the texts are lower-cased."""
+    docs = _table(spark, d, "documents")
+    m = merkle.manifest(docs, altered={"text": F.translate("text", ascii_uppercase, ascii_lowercase)}, where=altered_rows(F.col("doc_id")))
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                    F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+# CRC-32 of a string of ASCII characters, from its table of bytes.
+_CRC = """table_crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i))"""
+_crc = lambda s: f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)))"
+
+ORACLES["op12_merkle"] = rf"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, lang, source, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+             coalesce({_crc('doc_id::VARCHAR')} % 3 = 0, false) AS tampered FROM documents, table_crc),
+f AS (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                       coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d),
+h AS (SELECT doc_id, lang, tampered, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS forged FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+t AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT lang FROM l)),
+leaves AS (SELECT l.*, t.t FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang),
+up AS (SELECT t, 0 AS lv, i, n, leaf AS h FROM leaves UNION ALL
+       SELECT t, lv + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY t, lv, i // 8),
+sub AS (SELECT t, h AS subroot FROM up WHERE n = 1),
+top AS (SELECT 100 AS lv, t AS i, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub UNION ALL
+        SELECT lv + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lv, i // 8),
+anc AS (SELECT doc_id, leaf, tampered, forged, t, 0 AS lv, i, n FROM leaves UNION ALL
+        SELECT doc_id, leaf, tampered, forged, t, CASE WHEN lv < 100 AND n = 1 THEN 100 ELSE lv + 1 END,
+               CASE WHEN lv < 100 AND n = 1 THEN t ELSE i // 8 END, CASE WHEN lv < 100 AND n = 1 THEN (SELECT count(*) FROM sub) ELSE (n + 7) // 8 END
+        FROM anc WHERE lv < 100 OR n > 1),
+every AS (SELECT t, lv, i, h FROM up UNION ALL SELECT -1, lv, i, h FROM top),
+seg AS (SELECT a.doc_id, a.leaf, a.lv, string_agg(e.h, '' ORDER BY e.i) FILTER (WHERE e.i < a.i) AS b, string_agg(e.h, '' ORDER BY e.i) FILTER (WHERE e.i > a.i) AS c
+        FROM anc a JOIN every e ON e.t = CASE WHEN a.lv < 100 THEN a.t ELSE -1 END AND e.lv = a.lv AND e.i // 8 = a.i // 8
+        WHERE a.n > 1 GROUP BY a.doc_id, a.leaf, a.lv),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY lv) AS k FROM (SELECT doc_id, leaf, lv, coalesce(b, '') AS b, coalesce(c, '') AS c FROM seg)),
+fold AS (SELECT doc_id, leaf, 0::BIGINT AS k, CASE WHEN tampered THEN forged ELSE leaf END AS h, '' AS p FROM leaves UNION ALL
+         SELECT f.doc_id, f.leaf, s.k, sha256(s.b || f.h || s.c), f.p || s.b || s.c FROM fold f JOIN s ON f.doc_id = s.doc_id AND f.leaf = s.leaf AND s.k = f.k + 1),
+done AS (SELECT doc_id, leaf, arg_max(h, k) AS folded_root, sha256(arg_max(p, k)) AS proof_sha256 FROM fold GROUP BY doc_id, leaf)
+SELECT l.doc_id, l.leaf, sub.subroot, r.h AS root, done.proof_sha256, done.folded_root, done.folded_root = r.h AS verified
+FROM leaves l JOIN sub ON l.t = sub.t JOIN done ON done.doc_id = l.doc_id AND done.leaf = l.leaf, (SELECT h FROM top WHERE n = 1) r
+"""
