@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, exact_dedup, html_text, line_dedup, merkle, mixing, packing, secrets, simhash, toxicity, url_filter
+from augury.llm import ann, dialogue, exact_dedup, html_text, line_dedup, merkle, mixing, packing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,52 @@ done AS (SELECT doc_id, leaf, arg_max(h, k) AS folded_root, sha256(arg_max(p, k)
 SELECT l.doc_id, l.leaf, sub.subroot, r.h AS root, done.proof_sha256, done.folded_root, done.folded_root = r.h AS verified
 FROM leaves l JOIN sub ON l.t = sub.t JOIN done ON done.doc_id = l.doc_id AND done.leaf = l.leaf, (SELECT h FROM top WHERE n = 1) r
 """
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a hash of conversation and turn: rows dropped, emptied, cut off, repeated, or of the wrong role."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
+    role = F.when(k == 4, "user").otherwise(shown("role"))
+    copies = F.explode(F.when(k == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where(k != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@_query
+def op13_dialogue(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "conversations")
+    return dialogue.repair(damaged(rows), rows)
+
+
+ORACLES["op13_dialogue"] = rf"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, table_crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM o, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) WHERE k <> 0),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS c, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+f AS (SELECT *, t = '' AS blank, t <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM i),
+r AS (SELECT *, NOT blank AND NOT dup AND right(t, 1) NOT IN ('.', '!', '?') AS cut FROM f),
+conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+                count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ins(s, x, y) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+kept(s, c, y) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+-- best (cost, audit, lines) per state: a row with even step inserts up to two rows, one with odd step edits the next row
+dp AS (SELECT conv_id, 0 AS step, 0 AS s, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS b, any_value(n) AS n FROM r GROUP BY conv_id UNION ALL
+       SELECT conv_id, step + 1, s, min(b), any_value(n) FROM (
+         SELECT dp.conv_id, step, dp.s, dp.b, n FROM dp WHERE step % 2 = 0 AND step <= 2 * n
+         UNION ALL SELECT dp.conv_id, step, ins.y, {{'cost': b.cost + 3, 'audit': b.audit || 'I', 'lines': list_append(b.lines, ins.x || ':')}}, n FROM dp JOIN ins ON ins.s = dp.s WHERE step % 2 = 0 AND step <= 2 * n
+         UNION ALL SELECT dp.conv_id, step, CASE ins.y WHEN 2 THEN 3 ELSE 2 END, {{'cost': b.cost + 6, 'audit': b.audit || 'II', 'lines': list_concat(b.lines, [ins.x || ':', CASE ins.y WHEN 2 THEN 'assistant:' ELSE 'user:' END])}}, n
+           FROM dp JOIN ins ON ins.s = dp.s WHERE step % 2 = 0 AND step <= 2 * n
+         UNION ALL SELECT dp.conv_id, step, dp.s, {{'cost': b.cost + 4, 'audit': b.audit || 'D', 'lines': b.lines}}, dp.n FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = step // 2 + 1 WHERE step % 2 = 1
+         UNION ALL SELECT dp.conv_id, step, kept.y, {{'cost': b.cost + CASE WHEN cut THEN 3 ELSE 0 END, 'audit': b.audit || 'K', 'lines': list_append(b.lines, r.role || ':' || r.text)}}, dp.n
+           FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = step // 2 + 1 JOIN kept ON kept.s = dp.s AND kept.c = r.c WHERE step % 2 = 1 AND NOT blank AND NOT dup
+         UNION ALL SELECT dp.conv_id, step, ins.y, {{'cost': b.cost + 3 + CASE WHEN cut THEN 3 ELSE 0 END, 'audit': b.audit || 'R', 'lines': list_append(b.lines, ins.x || ':' || r.text)}}, dp.n
+           FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = step // 2 + 1 JOIN ins ON ins.s = dp.s WHERE step % 2 = 1 AND NOT blank AND NOT dup
+       ) GROUP BY conv_id, step, s),
+best AS (SELECT conv_id, min(b) AS b FROM dp WHERE step = 2 * n + 1 AND s IN (0, 3) GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN conv ON a.conv_id IS NOT DISTINCT FROM conv.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
