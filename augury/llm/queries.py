@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, dialogue, exact_dedup, html_text, line_dedup, merkle, mixing, packing, secrets, simhash, toxicity, url_filter
+from augury.llm import ann, dialogue, exact_dedup, html_text, line_dedup, merkle, mixing, packing, postings, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,3 +260,23 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN conv ON a.conv_id IS NOT DISTINCT FROM conv.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id
 """
+
+
+@_query
+def op11_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    m = postings.decontaminate(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op11_decontaminate"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') AS gram FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(i) WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM g),
+p AS (SELECT rid, k, i, hash(list_aggregate(w[i:i + k - 1], 'string_agg', ' ')) AS h FROM d, k, unnest(range(1, len(w) - k + 2)) AS r(i) WHERE len(w) >= k),
+hits AS (SELECT p.rid, p.i, p.k, g.item_id FROM p JOIN g ON p.k = g.k AND p.h = hash(g.gram)),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, k)) AS r(j) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, coalesce(item_id::VARCHAR, '') AS item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.rid = covered.rid LEFT JOIN named ON d.rid = named.rid
+"""
