@@ -254,20 +254,24 @@ def player_projection(players: DataFrame, player: str, order: Sequence[str], cel
 
 # Roster rules.
 TEAM_MINUTES, ROTATION, TOP = 240.0, 12, 6
+MOST_MINUTES, LEAST_MINUTES = 42.0, 0.5
+# A state this old counts for LEAST_MINUTES at most, so that no roster is stronger for knowing it.
+ROSTER_REACH_DAYS = 7.0 + 14.0 * math.log(MOST_MINUTES / LEAST_MINUTES)
 
 
 def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie: str) -> DataFrame:
     """Expected minutes of each known player at the event, best twelve, scaled to the team's minutes.
 
     ``states`` holds one row per (event, entity, player) with the projection columns, the days since
-    the player's last event, and optionally ``status_factor``.
+    the player's last event, and optionally ``status_factor``. A row without days stands for an event of which no player
+    is known yet: nothing is known of its roster, and its uncertainty is whole.
     """
     gap = F.greatest(F.col(gap_days), F.lit(0.0))
     factor = F.col("status_factor") if "status_factor" in states.columns else F.lit(1.0)
-    raw = (clip(F.coalesce("minutes_projection", F.lit(0.0)), 0, 42)
+    raw = (clip(F.coalesce("minutes_projection", F.lit(0.0)), 0, MOST_MINUTES)
            * clip(F.coalesce("played_rate", F.lit(0.6)), 0.1, 1.0)
            * F.when(gap <= 7, 1.0).otherwise(F.exp(-(gap - 7.0) / 14.0)) * factor)
-    rows = states.withColumns({"_m": raw, "_gap": gap}).where(F.col("_m") > 0.5)
+    rows = states.withColumns({"_m": raw, "_gap": gap}).where(F.col(gap_days).isNotNull() & (F.col("_m") > LEAST_MINUTES))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(snap("_m", 9).desc(), tie))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= ROTATION)
     m, known = F.col("_m"), F.sum("_m")
@@ -285,7 +289,7 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
     weight = F.greatest(total, F.lit(1.0))
     deep = F.size(F.filter("_ms", lambda x: x * s >= 8.0))
     conf = F.col("_conf") * s / weight
-    return sums.select(
+    out = sums.select(
         *keys, (deep / 8.0 * share).alias("depth_index"), share.alias("known_share"),
         F.greatest(1.0 - share, F.lit(0.0)).alias("absence_pressure"), conf.alias("confidence"),
         (F.col("_stable") * s / weight).alias("stability"), (share * conf).alias("reliability"),
@@ -294,6 +298,9 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
         (F.col("_off") * s / TEAM_MINUTES).alias("strength_offence"),
         (F.col("_def") * s / TEAM_MINUTES).alias("strength_defence"),
         (F.col("_top") * s / TEAM_MINUTES).alias("top6_share"))
+    unknown = {"absence_pressure": 1.0, "uncertainty": 1.0}
+    none = states.where(F.col(gap_days).isNull()).select(*keys, *[F.lit(unknown.get(c, 0.0)).alias(c) for c in out.columns[len(keys):]])
+    return out.unionByName(none)
 
 
 def travel(series: DataFrame, places: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], place: str,

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import micros
-from augury.operators.ordered import latest_by, running_latest, windowed
+from augury.operators.ordered import latest_by, row_index, running_latest, windowed
+from augury.session import cut_lineage
 
 
 def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, cutoff: str, value: Column,
@@ -108,34 +109,56 @@ def match_events(external: DataFrame, events: DataFrame, ext_id: str, event: str
 
 
 def asof_roster(series: DataFrame, states: DataFrame, team: str, player: str, ts: str, event: str, tie: str,
-                horizon_days: int, upcoming: Column | None = None, current_team: str | None = None) -> DataFrame:
-    """Each player's newest state strictly before each event of the team, no older than the horizon.
-
-    A state holds from its time to the player's next one. It is filed under each time cell (of
-    ``horizon_days``) it may cover, at most two, so the join is on (team, cell): a large team is spread
-    over cells, and its events never meet its whole history. Upcoming events use ``current_team``.
+                upcoming: Column | None = None, current_team: str | None = None, within_days: float | None = None,
+                least_range: int = 64) -> DataFrame:
+    """Each player's newest state strictly before each event of the team, however old.
+
+    Upcoming events take the players whose ``current_team`` it is, or the team's own where that names nobody. An event
+    before every state of its pool gets one row without player; one whose pool is empty gets none. ``within_days`` leaves
+    older states out, for callers to whom they mean nothing.
+
+    A state holds until the player's next one in the pool, or for good. The states of a pool are cut into ranges of as many
+    rows as it has players (``least_range`` at least), and a state is listed in its own range and in each one up to that of
+    its successor: a range so holds the set of players carried into it and about as many changes. An event meets the
+    states of one range only, twice its roster or so, and a large pool is spread over its ranges.
     """
-    span = horizon_days * 86400_000_000
-
-    def join(ev: DataFrame, team_col: str) -> DataFrame:
-        st = states.where(F.col(team_col).isNotNull()).withColumn("_t", micros(ts))
-        # looking ahead in time is looking back along falling time
-        st = st.withColumns({"_nt": -F.col("_t"), "_ntie": -F.col(tie)})
-        st = windowed(st, [team_col, player], ["_nt", "_ntie"], lambda w: {"_next": F.lag("_t").over(w)}, 1, F.floor(F.col("_nt") / 3_600_000_000))
-        st = st.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_t") + span), F.col("_t") + span))
-        cells = F.sequence(F.floor(F.col("_t") / span), F.floor(F.col("_end") / span))
-        st = st.where(F.col("_end") > F.col("_t")).withColumn("_cell", F.explode(cells))
-        payload = [c for c in states.columns if c not in (event, team, current_team, ts)]
-        st = st.select(F.col(team_col).alias("entity"), "_cell", "_t", "_end",
-                       F.struct(*payload, F.col(ts).alias("state_ts")).alias("_s"))
-        e = ev.withColumn("_et", micros("start_ts")).withColumn("_cell", F.floor(F.col("_et") / span))
-        return e.join(st, ["entity", "_cell"]).where((F.col("_t") < F.col("_et")) & (F.col("_et") <= F.col("_end"))).select(
-            event, "entity", ((F.col("_et") - F.col("_t")) / 86400e6).alias("gap_days"), "_s.*")
-
-    base = series.select(event, "entity", "start_ts", *([] if upcoming is None else [upcoming.alias("_up")]))
-    if upcoming is None or current_team is None:
-        return join(base, team)
-    return join(base.where(~F.col("_up")), team).unionByName(join(base.where("_up"), current_team))
+    pools = [(F.col(team), F.lit(0))] + ([] if upcoming is None or current_team is None else [(F.coalesce(current_team, team), F.lit(1))])
+    payload = [c for c in states.columns if c not in (event, team, current_team, ts)]
+    st = None
+    for name, kind in pools:
+        part = states.where(name.isNotNull()).select(F.struct(name.alias("entity"), kind.alias("kind")).alias("_pool"), micros(ts).alias("_t"),
+                                                            F.col(player).alias("_p"), F.col(tie).alias("_tie"), F.struct(*payload, F.col(ts).alias("state_ts")).alias("_s"))
+        st = part if st is None else st.unionByName(part)
+    st = cut_lineage(st)
+    hour = lambda t: F.floor(t / 3_600_000_000)
+    sizes = st.groupBy("_pool", "_p").agg(F.min("_t").alias("_t")).groupBy("_pool").agg(F.count(F.lit(1)).alias("_players"), F.min("_t").alias("_from"))
+    placed = row_index(st, ["_pool"], ["_t", "_p", "_tie"], hour(F.col("_t")), "_at").join(sizes, "_pool")
+    placed = cut_lineage(placed.withColumn("_range", F.floor(F.col("_at") / F.greatest("_players", F.lit(least_range)))).drop("_at", "_players", "_from"))
+    # looking ahead in time is looking back along falling time
+    back = placed.withColumns({"_nt": -F.col("_t"), "_ntie": -F.col("_tie")})
+    back = windowed(back, ["_pool", "_p"], ["_nt", "_ntie"], lambda w: {"_next": F.lag("_t").over(w), "_next_range": F.lag("_range").over(w)}, 1, hour(F.col("_nt")))
+    heads = placed.groupBy("_pool", "_range").agg(F.min("_t").alias("_t"))
+    ends = heads.groupBy("_pool").agg(F.max("_range").alias("_last"))
+    held = back.join(ends, "_pool").where(F.col("_next").isNull() | (F.col("_next") > F.col("_t")))
+    held = held.withColumn("_in", F.explode(F.sequence("_range", F.coalesce("_next_range", "_last")))).select("_pool", "_in", "_t", "_next", "_s")
+
+    ev = series.select(event, "entity", micros("start_ts").alias("_et"), (F.lit(False) if upcoming is None else F.coalesce(upcoming, F.lit(False))).alias("_up")).where("_et IS NOT NULL AND entity IS NOT NULL")
+    if len(pools) == 2:
+        named = sizes.where("_pool.kind = 1").select(F.col("_pool.entity").alias("_named"))
+        ev = ev.join(named, F.col("entity") == F.col("_named"), "left").withColumn("_up", F.col("_up") & F.col("_named").isNotNull()).drop("_named")
+    ev = ev.select(event, "entity", "_et", F.struct("entity", F.col("_up").cast("int").alias("kind")).alias("_pool")).join(sizes.select("_pool", "_from"), "_pool")
+    # ranges and events on one line: an event looks into the last range that begins before it
+    line = heads.select("_pool", F.col("_t").alias("_et"), F.lit(1).alias("_side"), "_range", F.lit(None).cast(series.schema[event].dataType).alias(event), F.lit(None).cast(series.schema["entity"].dataType).alias("entity"))
+    line = line.unionByName(ev.where("_from < _et").select("_pool", "_et", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_range"), event, "entity"))
+    line = running_latest(line, ["_pool"], ["_et", "_side"], hour(F.col("_et")), F.when(F.col("_side") == 1, F.struct(F.col("_et").alias("t"), "_range")), "_seen")
+    asked = line.where("_side = 0").select("_pool", F.col("_seen._range").alias("_in"), event, "entity", "_et")
+    gap = (F.col("_et") - F.col("_t")) / 86400e6
+    hit = asked.join(held, ["_pool", "_in"]).where((F.col("_t") < F.col("_et")) & (F.col("_next").isNull() | (F.col("_et") <= F.col("_next"))))
+    if within_days is not None:
+        hit = hit.where(gap <= within_days)
+    hit = hit.select(event, "entity", gap.alias("gap_days"), "_s")
+    none = ev.where("_from >= _et").select(event, "entity", F.lit(None).cast("double").alias("gap_days"), F.lit(None).cast(hit.schema["_s"].dataType).alias("_s"))
+    return hit.unionByName(none).select(event, "entity", "gap_days", "_s.*")
 
 
 def next_n(events: DataFrame, entity: str, n: int, order: Sequence[str], home: str = "home", away: str = "away") -> DataFrame:

@@ -277,71 +277,79 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", day.alias("local_day"), C.monday_of(day).alias("week_start"))
 
 
-@query("player_projection", recursive(sql("""WITH mm AS (SELECT avg(off36) AS mo, avg(def36) AS md, avg(all36) AS ma, avg(CASE WHEN mi > 0 THEN mi END) AS mi0 FROM ew),
-    r AS (SELECT ew.*, (i-1)::DOUBLE AS n, avg(off36) OVER w AS ro, avg(def36) OVER w AS rd, avg(all36) OVER w AS ra, avg(mi) OVER w AS rm FROM ew
-      WINDOW w AS (PARTITION BY player ORDER BY ts, appearance, line_id, minutes ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-    b AS (SELECT r.*, mm.*, 0.7*coalesce(ewm_off36, mo)+0.3*coalesce(ro, mo) AS bo, 0.7*coalesce(ewm_def36, md)+0.3*coalesce(rd, md) AS bd,
-      0.7*coalesce(ewm_all36, ma)+0.3*coalesce(ra, ma) AS ba, 0.65*coalesce(ewm_mi, mi0)+0.35*coalesce(rm, mi0)+4.0*coalesce(ewm_starter, 0) AS bm FROM r, mm)
-SELECT event_id, line_id, player, n::BIGINT AS prior_count, greatest(-18, least(18, (bo*n+mo*8)/(n+8))) AS offence_projection,
-    greatest(-12, least(12, (bd*n+md*8)/(n+8))) AS defence_projection, greatest(-24, least(24, (ba*n+ma*8)/(n+8))) AS overall_projection,
-    greatest(0, least(42, (bm*n+mi0*6)/(n+6))) AS minutes_projection, n/(n+6) AS projection_confidence, ewm_played AS played_rate FROM b""", PLAYERS_SQL,
+PROJECTIONS = ["offence_projection", "defence_projection", "overall_projection", "minutes_projection", "projection_confidence", "played_rate"]
+PROJECTION_SQL = (PLAYERS_SQL,
     ewm_sql("""SELECT *, offr*36/greatest(minutes, 6) AS off36, defr*36/greatest(minutes, 6) AS def36, (offr+defr+0.08::DOUBLE*plus_minus)*36/greatest(minutes, 6) AS all36, minutes AS mi
       FROM (SELECT *, points+0.4::DOUBLE*fg_made-0.7::DOUBLE*fg_attempted-0.4::DOUBLE*(ft_attempted-ft_made)+0.7::DOUBLE*rebounds_offensive+0.7::DOUBLE*assists+0.3::DOUBLE*three_made-turnovers AS offr,
       0.3::DOUBLE*rebounds_defensive+steals+0.7::DOUBLE*blocks-0.4::DOUBLE*fouls AS defr FROM pl)""", "player", "ts, appearance, line_id, minutes",
       {"off36": .25, "def36": .25, "all36": .25, "mi": .35, "starter": .3, "played": .3}),
-    r="offence_projection defence_projection overall_projection minutes_projection projection_confidence played_rate")))
-def _(spark, d):
-    return X.player_projection(players(spark, d), "player", ["ts", "appearance", "line_id", "minutes"], F.date_trunc("hour", F.col("ts"))).select(
-        "event_id", "line_id", "player", "prior_count", "offence_projection", "defence_projection", "overall_projection",
-        "minutes_projection", "projection_confidence", "played_rate")
+    """mm AS (SELECT avg(off36) AS mo, avg(def36) AS md, avg(all36) AS ma, avg(CASE WHEN mi > 0 THEN mi END) AS mi0 FROM ew),
+    rr AS (SELECT ew.*, (i-1)::DOUBLE AS n, avg(off36) OVER w AS ro, avg(def36) OVER w AS rd, avg(all36) OVER w AS ra, avg(mi) OVER w AS rm FROM ew
+      WINDOW w AS (PARTITION BY player ORDER BY ts, appearance, line_id, minutes ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+    bb AS (SELECT rr.*, mm.*, 0.7*coalesce(ewm_off36, mo)+0.3*coalesce(ro, mo) AS bo, 0.7*coalesce(ewm_def36, md)+0.3*coalesce(rd, md) AS bd,
+      0.7*coalesce(ewm_all36, ma)+0.3*coalesce(ra, ma) AS ba, 0.65*coalesce(ewm_mi, mi0)+0.35*coalesce(rm, mi0)+4.0*coalesce(ewm_starter, 0) AS bm FROM rr, mm),
+    pj AS (SELECT event_id, line_id, player, team, ts, appearance, n::BIGINT AS prior_count, greatest(-18, least(18, (bo*n+mo*8)/(n+8))) AS offence_projection,
+      greatest(-12, least(12, (bd*n+md*8)/(n+8))) AS defence_projection, greatest(-24, least(24, (ba*n+ma*8)/(n+8))) AS overall_projection,
+      greatest(0, least(42, (bm*n+mi0*6)/(n+6))) AS minutes_projection, n/(n+6) AS projection_confidence, ewm_played AS played_rate FROM bb)""")
 
 
-HORIZON = 70  # days after which a state can no longer reach half a minute, so the cut loses nothing
+def projected(spark, d):
+    return X.player_projection(players(spark, d), "player", ["ts", "appearance", "line_id", "minutes"], F.date_trunc("hour", F.col("ts")))
+
+
+@query("player_projection", recursive(sql("SELECT event_id, line_id, player, prior_count, offence_projection, defence_projection, overall_projection, minutes_projection, "
+                                          "projection_confidence, played_rate FROM pj", *PROJECTION_SQL, r=" ".join(PROJECTIONS))))
+def _(spark, d):
+    return projected(spark, d).select("event_id", "line_id", "player", "prior_count", *PROJECTIONS)
 
 
 def roster_states(spark, d):
-    """States with simple projections, so that the roster query tests the join and not the projection."""
-    p = players(spark, d)
-    current = p.groupBy("player").agg(F.max_by("team", F.struct("ts", "appearance", "team")).alias("current_team"))
-    return p.join(current, "player").select(
-        "event_id", "ts", "player", "team", "current_team", "line_id", "appearance", F.least(F.col("minutes"), F.lit(42.0)).alias("minutes_projection"),
-        F.col("played").alias("played_rate"), (F.col("starter") * 0.5 + 0.25).alias("projection_confidence"),
-        F.col("points").alias("overall_projection"), F.col("assists").alias("offence_projection"), F.col("fouls").alias("defence_projection"))
+    """What is projected for a player before an appearance holds from then on; the team of the last one is the current team."""
+    p = projected(spark, d).select("event_id", "ts", "player", "team", "line_id", "appearance", *PROJECTIONS)
+    current = players(spark, d).groupBy("player").agg(F.max_by("team", F.struct("ts", "appearance", "team")).alias("current_team"))
+    return p.join(current, "player")
 
 
 ROSTER_SQL = """
 cur AS (SELECT player, arg_max(team, ts::VARCHAR || lpad(appearance::VARCHAR, 24, '0') || team) AS current_team FROM pl GROUP BY 1),
-st AS (SELECT p.*, current_team FROM pl p JOIN cur USING (player)),
-teamev AS (SELECT event_id, start_ts, entity, won IS NULL AS up FROM se WHERE is_home = 0),
-jo AS (SELECT e.event_id, e.entity, e.start_ts, s.*EXCLUDE (event_id), row_number() OVER (PARTITION BY e.event_id, e.entity, s.player ORDER BY s.ts DESC, s.appearance DESC) AS rn
-  FROM teamev e JOIN st s ON s.ts < e.start_ts AND s.ts >= e.start_ts - INTERVAL 70 DAY AND CASE WHEN e.up THEN s.current_team ELSE s.team END = e.entity),
-ros AS (SELECT *, (epoch(start_ts)-epoch(ts))/86400.0::DOUBLE AS gap_days FROM jo WHERE rn = 1)"""
+st AS (SELECT p.*, current_team FROM pj p JOIN cur USING (player)),
+pst AS (SELECT team AS pool, 0 AS k, * FROM st UNION ALL SELECT current_team, 1, * FROM st),
+pools AS (SELECT DISTINCT pool, k FROM pst),
+teamev AS (SELECT event_id, start_ts, entity, (won IS NULL AND entity IN (SELECT pool FROM pools WHERE k = 1))::INT AS up FROM se WHERE is_home = 0),
+jo AS (SELECT e.event_id, e.entity, s.* EXCLUDE (event_id), row_number() OVER (PARTITION BY e.event_id, e.entity, s.player ORDER BY s.ts DESC, s.appearance DESC) AS rn
+  FROM teamev e JOIN pst s ON s.pool = e.entity AND s.k = e.up AND s.ts < e.start_ts),
+ros AS (SELECT e.event_id, e.entity, j.* EXCLUDE (event_id, entity), (epoch(e.start_ts)-epoch(j.ts))/86400.0::DOUBLE AS gap_days
+  FROM teamev e JOIN pools p ON p.pool = e.entity AND p.k = e.up LEFT JOIN (SELECT * FROM jo WHERE rn = 1) j ON j.event_id = e.event_id AND j.entity = e.entity)"""
 
 
-def roster(spark, d):
+def roster(spark, d, within_days=None):
     ser = series(spark, d).where("is_home = 0")
-    return T.asof_roster(ser, roster_states(spark, d), "team", "player", "ts", "event_id", "appearance", HORIZON,
-                         F.col("won").isNull(), "current_team")
+    return T.asof_roster(ser, roster_states(spark, d), "team", "player", "ts", "event_id", "appearance", F.col("won").isNull(), "current_team", within_days)
 
 
-@query("asof_roster", sql("SELECT event_id, entity, player, line_id, gap_days FROM ros", *SER, PLAYERS_SQL, ROSTER_SQL, r="gap_days"))
+@query("asof_roster", recursive(sql("""SELECT event_id, entity, count(player) AS players, min(gap_days) AS newest_days, max(gap_days) AS oldest_days,
+    md5(coalesce(string_agg(line_id::VARCHAR, ',' ORDER BY line_id), '')) AS state_ids FROM ros GROUP BY 1, 2""", *SER, *PROJECTION_SQL, ROSTER_SQL, r="newest_days oldest_days")))
 def _(spark, d):
-    return roster(spark, d).select("event_id", "entity", "player", "line_id", "gap_days")
+    """Every state of every roster, as a digest: their rows are some hundred times as many as the events."""
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("line_id")), lambda x: x.cast("string")), ",")
+    return roster(spark, d).groupBy("event_id", "entity").agg(F.count("player").alias("players"), F.min("gap_days").alias("newest_days"), F.max("gap_days").alias("oldest_days"), F.md5(ids).alias("state_ids"))
 
 
-@query("roster_strength", sql("""WITH m AS (SELECT *, least(minutes, 42)*greatest(least(played, 1), 0.1::DOUBLE)*CASE WHEN gap_days <= 7 THEN 1 ELSE exp(-(gap_days-7)/14) END AS xm FROM ros),
+@query("roster_strength", recursive(sql("""WITH m AS (SELECT *, greatest(least(coalesce(minutes_projection, 0), 42), 0)*greatest(least(coalesce(played_rate, 0.6::DOUBLE), 1), 0.1::DOUBLE)
+      *CASE WHEN gap_days <= 7 THEN 1 ELSE exp(-(gap_days-7)/14) END AS xm FROM ros),
     k AS (SELECT *, row_number() OVER (PARTITION BY event_id, entity ORDER BY round(xm, 9) DESC, line_id) AS r FROM m WHERE xm > 0.5),
     t AS (SELECT event_id, entity, sum(xm) AS known FROM k WHERE r <= 12 GROUP BY 1, 2),
     z AS (SELECT k.*, t.known, xm*least(1, 240/t.known) AS ym FROM k JOIN t USING (event_id, entity) WHERE r <= 12),
-    g AS (SELECT event_id, entity, sum(ym) AS tot, sum((ym >= 8)::INT) AS deep, sum((starter*0.5+0.25)*ym) AS cf, sum(points*ym) AS pa, sum(assists*ym) AS po, sum(fouls*ym) AS pd,
-      sum((1-least(gap_days, 21)/21)*ym) AS stb, sum(CASE WHEN r <= 6 THEN ym ELSE 0 END) AS tp FROM z GROUP BY 1, 2),
+    g AS (SELECT event_id, entity, sum(ym) AS tot, sum((ym >= 8)::INT) AS deep, sum(projection_confidence*ym) AS cf, sum(overall_projection*ym) AS pa, sum(offence_projection*ym) AS po,
+      sum(defence_projection*ym) AS pd, sum((1-least(gap_days, 21)/21)*ym) AS stb, sum(CASE WHEN r <= 6 THEN ym ELSE 0 END) AS tp FROM z GROUP BY 1, 2),
     h AS (SELECT *, tot/240 AS share, cf/greatest(tot, 1) AS conf FROM g)
 SELECT event_id, entity, deep/8.0::DOUBLE*share AS depth_index, share AS known_share, greatest(1-share, 0) AS absence_pressure, conf AS confidence,
     stb/greatest(tot, 1) AS stability, share*conf AS reliability, greatest(0, least(1, 1-share*conf)) AS uncertainty, pa/240 AS strength_total,
-    po/240 AS strength_offence, pd/240 AS strength_defence, tp/240 AS top6_share FROM h""", *SER, PLAYERS_SQL, ROSTER_SQL,
-    r="depth_index known_share absence_pressure confidence stability reliability uncertainty strength_total strength_offence strength_defence top6_share"))
+    po/240 AS strength_offence, pd/240 AS strength_defence, tp/240 AS top6_share FROM h
+  UNION ALL SELECT event_id, entity, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0 FROM ros WHERE player IS NULL""", *SER, *PROJECTION_SQL, ROSTER_SQL,
+    r="depth_index known_share absence_pressure confidence stability reliability uncertainty strength_total strength_offence strength_defence top6_share")))
 def _(spark, d):
-    return X.roster_strength(roster(spark, d), ["event_id", "entity"], "gap_days", "line_id")
+    return X.roster_strength(roster(spark, d, X.ROSTER_REACH_DAYS), ["event_id", "entity"], "gap_days", "line_id")
 
 
 @query("travel", sql(f"""WITH p AS (SELECT 'V' || n_nationkey AS venue, -40.0::DOUBLE + 3*n_nationkey AS lat, -170.0::DOUBLE + 14*n_nationkey AS lon, n_nationkey - 12 AS off FROM nation),
