@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from augury.functions.columns import Z95, brier, clip_prob, hit, log_loss
 from augury.operators.ordered import _join_by, exact_quantiles, located, running_totals, value_cell
+from augury.session import cut_lineage
 
 
 
@@ -28,7 +29,7 @@ def _b(p: str = "p") -> Column:
 def quantile_report(df: DataFrame, by: Sequence[str], label: str, prob: str, bins: int = 10) -> DataFrame:
     """Quantile bins with interpolated edges; equal edges merge. One row per realised bin."""
     by = list(by)
-    counts = score_counts(df, by, label, prob)
+    counts = cut_lineage(score_counts(df, by, label, prob))
     distinct = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_u"), F.sum("n").alias("_total"))
     # fewer distinct values than bins means fewer bins, so the edges depend on the group
     edges = _edges(counts, distinct, by, bins)
@@ -93,8 +94,8 @@ def lorenz(df: DataFrame, by: Sequence[str], label: str, prob: str, tie: str) ->
     positive's rank: the area is 1 - sum(rank - 1/2) / (n * positives).
     """
     by = list(by)
-    ok = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
-        *by, clip_prob(prob).alias("p"), F.col(label).cast("long").alias("y"), F.col(tie).alias("_tie"))
+    ok = cut_lineage(df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
+        *by, clip_prob(prob).alias("p"), F.col(label).cast("long").alias("y"), F.col(tie).alias("_tie")))
     # Ties are cut by the tie column, so that one score with a third of the rows is several ranges.
     numeric = isinstance(ok.schema["_tie"].dataType, T.NumericType)
     cell = F.struct((-_b()).alias("p"), (F.floor(F.col("_tie") / 4096) if numeric else F.lit(0)).alias("t"))
@@ -121,7 +122,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 def roc(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
     """ROC points at every distinct score, highest first."""
     by = list(by)
-    counts = score_counts(df, by, label, prob)
+    counts = cut_lineage(score_counts(df, by, label, prob))
     run = running_totals(counts, by, [F.col("p").desc()], _b(), {"_tp": F.col("pos"), "_fp": F.col("n") - F.col("pos")}, descending=True)
     tot = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum(F.col("n") - F.col("pos")).alias("_N"))
     return _join_by(run, tot, by).select(*by, F.col("p").alias("threshold"), (F.col("_fp") / F.col("_N")).alias("fpr"),

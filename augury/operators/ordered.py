@@ -3,7 +3,9 @@
 A plain ``Window.partitionBy(key)`` sorts every row of a key in one task, which is wrong when a key holds a third of
 the table. Here every key is cut into *ranges* of its order by one plan, whatever its size: rows are counted per key and
 fine *cell* (an hour of the first order column, say; rows of equal order share a cell), counts add up along the cells,
-and a new range starts every ``spark.augury.rangeRows`` rows. A small key is one range. Two tools use the ranges:
+and a new range starts every ``spark.augury.rangeRows`` rows. A small key is one range. Only keys with several ranges have
+bounds, which are few and broadcast, so that rows are shuffled once, by key and range; what is added for hot keys joins the
+bounds too and vanishes at run time where there are none. Two tools use the ranges:
 
 * ``running_totals``: sums inside a range plus the totals of the earlier ranges.
 * ``in_buckets``: windows inside a range, which also holds copies of the few rows that precede it, so any frame of at
@@ -18,6 +20,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from augury.session import cut_lineage
+
 RANGE_ROWS = 1_000_000
 RANGE_ROWS_CONF = "spark.augury.rangeRows"
 
@@ -36,23 +40,64 @@ def cell_of(df: DataFrame, name: str) -> Column:
     return F.col(name) if isinstance(kind, T.NumericType) else F.lit(0)
 
 
-def with_ranges(df: DataFrame, keys: Sequence[str], cell: Column, descending: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``_bucket`` (number of the row's range in its key), ``_range_start`` (rows of the key before the range) and
-    ``_range_many`` (the key has several ranges); and the table of all ranges."""
+CHUNK = 256  # bounds are searched in two steps of arrays of this length
+
+
+def range_bounds(df: DataFrame, keys: Sequence[str], cell: Column, descending: bool = False) -> DataFrame:
+    """Of every key with more than ``spark.augury.rangeRows`` rows where its ranges begin: the key as ``_k_<key>``, and
+    ``_bounds``, arrays of (``bucket``, ``at``, ``start``) in order. A range holds that many rows or one cell at least, so
+    there are at most twice as many bounds as rows divided by it, and the table can be broadcast.
+
+    Reads only the keys and the cell, counts of which combine in the map tasks.
+    """
     keys = list(keys)
-    work = df.withColumn("_cell", cell)
     line = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.col("_cell").desc() if descending else F.col("_cell").asc())
-    n = work.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    n = df.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("_before", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = n.withColumn("_bucket", F.floor(F.col("_before") / range_rows(df)).cast("long"))
-    part = Window.partitionBy(*keys, "_bucket")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    n = n.withColumns({"_range_start": F.min("_before").over(part), "_range_many": F.max("_bucket").over(whole) > 0})
-    side = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_cell_at"), "_bucket", "_range_start", "_range_many")
-    cond = F.col("_cell").eqNullSafe(F.col("_cell_at"))
+    first = F.min_by(F.col("_cell"), F.col("_before"))
+    starts = n.groupBy(*keys, "_bucket").agg(first.alias("_at"), F.min("_before").alias("_start"))
+    flat = F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("bucket"), F.col("_at").alias("at"), F.col("_start").alias("start"))))
+    hot = starts.groupBy(*keys).agg(flat.alias("_flat")).where(F.size("_flat") > 1)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_flat") - 1) / CHUNK).cast("int")), lambda i: F.slice("_flat", i * CHUNK + 1, CHUNK))
+    return hot.select(*[F.col(k).alias(f"_k_{k}") for k in keys], chunks.alias("_bounds"))
+
+
+def _at_bounds(work: DataFrame, bounds: DataFrame, keys: list[str], descending: bool, how: str) -> DataFrame:
+    """``work`` (with ``_cell``) joined with the bounds of its key, and the bound that its cell lies behind, as ``_bound``."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    cell = F.col("_cell")
+    behind = lambda b: F.coalesce(b["at"] >= cell, cell.isNull()) if descending else F.coalesce(b["at"] <= cell, F.lit(False))
+    last = lambda found: F.greatest(F.size(found), F.lit(1)) - 1
+    chunk = F.get("_bounds", last(F.filter("_bounds", lambda c: behind(c[0]))))
+    out = work.join(F.broadcast(bounds), cond, how).withColumn("_chunk", F.when(F.col("_bounds").isNotNull(), chunk))
+    return out.withColumn("_bound", F.get("_chunk", last(F.filter("_chunk", behind)))).drop("_chunk", *[f"_k_{k}" for k in keys])
+
+
+def with_ranges(df: DataFrame, keys: Sequence[str], cell: Column, descending: bool = False, bounds: DataFrame | None = None, hot: bool = False) -> DataFrame:
+    """``df`` with ``_bucket`` (number of the row's range in its key), ``_range_start`` (rows of the key before the range) and
+    ``_range_many`` (the key has several ranges). ``hot`` keeps the rows of keys with several ranges only, which costs
+    nothing where there are none."""
+    keys = list(keys)
+    bounds = range_bounds(df, keys, cell, descending) if bounds is None else bounds
+    out = _at_bounds(df.withColumn("_cell", cell), bounds, keys, descending, "inner" if hot else "left")
+    zero = F.lit(0).cast("long")
+    return out.select(*df.columns, F.coalesce("_bound.bucket", zero).alias("_bucket"), F.coalesce("_bound.start", zero).alias("_range_start"), F.col("_bounds").isNotNull().alias("_range_many"))
+
+
+def _before_ranges(totals: DataFrame, keys: list[str], over: dict[str, Callable[[Window], Column]]) -> DataFrame:
+    """Per range of hot keys what its earlier ranges add up to; as many rows as there are bounds, so it can be broadcast."""
+    prior = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_bb"), *[fn(prior).alias(name) for name, fn in over.items()]))
+
+
+def _by_range(work: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    cond = F.col("_bucket") == F.col("_bb")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return work.join(side, cond).select(*df.columns, "_bucket", "_range_start", "_range_many"), n
+    return work.join(offsets, cond, "left")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column,
@@ -60,16 +105,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     """Running sums per key in ``order``. ``cell`` must be non-decreasing along the order
     (non-increasing when ``descending``)."""
     names, keys = list(sums), list(keys)
-    work, _ = with_ranges(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), keys, cell, descending)
-    totals = work.groupBy(*keys, "_bucket").agg(*[F.sum(F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(f"_t_{n}") for n in names])
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_bb"),
-                            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
-    cond = F.col("_bucket") == F.col("_bb")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    valued = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
+    bounds = range_bounds(df, keys, cell, descending)
+    totals = with_ranges(valued, keys, cell, descending, bounds, hot=True).groupBy(*keys, "_bucket").agg(
+        *[F.sum(F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(f"_t_{n}") for n in names])
+    offsets = _before_ranges(totals, keys, {f"_o_{n}": lambda w, n=n: F.sum(f"_t_{n}").over(w) for n in names})
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = work.join(offsets, cond).withColumns({n: F.coalesce(F.sum(F.col(f"_v_{n}")).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in names})
+    out = _by_range(with_ranges(valued, keys, cell, descending, bounds), offsets, keys)
+    out = out.withColumns({n: F.coalesce(F.sum(F.col(f"_v_{n}")).over(inside), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in names})
     return out.select(*df.columns, *names)
 
 
@@ -80,46 +123,51 @@ def running_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     With a struct that starts with the row's time, the greatest is the latest.
     """
     keys = list(keys)
-    work, _ = with_ranges(df.withColumn(name, value), keys, cell)
-    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = work.groupBy(*keys, "_bucket").agg(F.max(name).alias("_t"))
-    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_bb"), F.max("_t").over(prior).alias("_o"))
-    cond = F.col("_bucket") == F.col("_bb")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    bounds = range_bounds(df, keys, cell)
+    valued = df.withColumn(name, value)
+    tops = with_ranges(valued, keys, cell, bounds=bounds, hot=True).groupBy(*keys, "_bucket").agg(F.max(name).alias("_top"))
+    offsets = _before_ranges(tops, keys, {"_offset": lambda w: F.max("_top").over(w)})
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.join(tops, cond).withColumn(name, F.greatest(F.max(name).over(inside), F.col("_o"))).select(*df.columns, name)
+    out = _by_range(with_ranges(valued, keys, cell, bounds=bounds), offsets, keys)
+    return out.withColumn(name, F.greatest(F.max(name).over(inside), F.col("_offset"))).select(*df.columns, name)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cell: Column,
               name: str = "row_index") -> DataFrame:
     """Position of each row in its key, from 0."""
     keys = list(keys)
-    work, _ = with_ranges(df, keys, cell)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return work.withColumn(name, F.col("_range_start") + F.row_number().over(inside) - 1).select(*df.columns, name)
+    return with_ranges(df, keys, cell).withColumn(name, F.col("_range_start") + F.row_number().over(inside) - 1).select(*df.columns, name)
 
 
-def _halo(work: DataFrame, spots: DataFrame, keys: list[str], order: Sequence[str], reach: int, values: dict[str, int] | None) -> DataFrame:
-    """For every range of ``spots`` the ``reach`` rows before it, and for each column in ``values`` the last so many rows
-    where it is not NULL. Rows of a key need distinct order values."""
+def _halo(work: DataFrame, bounds: DataFrame, keys: list[str], order: Sequence[str], reach: int, values: dict[str, int] | None) -> DataFrame:
+    """For every range of hot keys the ``reach`` rows before it, and for each column in ``values`` the last so many rows
+    where it is not NULL. Rows of a key need distinct order values. ``work`` is read once."""
     cols = [c for c in work.columns if c != "_bucket"]
     row = F.struct(*[F.col(o).alias(f"_s{i}") for i, o in enumerate(order)], F.struct(*cols).alias("_row"))
     last = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(o).desc() for o in order])
-    line = Window.partitionBy(*keys).orderBy("_bucket")
-    halo = None
-    for name, n in [(None, reach), *(values or {}).items()]:
-        some = work if name is None else work.where(F.col(name).isNotNull())
-        tails = (some.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n)
-                 .groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(row)).alias("_tail")))
-        # the n previous ranges that have a tail hold at least n rows; ranges without one are stepped over
-        at = spots.join(tails, [*keys, "_bucket"], "left").withColumn(
-            "_seen", F.count("_tail").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-        prior = Window.partitionBy(*keys).orderBy("_seen").rangeBetween(-n, -1)
-        got = at.select("_bucket", F.flatten(F.sort_array(F.collect_list("_tail").over(prior))).alias("_prior"))
-        got = got.select("_bucket", F.explode(F.slice("_prior", F.greatest(F.size("_prior") - n + 1, F.lit(1)), n)).alias("_x"))
-        got = got.select("_x._row.*", "_bucket")
-        halo = got if halo is None else halo.unionByName(got)
+    upto = last.rowsBetween(Window.unboundedPreceding, 0)
+    wanted = {"_near": (F.lit(True), reach)} | {f"_last_{name}": (F.col(name).isNotNull(), n) for name, n in (values or {}).items()}
+    ranked = work.withColumns({tag: F.sum(has.cast("int")).over(upto) for tag, (has, _) in wanted.items()})
+    keep = {tag: has & (F.col(tag) <= n) for tag, (has, n) in wanted.items()}
+    some = F.lit(False)
+    for k in keep.values():
+        some = some | k
+    lists = {tag: F.sort_array(F.collect_list(F.when(k, row))) for tag, k in keep.items()}
+    tails = ranked.where(some).groupBy(*keys, "_bucket").agg(*[F.when(F.size(x) > 0, x).alias(tag) for tag, x in lists.items()])
+    spots = bounds.select(*[F.col(f"_k_{k}").alias(k) for k in keys], F.explode(F.flatten("_bounds")).alias("_b")).select(*keys, F.col("_b.bucket").alias("_bucket"))
+    cond = F.col("_bucket") == F.col("_tb")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    at = spots.join(tails.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_bucket").alias("_tb"), *wanted), cond, "left")
+    line = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
+    # the n previous ranges that have a tail hold at least n rows; ranges without one are stepped over
+    at = at.withColumns({f"_seen{tag}": F.count(tag).over(line.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)) for tag in wanted})
+    got = []
+    for tag, (_, n) in wanted.items():
+        prior = F.flatten(F.sort_array(F.collect_list(tag).over(line.orderBy(f"_seen{tag}").rangeBetween(-n, -1))))
+        got.append(F.slice(prior, F.greatest(F.size(prior) - n + 1, F.lit(1)), n))
+    halo = at.select("_bucket", F.concat(*got).alias("_prior")).select("_bucket", F.explode("_prior").alias("_x")).select("_x._row.*", "_bucket")
     return halo.dropDuplicates([*keys, "_bucket", *order]) if values else halo
 
 
@@ -134,13 +182,14 @@ def in_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: C
     keys, order = list(keys), list(order)
     if "_bucket" in keys:  # inside a range already, whose copies the outer call has brought
         return fn(df, keys)
-    ranged, n = with_ranges(df, keys, cell_of(df, order[0]) if cell is None else cell)
+    cell = cell_of(df, order[0]) if cell is None else cell
+    bounds = range_bounds(df, keys, cell)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    several = ranged.where("_range_many")
+    several = with_ranges(df, keys, cell, bounds=bounds, hot=True)
     if index:
         several = several.withColumn(index, (F.col("_range_start") + F.row_number().over(inside) - 1).cast("long"))
-    before = _halo(several.drop("_range_start", "_range_many"), n.where("_range_many").select(*keys, "_bucket").distinct(), keys, order, reach, values)
-    own = ranged.drop("_range_many").withColumn("_own", F.lit(True))
+    before = _halo(several.drop("_range_start", "_range_many"), bounds, keys, order, reach, values)
+    own = with_ranges(df, keys, cell, bounds=bounds).drop("_range_many").withColumn("_own", F.lit(True))
     wide = own.unionByName(before.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     if index:
         place = F.col("_range_start") + F.sum(F.col("_own").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1
@@ -231,8 +280,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
     Equal values are merged first, so ties cost nothing. Returns ``by..., prob, quantile``.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
     want = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     ranks = counts.groupBy(*by).agg(F.sum("_n").alias("_m")).where("_m IS NOT NULL").select(*by, "_m", want.alias("prob"))
     ranks = ranks.withColumn("_pos", F.col("prob") * (F.col("_m") - 1))

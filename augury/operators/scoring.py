@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import brier, clip, clip_prob, end_of_day, hit, log_loss, micros
 from augury.operators.ordered import latest_by, value_cell, windowed
+from augury.session import cut_lineage
 
 
 
@@ -77,15 +78,18 @@ def score_groups(df: DataFrame, by: Sequence[str], label: str, prob: str, bins:
     Equal probabilities merge in the map tasks. AUC ranks are counted inside narrow probability
     buckets and the buckets' totals are added afterwards, so no group is sorted in one task.
     """
-    by = list(by)
+    return _scores(_merged(df, by, label, prob), by, bins)
+
+
+def _merged(df: DataFrame, by: Sequence[str], label: str, prob: str, *more: Column) -> DataFrame:
+    """Rows merged to (group, probability): ``_p``, their number ``_n`` and positives ``_pos``."""
     rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
-    p = F.col("_p")
-    merged = (
-        rows.select(*by, clip_prob(prob).alias("_p"), F.col(label).cast("long").alias("_y"))
-        .withColumns({"_bin": F.ceil(p * bins).cast("int"), "_b": value_cell(p)})
-        .groupBy(*by, "_bin", "_b", "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-        .withColumn("_neg", F.col("_n") - F.col("_pos"))
-    )
+    return rows.groupBy(*by, clip_prob(prob).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"), *more)
+
+
+def _scores(counts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    by, p = list(by), F.col("_p")
+    merged = counts.withColumns({"_bin": F.ceil(p * bins).cast("int"), "_b": value_cell(p), "_neg": F.col("_n") - F.col("_pos")})
     below = Window.partitionBy(*by, "_bin", "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     local = merged.withColumn("_under", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
     right = F.when(p >= 0.5, F.col("_pos")).otherwise(F.col("_neg"))
@@ -110,38 +114,48 @@ def score_groups(df: DataFrame, by: Sequence[str], label: str, prob: str, bins:
         (F.sum(gap) / n).alias("ece"), F.max(gap / F.col("_n")).alias("mce"))
 
 
-def calibration_fit(df: DataFrame, by: Sequence[str], label: str, prob: str, steps: int = 7,
-                    ridge: float = 1.0) -> DataFrame:
+def calibration_fit(df: DataFrame, by: Sequence[str], label: str, prob: str, ridge: float = 1.0) -> DataFrame:
     """Intercept and slope of a logistic fit on logit(p), ridge on the slope, for all groups at once.
 
-    Each Newton step is one aggregate over the merged (group, p) counts; the counts' shuffle is
-    reused by every step, and the current parameters join back by group. Groups with one class get NULL.
+    Each Newton step is one aggregate over the merged (group, p) counts, and the current parameters join back by group.
+    Groups with one class get NULL.
     """
+    return _calibration(cut_lineage(_merged(df, by, label, prob)), by, ridge)
+
+
+STEPS, MOST_STEPS, SETTLED = 6, 48, 1e-9
+
+
+def _calibration(counts: DataFrame, by: Sequence[str], ridge: float = 1.0) -> DataFrame:
+    """Newton steps over counts in the checkpoint folder, until no parameter moves. Raises if some still do after
+    ``MOST_STEPS``; a group whose own step grows, which separable data can bring, is stopped by the ridge."""
     by = list(by)
-    rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
-    data = rows.groupBy(*by, clip_prob(prob).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("double")).alias("_pos"))
-    data = data.withColumn("_x", F.log(F.col("_p") / (1 - F.col("_p"))))
+    data = counts.withColumn("_x", F.log(F.col("_p") / (1 - F.col("_p"))))
     fit = data.groupBy(*by).agg(F.sum("_n").alias("_N"), F.sum("_pos").alias("_P")).select(
-        *by, ((F.col("_P") > 0) & (F.col("_P") < F.col("_N"))).alias("_two"),
-        F.lit(0.0).alias("_a"), F.lit(0.0).alias("_c"))
-    for _ in range(steps):
+        *by, ((F.col("_P") > 0) & (F.col("_P") < F.col("_N"))).alias("_two"), F.lit(0.0).alias("_a"), F.lit(0.0).alias("_c"), F.lit(0.0).alias("_move"))
+    for step in range(1, MOST_STEPS + 1):
         joined = data.join(fit, by) if by else data.crossJoin(fit)
         mu = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_c") * F.col("_x"))))
         w = F.col("_n") * mu * (1 - mu)
         r = F.col("_pos") - F.col("_n") * mu
-        sums = joined.groupBy(*by, "_two", "_a", "_c").agg(
+        sums = joined.where("_two").groupBy(*by, "_two", "_a", "_c").agg(
             F.sum(r).alias("_g0"), F.sum(r * F.col("_x")).alias("_g1"), F.sum(w).alias("_h0"),
             F.sum(w * F.col("_x")).alias("_h1"), F.sum(w * F.col("_x") * F.col("_x")).alias("_h2"))
         g1 = F.col("_g1") - ridge * F.col("_c")
         h2 = F.col("_h2") + ridge
         det = F.col("_h0") * h2 - F.col("_h1") * F.col("_h1")
-        fit = sums.select(
-            *by, "_two",
-            (F.col("_a") + (h2 * F.col("_g0") - F.col("_h1") * g1) / det).alias("_a"),
-            (F.col("_c") + (F.col("_h0") * g1 - F.col("_h1") * F.col("_g0")) / det).alias("_c"))
-    return fit.select(*by, F.when(F.col("_two"), F.col("_a")).alias("calibration_alpha"),
-                      F.when(F.col("_two"), F.col("_c")).alias("calibration_beta"))
+        da, dc = (h2 * F.col("_g0") - F.col("_h1") * g1) / det, (F.col("_h0") * g1 - F.col("_h1") * F.col("_g0")) / det
+        fit = sums.select(*by, "_two", (F.col("_a") + da).alias("_a"), (F.col("_c") + dc).alias("_c"), F.greatest(F.abs(da), F.abs(dc)).alias("_move"))
+        if step % STEPS == 0:
+            fit = cut_lineage(fit)
+            move = fit.agg(F.max("_move")).first()[0]
+            if move is None or move < SETTLED:
+                break
+    else:
+        raise RuntimeError(f"calibration still moves by {move} after {MOST_STEPS} steps")
+    groups = data.select(*by).distinct() if by else data.limit(1).select(F.lit(1).alias("_one"))
+    found = fit.select(*by, F.col("_a").alias("calibration_alpha"), F.col("_c").alias("calibration_beta"))
+    return groups.join(found, by, "left") if by else groups.join(found, F.lit(True), "left").drop("_one")
 
 
 def window_rows(df: DataFrame, by: Sequence[str], date: str, days: Sequence[int]) -> DataFrame:
@@ -154,12 +168,13 @@ def window_rows(df: DataFrame, by: Sequence[str], date: str, days: Sequence[int]
 
 def performance(df: DataFrame, by: Sequence[str], date: str, label: str, prob: str,
                 days: Sequence[int] = (7, 30, 60, 90), fit: bool = True) -> DataFrame:
-    """Cumulative and trailing-window score bundle per group."""
+    """Cumulative and trailing-window score bundle per group, all from the rows merged by day and probability."""
     keys = [*by, "window"]
-    rows = window_rows(df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()), by, date, days)
-    out = score_groups(rows, keys, label, prob).join(
-        rows.groupBy(*keys).agg(F.min(date).alias("start_date"), F.max(date).alias("end_date")), keys)
-    return out.join(calibration_fit(rows, keys, label, prob), keys) if fit else out
+    days_of = cut_lineage(_merged(df, [*by, date], label, prob))
+    counts = window_rows(days_of, by, date, days).groupBy(*keys, "_p").agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"), F.min(date).alias("_from"), F.max(date).alias("_to"))
+    counts = cut_lineage(counts)
+    out = _scores(counts, keys, 10).join(counts.groupBy(*keys).agg(F.min("_from").alias("start_date"), F.max("_to").alias("end_date")), keys)
+    return out.join(_calibration(counts, keys), keys) if fit else out
 
 
 def mean_by_date(df: DataFrame, by: Sequence[str], date: str, label: str, prob: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_ranges_are_even_with_one_hot_key(spark):
     tracker = spark.sparkContext.statusTracker()
     try:
         before = len(tracker.getJobIdsForGroup())
-        ranged, _ = O.with_ranges(df, ["k"], O.cell_of(df, "ts"))
+        ranged = O.with_ranges(df, ["k"], O.cell_of(df, "ts"))
         mean = X.prior_mean(df, ["k"], ["ts", "id"], ["x"])
         assert len(tracker.getJobIdsForGroup()) == before
         sizes = [r["count"] for r in ranged.groupBy("k", "_bucket").count().collect()]
