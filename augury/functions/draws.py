@@ -43,29 +43,6 @@ def poisson_one(seed: int, *keys: Column | str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_steps()]), lambda c: c <= u))
 
 
-def gamma(shape: Column, seed: int, *keys: Column | str, tries: int = 12) -> Column:
-    """Gamma(shape, 1) for shape >= 1 by squeeze rejection over a fixed number of tries.
-
-    One try is accepted more than 19 times in 20, so twelve tries fail less than once in 10^15 draws;
-    the shape itself stands in then. The cost does not depend on the shape.
-    """
-    d = shape - 1.0 / 3.0
-    c = 1.0 / F.sqrt(9.0 * d)
-
-    def one(k):
-        x, u = normal(seed, k, *keys), uniform(seed + 7, k, *keys)
-        v = F.pow(1 + c * x, F.lit(3.0))
-        ok = (v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(F.when(v > 0, v).otherwise(1.0)))
-        return F.when(ok, d * v)
-    hits = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), one))
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), shape)
-
-
-def beta(a: Column, b: Column, seed: int, *keys: Column | str) -> Column:
-    x, y = gamma(a, seed, *keys), gamma(b, seed + 100, *keys)
-    return x / (x + y)
-
-
 # Coefficients of the rational approximation of the normal quantile.
 _A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
 _B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01)

@@ -2,15 +2,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augury.functions.columns import clip_prob, log_loss, stack_long
 from augury.functions.draws import normal, normal_quantile, poisson_one, uniform
+from augury.operators.logits import group_logits, replicate_logits
 from augury.operators.ordered import exact_quantiles, row_index
 from augury.operators.scoring import score_groups
+from augury.session import cut_lineage
 
 # Thresholds of the structure, correlation and screening reports.
 MIN_VALUES, ZERO_STD, NEAR_STD, NEAR_RELATIVE, DOMINANT = 5, 1e-12, 1e-8, 1e-4, 0.98
@@ -174,92 +177,102 @@ def rank_features(df: DataFrame, cols: Sequence[str], label: str, row_id: str, s
                                            "feature string, outcome_score double, stage_score double, coverage double, score double, rank int, selected int")
 
 
+def _replicates(n: int, weight) -> Column:
+    """The weights of a row in replicates 1 to ``n``."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: weight(r).cast("double"))
+
+
+def _replicate_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per model and replicate the weights and weighted losses of a task's rows."""
+    held: dict = {}
+    for batch in batches:
+        w = np.asarray(batch.column("w").flatten(), float).reshape(len(batch), -1)
+        loss, of = batch.column("loss").to_numpy(zero_copy_only=False), batch.column("model").to_pylist()
+        for m in set(of):
+            at = np.array([x == m for x in of])
+            part = np.vstack([w[at].sum(axis=0), loss[at] @ w[at]])
+            held[m] = held[m] + part if m in held else part
+    for m, (w, wl) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([m] * len(w), pa.string()), pa.array(np.arange(1, len(w) + 1)), pa.array(w), pa.array(wl)], ["model", "rep", "w", "wl"])
+
+
 def bootstrap_deltas(scores: DataFrame, event: str, model: str, loss: str, n: int = 200, seed: int = 42) -> DataFrame:
     """Mean loss of each model minus the best model's over Poisson(1) bootstrap replicates of events.
 
-    Replicate weights are hashes of (event, replicate), so models share them and a retry repeats them.
-    The exploded rows shrink to (model, replicate) sums in the map tasks.
+    Replicate weights are hashes of (event, replicate), so models share them and a retry repeats them. A row carries its
+    weights as an array and adds them to the sums of all replicates in its task: rows are not multiplied, and a task hands
+    on a row per model and replicate.
     """
-    rep = scores.select(F.col(event), F.col(model), F.col(loss).alias("_l"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-    w = poisson_one(seed, F.col(event), F.col("rep"))
-    sums = rep.groupBy(model, "rep").agg((F.sum(w * F.col("_l")) / F.nullif(F.sum(w), F.lit(0).cast("long"))).alias("_m"))
-    means = scores.groupBy(model).agg(F.avg(loss).alias("_a"))
-    best = means.agg(F.min_by(model, "_a").alias("reference"), F.min("_a").alias("_best"))
-    base = sums.join(best, F.col(model) == F.col("reference")).select("rep", "reference", F.col("_m").alias("_b"))
-    d = sums.join(base, "rep").where(F.col(model) != F.col("reference")).withColumn("_d", F.col("_m") - F.col("_b"))
+    rows = scores.where(F.col(loss).isNotNull() & F.col(model).isNotNull())
+    w = _replicates(n, lambda r: poisson_one(seed, F.col(event), r))
+    rep = rows.select(F.col(model).cast("string").alias("model"), F.col(loss).cast("double").alias("loss"), w.alias("w")).mapInArrow(_replicate_sums, "model string, rep long, w double, wl double")
+    sums = cut_lineage(rep.groupBy("model", "rep").agg((F.sum("wl") / F.nullif(F.sum("w"), F.lit(0.0))).alias("_m")))
+    means = rows.groupBy(F.col(model).cast("string").alias("model")).agg(F.avg(loss).alias("_a"))
+    best = means.agg(F.min_by("model", "_a").alias("reference"))
+    base = sums.join(best, F.col("model") == F.col("reference")).select("rep", "reference", F.col("_m").alias("_b"))
+    d = sums.join(base, "rep").where(F.col("model") != F.col("reference")).withColumn("_d", F.col("_m") - F.col("_b"))
     q = lambda p: F.percentile("_d", F.lit(p))  # over the replicates of one model
-    return d.groupBy("reference", model).agg(F.avg("_d").alias("delta_mean"), q(0.025).alias("delta_p025"), q(0.5).alias("delta_p500"),
-                                             q(0.975).alias("delta_p975"), F.avg((F.col("_d") > 0).cast("double")).alias("reference_better"))
+    return d.groupBy("reference", F.col("model").alias(model)).agg(F.avg("_d").alias("delta_mean"), q(0.025).alias("delta_p025"), q(0.5).alias("delta_p500"),
+                                                                   q(0.975).alias("delta_p975"), F.avg((F.col("_d") > 0).cast("double")).alias("reference_better"))
 
 
-def grouped_logit(df: DataFrame, cols: Sequence[str], label: str, group: str, weight: Column | None = None, steps: int = 6,
-                  ridge: float = 1e-3) -> dict[object, np.ndarray]:
-    """Logistic fits for many groups (folds, replicates) at once.
+def _named(fits: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """Fits as rows: group, ``feature`` and ``coef``."""
+    names = F.array(*[F.lit(c) for c in ("intercept", *cols)])
+    return fits.select(group, F.posexplode("beta").alias("_at", "coef")).select(group, F.element_at(names, F.col("_at") + 1).alias("feature"), "coef")
 
-    Each Newton step is one aggregate of X'WX and X'(y - p) by group; the k x k solves run on the driver. The
-    groups are the caller's folds or replicates, a fixed number.
-    """
-    k = len(cols) + 1
-    x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]]
-    w0 = weight if weight is not None else F.lit(1.0)
-    ids = [r[0] for r in df.select(group).distinct().collect()]
-    beta = {g: np.zeros(k) for g in ids}
-    for _ in range(steps):
-        b = F.create_map(*[v for g in ids for v in (F.lit(g), F.array(*[F.lit(float(t)) for t in beta[g]]))])
-        rows = df.withColumn("_b", F.try_element_at(b, F.col(group)))
-        eta = sum((x[j] * F.col("_b")[j] for j in range(k)), F.lit(0.0))
-        rows = rows.withColumns({"_w": w0.cast("double"), "_mu": 1.0 / (1.0 + F.exp(-eta))})
-        g = [F.sum(F.col("_w") * (F.col(label) - F.col("_mu")) * x[j]).alias(f"g{j}") for j in range(k)]
-        h = [F.sum(F.col("_w") * F.col("_mu") * (1 - F.col("_mu")) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        for r in rows.groupBy(group).agg(*g, *h).collect():
-            hess = np.eye(k) * ridge
-            for i in range(k):
-                for j in range(i, k):
-                    hess[i, j] += r[f"h{i}_{j}"]
-                    if i != j:
-                        hess[j, i] += r[f"h{i}_{j}"]
-            beta[r[group]] = beta[r[group]] + np.linalg.solve(hess, np.array([r[f"g{j}"] for j in range(k)]) - ridge * beta[r[group]])
-    return beta
-
-
-def coef_stability(df: DataFrame, cols: Sequence[str], label: str, row_id: str, scheme: str = "bootstrap", n: int = 30, seed: int = 42,
+
+def coef_stability(df: DataFrame, cols: Sequence[str], label: str, row_id: str, scheme: str = "bootstrap", n: int = 100, seed: int = 42,
                    period: str | None = None) -> DataFrame:
-    """Coefficient mean, spread, interval and sign flips over bootstrap replicates, folds, or periods."""
+    """Coefficient mean, spread, interval and sign flips over bootstrap replicates, folds, or periods.
+
+    Replicates and folds are weights of the rows (Poisson draws, or all rows outside a fold drawn by hash), fitted together
+    without multiplying rows; periods are groups of the rows, as many as there are.
+    """
     rows = df.where(F.col(label).isNotNull())
-    if scheme == "bootstrap":
-        rows = rows.withColumn("_g", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_wt", poisson_one(seed, F.col(row_id), F.col("_g")))
-        rows = rows.where("_wt > 0")
-        fits = grouped_logit(rows, cols, label, "_g", F.col("_wt"))
-    elif scheme == "folds":
-        fold = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(n)).cast("int")
-        held = rows.withColumn("_f", fold).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where("_g <> _f")
-        fits = grouped_logit(held, cols, label, "_g")
+    if scheme == "period":
+        fits = group_logits(rows, cols, label, period).withColumnRenamed(period, "_g")
     else:
-        fits = grouped_logit(rows.withColumn("_g", F.col(period)), cols, label, "_g")
-    data = np.array([fits[g] for g in sorted(fits)])
-    out = []
-    for j, c in enumerate(["intercept", *cols]):
-        v = data[:, j]
-        lo, hi = np.quantile(v, [0.025, 0.975])
-        sign = np.sign(v[np.abs(v) > 1e-12])
-        out.append((c, len(v), float(v.mean()), float(v.std()), float(lo), float(hi), int((np.diff(sign) != 0).sum()), float((sign > 0).mean()) if len(sign) else 0.0))
-    return df.sparkSession.createDataFrame(out, "feature string, fits int, coef_mean double, coef_sd double, low double, high double, sign_flips int, share_positive double")
+        fold = F.floor(uniform(seed, row_id) * n).cast("int") + 1
+        w = _replicates(n, (lambda r: poisson_one(seed, F.col(row_id), r)) if scheme == "bootstrap" else (lambda r: fold != r))
+        b = replicate_logits(rows.withColumn("_wt", w), cols, label, "_wt", n)
+        fits = df.sparkSession.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(b)], "_g int, beta array<double>")
+    long = cut_lineage(_named(fits, "_g", cols))
+    sign = F.when(F.abs("coef") > 1e-12, F.signum("coef"))
+    flips = long.withColumn("_s", sign).where("_s IS NOT NULL").withColumn("_p", F.lag("_s").over(Window.partitionBy("feature").orderBy("_g")))
+    flips = flips.groupBy("feature").agg(F.count_if(F.col("_s") != F.col("_p")).alias("sign_flips"), F.avg((F.col("_s") > 0).cast("double")).alias("share_positive"))
+    q = lambda p: F.percentile("coef", F.lit(p))
+    out = long.groupBy("feature").agg(F.count(F.lit(1)).alias("fits"), F.avg("coef").alias("coef_mean"), F.stddev_pop("coef").alias("coef_sd"), q(0.025).alias("low"), q(0.975).alias("high"))
+    return out.join(flips, "feature", "left").select(*out.columns, F.coalesce("sign_flips", F.lit(0).cast("long")).alias("sign_flips"), F.coalesce("share_positive", F.lit(0.0)).alias("share_positive"))
 
 
 def coef_paths(df: DataFrame, cols: Sequence[str], label: str, ts: str, days: Sequence[int] = (30, 60, 90), step_days: int = 30) -> DataFrame:
-    """Coefficients over trailing windows that end every ``step_days``: rolling paths."""
-    last = df.agg(F.max(F.datediff(F.col(ts), F.lit("1970-01-01"))).alias("m")).first()["m"]
+    """Coefficients over trailing windows that end every ``step_days``: rolling paths. A row is in as many windows as hold
+    its day, a number that the lengths and the step bound."""
     day = F.datediff(F.col(ts), F.lit("1970-01-01"))
-    rows = df.where(F.col(label).isNotNull()).withColumn("_w", F.explode(F.array(*[F.lit(d) for d in days])))
+    last = df.agg(F.max(day).alias("_last"))
+    rows = df.where(F.col(label).isNotNull()).crossJoin(F.broadcast(last)).withColumn("_w", F.explode(F.array(*[F.lit(d) for d in days])))  # one row
     # windows (by their end) that hold the day: ends at last - j * step, of length w
-    j0 = F.ceil((F.lit(last) - day - F.col("_w") + 1) / step_days)
-    j1 = F.floor((F.lit(last) - day) / step_days)
-    ends = F.when(F.greatest(j0, F.lit(0)) <= j1, F.sequence(F.greatest(j0, F.lit(0)), j1)).otherwise(F.array())
-    rows = rows.withColumn("_j", F.explode(ends)).withColumn("_g", F.concat_ws("|", "_w", "_j"))
-    fits = grouped_logit(rows, cols, label, "_g", ridge=1.0)
-    out = [(int(g.split("|")[0]), int(last - int(g.split("|")[1]) * step_days), c, float(b[i + 1])) for g, b in fits.items() for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(out, "window_days int, end_day int, feature string, coef double").withColumn(
-        "window_end", F.date_add(F.lit("1970-01-01").cast("date"), F.col("end_day"))).drop("end_day")
+    j0 = F.greatest(F.ceil((F.col("_last") - day - F.col("_w") + 1) / step_days), F.lit(0))
+    j1 = F.floor((F.col("_last") - day) / step_days)
+    rows = rows.withColumn("_j", F.explode(F.when(j0 <= j1, F.sequence(j0, j1)).otherwise(F.array().cast("array<bigint>"))))
+    rows = rows.withColumn("_g", F.struct(F.col("_w").alias("w"), (F.col("_last") - F.col("_j") * step_days).cast("int").alias("end")))
+    out = _named(group_logits(rows, cols, label, "_g", ridge=1.0), "_g", cols).where("feature <> 'intercept'")
+    return out.select(F.col("_g.w").alias("window_days"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("_g.end")).alias("window_end"), "feature", "coef")
+
+
+def break_test(df: DataFrame, cols: Sequence[str], label: str, ts: str, month: int, day: int, least: int = 20, ridge: float = 1.0) -> DataFrame:
+    """Distance between the coefficients fitted before and after a day of the last year: ``cut_day``, ``n_pre``, ``n_post``
+    and ``delta_coef`` (NULL where a side has fewer than ``least`` rows)."""
+    rows = df.where(F.col(label).isNotNull() & F.col(ts).isNotNull())
+    cut = F.broadcast(rows.agg(F.make_date(F.max(F.year(ts)), F.lit(month), F.lit(day)).alias("cut_day")))  # one row
+    sides = rows.crossJoin(cut).withColumn("_g", F.when(F.to_date(ts) < F.col("cut_day"), "pre").otherwise("post"))
+    long = _named(group_logits(sides, cols, label, "_g", ridge), "_g", cols).where("feature <> 'intercept'")
+    both = long.groupBy("feature").pivot("_g", ["pre", "post"]).agg(F.first("coef"))
+    gap = F.coalesce("pre", F.lit(0.0)) - F.coalesce("post", F.lit(0.0))
+    delta = both.agg(F.sqrt(F.sum(gap * gap)).alias("_d"))
+    n = sides.groupBy("cut_day").agg(F.count_if(F.col("_g") == "pre").alias("n_pre"), F.count_if(F.col("_g") == "post").alias("n_post"))
+    return n.crossJoin(delta).select("cut_day", "n_pre", "n_post", F.when((F.col("n_pre") >= least) & (F.col("n_post") >= least), F.col("_d")).alias("delta_coef"))
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -340,7 +353,8 @@ def residuals(df: DataFrame, label: str, prob: str, row_id: str, linear: Mapping
 def influence(df: DataFrame, cols: Sequence[str], label: str, row_id: str, k: int = 10) -> tuple[DataFrame, float]:
     """Leverage, Cook's distance and mean |dfbeta| per row, the top ``k``, and the coefficient shift without them."""
     rows = df.where(F.col(label).isNotNull()).withColumn("_one", F.lit(1))
-    beta = grouped_logit(rows, cols, label, "_one", ridge=1e-6)[1]
+    fit = lambda d: np.array(group_logits(d, cols, label, "_one", 1e-6).first()["beta"])
+    beta = fit(rows)
     x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]]
     m = len(x)
     eta = sum((x[j] * float(beta[j]) for j in range(m)), F.lit(0.0))
@@ -362,7 +376,7 @@ def influence(df: DataFrame, cols: Sequence[str], label: str, row_id: str, k: in
         "abs_dfbeta_mean": sum((F.abs(vx[i] * err / (1 - F.col("leverage"))) / float(se[i]) for i in range(m)), F.lit(0.0)) / m})
     top = rows.orderBy(F.col("cooks_distance").desc(), row_id).limit(k).select(row_id, "leverage", "cooks_distance", "abs_dfbeta_mean")
     rest = rows.select(row_id, label, "_one", *cols).join(top.select(row_id), row_id, "left_anti")
-    shift = float(np.linalg.norm(beta - grouped_logit(rest, cols, label, "_one", ridge=1e-6)[1]))
+    shift = float(np.linalg.norm(beta - fit(rest)))
     return top, shift
 
 

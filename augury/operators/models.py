@@ -241,29 +241,6 @@ def walk_forward(folds: DataFrame, builders: Mapping[str, Builder], fold_ids: Se
     return out
 
 
-def tune(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Sequence[int], label: str) -> DataFrame:
-    """Mean fold log loss and Brier per grid point, best first."""
-    oof = walk_forward(folds, grid, fold_ids)
-    per = score_groups(oof, ["model", "fold"], label, "pred")
-    return per.groupBy("model").agg(F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("auc").alias("auc"),
-                                    F.count(F.lit(1)).alias("folds")).orderBy("log_loss", "model")
-
-
-def nested_backtest(folds: DataFrame, grid: Mapping[str, Builder], fold_ids: Sequence[int], order: Sequence[str], cell: Column, label: str,
-                    inner: int = 2, min_train: int = 100) -> DataFrame:
-    """Per outer fold: choose by inner folds of its training rows, refit, predict its valid rows."""
-    from augury.operators.features import time_folds
-    out = None
-    for f in fold_ids:
-        rows = folds.where(F.col("fold") == f)
-        train, valid = rows.where("role = 'train'").drop("fold", "role"), rows.where("role = 'valid'")
-        inside = time_folds(train, order, cell, inner, min_train)
-        best = tune(inside, grid, range(1, inner + 1), label).first()["model"]
-        p = grid[best](train)(valid).withColumn("model", F.lit(best))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 def width_eval(train: DataFrame, folds: DataFrame, ranked: Sequence[str], widths: Sequence[int], fold_ids: Sequence[int], label: str, c: float = 1.0) -> DataFrame:
     """Cut a ranked feature list to each width and score the walk-forward predictions."""
     grid = {f"width_{w}": logit_builder(list(ranked[:w]), label, c) for w in widths}

@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augury.functions import draws as R
-from augury.operators import diagnostics as G, features as X, models as M
+from augury.operators import decisions as D, diagnostics as G, features as X, logits as L, models as M, research as RB
 from augury.operators.scoring import score_groups
+from augury.plans.feature_queries import recursive
 from augury.plans.registry import query, sql
-from augury.plans.roles import events, table
+from augury.plans.roles import EVENTS_SQL, events, table
 from augury.plans.scoring_queries import BASE, scored
+from augury.plans.twins import newton_sql
 from augury.session import cut_lineage
 
 COLS = ["lines", "quantity", "discount", "tax", "price"]
@@ -89,10 +91,50 @@ def _(spark, d):
     return score_groups(M.walk_forward(folds, grid, [1, 2]), ["model", "fold"], LABEL, "pred")
 
 
-@query("tune")
+FOLDS, MIN_TRAIN = 4, 220
+POINTS_SQL = "pts(point, lam) AS (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(L.RIDGE)) + ")"
+
+
+def fold_scale(rows: str, key: str) -> str:
+    """CTE ``xs``: the rows of ``rows`` (with ``key`` and role) scaled by the means and deviations of the training rows of their fold."""
+    m = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in COLS)
+    z = ", ".join(f"({c} - a_{c}) / s_{c} AS {c}" for c in COLS)
+    return f"mo AS (SELECT {key}, {m} FROM {rows} WHERE role = 'train' GROUP BY {key}), xs AS (SELECT event_id, {key}, role, {LABEL}, {z} FROM {rows} JOIN mo USING ({key}))"
+
+
+def point_scores(key: str) -> str:
+    """CTE ``sc2``: the scores of every fit ``nw`` on the validation rows of its fold."""
+    eta = "b[1] + " + " + ".join(f"b[{i + 2}] * {c}" for i, c in enumerate(COLS))
+    return f"""pp AS (SELECT x.{key}, n.point, n.lam, {LABEL}, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1.0::DOUBLE / (1.0 + exp(-({eta}))))) AS p FROM nw n JOIN xs x ON x.{key} = n.{key} WHERE n.step = 12 AND x.role = 'valid'),
+sc2 AS (SELECT {key}, point, any_value(lam) AS lam, count(*) AS n, avg(-({LABEL}*ln(p) + (1-{LABEL})*ln(1-p))) AS log_loss, avg((p-{LABEL})*(p-{LABEL})) AS brier, avg(((p >= 0.5)::INT = {LABEL})::INT) AS accuracy FROM pp GROUP BY {key}, point)"""
+
+
+FR_SQL = (EVENTS_SQL, FRAME_SQL, f"fe AS (SELECT ev.event_id, start_ts, {LABEL}, {', '.join(COLS)} FROM ev JOIN fr USING (event_id) WHERE {LABEL} IS NOT NULL)")
+TUNE_SQL = (*FR_SQL, f"""fo0 AS (SELECT *, row_number() OVER (ORDER BY start_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM fe),
+fo AS (SELECT fo0.*, f AS fold, CASE WHEN i < {MIN_TRAIN} + (f-1)*((n-{MIN_TRAIN})//{FOLDS}) THEN 'train' WHEN i < least({MIN_TRAIN} + f*((n-{MIN_TRAIN})//{FOLDS}), n) THEN 'valid' END AS role FROM fo0, range(1, {FOLDS + 1}) r(f)),
+{fold_scale("fo", "fold")}, {POINTS_SQL}, tr AS (SELECT xs.*, point, lam FROM xs, pts WHERE role = 'train')""", newton_sql("nw", "tr", COLS, LABEL, ["fold", "point", "lam"], "lam"), point_scores("fold"))
+
+
+def tuned(spark, d, kind):
+    f = cut_lineage(frame(spark, d).where(F.col(LABEL).isNotNull()).select("event_id", "start_ts", LABEL, *COLS))
+    folds = cut_lineage(X.time_folds(f, ORDER, hour(), FOLDS, MIN_TRAIN))
+    return L.tune_points(folds, COLS, LABEL, L.grid_points(kind), range(1, FOLDS + 1))[0]
+
+
+@query("tune", recursive(sql("SELECT point, any_value(lam) AS lam, 0.0::DOUBLE AS l1, count(*) AS folds_used, avg(log_loss) AS log_loss, avg(brier) AS brier, avg(accuracy) AS accuracy FROM sc2 GROUP BY point",
+                             *TUNE_SQL, r="lam l1 log_loss brier accuracy")))
 def _(spark, d):
-    folds, grid = oof(spark, d)
-    return M.tune(folds, grid, [1, 2], LABEL)
+    return tuned(spark, d, "ridge")
+
+
+@query("tune_lasso")
+def _(spark, d):
+    return tuned(spark, d, "lasso")
+
+
+@query("tune_elastic")
+def _(spark, d):
+    return tuned(spark, d, "elastic")
 
 
 @query("stack")
@@ -104,10 +146,64 @@ def _(spark, d):
     return scores(M.predict(m, wide.where("fold = 2"), list(grid)), "stack")
 
 
+SPEC = RB.Spec(outer_folds=4, outer_valid_days=90, inner_folds=3, inner_valid_days=60, embargo_days=2, holdout_days=120)
+
+
+def _ends_sql(days: str, part: str, valid: int, asked: int, folds: int, out: str) -> str:
+    """CTE ``out``: the last training days of date folds over a table of days, by ``part``; as ``research.train_span`` and ``features.date_folds`` say."""
+    by, over = (f"{part}, ", f"PARTITION BY {part} ") if part else ("", "")
+    on = f"USING ({part})" if part else "ON true"
+    return f"""{out}_n AS (SELECT {by}least({asked}, count(*) - {valid + SPEC.embargo_days + 1}) AS need, min(dd) AS a, max(dd) AS z FROM {days} {f'GROUP BY {part}' if part else ''} HAVING count(*) - {valid + SPEC.embargo_days + 1} >= {max(30, valid)}),
+{out}_c AS (SELECT {days}.*, row_number() OVER ({over}ORDER BY dd) - 1 AS i, count(*) OVER ({over}) AS c FROM {days} JOIN {out}_n {on} WHERE dd >= a + (need - 1)::INT AND dd <= z - {valid + SPEC.embargo_days}),
+{out} AS (SELECT {by}dd, row_number() OVER ({over}ORDER BY dd) AS k FROM {out}_c WHERE c <= {folds} OR list_contains(list_transform(range(0, {folds}), lambda j: round_even(j*(c-1)/{max(folds - 1, 1)}.0::DOUBLE, 0)::BIGINT), i))"""
+
+
+def _role_sql(end: str, valid: int) -> str:
+    return f"CASE WHEN dd <= {end} THEN 'train' WHEN dd BETWEEN {end} + {SPEC.embargo_days + 1} AND {end} + {SPEC.embargo_days + valid} THEN 'valid' END"
+
+
+NESTED_SQL = (*FR_SQL, f"""hs AS (SELECT *, start_ts::DATE AS dd FROM fe), re AS (SELECT * FROM hs WHERE dd < (SELECT max(dd) FROM hs) - {SPEC.holdout_days - 1}), od AS (SELECT DISTINCT dd FROM re),
+{_ends_sql("od", "", SPEC.outer_valid_days, max(180, 2 * SPEC.outer_valid_days), SPEC.outer_folds, "oe")},
+orow AS (SELECT re.*, oe.k * 100 AS outer_, oe.k * 100 AS fold, {_role_sql("oe.dd", SPEC.outer_valid_days).replace("dd <=", "re.dd <=").replace("WHEN dd BETWEEN", "WHEN re.dd BETWEEN")} AS role FROM re, oe),
+idd AS (SELECT DISTINCT outer_, dd FROM orow WHERE role = 'train'),
+{_ends_sql("idd", "outer_", SPEC.inner_valid_days, max(120, 2 * SPEC.inner_valid_days), SPEC.inner_folds, "ie")},
+irow AS (SELECT o.* EXCLUDE (fold, role), o.outer_ + ie.k AS fold, {_role_sql("ie.dd", SPEC.inner_valid_days).replace("dd <=", "o.dd <=").replace("WHEN dd BETWEEN", "WHEN o.dd BETWEEN")} AS role FROM orow o JOIN ie USING (outer_) WHERE o.role = 'train'),
+al AS (SELECT * FROM orow WHERE role IS NOT NULL UNION ALL BY NAME SELECT * FROM irow WHERE role IS NOT NULL)""")
+
+
+def nested(spark, d):
+    f = frame(spark, d).select("event_id", "start_ts", "home", "away", LABEL, *COLS)
+    return RB.research_folds(f, "start_ts", LABEL, SPEC)
+
+
+@query("research_folds", sql(f"SELECT fold::INT AS fold, role, count(*) AS n, sum({LABEL}) AS wins, min(dd) AS first_day, max(dd) AS last_day FROM al GROUP BY 1, 2 "
+                             f"UNION ALL SELECT 0, 'holdout', count(*), sum({LABEL}), min(dd), max(dd) FROM hs WHERE dd >= (SELECT max(dd) FROM hs) - {SPEC.holdout_days - 1}", *NESTED_SQL, r="wins", day="first_day last_day"))
+def _(spark, d):
+    folds = nested(spark, d)
+    rows = folds.rows.select("fold", "role", LABEL, "start_ts").unionByName(folds.holdout.select(F.lit(0).alias("fold"), F.lit("holdout").alias("role"), LABEL, "start_ts"))
+    day = F.to_date("start_ts")
+    return rows.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(LABEL).cast("double").alias("wins"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+
+
+@query("nested_ridge", recursive(sql(f"""WITH inn AS (SELECT (fold // 100) * 100 AS fold, point, any_value(lam) AS lam, avg(log_loss) AS ll, avg(brier) AS br, avg(accuracy) AS ac FROM sc2 WHERE fold % 100 <> 0 GROUP BY 1, 2),
+    ch AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ll, br, ac DESC, point) AS rn FROM inn)
+SELECT ch.fold::INT AS fold, ch.lam, ch.ll AS inner_log_loss, o.n, o.log_loss, o.brier, o.accuracy FROM ch JOIN sc2 o ON o.fold = ch.fold AND o.point = ch.point WHERE rn = 1""",
+    *NESTED_SQL, f"{fold_scale('al', 'fold')}, {POINTS_SQL}, tr AS (SELECT xs.*, point, lam FROM xs, pts WHERE role = 'train')", newton_sql("nw", "tr", COLS, LABEL, ["fold", "point", "lam"], "lam"), point_scores("fold"),
+    r="lam inner_log_loss log_loss brier accuracy")))
+def _(spark, d):
+    """The ridge candidate alone: chosen penalties and out-of-fold scores."""
+    pred, points = RB.nested_predictions(nested(spark, d), {"ridge": (COLS, L.grid_points("ridge"))}, LABEL, ["event_id"])
+    s = score_groups(pred, ["fold"], LABEL, "prob").select("fold", "n", "log_loss", "brier", "accuracy")
+    return points.select("fold", "lam", "inner_log_loss").join(s, "fold")
+
+
 @query("nested_backtest")
 def _(spark, d):
-    folds, grid = oof(spark, d)
-    return score_groups(M.nested_backtest(folds, grid, [1, 2], ORDER, hour(), LABEL), ["model", "fold"], LABEL, "pred")
+    """Three candidates tuned inside each fold, replayed under every policy, with the gates against the ridge."""
+    from augury.plans.replay_queries import market
+    grids = {"ridge": (COLS, L.grid_points("ridge")), "lasso": (COLS, L.grid_points("lasso")), "elastic": (COLS, L.grid_points("elastic")), "narrow": (["lines", "price"], L.grid_points("ridge"))}
+    pred, _points = RB.nested_predictions(nested(spark, d), grids, LABEL, ["event_id", "start_ts", "home", "away"])
+    return RB.research_scorecard(pred, market(spark, d), D.policy_table(spark), "event_id", LABEL, "start_ts", "ridge", hour(), SPEC.embargo_days)
 
 
 @query("width_eval")
@@ -180,26 +276,49 @@ def _(spark, d):
 WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in R.poisson_steps())
 
 
-@query("bootstrap_deltas", sql(f"""WITH g AS (SELECT event_id, model, log_loss, r.i AS rep, {R.uniform_sql(42, "event_id", "r.i")} AS u FROM sc, range(1, 101) r(i)),
+@query("bootstrap_deltas", sql(f"""WITH g AS (SELECT event_id, model, log_loss, r.i AS rep, {R.uniform_sql(42, "event_id", "r.i")} AS u FROM sc, range(1, 201) r(i)),
     m AS (SELECT model, rep, sum(({WEIGHT})*log_loss)/nullif(sum({WEIGHT}), 0) AS m FROM g GROUP BY 1, 2),
     b AS (SELECT model AS reference FROM sc GROUP BY 1 ORDER BY avg(log_loss) LIMIT 1),
     dl AS (SELECT m.model, b.reference, m.m - z.m AS dd FROM m, b JOIN m z ON z.model = b.reference WHERE m.rep = z.rep AND m.model <> b.reference)
 SELECT reference, model, avg(dd) AS delta_mean, quantile_cont(dd, 0.025) AS delta_p025, quantile_cont(dd, 0.5) AS delta_p500, quantile_cont(dd, 0.975) AS delta_p975, avg((dd > 0)::INT) AS reference_better FROM dl GROUP BY 1, 2""",
     *BASE, r="delta_mean delta_p025 delta_p500 delta_p975 reference_better"))
 def _(spark, d):
-    return G.bootstrap_deltas(cut_lineage(scored(spark, d).select("event_id", "model", "log_loss")), "event_id", "model", "log_loss", 100)
+    return G.bootstrap_deltas(cut_lineage(scored(spark, d).select("event_id", "model", "log_loss")), "event_id", "model", "log_loss", 200)
+
+
+def std_sql(more: str = "") -> str:
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in COLS)
+    return f"sf AS (SELECT event_id, start_ts, {LABEL}, year(start_ts) AS year, {z}{more} FROM fe)"
 
 
-@query("coef_stability")
+REPLICATES, HELD = 100, 5
+WEIGHT_OF = f"(({' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in R.poisson_steps())}))"
+STABLE_SQL = (*FR_SQL, std_sql(), f"""gr AS (SELECT 'bootstrap' AS scheme, r.i::BIGINT AS g, {LABEL}, {', '.join(COLS)}, {WEIGHT_OF}::DOUBLE AS w FROM (SELECT sf.*, r.i, {R.uniform_sql(42, "event_id", "r.i")} AS u FROM sf, range(1, {REPLICATES + 1}) r(i)) r
+  UNION ALL SELECT 'folds', r.i, {LABEL}, {', '.join(COLS)}, (floor(u*{HELD}) + 1 <> r.i)::INT::DOUBLE FROM (SELECT sf.*, {R.uniform_sql(42, "event_id")} AS u FROM sf) f, range(1, {HELD + 1}) r(i)
+  UNION ALL SELECT 'period', year, {LABEL}, {', '.join(COLS)}, 1.0 FROM sf)""", newton_sql("nw", "gr", COLS, LABEL, ["scheme", "g"], "0.001", "w", True),
+    f"""co AS (SELECT scheme, g, unnest(['intercept', {', '.join(repr(c) for c in COLS)}]) AS feature, unnest(b) AS c FROM nw WHERE step = 12),
+sg AS (SELECT *, CASE WHEN abs(c) > 1e-12 THEN sign(c) END AS s, lag(CASE WHEN abs(c) > 1e-12 THEN sign(c) END) OVER (PARTITION BY scheme, feature ORDER BY g) AS p FROM co)""")
+
+
+@query("coef_stability", recursive(sql("""SELECT scheme, feature, count(*) AS fits, avg(c) AS coef_mean, stddev_pop(c) AS coef_sd, quantile_cont(c, 0.025) AS low, quantile_cont(c, 0.975) AS high,
+    count(*) FILTER (WHERE s <> p) AS sign_flips, avg((s > 0)::INT) AS share_positive FROM sg GROUP BY 1, 2""", *STABLE_SQL, r="coef_mean coef_sd low high share_positive")))
 def _(spark, d):
     f = cut_lineage(std_frame(spark, d))
     out = None
-    for scheme, kw in (("bootstrap", {"n": 10}), ("folds", {"n": 5}), ("period", {"period": "year"})):
+    for scheme, kw in (("bootstrap", {"n": REPLICATES}), ("folds", {"n": HELD}), ("period", {"period": "year"})):
         s = G.coef_stability(f, COLS, LABEL, "event_id", scheme, **kw).withColumn("scheme", F.lit(scheme))
         out = s if out is None else out.unionByName(s)
     return out
 
 
+@query("break_test", recursive(sql(f"""WITH h AS (SELECT max(CASE WHEN g = 'pre' THEN b END) AS a, max(CASE WHEN g = 'post' THEN b END) AS z FROM nw WHERE step = 12)
+SELECT any_value(cut) AS cut_day, count(*) FILTER (WHERE g = 'pre') AS n_pre, count(*) FILTER (WHERE g = 'post') AS n_post, any_value(sqrt({' + '.join(f'(a[{i + 2}] - z[{i + 2}])^2' for i in range(len(COLS)))})) AS delta_coef FROM br, h""",
+    *FR_SQL, std_sql(), "br AS (SELECT sf.*, make_date(max(year) OVER (), 3, 7) AS cut, CASE WHEN start_ts::DATE < make_date(max(year) OVER (), 3, 7) THEN 'pre' ELSE 'post' END AS g FROM sf)",
+    newton_sql("nw", "br", COLS, LABEL, ["g"], "1.0", all_ridge=True), r="delta_coef", day="cut_day")))
+def _(spark, d):
+    return G.break_test(std_frame(spark, d), COLS, LABEL, "start_ts", 3, 7)
+
+
 def std_frame(spark, d):
     f = frame(spark, d).where(F.col(LABEL).isNotNull())
     m = f.agg(*[F.avg(c).alias(f"_a_{c}") for c in COLS], *[F.stddev(c).alias(f"_s_{c}") for c in COLS])
@@ -208,9 +327,12 @@ def std_frame(spark, d):
         "event_id", "start_ts", LABEL, F.year("start_ts").alias("year"), *COLS)
 
 
-@query("coef_paths")
+@query("coef_paths", recursive(sql(f"""SELECT w AS window_days, we AS window_end, unnest([{', '.join(repr(c) for c in COLS)}]) AS feature, unnest(b[2:]) AS coef FROM nw WHERE step = 12""",
+    *FR_SQL, std_sql(), f"""pw AS (SELECT sf.*, v.w, (SELECT max(start_ts)::DATE FROM sf) - (j * 30)::INT AS we FROM sf, (VALUES (30), (60), (90)) v(w), range(0, 200) r(j)
+  WHERE start_ts::DATE <= (SELECT max(start_ts)::DATE FROM sf) - (j * 30)::INT AND start_ts::DATE > (SELECT max(start_ts)::DATE FROM sf) - (j * 30)::INT - v.w)""",
+    newton_sql("nw", "pw", COLS, LABEL, ["w", "we"], "1.0", all_ridge=True), r="coef", day="window_end", digits=5)), digits=5)
 def _(spark, d):
-    return G.coef_paths(cut_lineage(std_frame(spark, d)), ["quantity", "lines"], LABEL, "start_ts", (90,), 90)
+    return G.coef_paths(std_frame(spark, d), COLS, LABEL, "start_ts")
 
 
 @query("block_tests")
