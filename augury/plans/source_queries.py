@@ -260,12 +260,41 @@ def finish(spark, df):
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
+def in_parts(spark, df, parts: int = 4):
+    """A stream of ``df`` from several files, dealt by hash and read one at a time: times come in no order."""
+    at = f"{scratch(spark)}/parts"
+    df.repartition(parts, F.xxhash64(*df.columns)).write.parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @query("stream_prices", sql("""SELECT DISTINCT l_orderkey AS event_id, 'b' || (l_suppkey % 3) AS book, l_returnflag AS market, l_linestatus AS side, l_shipdate AS updated_at FROM lineitem""", ts="updated_at"))
 def _(spark, d):
-    li = stream(spark, d, "lineitem").select(
+    """Prices from files in no order: those in time, and those set aside behind the watermark merged in."""
+    li = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("event_id"), F.concat(F.lit("b"), F.col("l_suppkey") % 3).alias("book"), F.col("l_returnflag").alias("market"),
         F.col("l_linestatus").alias("side"), F.col("l_shipdate").cast("timestamp").alias("updated_at"))
-    return finish(spark, J.ingest_prices(li, "1 day"))
+    out = scratch(spark)
+    J.ingest_whole(in_parts(spark, li), out, f"{out}/checkpoint", "700 days").awaitTermination()
+    return J.with_late(spark, out, li.schema)
+
+
+@query("stream_scored_latest", sql("SELECT event_id, model, forecast_id, log_loss, brier FROM sc", *BASE, r="log_loss brier"))
+def _(spark, d):
+    """Forecasts and results from files in no order; what the last revisions say equals the batch."""
+    rocks(spark)
+    f = named_forecasts(spark, d).where("source = 'live'").select("event_id", "model", "forecast_id", F.col("as_of").cast("timestamp").alias("as_of"), "prob")
+    r = events(spark, d).where("home_win IS NOT NULL").select("event_id", F.col("final_ts").cast("timestamp").alias("final_ts"), "home_win")
+    out = scratch(spark)
+    rows = J.score_latest_stream(in_parts(spark, f), in_parts(spark, r))
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+    rows.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).outputMode("update").foreachBatch(write).start().awaitTermination()
+    return J.newest(spark.read.schema(rows.schema).parquet(f"{out}/rows")).select("event_id", "model", "forecast_id", "log_loss", "brier")
 
 
 @query("stream_scores", sql("""WITH r AS (SELECT o_orderkey AS event_id, o_orderdate + INTERVAL 1 DAY AS final_ts, (o_totalprice > 250000)::INT AS home_win FROM orders),
@@ -282,8 +311,22 @@ def _(spark, d):
     return finish(spark, s).select("event_id", "forecast_id", "home_win", "log_loss")
 
 
-@query("stream_alerts")
+ALERT_SQL = """
+da AS (SELECT event_type AS series, date_trunc('day', ts) AS ts, avg(value) AS x FROM events GROUP BY 1, 2 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+db AS (SELECT *, row_number() OVER w - 1 AS i, avg(x) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM da WINDOW w AS (PARTITION BY series ORDER BY ts)),
+dc AS MATERIALIZED (SELECT db.*, target, spread FROM db JOIN (SELECT series, avg(x) AS target, greatest(stddev_pop(x), 0.05::DOUBLE) AS spread FROM db WHERE i < 20 GROUP BY series) USING (series)),
+al AS (SELECT series, 19::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::DOUBLE AS x, 0::DOUBLE AS cum, 0::DOUBLE AS low, 0::DOUBLE AS up, 0::DOUBLE AS dn, -10::BIGINT AS lp, -10::BIGINT AS lc, NULL::DOUBLE AS ph, NULL::DOUBLE AS cu FROM dc GROUP BY series
+  UNION ALL SELECT series, i, ts, x, CASE WHEN a1 THEN 0 ELSE cum END, CASE WHEN a1 THEN 0 ELSE low END, CASE WHEN a2 THEN 0 ELSE up END, CASE WHEN a2 THEN 0 ELSE dn END, CASE WHEN a1 THEN i ELSE lp END, CASE WHEN a2 THEN i ELSE lc END,
+      CASE WHEN a1 THEN cum - low END, CASE WHEN a2 THEN greatest(up, dn) END FROM (
+    SELECT *, cum - low > greatest(0.35::DOUBLE, 2.5::DOUBLE*spread) AND i - lp >= 10 AS a1, greatest(up, dn) > greatest(0.45::DOUBLE, 3.0::DOUBLE*spread) AND i - lc >= 10 AS a2 FROM (
+      SELECT *, least(low0, cum) AS low FROM (SELECT s.series, s.i, s.ts, s.x, s.spread, a.low AS low0, a.lp, a.lc, a.cum + s.x - s.mean - greatest(0.01::DOUBLE, 0.05::DOUBLE*s.spread) AS cum,
+        greatest(0, a.up + s.x - s.target - greatest(0.02::DOUBLE, 0.2::DOUBLE*s.spread)) AS up, greatest(0, a.dn + s.target - s.x - greatest(0.02::DOUBLE, 0.2::DOUBLE*s.spread)) AS dn
+        FROM al a JOIN dc s ON s.series = a.series AND s.i = a.i + 1))))"""
+
+
+@query("stream_alerts", recursive(sql("SELECT series, i AS row, ts, x AS value, ph AS page_hinkley, cu AS cusum FROM al WHERE ph IS NOT NULL OR cu IS NOT NULL", ALERT_SQL, r="value page_hinkley cusum", ts="ts")))
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    ev = stream(spark, d, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100).alias("value"))
+    """Alerts of the daily mean value per kind of event, over the days that the watermark has closed."""
+    rocks(spark)
+    ev = stream(spark, d, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return finish(spark, J.alert_stream(J.daily(ev)))
