@@ -421,10 +421,10 @@ def _(spark, d):
     return T.entity_names((ev, "home"), (ev, "away"), (players(spark, d), "team"))
 
 
-@query("board_order", sql("SELECT event_id, CASE WHEN is_final = 1 THEN start_ts END AS known_start FROM ev ORDER BY known_start NULLS LAST, event_id LIMIT 50", EVENTS_SQL, ts="known_start"))
+@query("board_order", sql("SELECT event_id, CASE WHEN is_final = 1 THEN start_ts END AS known_start FROM ev ORDER BY known_start NULLS LAST, event_id", EVENTS_SQL, ts="known_start"))
 def _(spark, d):
     ev = events(spark, d).select("event_id", F.when(F.col("is_final") == 1, F.col("start_ts")).alias("known_start"))
-    return O.order_nulls_last(ev, ["known_start", "event_id"]).limit(50)
+    return O.order_nulls_last(ev, ["known_start", "event_id"])
 
 
 @query("random_split", sql(f"SELECT event_id, CASE WHEN {uniform_sql(42, 'event_id')} < 0.7 THEN 'train' ELSE 'test' END AS role FROM ev", EVENTS_SQL))

@@ -22,13 +22,13 @@ fr AS (SELECT o_orderkey AS event_id, count(*)::DOUBLE AS lines, sum(CASE WHEN l
 
 
 def frame(spark, d):
-    """Per event: a few sums over its lines, its result, and two intermediate targets."""
+    """Per event: a few sums over its lines, its result, and three intermediate targets."""
     li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(
         F.count(F.lit(1)).cast("double").alias("lines"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0)).alias("quantity"),
         F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.max("l_extendedprice").alias("price"))
     ev = events(spark, d)
     margin = F.col("home_score") - F.col("away_score")
-    return ev.select("event_id", "start_ts", "home", "away", "venue", LABEL, margin.alias("margin"), (F.col("home_score") + F.col("away_score")).alias("pace")).join(li, "event_id")
+    return ev.select("event_id", "start_ts", "home", "away", "venue", LABEL, margin.alias("margin"), (F.col("home_score") + F.col("away_score")).alias("pace"), F.col("home_score").alias("tempo")).join(li, "event_id")
 
 
 def split(spark, d):
@@ -51,11 +51,11 @@ def fit_query(name, fn):
 
 fit_query("penalized_logit", lambda a, b: M.predict(M.penalized_logit(a, COLS, LABEL, c=0.05, l1=0.5), b, COLS))
 fit_query("gbt", lambda a, b: M.predict(M.gbt(a, COLS, LABEL, rounds=10, step=0.2), b, COLS))
-fit_query("forest", lambda a, b: M.predict(M.forest(a, COLS, LABEL, trees=20, depth=5), b, COLS))
-fit_query("two_stage", lambda a, b: M.TwoStage(a, COLS, ["margin", "pace"], LABEL, trees=10, depth=4).predict(b))
-fit_query("basis_logit_hinge", lambda a, b: M.basis_logit(a, b, ["quantity", "price"], LABEL, 3, 1, interactions=True))
-fit_query("basis_logit_spline", lambda a, b: M.basis_logit(a, b, ["quantity", "price"], LABEL, 4, 3))
-fit_query("mean_dispersion", lambda a, b: M.mean_dispersion(a, b, COLS, "margin", 1))
+fit_query("forest", lambda a, b: M.predict(M.forest(a, COLS, LABEL), b, COLS))
+fit_query("two_stage", lambda a, b: M.TwoStage(a, COLS, ["margin", "pace", "tempo"], LABEL).predict(b))
+fit_query("basis_logit_hinge", lambda a, b: M.basis_logit(a, b, COLS, LABEL, 3, 1))
+fit_query("basis_logit_spline", lambda a, b: M.basis_logit(a, b, COLS, LABEL, 4, 3))
+fit_query("mean_dispersion", lambda a, b: M.mean_dispersion(a, b, COLS, "margin"))
 fit_query("entity_logit", lambda a, b: M.entity_logit(a, b, COLS, ["venue", "away"], LABEL))
 
 
@@ -69,7 +69,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = split(spark, d)
     rival = M.gbt(train, COLS, LABEL, rounds=5, step=0.2)
-    net, loss = M.mlp_gated(train, test, COLS, LABEL, rival, max_iter=30)
+    net, loss = M.mlp_gated(train, test, COLS, LABEL, rival)
     return spark.createDataFrame([("kept" if net else "dropped", float(loss["net"]), float(loss["rival"]))], "decision string, net double, rival double")
 
 
@@ -209,7 +209,10 @@ def _(spark, d):
 @query("width_eval")
 def _(spark, d):
     folds, _g = oof(spark, d)
-    return M.width_eval(None, folds, ["quantity", "lines", "price", "discount", "tax"], [1, 3], [1, 2], LABEL)
+    # ranked on the rows that every fold trains on
+    first = folds.where("fold = 1 AND role = 'train'").drop("fold", "role")
+    ranked = [r["feature"] for r in G.rank_features(cut_lineage(first), COLS, LABEL, "event_id", stages=["pace"]).orderBy("rank").collect()]
+    return M.width_eval(None, folds, ranked, range(1, len(COLS) + 1), [1, 2], LABEL)
 
 
 @query("recalibrate")
@@ -262,10 +265,9 @@ def _(spark, d):
     return G.screen_features(cut_lineage(with_twin(spark, d)), STRUCT, LABEL, "event_id")
 
 
-@query("average_ranks", sql("""SELECT event_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1)/2.0 AS rank FROM (SELECT event_id, 'lines' AS feature, lines AS value FROM fr
-    UNION ALL SELECT event_id, 'price', price FROM fr)""", FRAME_SQL, r="rank"))
+@query("average_ranks", sql("""SELECT event_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1)/2.0 AS rank FROM (FROM (SELECT event_id, lines, quantity, discount, tax, price FROM fr) UNPIVOT (value FOR feature IN (lines, quantity, discount, tax, price)))""", FRAME_SQL, r="rank"))
 def _(spark, d):
-    return G.average_ranks(frame(spark, d), ["lines", "price"], "event_id").select("event_id", "feature", "rank")
+    return G.average_ranks(frame(spark, d), COLS, "event_id").select("event_id", "feature", "rank")
 
 
 @query("rank_features")
@@ -344,7 +346,7 @@ def _(spark, d):
 @query("nonlinearity")
 def _(spark, d):
     train, test = split(spark, d)
-    return G.nonlinearity(train, test, ["quantity", "price"], LABEL)
+    return G.nonlinearity(train, test, COLS, LABEL)
 
 
 @query("residuals", sql("""SELECT event_id, model, sqrt(2*log_loss)*CASE WHEN home_win=1 THEN 1 ELSE -1 END AS deviance_resid, (home_win-p)/(p*(1-p)) AS working_resid, p*(1-p) AS working_weight FROM sc""", *BASE, r="deviance_resid working_resid working_weight"))
@@ -373,7 +375,7 @@ def fitted(spark, d):
 @query("stress")
 def _(spark, d):
     score, test = fitted(spark, d)
-    return G.stress(score, test, COLS, LABEL, "event_id", {"no_size": ["lines", "quantity"], "no_rates": ["discount", "tax"]}, draws=2)
+    return G.stress(score, test, COLS, LABEL, "event_id", {"no_size": ["lines", "quantity"], "no_rates": ["discount", "tax"]}, draws=30)
 
 
 @query("permutation")
