@@ -29,3 +29,22 @@ def row_key(*cols: Column) -> list[Column]:
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Working names that ``df`` doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that no operator uses, and the new name of every column: work on it can't clash with what the
+    caller's columns are called."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at
