@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from augury.llm.common import masked, spare
 from augury.session import cut_lineage
 
 # Elements of HTML that break the flow of text, that hold no text, and that end by themselves.
@@ -170,7 +171,7 @@ def _main_text(page: str, low: set[int]) -> str:
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.3, least_pages: int = 5, gamma: float = 0.9, slices: int = 1000) -> DataFrame:
-    """``pages`` with ``__text``, the main text of each page.
+    """``pages`` with ``__text``, the main text of each page, as the last column (``__text_`` where ``pages`` has one so called).
 
     A branch goes if its marks set it aside, or if its node in the site's tree has an importance under ``least`` on
     ``least_pages`` distinct pages or more; a page with a marked article keeps that only, without the low branches inside
@@ -189,12 +190,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     hot = F.broadcast(cut_lineage(hot))
     copies = F.coalesce("__copies", F.lit(1))
     low = low.join(hot, F.col("__site") == F.col("__hot"), "left").select("__site", "__low", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__copy"))
-    placed = pages.withColumn("__host", _host(F.col(url_col))).join(hot, F.col("__host") == F.col("__hot"), "left")
-    placed = placed.withColumn("__at", F.pmod(F.xxhash64(*[pages[c] for c, kind in pages.dtypes if "map<" not in kind]), copies).cast("int"))
+    d, names = masked(pages)
+    placed = d.withColumn("__host", _host(F.col(names[url_col]))).join(hot, F.col("__host") == F.col("__hot"), "left")
+    placed = placed.withColumn("__at", F.pmod(F.xxhash64(*[d[c] for c, kind in d.dtypes if "map<" not in kind]), copies).cast("int"))
     joined = placed.join(low, (F.col("__host") == F.col("__site")) & (F.col("__at") == F.col("__copy")), "left")
 
     @F.arrow_udf("string")
     def text(html_: pa.Array, paths: pa.Array) -> pa.Array:
         return pa.array([_main_text(h or "", set(p or ())) for h, p in zip(html_.to_pylist(), paths.to_pylist())], pa.string())
 
-    return joined.withColumn("__text", text(F.col(html_col), F.col("__low"))).select(*[pages[c] for c in pages.columns], "__text")
+    return joined.select(*[F.col(names[c]).alias(c) for c in pages.columns], text(F.col(names[html_col]), F.col("__low")).alias(spare(pages, "__text")[0]))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augury.llm.common import row_key
+from augury.llm.common import masked, row_key, spare
 from augury.llm.perfect_hash import PerfectHash
 from augury.session import cut_lineage
 
@@ -90,7 +90,8 @@ def _without(text: Column, drops: Column, least: int) -> Column:
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 10, least_chars: int = 1,
                       shard_keys: int = 500_000, shard_probes: int = 2_000_000) -> DataFrame:
-    """``docs`` with ``__kept_text``, ``__n_lines`` and ``__n_dropped``.
+    """``docs`` with ``__kept_text``, ``__n_lines`` and ``__n_dropped`` as the last columns (where ``docs`` has a column of
+    such a name, the new one ends in an underscore).
 
     A line's key is the line without white space at its ends, A-Z in lower case. Keys of at least ``least_chars`` code
     points found in at least ``least_docs`` rows lose all their lines. Null and empty texts are one empty line; empty
@@ -120,12 +121,12 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = both.select("blob", "k1", "k2", "h1", "h2").mapInArrow(_probe(least_docs), "k1 long, k2 long, h1 long")
     drops = hits.groupBy("k1", "k2").agg(F.collect_set("h1").alias("__drops"))
 
-    keyed_docs = docs.withColumns({k: c for k, c in zip(("__k1", "__k2"), row_key(F.col(id_col), F.col(text_col)))})
-    out = keyed_docs.join(drops, (F.col("__k1") == drops["k1"]) & (F.col("__k2") == drops["k2"]), "left")
-    text = F.col(text_col)
+    d, at = masked(docs)
+    text = F.col(at[text_col])
+    d = d.withColumns(dict(zip(("__k1", "__k2"), row_key(F.col(at[id_col]), text))))
+    out = d.join(drops, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
     cut = _without(F.when(F.col("__drops").isNotNull(), text), F.col("__drops"), least_chars)
     whole = F.coalesce(text, F.lit(""))
-    out = out.withColumn("__cut", cut).select(*[docs[c] for c in docs.columns], F.coalesce("__cut.kept", whole).alias("__kept_text"),
-                                              (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("__n_lines"),
-                                              F.coalesce("__cut.n", F.lit(0).cast("long")).alias("__n_dropped"))
-    return out
+    made = (F.coalesce("__cut.kept", whole), (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long"), F.coalesce("__cut.n", F.lit(0).cast("long")))
+    names = spare(docs, "__kept_text", "__n_lines", "__n_dropped")
+    return out.withColumn("__cut", cut).select(*[F.col(at[c]).alias(c) for c in docs.columns], *[c.alias(n) for c, n in zip(made, names)])

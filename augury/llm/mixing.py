@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from augury.llm.common import BLANKS, WORD, word_count
+from augury.llm.common import BLANKS, WORD, masked, spare, word_count
 from augury.session import cut_lineage
 
 
@@ -69,7 +69,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1),
         share: float = 1.5, most: float = 2.0, seed: str = "mix", most_broadcast: int = 50_000) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__taken``, the words the mix takes of each row.
+    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__taken``, the words the mix takes of each row, as the
+    last four columns (where ``docs`` has a column of such a name, the new one ends in an underscore).
 
     Every source is taken ``epochs`` times whole, then in hash order until its exact budget, the whole part of its
     target, is spent: the document at the cut gives its first words only. A null text has no words; null is a source
@@ -82,22 +83,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = mix_plan(docs, id_col, text_col, source_col, weights, share, most, seed)
     small = plan.count() <= most_broadcast
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
-    key, size = order_key(F.col(id_col), seed), word_count(F.col(text_col))
-    d = docs.withColumns({"__key": key, "__size": size})
-    d = d.join(F.broadcast(plan) if small else plan, d[source_col].eqNullSafe(plan["__source"]), "left")
+    d, at = masked(docs)
+    d = d.withColumns({"__key": order_key(F.col(at[id_col]), seed), "__size": word_count(F.col(at[text_col]))})
+    d = d.join(F.broadcast(plan) if small else plan, F.col(at[source_col]).eqNullSafe(F.col("__source")), "left")
     part = F.when(F.col("__key") < F.col("__cut_key"), F.col("__size")).when(
         F.col("__key") == F.col("__cut_key"), F.expr("__cut_words * __size div greatest(__cut_size, 1)")).otherwise(0)
-    taken = F.col("__epochs") * F.col("__size") + part
-    return d.withColumn("__taken", taken).select(*[docs[c] for c in docs.columns], "__size", "__source_size", "__target", "__taken")
+    d = d.withColumn("__taken", F.col("__epochs") * F.col("__size") + part)
+    made = ("__size", "__source_size", "__target", "__taken")
+    return d.select(*[F.col(at[c]).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(made, spare(docs, *made))])
 
 
 def take(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``mix`` as the mix delivers them: a document once per pass; of a partial pass, the words it takes
-    with the white space before them."""
-    whole = F.expr("__taken div greatest(__size, 1)")
-    part = F.expr("CAST(__taken % greatest(__size, 1) AS INT)")
-    copies = F.when(F.col("__taken") > 0, F.sequence(F.lit(1).cast("long"), whole + F.when(part > 0, 1).otherwise(0))).otherwise(F.array().cast("array<bigint>"))
-    rows = mixed.withColumn("__pass", F.explode(copies))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0))
-    text = F.when(F.col("__pass") <= whole, F.col(text_col)).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(part, F.lit(1))), ""))
-    return rows.withColumn(text_col, text)
+    """The rows of ``mix`` (whose last columns tell what is taken) as the mix delivers them: a document once per pass; of a
+    partial pass, the words it takes with the white space before them."""
+    d, at = masked(mixed)
+    size, taken, text = F.col(at[mixed.columns[-4]]), F.col(at[mixed.columns[-1]]), F.col(at[text_col])
+    d = d.withColumns({"__whole": F.floor(taken / F.greatest(size, F.lit(1))), "__part": (taken % F.greatest(size, F.lit(1))).cast("int")})
+    copies = F.when(taken > 0, F.sequence(F.lit(1).cast("long"), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0))).otherwise(F.array().cast("array<bigint>"))
+    rows = d.withColumn("__pass", F.explode(copies))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0))
+    out = F.when(F.col("__pass") <= F.col("__whole"), text).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("__part"), F.lit(1))), ""))
+    return rows.select(*[(out if c == text_col else F.col(at[c])).alias(c) for c in mixed.columns])

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from augury.llm.common import masked, spare
 from augury.session import cut_lineage
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -170,7 +171,8 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, **fit) -> DataFrame:
-    """``docs`` with ``__held_out``, ``__score`` and ``__predicted`` (1 if the score is 0.5 or more).
+    """``docs`` with ``__held_out``, ``__score`` and ``__predicted`` (1 if the score is 0.5 or more) as the last columns (where
+    ``docs`` has a column of such a name, the new one ends in an underscore).
 
     Labels of held-out ids are not read. The class prior is the share of toxic rows among the labels that may be read,
     kept within 0.001 and 0.9; confirmed toxic rows are the positives, all rows the unlabelled text. Null or missing
@@ -182,8 +184,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
     prior = known.agg(F.avg((F.col("__label") == 1).cast("double"))).first()[0]
     prior = min(max(prior or 0.0, 0.001), 0.9)
-    seen = docs.select(F.col(id_col), F.col(text_col)).where(~held_out(F.col(id_col), folds))
-    joined = seen.join(known, seen[id_col] == known["__id"], "left")
-    model = train(joined, F.col("__label") == 1, prior, id_col, text_col, **fit)
-    out = docs.withColumns({"__held_out": held_out(F.col(id_col), folds), "__score": score(F.col(text_col), model)})
-    return out.withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
+    seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id"), folds))
+    joined = seen.join(known, F.col("id") == F.col("__id"), "left")
+    model = train(joined, F.col("__label") == 1, prior, "id", "text", **fit)
+    d, at = masked(docs)
+    out = d.withColumn("__score", score(F.col(at[text_col]), model))
+    made = (held_out(F.col(at[id_col]), folds), F.col("__score"), (F.col("__score") >= 0.5).cast("int"))
+    return out.select(*[F.col(at[c]).alias(c) for c in docs.columns], *[c.alias(n) for c, n in zip(made, spare(docs, "__held_out", "__score", "__predicted"))])

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from augury.llm.common import masked, spare
+
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (lower case, without user, port and closing dot) and path of an address; empty where there is none."""
@@ -44,7 +46,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     touches up to the last capture, so a capture meets at most the entries that change in its own cell, and a hot host
     is split by time and by Spark's skew join. Matches are reduced in the map tasks to one per capture, keyed by
     address and day: captures of one address on one day get one answer. Null addresses and days match nothing; rows
-    that repeat stay; an empty list decides nothing; columns of ``captures`` keep names and values.
+    that repeat stay; an empty list decides nothing; columns of ``captures`` keep names and values,
+    and a new one whose name is taken ends in an underscore.
     """
     keyed = captures.select(F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day")).where("url IS NOT NULL AND day IS NOT NULL").distinct()
     cell = lambda d: F.floor(F.unix_date(d) / cell_days).cast("int")
@@ -55,5 +58,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     hit = asked.join(spans, ["pattern", "cell"]).where("start <= day AND day < end")
     rank = F.row_number().over(W.partitionBy("url", "day").orderBy(F.length("pattern").desc(), "pattern", "verdict", F.col("list").asc_nulls_last()))
     best = hit.withColumn("n", rank).where("n = 1").select(F.col("url").alias("__url"), F.col("day").alias("__day"), F.col("verdict").alias("__verdict"), F.col("pattern").alias("__pattern"), F.col("list").alias("__list"))
-    on = (captures[url_col] == best["__url"]) & (captures[day_col].cast("date") == best["__day"])
-    return captures.join(best, on, "left").select(*[captures[c] for c in captures.columns], "__verdict", "__pattern", "__list")
+    d, at = masked(captures)
+    out = d.join(best, (F.col(at[url_col]) == F.col("__url")) & (F.col(at[day_col]).cast("date") == F.col("__day")), "left")
+    made = ("__verdict", "__pattern", "__list")
+    return out.select(*[F.col(at[c]).alias(c) for c in captures.columns], *[F.col(c).alias(n) for c, n in zip(made, spare(captures, *made))])

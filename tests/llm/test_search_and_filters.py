@@ -208,28 +208,51 @@ def test_toxicity_reads_no_held_out_label_and_odd_rows(spark):
     assert {r["__predicted"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_columns_with_the_operators_own_names(spark):
+    """Callers' columns keep their values whatever they are called; new columns get names that are free."""
+    own = ["__text", "__host", "__at", "__site", "__low", "__copy", "__hot", "__copies", "__score", "__held_out", "__predicted", "__id", "__label", "__url", "__day", "__verdict", "__pattern", "__list", "c0", "c1", "id"]
+    df = spark.createDataFrame([(i, f"https://a.com/{i}", f"<p>Text {i}", f"good text {i}", dt.date(2024, 1, 1 + i), *[f"{c}{i}" for c in own]) for i in range(4)],
+                               f"doc_id long, url string, html string, text string, fetched date, {', '.join(f'{c} string' for c in own)}")
+    whole = {r["doc_id"]: tuple(r) for r in df.collect()}
+    pages = html_text.extract(df)
+    assert pages.columns == [*df.columns, "__text_"] and {r[0]: tuple(r)[:-1] for r in pages.collect()} == whole
+    assert {r[0]: r["__text_"] for r in pages.collect()} == {i: f"Text {i}" for i in range(4)}
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    scored = toxicity.toxicity(df, labels)
+    assert scored.columns == [*df.columns, "__held_out_", "__score_", "__predicted_"] and {r[0]: tuple(r)[:-3] for r in scored.collect()} == whole
+    entries = spark.createDataFrame([("a.com", "l", "block", dt.date(2024, 1, 3))], "pattern string, list string, action string, day date")
+    got = url_filter.filter_urls(df, entries)
+    assert got.columns == [*df.columns, "__verdict_", "__pattern_", "__list_"] and {r[0]: tuple(r)[:-3] for r in got.collect()} == whole
+    assert {r[0]: r["__verdict_"] for r in got.collect()} == {0: None, 1: None, 2: "block", 3: "block"}
+
+
 def test_pipeline_stages(spark, tmp_path):
-    """Each stage against a plain version on its own input."""
+    """Each stage against a plain version on its own input, and the whole run."""
     import corpus_pipeline as pipe
-    from tests.llm.test_texts import lines_by_hand, reach, simhash_by_hand, words
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from tests.llm.test_texts import groups_at_four_fifths, lines_by_hand, words
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     columns, inputs = docs.columns, {}
     for name, stage in pipe.STAGES:
         inputs[name] = {r["doc_id"]: r for r in docs.collect()} if name != "packing" else docs.collect()
-        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         if name != "packing":
             assert docs.columns == columns
     assert set(inputs["line_dedup"]) <= set(inputs["toxicity"])
     assert all(inputs["toxicity"][i] == r for i, r in inputs["line_dedup"].items())
-    before, after = inputs["line_dedup"], inputs["simhash"]
+    before, after = inputs["line_dedup"], inputs["near_copies"]
     for i, (_, _, kept) in zip(before, lines_by_hand([r["text"] for r in before.values()], 10)):
         assert after[i]["text"] == kept and after[i]["n_chars"] == len(kept)
-    fps = {i: simhash_by_hand(r["text"], 5) for i, r in after.items()}
-    roots = reach(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    roots = groups_at_four_fifths({i: r["text"] for i, r in after.items()})
     assert set(inputs["mixing"]) == {i for i, r in roots.items() if i == r}
+    assert all(after[i] == r for i, r in inputs["mixing"].items())
     mixed = sum(len(words(r["text"])) for r in inputs["packing"])
     whole = sum(len(words(r["text"])) for r in inputs["mixing"].values())
     sources = {r["source"] for r in inputs["mixing"].values()}
     assert 1.5 * whole - len(sources) <= mixed <= 1.5 * whole
-    assert sum(r["n_tokens"] for r in docs.collect()) == mixed
+    packed = docs.collect()
+    assert sum(r["n_tokens"] for r in packed) == mixed
+    at_once = pipe.run(spark, d).collect()  # documents of one length share slots in any order
+    key = lambda rows: sorted((r["doc_id"], r["first_token"], r["n_tokens"], r["bucket_tokens"]) for r in rows)
+    assert key(at_once) == key(packed)

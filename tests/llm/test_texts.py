@@ -269,6 +269,49 @@ def test_row_numbers_over_many_ranges(spark):
         assert [at for _, at in own] == list(range(len(own)))
 
 
+def shingles_by_hand(text, width=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(" ".join(x) for x in zip(*[w[i:] for i in range(width)])) or frozenset({" ".join(w)} if w else ())
+
+
+def groups_at_four_fifths(texts):
+    sets = {i: shingles_by_hand(t) for i, t in texts.items()}
+    alike = lambda a, b: sets[a] == sets[b] or min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return reach(sorted(sets), alike)
+
+
+def crowd(n, seed):
+    """Texts of one template around, and mostly below, the similarity that counts; each is its own or close to one other."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(240)]
+    out = []
+    while len(out) < n:
+        own = [f"x{r.random()}" if r.random() < 0.022 else w for w in base]
+        out.append(" ".join(own))
+        if r.random() < 0.3:
+            out.append(" ".join(f"y{r.random()}" if r.random() < 0.015 else w for w in own))
+    return out[:n]
+
+
+def test_crowds_below_the_similarity_are_not_paired(spark, monkeypatch):
+    """Pairs grow with the rows, not with their square, and nearly all links that join groups are found."""
+    from augury.llm import jaccard
+    compared, whole = [], jaccard._linked
+
+    def counted(pairs, *a):
+        compared[-1] += pairs.count()
+        return whole(pairs, *a)
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    for n in (200, 400):
+        texts = crowd(n, n)
+        roots = groups_at_four_fifths(dict(enumerate(texts)))
+        compared.append(0)
+        kept = jaccard.first_of_groups(table(spark, texts)).count()
+        want = sum(i == r for i, r in roots.items())
+        assert want < 0.9 * n and want <= kept and n - kept >= 0.9 * (n - want)
+    assert compared[1] <= 2.6 * compared[0]
+
+
 def test_near_copies_at_four_fifths(spark):
     """Every link at a Jaccard similarity of 0.8 or more counts, and no other, against all pairs."""
     from augury.llm import jaccard
@@ -282,11 +325,10 @@ def test_near_copies_at_four_fifths(spark):
             texts.append(" ".join(r.choice(vocabulary) if r.random() < share else w for w in base))
         texts.append(" ".join(base[len(base) // 8:]))
     texts += ["  ".join(t.split()).upper() for t in texts[:5]] + ODD
-    shingles = [frozenset(" ".join(x) for x in zip(*[w[i:] for i in range(5)])) or frozenset({" ".join(w)} if w else ()) for w in ((t or "").lower().split() for t in texts)]
-    alike = lambda a, b: shingles[a] == shingles[b] or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    shingles = [shingles_by_hand(t) for t in texts]
     linked = [len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b])) for a, b in itertools.combinations(range(175), 2)]
     assert sum(0.8 <= x < 0.95 for x in linked) > 30 and sum(0.5 <= x < 0.8 for x in linked) > 10
-    roots = reach(range(len(texts)), alike)
+    roots = groups_at_four_fifths(dict(enumerate(texts)))
     df = table(spark, texts)
     got = jaccard.first_of_groups(df)
     assert got.columns == df.columns
@@ -300,3 +342,24 @@ def test_near_copies_null_and_repeated_ids(spark):
     rows = [(None, a), (3, a), (3, a), (7, b), (3, b), (None, c), (None, c)]
     got = jaccard.first_of_groups(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
     assert sorted((x["text"], x["doc_id"] or 0) for x in got) == [(a, 3), (b, 3), (c, 0)]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Callers' columns keep their values whatever they are called; new columns get names that are free."""
+    from augury.llm import jaccard
+    own = ["__key", "__size", "__source_size", "__target", "__taken", "__epochs", "__cut_key", "__source", "__pass", "__whole", "__part", "__k1", "__k2", "k1", "__drops", "__cut",
+           "__kept_text", "__n_lines", "__n_dropped", "__row", "row", "c0", "c1", "root", "best", "key", "source_size"]
+    texts = ["a b c\nsame"] * 3 + ["d e f g\nsame", None]
+    df = spark.createDataFrame([(i, t, "s", *[f"{c}{i}" for c in own]) for i, t in enumerate(texts)], f"doc_id long, text string, source string, {', '.join(f'{c} string' for c in own)}")
+    whole = {r["doc_id"]: tuple(r) for r in df.collect()}
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "__size_", "__source_size_", "__target_", "__taken_"]
+    assert {r[0]: tuple(r)[:-4] for r in mixed.collect()} == whole
+    assert [(r["__size_"], r["__source_size_"]) for r in mixed.orderBy("doc_id").collect()] == [(4, 17)] * 3 + [(5, 17), (0, 17)]
+    assert all(tuple(r)[2:-4] == whole[r[0]][2:] for r in mixing.take(mixed).collect())
+    lines = line_dedup.drop_common_lines(df, least_docs=4)
+    assert lines.columns == [*df.columns, "__kept_text_", "__n_lines_", "__n_dropped_"]
+    assert {r[0]: tuple(r)[:-3] for r in lines.collect()} == whole
+    assert {r[0]: r["__kept_text_"] for r in lines.collect()} == {0: "a b c", 1: "a b c", 2: "a b c", 3: "d e f g", 4: ""}
+    first = jaccard.first_of_groups(df)
+    assert first.columns == df.columns and {r[0]: tuple(r) for r in first.collect()} == {i: whole[i] for i in (0, 3, 4)}
