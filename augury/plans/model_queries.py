@@ -10,7 +10,7 @@ from augury.plans.feature_queries import recursive
 from augury.plans.registry import query, sql
 from augury.plans.roles import EVENTS_SQL, events, table
 from augury.plans.scoring_queries import BASE, scored
-from augury.plans.twins import newton_sql
+from augury.plans.twins import newton_sql, solve_sql
 from augury.session import cut_lineage
 
 COLS = ["lines", "quantity", "discount", "tax", "price"]
@@ -59,12 +59,6 @@ fit_query("mean_dispersion", lambda a, b: M.mean_dispersion(a, b, COLS, "margin"
 fit_query("entity_logit", lambda a, b: M.entity_logit(a, b, COLS, ["venue", "away"], LABEL))
 
 
-@query("binomial_glm")
-def _(spark, d):
-    train, _t = split(spark, d)
-    return M.glm_report(M.binomial_glm(train, COLS, LABEL), spark, train.count())
-
-
 @query("mlp_gated")
 def _(spark, d):
     train, test = split(spark, d)
@@ -250,9 +244,18 @@ def _(spark, d):
     return G.collinearity(frame(spark, d), COLS)["pairs"].drop("severity")
 
 
-@query("vif")
+def _corr_with(j: int) -> str:
+    """The correlation matrix and a unit column as a flat list."""
+    return "[" + ", ".join(", ".join([*(f"corr({a}, {b})" for b in COLS), f"{float(i == j)}::DOUBLE"]) for i, a in enumerate(COLS)) + "]"
+
+
+VIF_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature, d[{(j + 1) * (len(COLS) + 1)}] AS vif FROM (SELECT {solve_sql('mat', len(COLS))} AS d FROM (SELECT {_corr_with(j)} AS mat FROM fr))" for j, c in enumerate(COLS))
+
+
+@query("vif", sql(VIF_SQL, FRAME_SQL, r="vif"))
 def _(spark, d):
-    return G.collinearity(frame(spark, d), COLS)["vif"]
+    """Diagonal of the inverse of the correlation matrix."""
+    return G.collinearity(frame(spark, d), COLS)["vif"].select("feature", "vif")
 
 
 @query("condition_index")
@@ -293,6 +296,21 @@ def std_sql(more: str = "") -> str:
     return f"sf AS (SELECT event_id, start_ts, {LABEL}, year(start_ts) AS year, {z}{more} FROM fe)"
 
 
+def _glm_sql() -> str:
+    eta = "b[1] + " + " + ".join(f"b[{i + 2}] * {c}" for i, c in enumerate(COLS))
+    return f"""WITH pg AS (SELECT {LABEL} AS y, 1.0::DOUBLE / (1.0 + exp(-({eta}))) AS p, avg({LABEL}) OVER () AS base FROM gs, nw WHERE step = 12),
+    dv AS (SELECT -2*sum(y*ln(p) + (1-y)*ln(1-p)) AS dev, -2*sum(y*ln(base) + (1-y)*ln(1-base)) AS nul, count(*) AS n FROM pg)
+SELECT dev + 2*{len(COLS) + 1} AS aic, dev + {len(COLS) + 1}*ln(n) AS bic, dev AS deviance, nul AS null_deviance, {len(COLS) + 1} AS parameters, n FROM dv"""
+
+
+@query("binomial_glm", recursive(sql(_glm_sql(), *FR_SQL, f"""go AS (SELECT *, row_number() OVER (ORDER BY start_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM fe),
+gs AS (SELECT 1 AS one, {LABEL}, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in COLS)} FROM go WHERE i < round_even(n*0.7::DOUBLE, 0))""",
+    newton_sql("nw", "gs", COLS, LABEL, ["one"]), r="aic bic deviance null_deviance", digits=3)), digits=3)
+def _(spark, d):
+    train, _t = split(spark, d)
+    return M.glm_report(M.binomial_glm(train, COLS, LABEL), spark, train.count())
+
+
 REPLICATES, HELD = 100, 5
 WEIGHT_OF = f"(({' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in R.poisson_steps())}))"
 STABLE_SQL = (*FR_SQL, std_sql(), f"""gr AS (SELECT 'bootstrap' AS scheme, r.i::BIGINT AS g, {LABEL}, {', '.join(COLS)}, {WEIGHT_OF}::DOUBLE AS w FROM (SELECT sf.*, r.i, {R.uniform_sql(42, "event_id", "r.i")} AS u FROM sf, range(1, {REPLICATES + 1}) r(i)) r
