@@ -6,7 +6,7 @@ first two derivatives; small systems are solved from the sums. The penalty stand
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -116,6 +116,21 @@ def _added(rows: DataFrame, fn, shapes: Mapping[int, tuple[int, int]]) -> dict[i
     return out
 
 
+def _added_each(rows: DataFrame, fns: Mapping[int, Callable[[pa.RecordBatch], np.ndarray]]) -> dict[int, np.ndarray]:
+    """What every function sums up over all batches of all tasks: rows are read once, whatever the number of functions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, fn in fns.items():
+                part = fn(batch)
+                held[key] = held[key] + part if key in held else part
+        yield _rows_of(held)
+    out: dict[int, dict[int, float]] = {key: {} for key in fns}
+    for r in rows.mapInArrow(run, SUMS).groupBy("fold", "at").agg(F.sum("value").alias("value")).collect():
+        out[r["fold"]][r["at"]] = r["value"]
+    return {key: np.array([v[i] for i in range(len(v))]) for key, v in out.items()}
+
+
 def _slim(rows: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     return rows.where(F.col(label).isNotNull()).select(F.col("fold").cast("int").alias("fold"), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
 
@@ -192,6 +207,72 @@ def predict_points(valid: DataFrame, fits: Fits, keep: Sequence[str], out: str =
     return src.mapInArrow(run, schema)
 
 
+# ---- fits that differ by their columns ----------------------------------------------------------
+class Design(NamedTuple):
+    """A fit's columns made from the raw ones, their means and deviations, and its coefficients, intercept first."""
+    make: Callable[[np.ndarray], np.ndarray]
+    mean: np.ndarray
+    sd: np.ndarray
+    beta: np.ndarray
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        made = self.make(x)
+        return np.column_stack([np.ones(len(made)), np.where(self.sd > 0, (made - self.mean) / np.where(self.sd > 0, self.sd, 1.0), 0.0)])
+
+    def prob(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(_mu(self.scaled(x), self.beta[None])[:, 0], 1e-6, 1 - 1e-6)
+
+
+def fit_designs(rows: DataFrame, cols: Sequence[str], label: str, makes: Sequence[Callable[[np.ndarray], np.ndarray]], lam: float) -> list[Design]:
+    """A ridge fit per function of ``makes``, each of which makes its columns from the raw ``cols`` (without nulls).
+
+    All fits read the rows once per step; their columns exist in the tasks only. Raises if one does not settle.
+    """
+    cols = list(cols)
+
+    def moments(make):
+        def sums(batch):
+            x = make(_matrix(batch, cols))
+            return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+        return sums
+
+    def step(design):
+        def sums(batch):
+            y = batch.column(label).to_numpy(zero_copy_only=False).astype(float)
+            return derivative_sums(design.scaled(_matrix(batch, cols)), y, design.beta[None])[0]
+        return sums
+    fits = []
+    for make, s in zip(makes, _added_each(rows, {i: moments(m) for i, m in enumerate(makes)}).values()):
+        k = (len(s) - 1) // 2
+        mean = s[1:k + 1] / s[0]
+        var = s[k + 1:] / s[0] - mean ** 2
+        flat = var <= 1e-12 * (1e-12 + s[k + 1:] / s[0])
+        fits.append(Design(make, mean, np.where(flat, 0.0, np.sqrt(np.where(flat, 1.0, var))), np.zeros(k + 1)))
+    moving = set(range(len(fits)))
+    for _ in range(MOST_STEPS):
+        if not moving:
+            return fits
+        for i, s in _added_each(rows, {i: step(fits[i]) for i in moving}).items():
+            new = next_beta(s, fits[i].beta, lam, 0.0)
+            if np.abs(new - fits[i].beta).max() < SETTLED:
+                moving.discard(i)
+            fits[i] = fits[i]._replace(beta=new)
+    raise RuntimeError(f"fits still move after {MOST_STEPS} steps")
+
+
+def score_designs(rows: DataFrame, cols: Sequence[str], label: str, fits: Sequence[Design]) -> np.ndarray:
+    """Log loss and Brier score of every fit over the rows, read once: a row of the result per fit."""
+    cols = list(cols)
+
+    def score(design):
+        def sums(batch):
+            y, p = batch.column(label).to_numpy(zero_copy_only=False).astype(float), design.prob(_matrix(batch, cols))
+            return np.array([len(y), -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), ((p - y) ** 2).sum()])
+        return sums
+    sums = _added_each(rows, {i: score(d) for i, d in enumerate(fits)})
+    return np.array([sums[i][1:] / sums[i][0] for i in range(len(fits))])
+
+
 def slopes(fits: Fits, fold: int, point: int = 0) -> tuple[float, dict[str, float]]:
     """Intercept and slopes of a fit on the columns' own scale."""
     _, mean, sd = fits.fill[fold]
