@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from augury.session import cut_lineage
 # Thresholds of the structure, correlation and screening reports.
 MIN_VALUES, ZERO_STD, NEAR_STD, NEAR_RELATIVE, DOMINANT = 5, 1e-12, 1e-8, 1e-4, 0.98
 PAIR_WARN, PAIR_SEVERE, VIF_WARN, VIF_SEVERE, COND_WARN, COND_SEVERE, SHARE_HIGH = 0.80, 0.95, 5.0, 10.0, 15.0, 30.0, 0.5
-SCREEN_CORR = 0.999
+SCREEN_CORR, SINGULAR = 0.999, 1e-9
+OUTSIDE = {"all_missing", "insufficient", "constant"}
+CRITICAL = OUTSIDE | {"complete_case_constant", "exact_duplicate", "severe_vif", "severe_pairwise_corr", "critical_condition_cluster"}
 
 
 def feature_structure(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
@@ -82,38 +85,108 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
         return cov / np.outer(sd, sd)
 
 
-def collinearity(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
-    """Pairwise correlations, variance inflation, condition indices and variance shares.
+class Collinear(NamedTuple):
+    """k x k facts about complete rows: correlations, inflation, and per dimension eigenvalue, condition index, each feature's share."""
+    names: list[str]
+    corr: np.ndarray
+    vif: np.ndarray
+    value: np.ndarray
+    index: np.ndarray
+    share: np.ndarray
 
-    The Gram sums are distributed; the k x k algebra runs on the driver.
-    """
-    spark = df.sparkSession
-    n, _, cov = moments(df, cols)
+    def sharing(self, d: int) -> list[str]:
+        return [c for i, c in enumerate(self.names) if self.share[i, d] >= SHARE_HIGH]
+
+    def severity(self, d: int) -> str:
+        """A dimension is critical where it is badly conditioned and two features or more lie in it."""
+        several = len(self.sharing(d)) >= 2
+        if self.index[d] >= COND_SEVERE:
+            return "critical" if several else "warning"
+        return "warning" if self.index[d] >= COND_WARN and several else "ok"
+
+    def nearest(self, i: int) -> tuple[float | None, str]:
+        """The largest absolute correlation of a feature with another, and whose it is (the first of equals)."""
+        rest = [(round(abs(float(self.corr[i, j])), 12), -j) for j in range(len(self.names)) if j != i]
+        return (max(rest)[0], self.names[-max(rest)[1]]) if rest else (None, "")
+
+
+def _collinear(n: int, cov: np.ndarray, cols: Sequence[str]) -> Collinear:
     keep = [i for i in range(len(cols)) if cov[i, i] > ZERO_STD ** 2]
-    names = [cols[i] for i in keep]
     sd = np.sqrt(np.diag(cov)[keep])
     corr = cov[np.ix_(keep, keep)] / np.outer(sd, sd)
-    vif = np.diag(np.linalg.pinv(corr))
-    val, vec = np.linalg.eigh(corr * n)
-    order = np.argsort(val)[::-1]
-    val, vec = val[order], vec[:, order]
-    safe = np.maximum(val, ZERO_STD)
-    cond = np.sqrt(val[0] / safe)
+    value, vec = np.linalg.eigh(corr)
+    order = np.argsort(value)[::-1]
+    value, vec = value[order], vec[:, order]
+    lost = (vec ** 2)[:, value <= SINGULAR].sum(axis=1) > SINGULAR  # features that others give exactly
+    safe = np.maximum(value * n, ZERO_STD)
     phi = vec ** 2 / safe
-    share = phi / phi.sum(axis=1, keepdims=True)
-    sev = lambda x, w, s: "severe" if x >= s else "warning" if x >= w else "ok"
-    k = len(names)
-    mk = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return Collinear([cols[i] for i in keep], corr, np.where(lost, np.inf, np.diag(np.linalg.pinv(corr)) if keep else 0.0), value * n,
+                     np.sqrt(value[:1] * n / safe), phi / phi.sum(axis=1, keepdims=True))
+
+
+def collinearity(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """Pairwise correlations, variance inflation (infinite where others give a feature exactly), condition indices and variance shares.
+
+    The Gram sums are distributed; the k x k algebra runs on the driver. Without complete rows all are empty.
+    """
+    n, _, cov = moments(df, cols)
+    m = _collinear(n, cov, cols)
+    names, corr, k = m.names, m.corr, len(m.names)
+    sev = lambda x, w, s, worst="severe": worst if x >= s else "warning" if x >= w else "ok"
+    mk = lambda rows, schema: df.sparkSession.createDataFrame(rows, schema)
+    total = float(m.value.sum())
     return {
         "pairs": mk([(names[i], names[j], float(corr[i, j]), sev(abs(corr[i, j]), PAIR_WARN, PAIR_SEVERE)) for i in range(k) for j in range(i + 1, k)],
                     "feature_a string, feature_b string, corr double, severity string"),
-        "vif": mk([(names[i], float(vif[i]), float(max((abs(corr[i, j]) for j in range(k) if j != i), default=0.0)), sev(vif[i], VIF_WARN, VIF_SEVERE)) for i in range(k)],
+        "vif": mk([(names[i], float(m.vif[i]), m.nearest(i)[0] or 0.0, sev(m.vif[i], VIF_WARN, VIF_SEVERE)) for i in range(k)],
                   "feature string, vif double, max_abs_corr double, severity string"),
-        "condition": mk([(d + 1, float(val[d]), float(cond[d]), sev(cond[d], COND_WARN, COND_SEVERE)) for d in range(k)],
-                        "dimension int, eigenvalue double, condition_index double, severity string"),
-        "shares": mk([(d + 1, names[i], float(share[i, d]), float(cond[d])) for d in range(k) for i in range(k)
-                      if cond[d] >= COND_WARN or share[i, d] >= SHARE_HIGH],
-                     "dimension int, feature string, variance_share double, condition_index double")}
+        "condition": mk([(d + 1, float(m.value[d]), float(m.value[d]) / total, float(m.index[d]), len(m.sharing(d)), " | ".join(m.sharing(d)), m.severity(d)) for d in range(k)],
+                        "dimension int, eigenvalue double, variance_share double, condition_index double, sharing int, sharing_features string, severity string"),
+        "shares": mk([(d + 1, names[i], float(m.share[i, d]), float(m.index[d]), sev(m.index[d], COND_WARN, COND_SEVERE, "critical") if m.share[i, d] >= SHARE_HIGH else "ok")
+                      for d in range(k) for i in range(k) if m.index[d] >= COND_WARN or m.share[i, d] >= SHARE_HIGH],
+                     "dimension int, feature string, variance_share double, condition_index double, severity string")}
+
+
+def feature_status(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
+    """One verdict per feature from structure, copies, correlations, inflation and condition: ``critical``, ``warning`` or ``ok``, worst first.
+
+    Features without values, with fewer than ``MIN_VALUES``, or constant (over all rows, or over the complete ones) stay out
+    of the matrix. ``flags`` lists what was found; ``condition_clusters`` counts the ill-conditioned dimensions a feature shares.
+    """
+    empty = {"flag": "all_missing", "duplicate_of": "", "non_missing": 0, "missing": 0, "distinct": 0}
+    seen = dict.fromkeys(cols, empty) | {r["feature"]: r for r in feature_structure(df, cols, row_id).collect()}  # one row per column
+    flags = {c: [f for f in (seen[c]["flag"], "exact_duplicate" if seen[c]["duplicate_of"] else "") if f] for c in cols}
+    used, n, cov = [c for c in cols if seen[c]["flag"] not in OUTSIDE], 0, np.zeros((0, 0))
+    while used:
+        n, _, cov = moments(df, used)
+        flat = [c for i, c in enumerate(used) if n and cov[i, i] <= ZERO_STD ** 2]
+        for c in flat:
+            flags[c].append("complete_case_constant")
+        used = [c for c in used if c not in flat]
+        if not flat:
+            break
+    m = _collinear(n, cov, used) if used and n else None
+    rows = []
+    for c in cols:
+        vif = corr = None
+        near, clusters = "", 0
+        if m and c in m.names:
+            i = m.names.index(c)
+            vif, (corr, near) = float(m.vif[i]), m.nearest(i)
+            found = [m.severity(d) for d in range(len(m.names)) if c in m.sharing(d) and m.severity(d) != "ok"]
+            clusters = len(found)
+            if corr is not None and corr >= PAIR_WARN:
+                flags[c].append("severe_pairwise_corr" if corr >= PAIR_SEVERE else "high_pairwise_corr")
+            if vif >= VIF_WARN:
+                flags[c].append("severe_vif" if vif >= VIF_SEVERE else "high_vif")
+            if found:
+                flags[c].append("critical_condition_cluster" if "critical" in found else "warning_condition_cluster")
+        status = "critical" if set(flags[c]) & CRITICAL else "warning" if flags[c] else "ok"
+        rows.append((c, seen[c]["non_missing"], seen[c]["missing"], seen[c]["distinct"], seen[c]["duplicate_of"], c in used, vif, corr, near, clusters, status, " | ".join(flags[c])))
+    rows.sort(key=lambda r: (("critical", "warning", "ok").index(r[-2]), -(r[6] or 0.0), -(r[7] or 0.0), r[0]))
+    return df.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)],
+                                           "feature string, non_missing long, missing long, distinct long, duplicate_of string, in_matrix boolean, vif double, "
+                                           "max_abs_corr double, most_correlated_with string, condition_clusters int, status string, flags string, rank int")
 
 
 def screen_features(df: DataFrame, cols: Sequence[str], label: str, row_id: str) -> DataFrame:

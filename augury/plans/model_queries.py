@@ -10,7 +10,7 @@ from augury.plans.feature_queries import recursive
 from augury.plans.registry import query, sql
 from augury.plans.roles import EVENTS_SQL, events, table
 from augury.plans.scoring_queries import BASE, scored
-from augury.plans.twins import newton_sql, solve_sql
+from augury.plans.twins import jacobi_sql, newton_sql, solve_sql
 from augury.session import cut_lineage
 
 COLS = ["lines", "quantity", "discount", "tax", "price"]
@@ -227,6 +227,7 @@ def with_twin(spark, d):
 
 
 STRUCT = [*COLS, "twin", "flat"]
+COPY_OF = {"twin": "price"}
 
 
 @query("feature_structure", sql("""WITH u AS (SELECT event_id, f.feature, f.value FROM fr, LATERAL (VALUES ('lines', lines), ('quantity', quantity), ('discount', discount), ('tax', tax), ('price', price), ('twin', price), ('flat', 1.0)) f(feature, value)),
@@ -258,11 +259,51 @@ def _(spark, d):
     return G.collinearity(frame(spark, d), COLS)["vif"].select("feature", "vif")
 
 
-@query("condition_index")
+CORR_FLAT = "[" + ", ".join(f"corr({a}, {b})" for a in COLS for b in COLS) + "]"
+K = len(COLS)
+CONDITION_SQL = (FRAME_SQL, f"""ja AS (SELECT n, {jacobi_sql('mat', K)} AS m FROM (SELECT count(*) AS n, {CORR_FLAT} AS mat FROM fr)),
+ei AS (SELECT n, d, m[d * {K + 1} + 1] * n AS eigenvalue, [{', '.join(f'm[{K * K + i * K} + d + 1]' for i in range(K))}] AS vec FROM ja, range(0, {K}) r(d)),
+di AS (SELECT *, row_number() OVER (ORDER BY eigenvalue DESC)::INT AS dimension, eigenvalue / sum(eigenvalue) OVER () AS part, sqrt(max(eigenvalue) OVER () / greatest(eigenvalue, 1e-12)) AS condition_index FROM ei),
+ph AS (SELECT dimension, condition_index, f.i, f.feature, vec[f.i] * vec[f.i] / greatest(eigenvalue, 1e-12) AS phi FROM di, (VALUES {', '.join(f"({i + 1}, '{c}')" for i, c in enumerate(COLS))}) f(i, feature)),
+sh AS (SELECT *, phi / sum(phi) OVER (PARTITION BY feature) AS share FROM ph),
+cl AS (SELECT dimension, count(*) FILTER (WHERE share >= {G.SHARE_HIGH})::INT AS sharing, coalesce(string_agg(feature, ' | ' ORDER BY i) FILTER (WHERE share >= {G.SHARE_HIGH}), '') AS sharing_features FROM sh GROUP BY 1),
+cd AS (SELECT dimension, eigenvalue, part AS variance_share, condition_index, sharing, sharing_features, CASE WHEN condition_index >= {G.COND_SEVERE} THEN CASE WHEN sharing >= 2 THEN 'critical' ELSE 'warning' END
+  WHEN condition_index >= {G.COND_WARN} AND sharing >= 2 THEN 'warning' ELSE 'ok' END AS severity FROM di JOIN cl USING (dimension))""")
+
+
+@query("condition_index", sql("SELECT * FROM cd", *CONDITION_SQL, r="eigenvalue variance_share condition_index", digits=5), digits=5)
 def _(spark, d):
     return G.collinearity(frame(spark, d), COLS)["condition"]
 
 
+@query("variance_shares", sql(f"""SELECT dimension, feature, share AS variance_share, condition_index, CASE WHEN share < {G.SHARE_HIGH} THEN 'ok' WHEN condition_index >= {G.COND_SEVERE} THEN 'critical' WHEN condition_index >= {G.COND_WARN} THEN 'warning' ELSE 'ok' END AS severity
+    FROM sh WHERE condition_index >= {G.COND_WARN} OR share >= {G.SHARE_HIGH}""", *CONDITION_SQL, r="variance_share condition_index"))
+def _(spark, d):
+    return G.collinearity(frame(spark, d), COLS)["shares"]
+
+
+STATUS_SQL = f"""WITH u AS (SELECT f.feature, f.value FROM fr, LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in COLS)}, ('twin', price), ('flat', 1.0)) f(feature, value)),
+    s AS (SELECT feature, count(value) AS non_missing, count(*) - count(value) AS missing, count(DISTINCT value) AS "distinct", stddev_pop(value) AS sd, avg(abs(value)) AS ma FROM u GROUP BY 1),
+    tp AS (SELECT feature, max(c) AS top FROM (SELECT feature, value, count(*) AS c FROM u GROUP BY ALL) GROUP BY 1),
+    pr AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, '{b}' AS other, abs(corr({COPY_OF.get(a, a)}, {COPY_OF.get(b, b)})) AS c, {i} AS i FROM fr" for a in [*COLS, 'twin'] for i, b in enumerate([*COLS, 'twin']) if a != b)}),
+    nr AS (SELECT feature, max(c) AS max_abs_corr, arg_min(other, (-round(c, 12), i)) AS most_correlated_with FROM pr GROUP BY 1),
+    vi AS (SELECT feature, CASE WHEN feature = 'price' THEN 'infinity'::DOUBLE ELSE vif END AS vif FROM ({VIF_SQL}) UNION ALL SELECT 'twin', 'infinity'::DOUBLE),
+    cn AS (SELECT feature, count(*) FILTER (WHERE cd.severity <> 'ok') AS clusters, bool_or(cd.severity = 'critical') AS critical FROM sh JOIN cd USING (dimension) WHERE share >= {G.SHARE_HIGH} AND feature <> 'price' GROUP BY 1 UNION ALL SELECT unnest(['price', 'twin']), 1, true),
+    fl AS (SELECT feature, non_missing, missing, "distinct", CASE feature WHEN 'twin' THEN 'price' ELSE '' END AS duplicate_of, feature <> 'flat' AS in_matrix, vif, max_abs_corr, coalesce(most_correlated_with, '') AS most_correlated_with, coalesce(clusters, 0)::INT AS condition_clusters,
+      list_filter([CASE WHEN "distinct" <= 1 THEN 'constant' WHEN top / non_missing >= {G.DOMINANT} OR sd / ma <= {G.NEAR_RELATIVE} THEN 'near_constant' END, CASE WHEN feature = 'twin' THEN 'exact_duplicate' END,
+        CASE WHEN max_abs_corr >= {G.PAIR_SEVERE} THEN 'severe_pairwise_corr' WHEN max_abs_corr >= {G.PAIR_WARN} THEN 'high_pairwise_corr' END, CASE WHEN vif >= {G.VIF_SEVERE} THEN 'severe_vif' WHEN vif >= {G.VIF_WARN} THEN 'high_vif' END,
+        CASE WHEN critical THEN 'critical_condition_cluster' WHEN clusters > 0 THEN 'warning_condition_cluster' END], lambda f: f IS NOT NULL) AS ff
+      FROM s JOIN tp USING (feature) LEFT JOIN nr USING (feature) LEFT JOIN vi USING (feature) LEFT JOIN cn USING (feature)),
+    st AS (SELECT * EXCLUDE (ff), CASE WHEN list_has_any(ff, {sorted(G.CRITICAL)!r}) THEN 'critical' WHEN len(ff) > 0 THEN 'warning' ELSE 'ok' END AS status, array_to_string(ff, ' | ') AS flags FROM fl)
+SELECT * REPLACE (in_matrix::INT AS in_matrix), row_number() OVER (ORDER BY list_position(['critical', 'warning', 'ok'], status), coalesce(vif, 0) DESC, round(coalesce(max_abs_corr, 0), 12) DESC, feature)::INT AS rank FROM st"""
+
+
+@query("feature_status", sql(STATUS_SQL, *CONDITION_SQL, r="vif max_abs_corr"))
+def _(spark, d):
+    """Columns with a copy of one and a constant beside them."""
+    return G.feature_status(cut_lineage(with_twin(spark, d)), STRUCT, "event_id")
+
+
 @query("screen_features")
 def _(spark, d):
     return G.screen_features(cut_lineage(with_twin(spark, d)), STRUCT, LABEL, "event_id")

@@ -34,3 +34,21 @@ def newton_sql(name: str, rows: str, feats: Sequence[str], label: str, by: Seque
       SELECT {keys}, step, any_value(b) AS b, [{flat}] AS mat FROM (
         SELECT r.*, s.step, s.b, {xs}, 1.0::DOUBLE / (1.0 + exp(-({eta}))) AS mu FROM {name} s JOIN {rows} r ON {on} WHERE s.step < {steps})
       GROUP BY {keys}, step)))"""
+
+
+def jacobi_sql(matrix: str, k: int, sweeps: int = 8) -> str:
+    """Eigenvalues and vectors of a symmetric flat list of ``k`` x ``k``: a list of the turned matrix, whose diagonal holds the
+    values, and of the vectors as columns. Every turn takes three steps: its angle, the columns, the rows."""
+    kk = k * k
+    p, q, cos, sin = "p[2]::INT", "p[3]::INT", f"m[{2 * kk + 1}]", f"m[{2 * kk + 2}]"
+    cell = lambda i, j: f"m[({i}) * {k} + {j} + 1]"
+    tau = f"(({cell(q, q)} - {cell(p, p)}) / (2 * {cell(p, q)}))"
+    tan = f"(CASE WHEN abs({cell(p, q)}) < 1e-15 THEN 0.0 ELSE (CASE WHEN {tau} < 0 THEN -1.0 ELSE 1.0 END) / (abs({tau}) + sqrt(1 + {tau} * {tau})) END)"
+    i, j = f"(e // {k})", f"(e % {k})"
+    angle = f"CASE WHEN e = {2 * kk} THEN 1 / sqrt(1 + {tan} * {tan}) WHEN e = {2 * kk + 1} THEN {tan} / sqrt(1 + {tan} * {tan}) ELSE m[e + 1] END"
+    turn = lambda at, a, b: f"CASE WHEN {at} = {p} THEN {cos} * {a} - {sin} * {b} WHEN {at} = {q} THEN {sin} * {a} + {cos} * {b} ELSE m[e + 1] END"
+    step = (f"CASE WHEN p[1] = 0 THEN {angle} WHEN e >= {2 * kk} THEN m[e + 1] WHEN p[1] = 1 THEN {turn(j, cell(i, p), cell(i, q))} "
+            f"WHEN e >= {kk} THEN m[e + 1] ELSE {turn(i, cell(p, j), cell(q, j))} END")
+    turns = ", ".join(f"[{kind}.0::DOUBLE, {a}.0, {b}.0]" for _ in range(sweeps) for a in range(k) for b in range(a + 1, k) for kind in range(3))
+    unit = ", ".join(f"{float(a == b)}::DOUBLE" for a in range(k) for b in range(k))
+    return f"list_reduce(list_prepend(list_concat({matrix}, [{unit}, 1.0::DOUBLE, 0.0::DOUBLE]), [{turns}]), lambda m, p: list_transform(range(0, {2 * kk + 2}), lambda e: {step}))"

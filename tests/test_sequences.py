@@ -106,6 +106,28 @@ def test_moments_and_vif(design):
     assert np.allclose(vif, np.diag(np.linalg.inv(np.corrcoef(x.T))), atol=1e-6)
 
 
+def test_status_of_copies_clusters_and_holes(spark, design):
+    df, x, _ = design
+    wide = df.withColumns({"copy": F.col("a"), "sum": F.col("a") + F.col("b") + F.sin("id") / 50, "flat": F.lit(2.0), "void": F.lit(None).cast("double"),
+                           "steps": F.when(F.col("id") < 499, 1.0).otherwise(0.0), "rare": F.when(F.col("id") < 4, F.col("c")), "hole": F.when(F.col("id") > 2, F.col("c"))})
+    cols = ["a", "b", "c", "copy", "sum", "flat", "void", "rare", "steps"]
+    r = {v["feature"]: v for v in G.feature_status(wide, cols, "id").collect()}
+    assert r["copy"]["duplicate_of"] == "a" and r["copy"]["vif"] == r["a"]["vif"] == float("inf") and r["copy"]["flags"].startswith("exact_duplicate | severe_pairwise_corr")
+    assert (r["flat"]["flags"], r["void"]["flags"], r["rare"]["flags"], r["steps"]["flags"]) == ("constant", "all_missing", "insufficient", "near_constant")
+    assert (r["flat"]["in_matrix"], r["steps"]["status"], r["flat"]["vif"]) == (False, "warning", None)
+    z = np.column_stack([x, x[:, 0] + x[:, 1] + np.sin(np.arange(500)) / 50])
+    vif = np.diag(np.linalg.inv(np.corrcoef(z.T)))
+    r = {v["feature"]: v for v in G.feature_status(wide, ["a", "b", "c", "sum"], "id").collect()}
+    assert np.allclose([r[c]["vif"] for c in ("a", "b", "c", "sum")], vif, rtol=1e-6)
+    assert {c for c in r if r[c]["condition_clusters"]} == {"a", "b", "sum"} and r["a"]["flags"] == "severe_vif | critical_condition_cluster" and r["c"]["status"] == "ok"
+    assert sorted(v["rank"] for v in r.values()) == [1, 2, 3, 4] and r["c"]["rank"] == 4
+    # the only rows with another value of "steps" have a hole elsewhere: constant where it counts
+    cut = wide.withColumn("hole", F.when(F.col("id") < 499, F.col("c")))
+    r = {v["feature"]: v for v in G.feature_status(cut, ["hole", "steps", "b"], "id").collect()}
+    assert r["steps"]["flags"] == "near_constant | complete_case_constant" and not r["steps"]["in_matrix"] and r["hole"]["in_matrix"]
+    assert [(v["feature"], v["flags"]) for v in G.feature_status(wide.limit(0), ["a", "b"], "id").collect()] == [("a", "all_missing"), ("b", "all_missing")]
+
+
 def test_screen_drops_copies(spark, design):
     df, _, _ = design
     wide = df.withColumns({"copy": F.col("a"), "near": F.col("a") + F.col("c") * 1e-3, "flat": F.lit(2.0)})
