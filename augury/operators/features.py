@@ -271,11 +271,12 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
     raw = (clip(F.coalesce("minutes_projection", F.lit(0.0)), 0, MOST_MINUTES)
            * clip(F.coalesce("played_rate", F.lit(0.6)), 0.1, 1.0)
            * F.when(gap <= 7, 1.0).otherwise(F.exp(-(gap - 7.0) / 14.0)) * factor)
-    rows = states.withColumns({"_m": raw, "_gap": gap}).where(F.col(gap_days).isNotNull() & (F.col("_m") > LEAST_MINUTES))
+    unknown = F.col(gap_days).isNull()  # no minutes, from which the rest follows
+    rows = states.withColumns({"_m": F.when(unknown, 0.0).otherwise(raw), "_gap": gap}).where(unknown | (F.col("_m") > LEAST_MINUTES))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(snap("_m", 9).desc(), tie))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= ROTATION)
     m, known = F.col("_m"), F.sum("_m")
-    scale = F.least(F.lit(1.0), TEAM_MINUTES / known)
+    scale = F.least(F.lit(1.0), F.try_divide(F.lit(TEAM_MINUTES), known))
     w = lambda c: F.sum(F.coalesce(c, F.lit(0.0)) * m)
     sums = rows.groupBy(*keys).agg(
         known.alias("_known"), scale.alias("_scale"), F.collect_list("_m").alias("_ms"),
@@ -289,7 +290,7 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
     weight = F.greatest(total, F.lit(1.0))
     deep = F.size(F.filter("_ms", lambda x: x * s >= 8.0))
     conf = F.col("_conf") * s / weight
-    out = sums.select(
+    return sums.select(
         *keys, (deep / 8.0 * share).alias("depth_index"), share.alias("known_share"),
         F.greatest(1.0 - share, F.lit(0.0)).alias("absence_pressure"), conf.alias("confidence"),
         (F.col("_stable") * s / weight).alias("stability"), (share * conf).alias("reliability"),
@@ -298,9 +299,6 @@ def roster_strength(states: DataFrame, keys: Sequence[str], gap_days: str, tie:
         (F.col("_off") * s / TEAM_MINUTES).alias("strength_offence"),
         (F.col("_def") * s / TEAM_MINUTES).alias("strength_defence"),
         (F.col("_top") * s / TEAM_MINUTES).alias("top6_share"))
-    unknown = {"absence_pressure": 1.0, "uncertainty": 1.0}
-    none = states.where(F.col(gap_days).isNull()).select(*keys, *[F.lit(unknown.get(c, 0.0)).alias(c) for c in out.columns[len(keys):]])
-    return out.unionByName(none)
 
 
 def travel(series: DataFrame, places: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], place: str,

@@ -124,11 +124,10 @@ def asof_roster(series: DataFrame, states: DataFrame, team: str, player: str, ts
     """
     pools = [(F.col(team), F.lit(0))] + ([] if upcoming is None or current_team is None else [(F.coalesce(current_team, team), F.lit(1))])
     payload = [c for c in states.columns if c not in (event, team, current_team, ts)]
-    st = None
-    for name, kind in pools:
-        part = states.where(name.isNotNull()).select(F.struct(name.alias("entity"), kind.alias("kind")).alias("_pool"), micros(ts).alias("_t"),
-                                                            F.col(player).alias("_p"), F.col(tie).alias("_tie"), F.struct(*payload, F.col(ts).alias("state_ts")).alias("_s"))
-        st = part if st is None else st.unionByName(part)
+    # one pass over the states, which may be costly, whatever the number of pools
+    of = F.array(*[F.struct(name.alias("entity"), kind.alias("kind")) for name, kind in pools])
+    st = states.withColumn("_pool", F.explode(F.filter(of, lambda p: p["entity"].isNotNull()))).select(
+        "_pool", micros(ts).alias("_t"), F.col(player).alias("_p"), F.col(tie).alias("_tie"), F.struct(*payload, F.col(ts).alias("state_ts")).alias("_s"))
     st = cut_lineage(st)
     hour = lambda t: F.floor(t / 3_600_000_000)
     sizes = st.groupBy("_pool", "_p").agg(F.min("_t").alias("_t")).groupBy("_pool").agg(F.count(F.lit(1)).alias("_players"), F.min("_t").alias("_from"))
