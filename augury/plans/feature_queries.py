@@ -385,6 +385,25 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.min("start_ts").alias("first_ts"), F.max("start_ts").alias("last_ts"))
 
 
+@query("row_fold_rows", sql("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY start_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM ev WHERE home_win IS NOT NULL),
+    f AS (SELECT *, 200 + (fold-1)*((n-200)//4) AS lo, (n-200)//4 AS sz FROM o, (VALUES (1),(2),(3),(4)) v(fold))
+SELECT * FROM (SELECT event_id, fold, CASE WHEN i < lo THEN 'train' WHEN i < lo+sz THEN 'valid' END AS role FROM f) WHERE role IS NOT NULL""", EVENTS_SQL))
+def _(spark, d):
+    """Every row of every fold."""
+    ev = events(spark, d).where("home_win is not null").select("event_id", "start_ts")
+    return X.time_folds(ev, ORDER, hour(), 4, 200).select("event_id", "fold", "role")
+
+
+@query("date_fold_rows", sql("""WITH d AS (SELECT DISTINCT start_ts::DATE AS dd FROM ev WHERE home_win IS NOT NULL), b AS (SELECT min(dd) AS a, max(dd) AS z FROM d),
+    c AS (SELECT dd, row_number() OVER (ORDER BY dd) - 1 AS i, count(*) OVER () AS n FROM d, b WHERE dd >= a + 119 AND dd <= z - 32),
+    e AS (SELECT dd, row_number() OVER (ORDER BY dd) AS fold FROM c WHERE i IN (SELECT round_even(k*(n-1)/3.0::DOUBLE, 0)::INT FROM (VALUES (0),(1),(2),(3)) v(k)) )
+SELECT * FROM (SELECT event_id, fold, CASE WHEN start_ts::DATE <= dd THEN 'train' WHEN start_ts::DATE BETWEEN dd + 3 AND dd + 32 THEN 'valid' END AS role FROM ev, e WHERE home_win IS NOT NULL) WHERE role IS NOT NULL""", EVENTS_SQL))
+def _(spark, d):
+    """Every row of every fold."""
+    ev = events(spark, d).where("home_win is not null").select("event_id", "start_ts")
+    return X.date_folds(ev, "start_ts", 4, 30, 2, 120).select("event_id", "fold", "role")
+
+
 @query("share_split", sql("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY start_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM ev WHERE home_win IS NOT NULL)
 SELECT event_id, CASE WHEN i < round_even(n*0.4::DOUBLE, 0) THEN 'train' WHEN i < round_even(n*0.7::DOUBLE, 0) THEN 'valid' ELSE 'test' END AS role FROM o""", EVENTS_SQL))
 def _(spark, d):
@@ -445,3 +464,11 @@ def _(spark, d):
     grid = spark.createDataFrame([(50,), (100,), (150,)], "threshold int")
     ev = events(spark, d).where(F.col("home_score").isNotNull())
     return T.with_grid(ev, grid).where(F.col("home_score") + F.col("away_score") >= F.col("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("grid_rows", sql("""SELECT event_id, threshold, home_score + away_score AS total FROM ev, (VALUES (50), (100), (150)) g(threshold) WHERE home_score + away_score >= threshold""", EVENTS_SQL, r="total"))
+def _(spark, d):
+    """Every event at every grid point that it reaches."""
+    grid = spark.createDataFrame([(50,), (100,), (150,)], "threshold int")
+    total = F.col("home_score") + F.col("away_score")
+    return T.with_grid(events(spark, d), grid).where(total >= F.col("threshold")).select("event_id", "threshold", total.alias("total"))

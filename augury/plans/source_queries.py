@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F, types as T
 
 from augury.functions import columns as C
 from augury.operators import ratings as Q
@@ -79,6 +79,50 @@ def _(spark, d):
     return B.chunk_manifest(B.chunks(table(spark, d, "lineitem"), "l_shipdate", 90), "l_shipdate")
 
 
+@query("interim_table", sql("SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, NULL::VARCHAR AS o_note FROM orders", ts="o_orderdate", r="o_totalprice"))
+def _(spark, d):
+    """A table of the folder by a declared schema, a column of which the file lacks, and one that is not there."""
+    schema = "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_note string"
+    read = lambda name: B.read_table(spark, d, name, T.StructType.fromDDL(schema))
+    return read("orders").unionByName(read("no_such_table"))
+
+
+@query("artifact_tables", sql("SELECT event_id, home, away, home_score, away_score, year(final_ts) + CASE WHEN quarter(final_ts) = 2 THEN 100 ELSE 0 END AS season, quarter(final_ts) AS part FROM ev WHERE home_win IS NOT NULL", EVENTS_SQL, r="home_score away_score"))
+def _(spark, d):
+    """Results written by quarter, the second quarter replaced in place, then kept as CSV and read by schema."""
+    folder = scratch(spark)
+    done = B.results_from_events(events(spark, d)).select("event_id", "home", "away", "home_score", "away_score", F.year("final_ts").alias("season"), F.quarter("final_ts").alias("part"))
+    B.write_table(done, f"{folder}/parts", partition_by=["part"])
+    B.replace_partitions(done.where("part = 2").withColumn("season", F.col("season") + 100), f"{folder}/parts", ["part"])
+    B.write_table(spark.read.parquet(f"{folder}/parts"), f"{folder}/results.csv", fmt="csv")
+    return B.read_table(spark, folder, "results", done.schema)
+
+
+@query("exported_chunks", sql("""WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice, DATE '1970-01-01' + ((l_shipdate::DATE - DATE '1970-01-01')//90*90)::INT AS chunk_start FROM lineitem)
+SELECT *, count(*) OVER (PARTITION BY chunk_start) AS chunk_rows FROM c""", r="l_extendedprice", day="chunk_start"))
+def _(spark, d):
+    """All rows as read back from the chunks' folders, beside the count in the manifest."""
+    folder = scratch(spark)
+    manifest = B.export_chunks(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"), "l_shipdate", 90, folder)
+    rows = spark.read.parquet(folder).select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("chunk_start").cast("date").alias("chunk_start"))
+    return rows.join(manifest.select("chunk_start", F.col("rows").alias("chunk_rows")), "chunk_start")
+
+
+@query("snapshot_ids", sql("SELECT count(*) AS row_count, 1 AS same_in_any_order, 1 AS moved_by_a_value, 1 AS moved_by_the_source FROM lineitem"))
+def _(spark, d):
+    """The id depends on the source and on every value, but not on the order of rows."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    first = li.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m"))  # one row
+    one = li.crossJoin(F.broadcast(first)).withColumn("l_extendedprice", F.col("l_extendedprice") + (F.struct("l_orderkey", "l_linenumber") == F.col("m")).cast("int")).drop("m")
+    audit = lambda df, source="lines": B.snapshot_audit(df, source, "l_shipdate", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    ids = {"_a": li, "_b": li.repartition(7, "l_linenumber"), "_c": one}
+    out = audit(li, "other").select("row_count", F.col("snapshot_id").alias("_d"))
+    for name, df in ids.items():
+        out = out.crossJoin(audit(df).select(F.col("snapshot_id").alias(name)))  # one row each
+    same = lambda a, b: (F.col(a) == F.col(b)).cast("int")
+    return out.select("row_count", same("_a", "_b").alias("same_in_any_order"), (1 - same("_a", "_c")).alias("moved_by_a_value"), (1 - same("_a", "_d")).alias("moved_by_the_source"))
+
+
 @query("split_ledger", sql("SELECT CASE WHEN source = 'history' THEN 'diagnostics' ELSE 'ledger' END AS target, event_id, forecast_id, source FROM (SELECT *, row_number() OVER (PARTITION BY event_id, forecast_id ORDER BY as_of DESC, model) AS n FROM fc) WHERE n = 1 AND (event_id, forecast_id) NOT IN (SELECT (event_id, forecast_id) FROM fc WHERE run_id = 'run1996')", FORECASTS_SQL))
 def _(spark, d):
     f = named_forecasts(spark, d)
