@@ -444,7 +444,29 @@ def _(spark, d):
     return G.residuals(scored(spark, d), LABEL, "prob", "event_id").select("event_id", "model", "quantile_resid")
 
 
-@query("influence")
+def _influence_sql() -> tuple[str, ...]:
+    """CTEs up to ``tp``, the ten rows of largest distance, and the fit ``n2`` without them."""
+    x = ["1.0::DOUBLE", *COLS]
+    m = len(x)
+    eta = " + ".join(f"b[{i + 1}] * {c}" for i, c in enumerate(x))
+    cell = lambda i, j: f"h{min(i, j)}_{max(i, j)}"
+    sums = ", ".join(f"sum(v * {x[i]} * {x[j]}) AS {cell(i, j)}" for i in range(m) for j in range(i, m))
+    flat = lambda r: "[" + ", ".join(", ".join([*(cell(i, j) for j in range(m)), f"{float(i == r)}::DOUBLE"]) for i in range(m)) + "]"
+    columns = ", ".join(f"{solve_sql('m' + str(r), m)} AS d{r}" for r in range(m))
+    vx = ", ".join("(" + " + ".join(f"d{j}[{(i + 1) * (m + 1)}] * {x[j]}" for j in range(m)) + f") AS t{i}" for i in range(m))
+    lev = "v * (" + " + ".join(f"{x[i]} * t{i}" for i in range(m)) + ")"
+    moved = " + ".join(f"abs(t{i} * err / (1 - leverage)) / sqrt(greatest(d{i}[{(i + 1) * (m + 1)}], 1e-30))" for i in range(m))
+    return (*FR_SQL, std_sql(), "s1 AS (SELECT 1 AS one, * FROM sf)", newton_sql("n1", "s1", COLS, LABEL, ["one"], "1e-6", all_ridge=True),
+            f"""im AS (SELECT *, mu * (1 - mu) AS v, {LABEL} - mu AS err FROM (SELECT s1.*, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1.0::DOUBLE / (1.0 + exp(-({eta}))))) AS mu FROM s1, n1 WHERE n1.step = 12) q),
+ih AS (SELECT {sums} FROM im), ig AS (SELECT {', '.join(f'{flat(r)} AS m{r}' for r in range(m))} FROM ih), iv AS (SELECT {columns} FROM ig),
+il AS (SELECT *, {lev} AS leverage FROM (SELECT im.*, iv.*, {vx} FROM im, iv) q),
+ic AS (SELECT event_id, leverage, err * err / v * leverage / ({m} * (1 - leverage) * (1 - leverage)) AS cooks_distance, ({moved}) / {m} AS abs_dfbeta_mean FROM il),
+tp AS (SELECT * FROM ic ORDER BY cooks_distance DESC, event_id LIMIT 10), s2 AS (SELECT * FROM s1 WHERE event_id NOT IN (SELECT event_id FROM tp))""",
+            newton_sql("n2", "s2", COLS, LABEL, ["one"], "1e-6", all_ridge=True))
+
+
+@query("influence", recursive(sql(f"SELECT tp.*, (SELECT sqrt({' + '.join(f'(n1.b[{i + 1}] - n2.b[{i + 1}])^2' for i in range(len(COLS) + 1))}) FROM n1, n2 WHERE n1.step = 12 AND n2.step = 12) AS coef_shift FROM tp",
+                                  *_influence_sql(), r="leverage cooks_distance abs_dfbeta_mean coef_shift")))
 def _(spark, d):
     top, shift = G.influence(cut_lineage(std_frame(spark, d)), COLS, LABEL, "event_id", 10)
     return top.withColumn("coef_shift", F.lit(shift))
