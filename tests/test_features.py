@@ -1,5 +1,7 @@
 """Exact cases, pandas twins and the split-key path of the ordered operators."""
 import datetime as dt
+import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from augury.functions.rules import Roles, leakage_audit, select_features
-from augury.operators import features as X, ordered as O
+from augury.operators import features as X, ordered as O, temporal as T
 from augury.operators.ordered import RANGE_ROWS_CONF
 
 
@@ -157,3 +159,21 @@ def test_quantiles_of_one_narrow_score(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     for r in O.exact_quantiles(df, [], "v", [0.0, 0.3, 0.5, 0.99, 1.0]).collect():
         assert r["quantile"] == pytest.approx(np.quantile(v, r["prob"]), rel=1e-12)
+
+
+def test_gathered_rosters_hold_the_rows(spark):
+    """The rosters as arrays are the rows of the join, and no row is dealt by event once its range is known."""
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    r = random.Random(4)
+    st = [(k, r.choice("AB"), f"p{r.randint(0, 9)}", at(r.randint(5, 90)), k, k * 0.5) for k in range(300)]
+    ev = [(1000 + k, r.choice("ABC"), at(r.randint(0, 95))) for k in range(80)]
+    states = spark.createDataFrame(st, "event_id long, team string, player string, ts timestamp, tie long, form double")
+    series = spark.createDataFrame(ev + [x for x in ev if x[1] != "C" and x[2] > at(30)][:3], "event_id long, entity string, start_ts timestamp")
+    for within in (None, 12.0):
+        ask = lambda **kw: T.asof_roster(series, states, "team", "player", "ts", "event_id", "tie", within_days=within, least_range=4, **kw)
+        want = sorted(map(repr, ask().collect()))
+        met = ask(gathered=True)
+        rows = met.select("event_id", "entity", F.explode_outer("states").alias("x")).select("event_id", "entity", "x.*")
+        assert len(want) > 300 and sorted(map(repr, rows.collect())) == want
+    per = met.groupBy("pool", "range", "event_id", "entity").agg(F.count(F.lit(1)))
+    assert not re.search(r"hashpartitioning\(pool#\d+, range#\d+L?, event_id", per._jdf.queryExecution().executedPlan().toString())
