@@ -6,6 +6,7 @@ other engine.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, functions as F
 
@@ -38,9 +39,19 @@ def normal(seed: int, *keys: Column | str) -> Column:
 
 
 def poisson_one(seed: int, *keys: Column | str) -> Column:
-    """Poisson(1) by inversion: the weight of a row in one bootstrap replicate."""
-    u = uniform(seed, *keys)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_steps()]), lambda c: c <= u))
+    """Poisson(1) by inversion: the weight of a row in one bootstrap replicate.
+
+    The number of steps at or below ``uniform``, found from the digits that it is made of: a draw is hashed once.
+    """
+    text = F.concat_ws(":", F.lit(seed), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    least = [f"{math.ceil(Fraction(c) * _M - Fraction(1, 2)):013x}" for c in poisson_steps()]
+
+    def below(digits: Column) -> Column:
+        out = F.when(digits < least[0], 0)
+        for k, step in enumerate(least[1:], 1):
+            out = out.when(digits < step, k)
+        return out.otherwise(len(least))
+    return F.transform(F.array(F.substring(F.md5(text), 1, 13)), below)[0]
 
 
 # Coefficients of the rational approximation of the normal quantile.

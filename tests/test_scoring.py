@@ -110,3 +110,14 @@ def test_integrity_counts(spark):
     res = spark.createDataFrame([(1,)], "event_id int")
     r = S.integrity_checks(pred, res, "event_id", "model", "as_of", "d", F.lit("2024-02-01").cast("timestamp"), 2).first()
     assert (r["late"], r["repeated_keys"], r["missing_results"], r["embargo_breaches"]) == (2, 1, 2, 3)
+
+
+def test_poisson_weights_hash_once(spark):
+    """The weight is the number of steps at or below the uniform number, and its digest is made outside the comparisons."""
+    from augury.functions import draws as R
+    u = F.col("u")
+    old = F.size(F.filter(F.array(*[F.lit(c) for c in R.poisson_steps()]), lambda c: c <= u))
+    df = spark.range(20000).select("id", R.uniform(3, "id").alias("u")).select(old.alias("want"), R.poisson_one(3, F.col("id")).alias("got"))
+    assert df.where("want <> got").count() == 0 and df.agg(F.max("got")).first()[0] >= 5
+    text = str(R.poisson_one(3, F.col("id"))._jc)
+    assert text.count("md5") == 1 and text.index("md5") < text.index("lambda")
