@@ -363,3 +363,28 @@ def test_columns_with_the_operators_own_names(spark):
     assert {r[0]: r["__kept_text_"] for r in lines.collect()} == {0: "a b c", 1: "a b c", 2: "a b c", 3: "d e f g", 4: ""}
     first = jaccard.first_of_groups(df)
     assert first.columns == df.columns and {r[0]: tuple(r) for r in first.collect()} == {i: whole[i] for i in (0, 3, 4)}
+
+
+def test_near_copies_by_fingerprint_join_groups(spark):
+    """With ``bits`` fingerprints link too, also where sets of shingles are less alike, and both kinds of links join one group."""
+    from augury.llm import jaccard
+    long = [f"w{i}" for i in range(3000)]
+    a = " ".join(long)
+    b = " ".join([*long, *(w for i in range(0, 600) for w in ("q", f"x{i}"))])  # as long as needed to be less than 0.8 alike
+    texts = [a, b, b + " end", "one two three", None, ""]
+    got = jaccard.first_of_groups(table(spark, texts), bits=3)
+    prints = [simhash.simhash((t or "").encode()) for t in texts]
+    near = lambda x, y: ((prints[x] ^ prints[y]) & (2**64 - 1)).bit_count() <= 3
+    sets = [shingles_by_hand(t) for t in texts]
+    both = lambda x, y: len(sets[x] & sets[y]) / max(1, len(sets[x] | sets[y])) >= 0.8 or sets[x] == sets[y]
+    root = reach(range(len(texts)), lambda x, y: near(x, y) or both(x, y))
+    assert {x["doc_id"] for x in got.collect()} == {i for i, r in root.items() if i == r}
+
+
+def test_pipeline_stage_links_by_fingerprint(spark, monkeypatch):
+    import corpus_pipeline
+    from augury.llm import jaccard
+    seen, real = [], jaccard.near_copies
+    monkeypatch.setattr(jaccard, "near_copies", lambda *a, **kw: seen.append(kw["bits"]) or real(*a, **kw))
+    docs = table(spark, ["one two three four five six", "One  two three four five six", "other words are here"])
+    assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2] and seen == [3]
