@@ -388,3 +388,23 @@ def test_pipeline_stage_links_by_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "near_copies", lambda *a, **kw: seen.append(kw["bits"]) or real(*a, **kw))
     docs = table(spark, ["one two three four five six", "One  two three four five six", "other words are here"])
     assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2] and seen == [3]
+
+
+def test_rounds_of_components_leave_few_files(spark):
+    """A round over few edges writes few files, however many shuffle partitions the session has."""
+    import glob
+    from augury.session import checkpoint_folder
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)], "a long, b long")
+    parts = lambda: set(glob.glob(f"{checkpoint_folder(spark).removeprefix('file:')}/rdd-*/part-*"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = parts()
+        got = {r["node"]: r["root"] for r in components(edges).collect()}
+        made = len(parts() - before)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+    assert 40 <= made < 80  # the distinct edges, then a file a round
