@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from augury.functions.columns import stack_long
 from augury.operators.ordered import exact_quantiles
-from augury.session import cut_lineage
+from augury.session import cut_lineage, dealt
 
 Point = tuple[float, float]  # penalty, share of the absolute values in it
 MOST_STEPS, SETTLED = 60, 1e-9
+FEW_GROUPS = 10_000  # coefficients of so many groups are broadcast
 # The penalties that are tried, by kind of fit.
 RIDGE = tuple(2.0**e for e in range(5, -5, -1))
 LASSO = tuple(2.0**e for e in range(6, -4, -1))
@@ -294,13 +295,15 @@ def group_logits(rows: DataFrame, cols: Sequence[str], label: str, group: str, r
     """``group``, ``n`` and ``beta`` (intercept first) of a ridge fit per group, on the columns as they are, null as zero.
 
     Each step joins the groups' coefficients to their rows, adds up derivatives in the map tasks, and solves a small system
-    per group in tasks, so there may be any number of groups. Steps are checked in lots of ``steps``.
+    per group in tasks, so there may be any number of groups. Coefficients of ``FEW_GROUPS`` or fewer are broadcast, so that
+    rows stay where they are, however few groups hold them. Steps are checked in lots of ``steps``.
     """
     k = len(cols) + 1
     x = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
-    data = cut_lineage(rows.where(F.col(label).isNotNull()).select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"), x.alias("_x")))
+    data = dealt(rows.where(F.col(label).isNotNull()).select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"), x.alias("_x")))
     i, j = (v.tolist() for v in _halves(k))
-    fit = data.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_b": F.array(*[F.lit(0.0)] * k), "_move": F.lit(0.0)})
+    fit = cut_lineage(data.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_b": F.array(*[F.lit(0.0)] * k), "_move": F.lit(0.0)}))
+    near = F.broadcast if fit.count() <= FEW_GROUPS else lambda of: of
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,8 +316,8 @@ def group_logits(rows: DataFrame, cols: Sequence[str], label: str, group: str, r
             yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_n"), pa.array(new, pa.list_(pa.float64())), pa.array(move, pa.float64())], ["_g", "_n", "_b", "_move"])
     schema = T.StructType([data.schema["_g"], T.StructField("_n", T.LongType()), T.StructField("_b", T.ArrayType(T.DoubleType())), T.StructField("_move", T.DoubleType())])
     for step in range(1, MOST_STEPS + 1):
-        eta = F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        met = data.join(fit, "_g").withColumn("_m", 1.0 / (1.0 + F.exp(-eta)))
+        eta = sum((F.col("_x")[a] * F.col("_b")[a] for a in range(k)), F.lit(0.0))
+        met = data.join(near(fit), "_g").withColumn("_m", 1.0 / (1.0 + F.exp(-eta)))
         w, r = F.col("_m") * (1 - F.col("_m")), F.col("_y") - F.col("_m")
         g = [F.sum(r * F.col("_x")[a]).alias(f"_s{a}") for a in range(k)]
         h = [F.sum(w * F.col("_x")[a] * F.col("_x")[b]).alias(f"_s{k + c}") for c, (a, b) in enumerate(zip(i, j))]
