@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Fixed values of the two rating systems and the paired filter.
+from augury.session import dealt
+
 ELO_BASE, ELO_K, ELO_HOME, ELO_SCALE = 1500.0, 20.0, 35.0, 400.0
 DYN_VAR, DYN_HOME = 0.07, 0.12
 BT_VAR, BT_PRIOR, BT_INTERCEPT = 0.08, 1.5, 0.12
@@ -140,7 +142,7 @@ def paired_state_fit(events: DataFrame, pool: Sequence[str], order: Sequence[str
         out = paired_state(frame, pool, order, home, away, label, offset, intercept, strength=strength)
         if i == passes - 1:
             break
-        train = out.where(F.col(label).isNotNull()).withColumn("strength_diff", F.col("bt_home") - F.col("bt_away"))
+        train = dealt(out.where(F.col(label).isNotNull()).select(label, (F.col("bt_home") - F.col("bt_away")).alias("strength_diff"), *features))  # filtered once for all passes of the fit
         model = penalized_logit(train, ["strength_diff", *features], label, c=0.8, l1=0.0)
         intercept, coefs = linear_terms(model)
         strength = max(coefs["strength_diff"], 1e-3)
