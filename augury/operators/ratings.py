@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-# Fixed values of the two rating systems and the paired filter.
 from augury.session import dealt
 
+# Fixed values of the two rating systems and the paired filter.
 ELO_BASE, ELO_K, ELO_HOME, ELO_SCALE = 1500.0, 20.0, 35.0, 400.0
 DYN_VAR, DYN_HOME = 0.07, 0.12
 BT_VAR, BT_PRIOR, BT_INTERCEPT = 0.08, 1.5, 0.12
@@ -48,38 +49,43 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def _rate(df: DataFrame, pool: Sequence[str], order: Sequence[str], home: str, away: str, label: str, start: Sequence[float], outputs: Sequence[str],
-          step: Callable[[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame], tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> DataFrame:
+          step: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[list[np.ndarray], np.ndarray, np.ndarray]], more: str | None = None) -> DataFrame:
     """Run ``step`` over the rounds of every pool. A state is a row of numbers that starts as ``start``; ``step`` gets both
-    sides' states, the labels and the rows of a round, and returns the outputs and both sides' next states."""
+    sides' states, the labels and the numbers of the column ``more`` (zero where it is missing) of a round, and returns the
+    outputs and both sides' next states. A pool stays in Arrow columns: names are never objects of Python."""
     if not pool:
         raise ValueError("a pool column is required: one pool is one sequence")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        codes, names = pd.factorize(pd.concat([rows[home], rows[away]]), use_na_sentinel=False)
-        sides = codes.reshape(2, -1).T
-        y = pd.to_numeric(rows[label]).to_numpy(float, na_value=np.nan)
-        state = np.tile(np.asarray(start, float), (len(names), 1))
-        made = np.zeros((len(rows), len(outputs)))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(o, "ascending") for o in order])
+        codes = pa.chunked_array([*rows.column(home).chunks, *rows.column(away).chunks]).combine_chunks().dictionary_encode("encode")
+        sides = codes.indices.to_numpy().reshape(2, -1).T
+        numbers = lambda c: rows.column(c).cast(pa.float64()).to_numpy()
+        y = numbers(label)
+        x = np.nan_to_num(numbers(more)) if more else np.zeros(len(y))
+        state = np.tile(np.asarray(start, float), (len(codes.dictionary), 1))
+        made = np.zeros((len(y), len(outputs)))
         for now in rounds(sides):
             h, a = sides[now].T
-            out, new_h, new_a = step(state[h], state[a], y[now], rows.iloc[now])
+            out, new_h, new_a = step(state[h], state[a], y[now], x[now])
             made[now] = np.column_stack(out)
             state[h], state[a] = new_h, new_a
-        return rows.assign(**{n: made[:, i] for i, n in enumerate(outputs)})
+        for i, n in enumerate(outputs):
+            rows = rows.append_column(n, pa.array(made[:, i]))
+        return rows
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in outputs]])
-    return df.groupBy(*pool).applyInPandas(run, schema)
+    return df.groupBy(*pool).applyInArrow(run, schema)
 
 
 def elo(events: DataFrame, pool: Sequence[str], order: Sequence[str], home: str = "home", away: str = "away",
         label: str = "home_win", margin: str = "margin", k: float = ELO_K, advantage: float = ELO_HOME) -> DataFrame:
     """Ratings of both sides before each event, and the home probability. Events without a label change nothing."""
-    def step(h, a, y, rows):
+    def step(h, a, y, margins):
         p = _logistic((h[:, 0] + advantage - a[:, 0]) / ELO_SCALE)
-        size = np.minimum(np.abs(np.nan_to_num(pd.to_numeric(rows[margin]).to_numpy(float, na_value=np.nan))), 4.0)
+        size = np.minimum(np.abs(margins), 4.0)
         won = np.nan_to_num(k * (1.0 + size / 10.0) * (y - p))[:, None]
         return [h[:, 0], a[:, 0], p], h + won, a - won
-    return _rate(events, pool, order, home, away, label, [ELO_BASE], ["elo_home_pre", "elo_away_pre", "elo_home_prob"], step)
+    return _rate(events, pool, order, home, away, label, [ELO_BASE], ["elo_home_pre", "elo_away_pre", "elo_home_prob"], step, margin)
 
 
 def _gain(var_h: np.ndarray, var_a: np.ndarray, p: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +106,7 @@ def _moved(mean: np.ndarray, var: np.ndarray, share: np.ndarray, pull: np.ndarra
 def dynamic_rating(events: DataFrame, pool: Sequence[str], order: Sequence[str], home: str = "home", away: str = "away",
                    label: str = "home_win", drift: float = DYN_VAR) -> DataFrame:
     """Mean and variance filter per entity; emits the state before each event."""
-    def step(h, a, y, rows):
+    def step(h, a, y, _):
         vh, va = h[:, 1] + drift, a[:, 1] + drift
         p = _logistic(h[:, 0] - a[:, 0] + DYN_HOME)
         share, pull, _ = _gain(vh, va, p, y, 1e-4)
@@ -117,16 +123,15 @@ def paired_state(events: DataFrame, pool: Sequence[str], order: Sequence[str], h
     because the logistic is monotone; the mean is a fixed quadrature. Centring all means after each
     event shifts every entity alike and so cancels in every difference; it is left out.
     """
-    def step(h, a, y, rows):
+    def step(h, a, y, base):
         vh, va = h[:, 1] + process_var, a[:, 1] + process_var
-        base = np.nan_to_num(pd.to_numeric(rows[offset]).to_numpy(float, na_value=np.nan)) if offset else 0.0
         z = intercept + strength * (h[:, 0] - a[:, 0]) + base
         sd = np.sqrt(np.maximum(strength**2 * (vh + va), 1e-6))
         p = _logistic(z)
         share, pull, _ = _gain(vh, va, p, y, 1e-3)
         mean = _logistic(z[:, None] + sd[:, None] * _NODES) @ _WEIGHTS
         return [h[:, 0], a[:, 0], mean, _logistic(z - _Z95 * sd), _logistic(z + _Z95 * sd)], _moved(h[:, 0], vh, share, pull), _moved(a[:, 0], va, share, -pull)
-    return _rate(events, pool, order, home, away, label, [0.0, prior_var], ["bt_home", "bt_away", "bt_mean", "bt_low", "bt_high"], step)
+    return _rate(events, pool, order, home, away, label, [0.0, prior_var], ["bt_home", "bt_away", "bt_mean", "bt_low", "bt_high"], step, offset)
 
 
 def paired_state_fit(events: DataFrame, pool: Sequence[str], order: Sequence[str], features: Sequence[str], passes: int = 2,
