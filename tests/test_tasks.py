@@ -140,3 +140,17 @@ def test_filter_runs_once_for_the_regression(games, monkeypatch):
     monkeypatch.setattr(M, "penalized_logit", lambda rows, *a, **kw: seen.append(plan(rows)) or fit(rows, *a, **kw))
     assert Q.paired_state_fit(games.withColumn("pool", F.lit("a")), ["pool"], ["start_ts", "event_id"], ["pace"]).count() == 400
     assert "FlatMapGroups" not in seen[0]
+
+
+def test_bent_fits_need_no_ranks_and_find_knots_once(games, monkeypatch):
+    """Mean losses as the whole score bundle has them; all knots come from one search."""
+    calls, search = [], M.exact_quantiles
+    monkeypatch.setattr(M, "exact_quantiles", lambda *a: calls.append(a) or search(*a))
+    out = G.nonlinearity(games, games, ["lines"], "home_win")
+    assert len(calls) == 1 and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["feature"]: r for r in out.collect()}
+    for c in ("lines",):
+        fits = {"linear": M.predict(M.penalized_logit(games, [c], "home_win"), games, [c]),
+                "hinge": M.basis_logit(games, games, [c], "home_win", 3, 1), "spline": M.basis_logit(games, games, [c], "home_win", 3, 3)}
+        for kind, p in fits.items():
+            assert got[c][kind] == pytest.approx(S.score_groups(p, [], "home_win", "pred").first()["log_loss"], abs=1e-9)
