@@ -7,7 +7,7 @@ from augury.functions.columns import clip_prob
 from augury.operators import prices as P, replay as R, scoring as S, standings as Z, temporal as T
 from augury.operators.ordered import latest_by
 from augury.plans.registry import query, sql
-from augury.plans.replay_queries import (DEC, EVK, LEDGER, MKT_SQL, PATH_SQL, POL_SQL, DEC_SQL, PRB, SNAP_SQL, bets, cands, lines)
+from augury.plans.replay_queries import (DEC, EVK, LEDGER, MKT_SQL, PATH_SQL, POL_SQL, DEC_SQL, PRB, SNAP_SQL, cands, lines)
 from augury.plans.roles import EVENTS_SQL, FORECASTS_SQL, PRICES_SQL, events, table
 from augury.plans.scoring_queries import BASE, bundle_sql, named_forecasts, newton_sql, scored
 from augury.operators.decisions import policy_table
@@ -171,10 +171,11 @@ def _(spark, d):
 @query("q_bet_summary", sql(f"SELECT model, policy, {LEDGER}, min(start_ts) AS first_day, max(start_ts) AS last_day FROM bt WHERE home_win IS NOT NULL AND start_ts::DATE = (SELECT max(start_ts)::DATE - 1 FROM bt) GROUP BY 1, 2", *DEC,
     r="risked profit roi bankroll", day="first_day last_day"))
 def _(spark, d):
-    b = bets(spark, d)
-    last = events(spark, d).join(named_forecasts(spark, d).select("event_id").distinct(), "event_id", "left_semi").agg(F.date_sub(F.to_date(F.max("start_ts")), 1).alias("_y"))
-    y = b.where("home_win is not null").crossJoin(F.broadcast(last)).where(F.col("day") == F.col("_y"))  # one row
-    return R.ledger_summary(y, ["model", "policy"], "day")
+    c = cands(spark, d)
+    last = c.agg(F.date_sub(F.to_date(F.max("start_ts")), 1).alias("_y"))
+    y = c.crossJoin(F.broadcast(last)).where(F.col("day") == F.col("_y"))  # one row; a day's bets depend on that day only
+    b = R.play(y, policy_table(spark), ["model"], "day", "event_id")
+    return R.ledger_summary(b.where("home_win is not null"), ["model", "policy"], "day")
 
 
 @query("q_next_event", sql("""SELECT event_id, home, away, start_ts, CASE WHEN home = 'S7' THEN prob ELSE 1-prob END AS entity_prob, (home='S7')::INT AS is_home, lo, hi FROM up WHERE home = 'S7' OR away = 'S7'
